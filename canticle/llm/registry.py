@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from canticle.llm.simhash import op10_simhash_near_dedup
+from canticle.llm.substring import op1_substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
