@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from canticle.llm.lines import OP4_SQL, op4_line_dedup
+from canticle.llm.quality import OP8_SQL, op8_quality_rules
 from canticle.llm.simhash import op10_simhash_near_dedup
 from canticle.llm.substring import op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op4_line_dedup": op4_line_dedup,
+    "op8_quality_rules": op8_quality_rules,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": OP4_SQL,
+    "op8_quality_rules": OP8_SQL,
+}
