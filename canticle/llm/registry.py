@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from canticle.llm.bytebpe import op9_byte_bpe
+from canticle.llm.chat import op5_chat_formatting
 from canticle.llm.lines import OP4_SQL, op4_line_dedup
+from canticle.llm.packing import op6_best_fit_packing
 from canticle.llm.quality import OP8_SQL, op8_quality_rules
+from canticle.llm.sharding import op2_bounded_ring
 from canticle.llm.simhash import op10_simhash_near_dedup
 from canticle.llm.substring import op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_bounded_ring": op2_bounded_ring,
     "op4_line_dedup": op4_line_dedup,
+    "op5_chat_formatting": op5_chat_formatting,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_byte_bpe": op9_byte_bpe,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
