@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from canticle.llm.bytebpe import op9_byte_bpe
 from canticle.llm.chat import op5_chat_formatting
+from canticle.llm.fingerprint import op3_document_fingerprints
 from canticle.llm.lines import OP4_SQL, op4_line_dedup
 from canticle.llm.packing import op6_best_fit_packing
 from canticle.llm.quality import OP8_SQL, op8_quality_rules
@@ -14,6 +15,7 @@ from canticle.llm.substring import op1_substring_dedup
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_bounded_ring": op2_bounded_ring,
+    "op3_document_fingerprints": op3_document_fingerprints,
     "op4_line_dedup": op4_line_dedup,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_best_fit_packing": op6_best_fit_packing,
