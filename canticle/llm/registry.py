@@ -11,6 +11,7 @@ from canticle.llm.quality import OP8_SQL, op8_quality_rules
 from canticle.llm.sharding import op2_bounded_ring
 from canticle.llm.simhash import op10_simhash_near_dedup
 from canticle.llm.substring import op1_substring_dedup
+from canticle.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,

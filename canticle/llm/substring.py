@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -208,6 +209,26 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return cut.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
+def replaced_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """``docs`` with repeated windows cut out of the texts; a text that loses nothing stays as it is."""
+    spans = written(repeated_spans(keyed(docs, id_col, text_col), window, anchor), "spans").withColumnRenamed("spans", "_spans")
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for text, some in zip(texts, spans, strict=True):
+            words = (text or "").encode().split()
+            gone = maximal(np.asarray([] if some is None else some, np.int64), len(words)).tolist()
+            out.append(b" ".join([w for w, x in zip(words, gone, strict=True) if not x]).decode())
+        return pd.Series(out, dtype=object)
+
+    text = F.col(text_col).cast("string")
+    hit = F.col("_spans").isNotNull()
+    marked = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_row", F.xxhash64(F.coalesce(text, F.lit(""))))
+    out = marked.join(spans, KEYS, "left").withColumn(text_col, F.when(hit, cut(F.when(hit, text), F.when(hit, F.col("_spans")))).otherwise(text))
+    return out.select(*docs.columns)
+
+
 def op1_substring_dedup(spark, sf_dir):
     """Contract query 1: words, removed words and the digest of what is kept, for every document."""
     found = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
