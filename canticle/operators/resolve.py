@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from canticle.functions import scoring as S
 from canticle.functions import text as T
+from canticle.plans.cut import written
 
 ALBUM_RANK = {"album": 0, "single": 1, "compilation": 2}
 GROUP = ["title_norm", "artist_norm"]
@@ -151,23 +152,24 @@ def jaccard_pairs(rows: DataFrame, catalog: DataFrame, least: float = 0.5) -> Da
 def resolve(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """All phases: one accepted match a group with the phase that found it, albums preferred.
 
-    ``rows`` are variants; pass written tables, as phases read them again.
+    ``rows`` are variants; pass written tables, as phases read them again. What a phase finds is written, so that later ones
+    don't compute it again.
     """
     popular = catalog.where("popularity >= 1")
     exact = exact_pairs(rows, popular)
-    seen = exact.select(*GROUP).distinct()
+    seen = written(exact.select(*GROUP).distinct(), "seen")
     primary = primary_artist_pairs(rows, popular, seen)
-    seen = seen.union(primary.select(*GROUP)).distinct()
-    main = best_match(scored_pairs(exact, "exact").unionByName(scored_pairs(primary, "primary")))
+    seen = written(seen.union(primary.select(*GROUP)).distinct(), "seen")
+    main = written(best_match(scored_pairs(exact, "exact").unionByName(scored_pairs(primary, "primary"))), "main")
 
     open_ = rows.join(main, GROUP, "left_anti")
     rescued = rescue_pairs(open_.join(seen, GROUP, "left_anti"), popular)
-    rescue = best_match(scored_pairs(rescued, "rescue", (F.col("_near") * 50).cast("int"), F.col("_near")))
+    rescue = written(best_match(scored_pairs(rescued, "rescue", (F.col("_near") * 50).cast("int"), F.col("_near"))), "rescue")
     open_ = open_.join(rescue, GROUP, "left_anti")
     fuzzy = best_match(scored_pairs(fuzzy_pairs(open_, popular), "fuzzy", (F.col("_sim") * 30).cast("int"), F.lit(1.0)))
-    found = main.unionByName(rescue).unionByName(fuzzy)
+    found = written(main.unionByName(rescue).unionByName(fuzzy), "found")
 
-    better = best_match(scored_pairs(album_upgrades(found, rows, popular), "upgrade"))
+    better = written(best_match(scored_pairs(album_upgrades(found, rows, popular), "upgrade")), "upgrades")
     found = found.join(better, GROUP, "left_anti").unionByName(better)
     rest = rows.join(found, GROUP, "left_anti").join(seen, GROUP, "left_anti")
     zero = best_match(scored_pairs(unpopular_pairs(rest, catalog, common_title_counts(catalog)), "unpopular", similarity=F.lit(1.0)))
