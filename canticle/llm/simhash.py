@@ -181,6 +181,8 @@ def links(distinct: DataFrame, radius: int = 3, bucket_limit: int = 50_000) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, fps = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             keys = np.concatenate([keys, batch.column(0).to_numpy()])
             fps = np.concatenate([fps, batch.column(1).to_numpy()])
             whole = np.searchsorted(keys, keys[-1])  # the last key may go on in the next batch

@@ -165,7 +165,7 @@ def packed(start, length):
 
 def repeated_spans(slim: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(_id, _row, spans): per row with repeats, its repeated windows as packed (start, words covered)."""
-    every = runs(slim, window, anchor)
+    every = runs(slim, window, min(anchor, window))
     shared = written(every.groupBy("anchor").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("anchor"), "anchors")
     near = written(every.join(shared, "anchor", "left_semi"), "runs")
     kinds = near.groupBy("anchor", "run1", "run2").agg(F.min("_id").alias("lo"))
