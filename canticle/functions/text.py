@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canticle.functions import fixed
@@ -84,7 +84,8 @@ def without_the(text: Column, longer_than: int = 0) -> Column:
     return F.when(text.startswith("the ") & (F.octet_length(text) > longer_than), F.substring(text, F.lit(5), F.length(text))).otherwise(text)
 
 
-def _title(text: Column, artist_norm: Column | None) -> Column:
+def cleaned_title(text: Column, artist_norm: Column | None = None) -> Column:
+    """A title after all replacements, before folding. With the artist's normalized name, that is cut off the front."""
     text = punctuation(text)
     for p, by in fixed.TITLE_PREFIXES:
         text = F.regexp_replace(text, java(p), F.lit(by))
@@ -97,36 +98,54 @@ def _title(text: Column, artist_norm: Column | None) -> Column:
             return F.when(hit, F.regexp_replace(rest, r"(?U)^\s*[-–—:]\s*", "")).otherwise(x["t"])
 
         text = let(F.struct(text.alias("t"), artist_norm.alias("a")), cut)
-    text = removed(text, (*fixed.TITLE_SUFFIXES, *fixed.TITLE_PATTERNS))
-    return let(F.btrim(folded(text)), lambda t: without_the(t, 6))
+    return removed(text, (*fixed.TITLE_SUFFIXES, *fixed.TITLE_PATTERNS))
+
+
+def folded_title(cleaned: Column) -> Column:
+    return let(F.btrim(folded(cleaned)), lambda t: without_the(t, 6))
 
 
 def normalize_title(title: Column) -> Column:
     """A title without track numbers, file endings, editions, versions, credits and accents."""
-    return _title(title, None)
+    return folded_title(cleaned_title(title))
 
 
 def normalize_title_with_artist(title: Column, artist: Column, aliases: dict[str, str] | None = None) -> Column:
     """The same, with the artist's own name cut off the front."""
-    return _title(title, normalize_artist(artist, aliases))
+    return folded_title(cleaned_title(title, normalize_artist(artist, aliases)))
 
 
-def normalize_artist(artist: Column, aliases: dict[str, str] | None = None) -> Column:
-    """The first credited artist without ``the``, ensemble words and accents. ``aliases`` maps lower-case names."""
-    bare = removed(punctuation(F.split(artist, "\\x00")[0]), fixed.ARTIST_PATTERNS)
+def cleaned_artist(artist: Column) -> Column:
+    return removed(punctuation(F.split(artist, "\\x00")[0]), fixed.ARTIST_PATTERNS)
+
 
+def folded_artist(cleaned: Column, aliases: dict[str, str] | None = None) -> Column:
     def named(key: Column) -> Column:
         return F.element_at(F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]), key)
 
     def spelled(t: Column) -> Column:
         return F.regexp_replace(without_the(F.btrim(t)), r"(?:, the| \(the\))\z", "")
 
-    out = let(folded(bare), spelled)
+    out = let(folded(cleaned), spelled)
     if aliases:
-        out = F.coalesce(named(F.lower(F.btrim(bare))), let(out, lambda t: F.coalesce(named(t), t)))
+        out = F.coalesce(named(F.lower(F.btrim(cleaned))), let(out, lambda t: F.coalesce(named(t), t)))
     return out
 
 
+def normalize_artist(artist: Column, aliases: dict[str, str] | None = None) -> Column:
+    """The first credited artist without ``the``, ensemble words and accents. ``aliases`` maps lower-case names."""
+    return folded_artist(cleaned_artist(artist), aliases)
+
+
+def with_norms(rows: DataFrame, aliases: dict[str, str] | None = None, artist_context: bool = True) -> DataFrame:
+    """``rows`` (title, artist) with ``title_norm`` and ``artist_norm``. Cleaned texts are columns of their own on the way, so
+    the replacements run once a row and not once a mention."""
+    out = rows.withColumn("_artist", cleaned_artist(F.col("artist"))).withColumn("artist_norm", folded_artist(F.col("_artist"), aliases))
+    context = F.col("artist_norm") if artist_context else None
+    out = out.withColumn("_title", cleaned_title(F.col("title"), context)).withColumn("title_norm", folded_title(F.col("_title")))
+    return out.drop("_artist", "_title")
+
+
 def primary_artist(artist_norm: Column) -> Column:
     """The name before the first separator, null if there is none or the name is shorter than two bytes."""
     parts = F.split(artist_norm, java(fixed.ARTIST_SEPARATOR), 2)

@@ -43,13 +43,7 @@ def read_tracks(tracks: DataFrame, lyrics: DataFrame, artists: list[str] | None
 
 def variants(tracks: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """Tracks with their group key and quality."""
-    return tracks.withColumns(
-        {
-            "title_norm": T.normalize_title_with_artist(F.col("title"), F.col("artist"), aliases),
-            "artist_norm": T.normalize_artist(F.col("artist"), aliases),
-            "quality": S.quality_score(F.col("title"), F.col("artist"), F.col("album")),
-        }
-    )
+    return T.with_norms(tracks, aliases).withColumn("quality", S.quality_score(F.col("title"), F.col("artist"), F.col("album")))
 
 
 def canonical(rows: DataFrame) -> DataFrame:

@@ -388,7 +388,8 @@ def part_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plain_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Songs keyed without artist context, as the SQL has them."""
-    return part_songs(spark, sf_dir).withColumns({"title_norm": T.normalize_title(F.col("title")), "artist_norm": T.normalize_artist(F.col("artist")), "quality": S.quality_score(F.col("title"), F.col("artist"), F.col("album"))})
+    songs = T.with_norms(part_songs(spark, sf_dir), artist_context=False)
+    return songs.withColumn("quality", S.quality_score(F.col("title"), F.col("artist"), F.col("album")))
 
 
 @query(f"WITH {SONGS_SQL} SELECT id, title_norm, artist_norm FROM songs")
