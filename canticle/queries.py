@@ -250,16 +250,16 @@ def reranked(spark, sf_dir):
 # Merges.
 
 
-@query("""WITH o AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_mktsegment END AS album, c_acctbal AS at, c_custkey % 2 = 0 AS flag, 1 AS plays FROM customer WHERE c_custkey % 3 <> 0),
-n AS (SELECT c_custkey, 'new' AS album, 5000.0 AS at, c_custkey % 5 = 0 AS flag, 2 AS plays FROM customer WHERE c_custkey % 3 <> 1)
-SELECT c_custkey, coalesce(nullif(o.album, ''), n.album, o.album) AS album, greatest(o.at, n.at) AS at, coalesce(o.flag, false) OR coalesce(n.flag, false) AS flag, coalesce(o.plays, 0) + coalesce(n.plays, 0) AS plays
+@query("""WITH o AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_mktsegment END AS album, c_acctbal AS latest, c_custkey % 2 = 0 AS flag, 1 AS plays FROM customer WHERE c_custkey % 3 <> 0),
+n AS (SELECT c_custkey, 'new' AS album, 5000.0 AS latest, c_custkey % 5 = 0 AS flag, 2 AS plays FROM customer WHERE c_custkey % 3 <> 1)
+SELECT c_custkey, coalesce(nullif(o.album, ''), n.album, o.album) AS album, greatest(o.latest, n.latest) AS latest, coalesce(o.flag, false) OR coalesce(n.flag, false) AS flag, coalesce(o.plays, 0) + coalesce(n.plays, 0) AS plays
 FROM o FULL JOIN n USING (c_custkey)""")
 def upsert_merge(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     key = F.col("c_custkey")
-    old = c.where(key % 3 != 0).select("c_custkey", F.when(key % 4 == 0, "").otherwise(F.col("c_mktsegment")).alias("album"), F.col("c_acctbal").alias("at"), (key % 2 == 0).alias("flag"), F.lit(1).alias("plays"))
-    new = c.where(key % 3 != 1).select("c_custkey", F.lit("new").alias("album"), F.lit(5000.0).alias("at"), (key % 5 == 0).alias("flag"), F.lit(2).alias("plays"))
-    return merge.upserted(old, new, ["c_custkey"], {"album": "keep_text", "at": "greatest", "flag": "or", "plays": "add"})
+    old = c.where(key % 3 != 0).select("c_custkey", F.when(key % 4 == 0, "").otherwise(F.col("c_mktsegment")).alias("album"), F.col("c_acctbal").alias("latest"), (key % 2 == 0).alias("flag"), F.lit(1).alias("plays"))
+    new = c.where(key % 3 != 1).select("c_custkey", F.lit("new").alias("album"), F.lit(5000.0).alias("latest"), (key % 5 == 0).alias("flag"), F.lit(2).alias("plays"))
+    return merge.upserted(old, new, ["c_custkey"], {"album": "keep_text", "latest": "greatest", "flag": "or", "plays": "add"})
 
 
 HISTORY_SQL = "SELECT user_id, event_type AS song_id, max(ts) AS last_played_at, count(*) AS play_count FROM events WHERE {w} GROUP BY 1, 2"
