@@ -61,6 +61,39 @@ def aligned(words: DataFrame, sung: DataFrame) -> DataFrame:
     return left.cogroup(right).applyInPandas(one, MATCHED)
 
 
+def block_match(want: list[str], have: list[str], slack: int = 10) -> list[tuple[int, int]]:
+    """(wanted word, sung piece) of the stretch of pieces that holds most of a block's words in order: two at least and
+    70 percent, the first of equals."""
+    best: list[tuple[int, int]] = []
+    for start in range(len(have)):
+        hits: list[tuple[int, int]] = []
+        for j in range(start, min(len(have), start + len(want) + slack)):
+            if len(hits) < len(want) and have[j] == want[len(hits)]:
+                hits.append((len(hits), j))
+        if len(hits) > len(best):
+            best = hits
+    return best if len(best) >= 2 and len(best) >= 0.7 * len(want) else []
+
+
+def recovered(words: DataFrame, sung: DataFrame, found: DataFrame) -> DataFrame:
+    """Matches for runs of lines without any: each run is sought in the whole stream of sung pieces."""
+    open_ = words.join(found.select("song_id", "line_idx").distinct(), ["song_id", "line_idx"], "left_anti")
+
+    def one(w: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        w, s = w.sort_values(["line_idx", "word_idx"]), s.sort_values(["start_ms", "piece"])
+        lines = sorted(set(w["line_idx"]))
+        run_of = {x: x - k for k, x in enumerate(lines)}
+        out = []
+        for _, block in w.groupby(w["line_idx"].map(run_of)):
+            for a, b in block_match(block["token"].tolist(), s["token"].tolist()):
+                x, y = block.iloc[a], s.iloc[b]
+                out.append((x["song_id"], x["line_idx"], x["word_idx"], y["start_ms"], y["piece"]))
+        return pd.DataFrame(out, columns=["song_id", "line_idx", "word_idx", "start_ms", "piece"])
+
+    left, right = with_tokens(open_, "word").groupBy("song_id"), with_tokens(sung, "piece").groupBy("song_id")
+    return left.cogroup(right).applyInPandas(one, MATCHED)
+
+
 def built_words(syllables: DataFrame) -> DataFrame:
     """(song_id, start_ms, piece): syllables joined to words; a hyphen at a syllable's end goes on with the next one."""
 

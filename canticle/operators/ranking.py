@@ -81,3 +81,50 @@ def nested(parents: DataFrame, children: DataFrame, key: str, fields: list[str],
     """Parents with an ordered array of their children; empty where there are none."""
     grouped = children.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *fields))).alias(name))
     return parents.join(grouped, key, "left").withColumn(name, F.coalesce(name, F.array().cast(grouped.schema[name].dataType)))
+
+
+def greedy_distinct(rows: DataFrame, group: str, order: list[str], keys: tuple[str, str], most: int = 10) -> DataFrame:
+    """Rows of each ranked list whose first and second key are both new, ``most`` at most (the list's length is the feature).
+
+    A list is one query's bounded result, so it is folded as an array.
+    """
+    cols = [c for c in rows.columns if c != group]
+    ranked = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in cols if c not in order]))).alias("_l"))
+    taken = lambda acc, x: F.exists(acc, lambda y: (y[keys[0]] == x[keys[0]]) | (y[keys[1]] == x[keys[1]]))
+    empty = F.filter("_l", lambda x: F.lit(False))
+    kept = F.aggregate("_l", empty, lambda acc, x: F.when(taken(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
+    out = ranked.select(group, F.posexplode(F.slice(kept, 1, most)).alias("position", "_x"))
+    return out.select(group, "position", "_x.*")
+
+
+def fanned_out(canon: DataFrame, found: DataFrame, direct: DataFrame, query: str, keys: list[str]) -> DataFrame:
+    """Results found for canonical rows, the first of each key by position; queries without any get their direct results."""
+    some = first_of(found.join(canon.select(query, "position"), [query, "position"], "left_semi"), [query, *keys], ["position"])
+    return some.unionByName(direct.join(some.select(query).distinct(), query, "left_anti").select(*some.columns))
+
+
+def search_kind(text: str) -> tuple[str, str]:
+    """What a search text asks for: a numeric id, a service id, or words."""
+    text = text.strip()
+    if text.isdigit():
+        return "id", text
+    if text.startswith("spotify:track:"):
+        return "service_id", text.removeprefix("spotify:track:")
+    if "open.spotify.com/track/" in text:
+        return "service_id", text.split("open.spotify.com/track/")[1].split("?")[0]
+    return "words", text
+
+
+def not_cached(wanted: DataFrame, cache: DataFrame, key: str, at: str, now: str, ttl: str) -> DataFrame:
+    """Keys without a fresh cache row."""
+    fresh = cache.where(F.col(at) > F.expr(f"timestamp'{now}' - interval '{ttl}'"))
+    return wanted.join(fresh.select(key), key, "left_anti")
+
+
+def missing_text(rows: DataFrame, column: str) -> DataFrame:
+    return rows.where(F.coalesce(F.btrim(F.col(column)), F.lit("")) == "")
+
+
+def best_alternative(rows: DataFrame, exclude: Column, score: str, position: str) -> DataFrame:
+    """The best other row with a score over 0, the first of equals."""
+    return rows.where(~exclude & (F.col(score) > 0)).orderBy(F.desc(score), position).limit(1)

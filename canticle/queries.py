@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from canticle.functions import fixed
 from canticle.functions import scoring as S
 from canticle.functions import text as T
-from canticle.operators import merge, ranking, reports, resolve, search, timeline
+from canticle.operators import merge, ranking, reports, resolve, search, signals, timeline
 from canticle.plans.cut import written
 from canticle.sources.readers import table
 from canticle.streaming import detectors
@@ -667,6 +667,65 @@ def pitch_classes(spark, sf_dir):
     return found.select("song_id", *[F.round(F.col("bins")[k], 4).alias(f"p{k}") for k in range(12)], "bass")
 
 
+# Signals and list steps.
+
+
+@query("SELECT user_id, event_type, round(sqrt(avg(pow(value / 255, 2))), 6) AS rms FROM events GROUP BY 1, 2")
+def rms_levels(spark, sf_dir):
+    found = signals.rms_levels(table(spark, sf_dir, "events"), ["user_id", "event_type"], "value")
+    return found.select("user_id", "event_type", F.round("rms", 6).alias("rms"))
+
+
+@query("""WITH p AS (SELECT l_suppkey, l_quantity * 5 AS r, l_linenumber * 30 AS g, l_partkey % 256 AS b, l_orderkey % 256 AS a FROM lineitem), f AS (SELECT * FROM p WHERE a >= 128 AND (r + g + b) / 3 BETWEEN 20 AND 235)
+SELECT l_suppkey, CAST(floor(avg(r) + 0.5) AS BIGINT) AS r, CAST(floor(avg(g) + 0.5) AS BIGINT) AS g, CAST(floor(avg(b) + 0.5) AS BIGINT) AS b FROM (SELECT DISTINCT l_suppkey FROM lineitem) LEFT JOIN f USING (l_suppkey) GROUP BY 1""")
+def mean_colours(spark, sf_dir):
+    pixels = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_quantity") * 5).alias("r"), (F.col("l_linenumber") * 30).alias("g"), (F.col("l_partkey") % 256).alias("b"), (F.col("l_orderkey") % 256).alias("a"))
+    return signals.mean_colour(pixels, ["l_suppkey"])
+
+
+@query("""WITH m AS (SELECT user_id, coalesce(max(value / 400) FILTER (event_type = 'view'), 0) AS si, coalesce(max(value / 400) FILTER (event_type = 'click'), 0) AS sp, coalesce(max(value / 400) FILTER (event_type IN ('error', 'signup')), 0) AS mu,
+coalesce(max(value / 400) FILTER (event_type = 'purchase'), 0) AS i, coalesce(max(value / 400) FILTER (event_type = 'signup'), 0) AS pr FROM events WHERE event_id % 4 = 0 GROUP BY 1)
+SELECT user_id, CASE WHEN si >= 0.5 THEN 'allow' WHEN mu > 0.3 AND greatest(si, sp) > 0.15 THEN 'allow' WHEN sp >= 0.5 THEN 'allow' WHEN pr > 0.25 AND greatest(si, sp) < 0.2 THEN 'reject'
+WHEN i >= 0.5 AND greatest(si, sp) < 0.15 THEN 'reject' WHEN mu >= 0.4 AND greatest(si, sp) < 0.1 THEN 'reject' ELSE 'defer' END AS decision FROM m""")
+def class_decisions(spark, sf_dir):
+    scores = table(spark, sf_dir, "events").where("event_id % 4 = 0").select("user_id", F.col("event_type").alias("category"), (F.col("value") / 400).alias("score"))
+    sets = {"singing": ["view"], "speech": ["click"], "music": ["error", "signup"], "instrument": ["purchase"], "priority": ["signup"]}
+    return signals.class_decision(scores, "user_id", sets)
+
+
+@query("SELECT o_custkey, count(*) AS n_total, count(*) FILTER (o_orderstatus = 'F') AS n_matched, round(count(*) FILTER (o_orderstatus = 'F') * 100.0 / count(*), 6) AS coverage FROM orders GROUP BY 1")
+def order_coverage(spark, sf_dir):
+    found = signals.coverage(table(spark, sf_dir, "orders"), "o_custkey", F.col("o_orderstatus") == "F")
+    return found.withColumn("coverage", F.round("coverage", 6))
+
+
+@query("""SELECT o_custkey AS song_id, o_orderkey AS note, CAST(floor(o_totalprice / 50000) AS BIGINT) AS bar FROM orders WHERE o_totalprice < 500000""")
+def notes_by_bar(spark, sf_dir):
+    notes = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("song_id"), F.col("o_orderkey").alias("note"), F.col("o_totalprice").alias("tick"))
+    bars = notes.select("song_id").distinct().select("song_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("b")).select("song_id", (F.col("b") * 50_000).alias("start"), F.lit(50_000).alias("ticks"), F.lit(4).alias("beats"))
+    found = signals.notes_in_windows(notes, signals.bar_windows(bars))
+    return found.select("song_id", "note", F.floor(F.col("start_tick") / 50_000).alias("bar"))
+
+
+@query("SELECT user_id FROM (SELECT DISTINCT user_id FROM events) WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND ts > TIMESTAMP '2024-01-25 00:00:00' - INTERVAL 3 DAY)")
+def not_cached(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return ranking.not_cached(e.select("user_id").distinct(), e.where("event_type = 'signup'").select("user_id", "ts"), "user_id", "ts", NOW, "3 days")
+
+
+@query("SELECT doc_id FROM documents WHERE coalesce(trim(CASE WHEN doc_id % 5 = 0 THEN '  ' WHEN doc_id % 7 = 0 THEN NULL ELSE source END), '') = ''")
+def missing_sources(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, "  ").when(F.col("doc_id") % 7 == 0, None).otherwise(F.col("source")).alias("album"))
+    return ranking.missing_text(docs, "album").select("doc_id")
+
+
+@query()
+def greedy_distinct(spark, sf_dir):
+    """A fold over each brand's ranked parts; held against a loop in the tests."""
+    part = table(spark, sf_dir, "part").select("p_brand", (-F.col("p_retailprice")).alias("rank"), "p_partkey", "p_name", "p_size")
+    return ranking.greedy_distinct(part, "p_brand", ["rank", "p_partkey"], ("p_name", "p_size")).select("p_brand", "position", "p_partkey")
+
+
 # Detectors, replayed over users' events: a custom fold has no SQL; tests hold it against a plain loop.
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from canticle.operators import align, merge, ranking, reports, resolve, search, timeline
+from canticle.operators import align, merge, ranking, reports, resolve, search, signals, timeline
 
 
 def rows_of(df, *cols):
@@ -168,3 +168,73 @@ def test_edits(spark):
     assert rows_of(timeline.edited(lines, edits, ["song_id", "line_idx"]), "line_idx", "text") == [(1, "b"), (2, "C")]
     found = timeline.nearest_line(spark.createDataFrame([(1, "b c d")], "song_id long, q string"), spark.createDataFrame([(1, 0, "x"), (1, 1, "b c")], lines.schema), "song_id", "q", "text")
     assert rows_of(found, "line_idx") == [(1,)]
+
+
+def test_recovered_lines(spark):
+    words = spark.createDataFrame([(1, line, k, w) for line, text in enumerate(["first line here", "lost words again now", "last one"]) for k, w in enumerate(text.split())], "song_id long, line_idx int, word_idx int, word string")
+    sung = spark.createDataFrame([(1, 100 * k, w) for k, w in enumerate("lost words noise again now first line here last one".split())], "song_id long, start_ms long, piece string")
+    found = align.aligned(words, sung)
+    assert {r.line_idx for r in found.collect()} == {0, 2}
+    assert rows_of(align.recovered(words, sung, found), "line_idx", "word_idx", "start_ms") == [(1, 0, 0), (1, 1, 100), (1, 2, 300), (1, 3, 400)]
+
+
+def test_greedy_distinct_is_a_loop(spark):
+    rng = random.Random(6)
+    rows = [(g, k, rng.randint(0, 5), rng.randint(0, 5)) for g in "ab" for k in range(20)]
+    got = rows_of(ranking.greedy_distinct(spark.createDataFrame(rows, "g string, k int, x int, y int"), "g", ["k"], ("x", "y")), "g", "k")
+    want = []
+    for g in "ab":
+        xs, ys = set(), set()
+        for _, k, x, y in (r for r in rows if r[0] == g):
+            if x not in xs and y not in ys:
+                xs.add(x)
+                ys.add(y)
+                want.append((g, k))
+    assert got == want
+
+
+def test_search_kinds():
+    assert [ranking.search_kind(t)[0] for t in (" 12 ", "spotify:track:abc", "https://open.spotify.com/track/abc?x", "abc 12")] == ["id", "service_id", "service_id", "words"]
+
+
+def test_fan_out(spark):
+    canon = spark.createDataFrame([("q", 0), ("q", 1), ("r", 0)], "query string, position int")
+    found = spark.createDataFrame([("q", 1, "t", 5), ("q", 0, "t", 4), ("q", 1, "u", 6)], "query string, position int, title string, id int")
+    direct = spark.createDataFrame([("q", 0, "z", 9), ("r", 0, "w", 8)], found.schema)
+    assert rows_of(ranking.fanned_out(canon, found, direct, "query", ["title"]), "query", "id") == [("q", 4), ("q", 6), ("r", 8)]
+
+
+def test_track_choice(spark):
+    notes = spark.createDataFrame([(1, t, 480 * k, p) for t, n in ((0, 1), (1, 3)) for k in range(8) for p in range(n)], "song_id long, track int, tick int, pitch int")
+    beats = spark.createDataFrame([(1, 960 * k) for k in range(4)], "song_id long, beat int")
+    got = {r.track: (r.points, r.chords) for r in signals.track_scores(notes, beats, ["song_id", "track"], "song_id").collect()}
+    assert got == {0: (-2, 0), 1: (2, 8)}
+    tracks = spark.createDataFrame([(1, 0, "Drums", True, 9), (1, 1, "Piano", False, 9), (1, 2, "Lead Guitar", False, 2), (2, 0, "Piano", False, 0)], "song_id long, track int, track_name string, percussion boolean, chords int")
+    assert rows_of(signals.best_track(tracks, "song_id"), "song_id", "track") == [(1, 2)]
+    bars = spark.createDataFrame([(1, 0, 1920, 4)], "song_id long, start int, ticks int, beats int")
+    assert rows_of(signals.bar_windows(bars, per_beat=True), "start_tick") == [(0.0,), (480.0,), (960.0,), (1440.0,)]
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    from canticle.sources import readers, sinks
+
+    docs = spark.createDataFrame([(1, '{"title": "t", "lines": [{"text": "a b", "chords": [{"name": "C", "at": 2}]}, {"text": "c", "chords": []}]}'), (2, "not json")], "id long, doc string")
+    assert sorted((r.song_id, r.line_idx, r.chord) for r in readers.chord_documents(docs, "id", "doc").where("chord is not null").collect()) == [(1, 0, "C")]
+    line = readers.bracket_chords(spark.createDataFrame([("[Am]one [F]two",)], "raw string")).first()
+    assert line.text == "one two" and [(c.chord, c.char_offset) for c in line.chords] == [("Am", 0), ("F", 4)]
+    with pytest.raises(ValueError):
+        sinks.guard("/data/source", "out", [])
+    with pytest.raises(ValueError):
+        sinks.guard("file:///data/out", "out", ["/data/out"])
+    rows = spark.createDataFrame([(1, "x" * 600), (1, "y"), (2, "z")], "k long, detail string")
+    sinks.by_key(rows, f"file://{tmp_path}/out", ["k"])
+    assert spark.read.parquet(f"file://{tmp_path}/out").count() == 2
+    sinks.appended(rows, f"file://{tmp_path}/log")
+    assert spark.read.parquet(f"file://{tmp_path}/log").selectExpr("max(length(detail))").first()[0] == 500
+    assert sinks.statistics(rows.selectExpr("count(*) n"), f"{tmp_path}/stats.json") == {"n": 3}
+    assert readers.sampled(rows, 2, "detail").count() == 2
+    score = f"{tmp_path}/score.xml"
+    with open(score, "w") as out:
+        out.write('<score><part><measure number="1"><note><pitch><step>C</step></pitch><duration>2</duration><lyric><text>la</text></lyric></note><note><pitch><step>D</step></pitch><duration>3</duration></note></measure><measure number="2"><note><pitch><step>E</step></pitch><duration>1</duration></note><note><pitch><step>F</step></pitch><duration>1</duration></note></measure></part></score>')
+    notes = readers.musicxml_notes(spark, score).orderBy("position").collect()
+    assert [(n.measure, n.position, n.step) for n in notes] == [(1, 0, "C"), (1, 2, "D"), (2, 5, "E"), (2, 6, "F")]
