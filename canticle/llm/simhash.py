@@ -128,8 +128,9 @@ def forest(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray,
         same = group[shift:] == group[:-shift]
         if not same.any():
             break
-        for i in np.array_split(hits, max(1, len(hits) >> 16)) if len(hits := lanes_within(planes, pack_lanes(same, planes.shape[1]), shift, radius)) else []:
-            hook(root, lanes[i], lanes[i + shift])
+        hits = lanes_within(planes, pack_lanes(same, planes.shape[1]), shift, radius)
+        if len(hits):
+            hook(root, lanes[hits], lanes[hits + shift])
         shift += 1
         if shift % 16 == 0 or shift < 4:  # keep the lanes of groups that are larger than the shift
             _, first, size = np.unique(group, return_index=True, return_counts=True)
