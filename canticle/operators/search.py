@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canticle.functions import stem
 from canticle.functions import text as T
 
 TOKEN = r"[^\p{L}\p{N}]+"
@@ -22,6 +23,18 @@ def postings(docs: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     return out
 
 
+def stemmed_postings(index: DataFrame) -> DataFrame:
+    """Postings by word stems; query words must be stemmed too (:func:`canticle.functions.stem.stem`), all but a last prefix."""
+    return index.withColumn("token", stem.stemmed(F.col("token")))
+
+
+def stemmed_search(index: DataFrame, text: str) -> DataFrame:
+    """Ids whose stemmed postings hold the stem of every word of ``text``, the last one also as a prefix."""
+    words = query_tokens(text)
+    stems = [stem.stem(w) for w in words]
+    return prefix_search(index, " ".join(stems)) if stems else index.select("id").limit(0)
+
+
 def query_tokens(text: str) -> list[str]:
     import re
 

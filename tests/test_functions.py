@@ -115,3 +115,12 @@ def test_scores(spark):
     tries = spark.createDataFrame([("high", 100, 60), ("low", 100, 30), ("medium", 500, 50), ("low", 2000, 90)], "c string, s int, want int")
     for r in tries.select("want", S.duration_tolerance(F.col("c"), F.col("s")).alias("got")).collect():
         assert r.got == r.want
+
+
+def test_stems():
+    from canticle.functions.stem import stem
+
+    cases = "caresses caress ponies poni cats cat feed feed agreed agre bled bled motoring motor sing sing sized size hopping hop falling fall filing file happy happi sky sky relational relat rational ration digitizer digit vietnamization vietnam hopefulness hope sensibiliti sensibl formative form electrical electr goodness good adjustable adjust replacement replac adoption adopt effective effect rate rate cease ceas controll control roll roll"
+    words = cases.split()
+    assert [stem(w) for w in words[::2]] == words[1::2]
+    assert stem("été") == "été" and stem("is") == "is"

@@ -77,6 +77,7 @@ def test_search(spark):
     assert rows_of(search.prefix_search(index, "hello"), "id") == [(1,), (2,), (3,)]
     assert rows_of(search.prefix_search(index, "hello wor"), "id") == [(1,), (2,)]
     assert rows_of(search.prefix_search(index, "  "), "id") == []
+    assert rows_of(search.stemmed_search(search.stemmed_postings(index), "worlds"), "id") == [(1,), (2,)]
     assert rows_of(search.phrase_search(index, {"title": "hello world"}), "id") == [(1,)]
     assert rows_of(search.phrase_search(index, {"title": "hello", "artist": "bob"}), "id") == [(2,)]
     assert [r.id for r in search.bm25(index, "helloween ann").orderBy(F.desc("score")).collect()][0] == 3
