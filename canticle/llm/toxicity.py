@@ -102,10 +102,12 @@ def share(text: Column, pattern: str) -> Column:
 
 
 def _terms(length: int) -> Column:
-    """Distinct (length, term) of the words ``w``: their first ``length`` letters, or at 0 the words themselves."""
+    """Distinct ``length:term`` of the words ``w``: their first ``length`` letters, or at 0 the words themselves.
+
+    Terms are strings, of which Spark finds the distinct ones by hashing (structs would be compared pair by pair).
+    """
     long_enough = F.filter("w", lambda x: F.char_length(x) >= length)
-    cut = F.transform(long_enough, lambda x: F.struct(F.lit(length).alias("n"), (F.substring(x, 1, length) if length else x).alias("t")))
-    return F.array_distinct(cut)
+    return F.array_distinct(F.transform(long_enough, lambda x: F.concat(F.lit(f"{length}:"), F.substring(x, 1, length) if length else x)))
 
 
 def mined(train: DataFrame) -> tuple[list[str], list[str]]:
@@ -117,7 +119,8 @@ def mined(train: DataFrame) -> tuple[list[str], list[str]]:
     odds = F.log(a / (sizes.get(1, 0) + 1) / (b / (sizes.get(0, 0) + 1)))
     scored = terms.groupBy("term").agg((odds / F.sqrt(1 / a + 1 / b)).alias("z"), odds.alias("odds"))
     best = scored.where((F.col("z") >= LEAST_Z) & (F.col("odds") > 1.5)).orderBy(F.desc("z"), "term").limit(MINED).collect()
-    return [r["term"]["t"] for r in best if not r["term"]["n"]], [r["term"]["t"] for r in best if r["term"]["n"]]
+    terms = [r["term"].split(":", 1) for r in best]
+    return [t for n, t in terms if n == "0"], [t for n, t in terms if n != "0"]
 
 
 def labelled(docs: DataFrame, labels: DataFrame, train_limit: int) -> DataFrame:
