@@ -420,7 +420,7 @@ CAT_SQL = """cat AS (SELECT p_partkey AS track_id, p_name AS title_norm, lower(p
 
 
 def part_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_partkey % 2 = 0")
+    p = table(spark, sf_dir, "part")
     key = F.col("p_partkey")
     kinds = F.get(F.array(*[F.lit(k) for k in ("Album", "Single", "Compilation", "Other")]), (key % 4).cast("int"))
     return p.select(
@@ -446,7 +446,8 @@ m AS (SELECT *, row_number() OVER (PARTITION BY title_norm, artist_norm ORDER BY
 SELECT title_norm, artist_norm, id, track_id, CAST(score AS INT) AS score FROM m WHERE n = 1""")
 def exact_matches(spark, sf_dir):
     songs = written(plain_songs(spark, sf_dir), "songs")
-    pairs = resolve.scored_pairs(resolve.exact_pairs(songs, part_catalog(spark, sf_dir)), "exact")
+    catalog = part_catalog(spark, sf_dir).where("track_id % 2 = 0")  # as in CAT_SQL
+    pairs = resolve.scored_pairs(resolve.exact_pairs(songs, catalog), "exact")
     return resolve.best_match(pairs).select("title_norm", "artist_norm", "id", F.col("c_track_id").alias("track_id"), "score")
 
 
