@@ -1,9 +1,9 @@
 """Byte-level BPE by overlapping chunks.
 
-Texts up to ``chunk`` characters are encoded whole. Longer ones are cut into overlapping chunks that are
-pre-tokenised in parallel: each chunk scans from its own start, and over the overlap also as its successor will.
-The first boundary on which both scans agree, and which no text before it can move, is where the two
-resynchronise. The text between such places is a piece; pieces are encoded in parallel and their ids joined in order.
+Texts up to ``chunk`` characters are encoded whole. Longer ones are cut into overlapping chunks. Only the seam of two
+chunks is scanned for cuts: once from ``OVERLAP`` characters before the successor's start, once from that start, both to
+near the end of the overlap. The first scan may begin inside a pre-token, so agreement of the two is a good sign only; what makes a cut
+exact is :func:`fixed`: the first boundary on which both agree is taken only where no text before it can move it. The text between such places is a piece; pieces are encoded in parallel and their ids joined in order.
 A chunk without such a place (one pre-token longer than the overlap) hands its text on to the next one.
 Decoding concatenates the raw bytes of the ids.
 
@@ -72,7 +72,7 @@ def fixed(text: str, at: int) -> bool:
 
 
 def resync(scan: regex.Pattern, text: str, ahead: int) -> int | None:
-    """First place from ``ahead`` on where the scan from the chunk's start and one from ``ahead`` agree for good."""
+    """First place after ``ahead`` where a scan from ``OVERLAP`` before it and one from ``ahead`` agree and no text before can move it."""
     stop = len(text) - EDGE
     own = boundaries(scan, text, max(0, ahead - OVERLAP), stop)
     for at in sorted(own & boundaries(scan, text, ahead, stop)):
