@@ -703,7 +703,8 @@ def order_coverage(spark, sf_dir):
 @query("""SELECT o_custkey AS song_id, o_orderkey AS note, CAST(floor(o_totalprice / 50000) AS BIGINT) AS bar FROM orders WHERE o_totalprice < 500000""")
 def notes_by_bar(spark, sf_dir):
     notes = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("song_id"), F.col("o_orderkey").alias("note"), F.col("o_totalprice").alias("tick"))
-    bars = notes.select("song_id").distinct().select("song_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("b")).select("song_id", (F.col("b") * 50_000).alias("start"), F.lit(50_000).alias("ticks"), F.lit(4).alias("beats"))
+    last = notes.groupBy("song_id").agg(F.floor(F.max("tick") / 50_000).cast("int").alias("last"))
+    bars = last.select("song_id", F.explode(F.sequence(F.lit(0), "last")).alias("b")).select("song_id", (F.col("b") * 50_000).alias("start"), F.lit(50_000).alias("ticks"), F.lit(4).alias("beats"))
     found = signals.notes_in_windows(notes, signals.bar_windows(bars))
     return found.select("song_id", "note", F.floor(F.col("start_tick") / 50_000).alias("bar"))
 
