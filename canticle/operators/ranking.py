@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from canticle.functions import fixed
 from canticle.functions import text as T
@@ -65,9 +69,17 @@ def recent(rows: DataFrame, user: str, item: str, at: str, most: int = 20) -> Da
     return last.withColumn("nth", F.row_number().over(Window.partitionBy(user).orderBy(F.desc(at), item))).where(F.col("nth") <= most)
 
 
-def upper_median(values: Column) -> Column:
-    """Element n div 2 of the sorted values."""
-    return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))
+def medians(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, upper_median, true_median): element n div 2 of the sorted values, and the mean of the middle ones.
+
+    Counts of each value and their running sum; no group's values come together in one row.
+    """
+    counted = rows.groupBy(group, value).agg(F.count(value).alias("n"))
+    every = Window.partitionBy(group)
+    placed = counted.withColumn("_upto", F.sum("n").over(every.orderBy(value))).withColumn("_all", F.sum("n").over(every))
+    at = lambda k: F.min(F.when(F.col("_upto") > F.floor(k), F.col(value)))
+    found = placed.groupBy(group).agg(at(F.col("_all") / 2).alias("upper_median"), at((F.col("_all") - 1) / 2).alias("_lower"))
+    return found.select(group, "upper_median", ((F.col("upper_median") + F.col("_lower")) / 2).alias("true_median"))
 
 
 def text_direction(lines: Column, samples: int = 10) -> Column:
@@ -86,15 +98,37 @@ def nested(parents: DataFrame, children: DataFrame, key: str, fields: list[str],
 def greedy_distinct(rows: DataFrame, group: str, order: list[str], keys: tuple[str, str], most: int = 10) -> DataFrame:
     """Rows of each ranked list whose first and second key are both new, ``most`` at most (the list's length is the feature).
 
-    A list is one query's bounded result, so it is folded as an array.
+    Of rows with the same two keys only the first can be taken. The rest is folded in order, batch by batch, and the fold
+    holds the keys of the rows taken so far. A null key equals none.
     """
-    cols = [c for c in rows.columns if c != group]
-    ranked = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in cols if c not in order]))).alias("_l"))
-    taken = lambda acc, x: F.exists(acc, lambda y: (y[keys[0]] == x[keys[0]]) | (y[keys[1]] == x[keys[1]]))
-    empty = F.filter("_l", lambda x: F.lit(False))
-    kept = F.aggregate("_l", empty, lambda acc, x: F.when(taken(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
-    out = ranked.select(group, F.posexplode(F.slice(kept, 1, most)).alias("position", "_x"))
-    return out.select(group, "position", "_x.*")
+    cols = [*order, *[c for c in rows.columns if c != group and c not in order]]
+    blank = F.col(keys[0]).isNull() & F.col(keys[1]).isNull()
+    first = rows.where(~blank).groupBy(group, *[F.col(k).alias(f"_{n}") for n, k in enumerate(keys)]).agg(F.min(F.struct(*cols)).alias("_x")).select(group, "_x.*")
+    listed = first.union(rows.where(blank).select(group, *cols))
+    plain = lambda v: "NaN" if v != v else v
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen, n = object(), (set(), set()), 0
+        for batch in batches:
+            kept, places = [], []
+            for k, (of, *pair) in enumerate(zip(*[batch.column(c).to_pylist() for c in (group, *keys)], strict=True)):
+                if of != now:
+                    now, seen, n = of, (set(), set()), 0
+                pair = [plain(v) for v in pair]
+                if n == most or any(v in s for v, s in zip(pair, seen, strict=True)):
+                    continue
+                for v, s in zip(pair, seen, strict=True):
+                    if v is not None:
+                        s.add(v)
+                kept.append(k)
+                places.append(n)
+                n += 1
+            out = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([out.column(0), pa.array(places, pa.int32()), *out.columns[1:]], names=[group, "position", *cols])
+
+    fields = list(listed.schema.fields)
+    schema = StructType([fields[0], StructField("position", IntegerType()), *fields[1:]])
+    return listed.repartition(group).sortWithinPartitions(group, *cols).mapInArrow(run, schema)
 
 
 def fanned_out(canon: DataFrame, found: DataFrame, direct: DataFrame, query: str, keys: list[str]) -> DataFrame:

@@ -211,8 +211,8 @@ def duration_bucket_topk(spark, sf_dir):
 
 @query("""SELECT p_brand, list_sort(list(p_size))[len(list(p_size)) // 2 + 1] AS upper_median, floor(median(p_size) + 0.5) AS true_median FROM part GROUP BY 1""")
 def medians(spark, sf_dir):
-    grouped = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_list("p_size").alias("s"), F.median("p_size").alias("m"))
-    return grouped.select("p_brand", ranking.upper_median(F.col("s")).alias("upper_median"), T.js_round(F.col("m")).cast("double").alias("true_median"))
+    found = ranking.medians(table(spark, sf_dir, "part"), "p_brand", "p_size")
+    return found.select("p_brand", "upper_median", T.js_round(F.col("true_median")).cast("double").alias("true_median"))
 
 
 @query("""SELECT CASE WHEN l_quantity < 10 THEN 'under 10' WHEN l_quantity < 20 THEN '10 to 19' WHEN l_quantity < 40 THEN '20 to 39' ELSE '40 and over' END AS bucket, count(*) AS n FROM lineitem GROUP BY 1""")

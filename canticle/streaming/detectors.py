@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import asdict, astuple, dataclass, fields
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -124,12 +125,22 @@ def _samples(rows: DataFrame, key: str, at: str, level: str, speech: str | None)
 
 
 def replayed(rows: DataFrame, machine: type, key: str = "key", at: str = "at_ms", level: str = "level", speech: str | None = None, **config) -> DataFrame:
-    """A detector over a batch: a row a sample."""
+    """A detector over a batch: a row a sample. A key's rows stream by in order; only the detector's state is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept = object(), None
+        for batch in batches:
+            fired, states = [], []
+            samples = [batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in (1, 2, 3)]
+            for of, *sample in zip(batch.column(0).to_pylist(), *samples, strict=True):
+                if of != now:
+                    now, kept = of, machine()
+                fired.append(bool(kept.step(*sample, **config)))
+                states.append(str(asdict(kept)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fired, pa.bool_()), pa.array(states, pa.string())], names=["key", "at_ms", "fired", "state"])
 
-    def one(k: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return folded(k[0], group, machine(), **config)
-
-    return _samples(rows, key, at, level, speech).groupBy("key").applyInPandas(one, OUT)
+    samples = _samples(rows, key, at, level, speech)
+    return samples.repartition("key").sortWithinPartitions("key", F.asc_nulls_last("at_ms"), "level", "speech").mapInArrow(run, OUT)
 
 
 def streamed(rows: DataFrame, machine: type, key: str = "key", at: str = "at_ms", level: str = "level", speech: str | None = None, **config) -> DataFrame:
