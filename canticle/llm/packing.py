@@ -2,18 +2,30 @@
 
 Documents become token ids in Arrow batches; longer ones than ``capacity`` are cut. The only thing the plan needs
 is how many pieces have each length: a histogram of at most ``capacity`` rows. On it the driver solves the
-configuration program (how often to use each multiset of lengths that fits a sequence) by multiplicative
-weights: dual weights on lengths, an unbounded knapsack as pricing, weights shrinking as lengths get covered. The
-solution is rounded down, and best fit places the rest, many equal pieces at a time. Pieces then find their place by
-their rank within their length: ranks are counted in salted parts, so a length that a third of all pieces share
-is not one task.
+configuration program (how often to use each multiset of lengths that fits a sequence) and rounds it:
+
+1. Every length has a weight; a configuration is used in proportion to the product of its lengths' weights, less for
+   the room that it leaves. A knapsack dynamic program over the free room prices *all* configurations at once
+   (:func:`expected_uses`): it gives the mean number of pieces of each length in a sequence. Weights are multiplied by demand
+   over coverage until these averaged configurations cover every length to ``COVER``.
+2. The logarithms of the weights are dual prices; a knapsack with them bounds the optimum from below
+   (:func:`least_sequences`). Multiplying ends once the averaged program is within ``GAP`` of the bound, or after ``STEPS``.
+3. Rounding: configurations are drawn from the program (``DRAWN`` at most, each used equally often) and taken as far as
+   pieces are left; the program is solved again for the rest, until drawing places few. Best fit places what
+   remains, many equal pieces at a time. Work and memory of the driver depend on ``capacity``, not on the number of pieces.
+
+Pieces then find their place by their rank within their length. Ranks are counted in parts of about ``PART_ROWS`` rows, so a
+length that a third of all pieces share is not one task.
+
+Tokens follow the vocabulary file's notes: strings of special tokens in a text are ordinary text (``encode_special_tokens``).
 
 Defined results: a null or empty text is the single end id. Null and repeated ids keep their rows. Empty tables
-give empty results.
+give empty results. Of extra columns, :func:`packed` keeps all, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from bisect import bisect_left, insort
@@ -27,14 +39,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canticle.plans.cut import written
+from canticle.plans.names import unused
 
 CAPACITY = 4096
 END_ID = 1
-SALTS = 32
-
-#: Characters whose normal form is themselves in lower case, with which a word needs no normalizer.
+#: Rows of one part of a length, and the most parts beyond one for each length.
+PART_ROWS, PARTS_MOST = 50_000, 200_000
+#: The program: coverage in which weights settle, gap to the dual bound, steps of weights, and configurations drawn at a time.
+COVER, GAP, STEPS, DRAWN = 0.02, 0.005, 60, 20_000
+
+#: What a vocabulary must say of itself for words to be tokenized one by one; by any other, texts are tokenized whole.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Characters that this normalizer only lowers, and its pre-tokenizer over them in lower case.
 PLAIN = re.compile("[!-~À-ÖØ-öø-įıĴ-ňŊ-ž]+")
-#: The pre-tokenizer of the vocabulary over such characters in lower case.
 PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ž]+|[0-9]|[^a-z0-9À-ž]+")
 
 
@@ -48,8 +74,8 @@ def byte_letters() -> list[str]:
 class WordIds(dict):
     """White-space-separated word to the bytes of its ids (little-endian, 32 bits), by the tokenizers library.
 
-    No token of this vocabulary spans white space, so a text's ids are those of its words. A worker keeps one for all its
-    tasks, and starts it anew at ``most`` entries.
+    No token of a vocabulary that says ``BY_WORDS`` spans white space, so a text's ids are those of its words. A worker keeps
+    one for all its tasks, and starts it anew at ``most`` entries.
     """
 
     most = 600_000
@@ -66,8 +92,17 @@ class WordIds(dict):
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        self.by_words = all(told[k] == v for k, v in BY_WORDS.items())
         self.letters, self.parts, self.tokenize = byte_letters(), {}, self.whole.model.tokenize
 
+    def of_text(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, text.encode().split())) if self.by_words else self.encoded(text)
+
+    def encoded(self, text: str) -> bytes:
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.most:
             self.clear()
@@ -78,7 +113,7 @@ class WordIds(dict):
         elif PLAIN.fullmatch(text := word.decode()):
             found = b"".join(map(self.part, PARTS.findall(text.lower())))
         else:
-            found = array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+            found = self.encoded(text)
         self[word] = found
         return found
 
@@ -103,7 +138,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             out: list[tuple] = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = b"".join(map(ids_of.__getitem__, (text.as_py() or "").encode().split())) + end
+                ids = ids_of.of_text(text.as_py() or "") + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((key, piece, at // 4, len(part) // 4, part))
@@ -114,86 +149,126 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return slim.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
-def priced(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unbounded knapsack: the best value at every size up to ``capacity``, and the length taken there (0: none).
-
-    ``value`` has one entry per length from 0 on; absent lengths have value 0.
-    """
-    lengths = np.flatnonzero(value)
-    worth = value[lengths]
-    best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+def most_worth(price: np.ndarray, capacity: int) -> float:
+    """Knapsack: the most that a sequence can hold. ``price`` has one entry per length from 0 on; absent lengths have 0."""
+    lengths = np.flatnonzero(price)
+    worth, best = price[lengths], np.zeros(capacity + 1)
+    ends = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for size in range(1, capacity + 1):
-        fit = np.searchsorted(lengths, size, "right")
         best[size] = best[size - 1]
-        if fit:
-            with_one = best[size - lengths[:fit]] + worth[:fit]
-            k = int(with_one.argmax())
-            if with_one[k] > best[size]:
-                best[size], took[size] = with_one[k], lengths[k]
-    return best, took
-
-
-def taken(took: np.ndarray, size: int) -> Counter:
-    """The configuration behind ``priced`` at ``size``."""
-    found: Counter = Counter()
-    while size > 0:
-        if took[size]:
-            found[int(took[size])] += 1
-            size -= int(took[size])
-        else:
-            size -= 1
-    return found
+        if ends[size]:
+            best[size] = max(best[size], (best[size - lengths[: ends[size]]] + worth[: ends[size]]).max())
+    return float(best[capacity])
 
 
-def configurations(counts: dict[int, int], capacity: int, rounds: int = 40, columns: int = 48, rate: float = 0.25) -> dict[tuple, float]:
-    """Fractional uses of configurations that cover ``counts``, by multiplicative weights.
+def least_sequences(lengths: np.ndarray, need: np.ndarray, price: np.ndarray, capacity: int) -> float:
+    """Dual bound: no packing has fewer sequences than what all pieces are worth over the most that one can hold."""
+    value = np.zeros(capacity + 1)
+    value[lengths] = price
+    return float(need @ price) / most_worth(value, capacity)
 
-    Each round prices configurations under the current weights and takes up to ``columns`` that are within
-    ``rate`` of the best, each as often as its scarcest length allows, times ``rate``; the weight of a length falls
-    exponentially as it gets covered, and covered lengths drop out.
+
+def level(weight: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """``weight * g ** lengths`` with the ``g`` that makes their sum 1, so that sums over configurations stay in range."""
+    low, high = -50.0, 50.0
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (low, mid) if (weight * np.exp(np.clip(mid * lengths, -700, 700))).sum() > 1 else (mid, high)
+    return weight * np.exp(np.clip(low * lengths, -700, 700))
+
+
+def expected_uses(weight: np.ndarray, lengths: np.ndarray, room: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean pieces of each length in a sequence, and the weight of all ways to fill each free room.
+
+    ``filled[s]`` sums, over all orders of lengths that take ``s`` tokens, the product of their weights; ``room[s]`` is the factor
+    for leaving ``s`` tokens free.
     """
-    need = np.zeros(capacity + 1)
-    for length, n in counts.items():
-        need[length] = n
-    covered = np.zeros(capacity + 1)
-    uses: dict[tuple, float] = defaultdict(float)
-    for _ in range(rounds):
-        open_ = (need > 0) & (covered < need)
-        if not open_.any():
+    back, filled = np.zeros(capacity + 1), np.zeros(capacity + 1)
+    back[capacity - lengths] = weight
+    filled[0] = 1.0
+    for size in range(1, capacity + 1):
+        filled[size] = back[capacity - size : capacity] @ filled[:size]
+    ways = np.convolve(filled, room)[: capacity + 1]
+    return weight * np.convolve(filled, ways)[capacity - lengths] / ways[capacity], ways
+
+
+def solved(lengths: np.ndarray, need: np.ndarray, weight: np.ndarray, room: np.ndarray, capacity: int, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Weights under which averaged configurations cover ``need``; the ways to fill each room; sequences; the dual bound."""
+    tokens = float(lengths @ need)
+    bound = max(tokens / capacity, least_sequences(lengths, need, lengths.astype(float), capacity))
+    for step in range(steps):
+        weight = level(weight, lengths)
+        each, ways = expected_uses(weight, lengths, room, capacity)
+        times = tokens / float(lengths @ each)
+        if float(lengths @ np.abs(times * each - need)) <= COVER * tokens:
+            price = np.maximum(0.0, lengths - np.log(np.maximum(weight, 1e-300)) / np.log(room[1]))
+            bound = max(bound, least_sequences(lengths, need, price, capacity)) if step % 8 == 0 else bound
+            if times <= (1 + GAP) * bound:
+                break
+        weight = weight * np.clip(np.divide(need, times * each, out=np.full(len(need), 100.0), where=each > 0), 0.01, 100.0) ** 0.5
+    return weight, ways, times, bound
+
+
+def drawn(weight: np.ndarray, lengths: np.ndarray, ways: np.ndarray, room: np.ndarray, capacity: int, n: int, rng: np.random.Generator) -> list[np.ndarray]:
+    """``n`` configurations, each drawn in proportion to its use: free room after free room, all sequences with one room together."""
+    dense = np.zeros(capacity + 1)
+    dense[lengths] = weight
+    at: dict[int, list[np.ndarray]] = {capacity: [np.arange(n)]}
+    owners, taken = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for size in range(capacity, 0, -1):
+        if size not in at:
+            continue
+        own = np.concatenate(at.pop(size))
+        upto = np.cumsum(dense[1 : size + 1] * ways[size - 1 :: -1])
+        length = np.searchsorted(upto, rng.random(len(own)) * (upto[-1] + room[size]), "right") + 1
+        own, length = own[length <= size], length[length <= size]  # beyond: the room stays free
+        owners.append(own)
+        taken.append(length)
+        order = np.argsort(length, kind="stable")
+        own, length = own[order], length[order]
+        first = np.flatnonzero(np.diff(length, prepend=-1))
+        for some, one in zip(np.split(own, first[1:]), length[first].tolist(), strict=False):
+            at.setdefault(size - one, []).append(some)
+    owner, length = np.concatenate(owners), np.concatenate(taken)
+    order = np.lexsort((-length, owner))
+    return np.split(length[order], np.flatnonzero(np.diff(owner[order])) + 1)
+
+
+def configurations(counts: dict[int, int], capacity: int = CAPACITY, seed: int = 0) -> tuple[list[tuple[tuple, int]], Counter, float]:
+    """[(lengths of one sequence, sequences)] rounded from the program, the pieces that it leaves, and the dual bound."""
+    rng = np.random.default_rng(seed)
+    left, plan, bound = Counter({length: n for length, n in counts.items() if n}), Counter(), 0.0
+    tokens = sum(length * n for length, n in left.items())
+    room = np.exp(-np.arange(capacity + 1) * 512 / capacity)
+    lengths = np.array(sorted(left), np.int64)
+    weight = np.array([left[length] / left.total() for length in lengths.tolist()], float)
+    while len(lengths):
+        need = np.array([left[length] for length in lengths.tolist()], float)
+        weight, ways, times, least = solved(lengths, need, weight, room, capacity, STEPS if not bound else 8)
+        bound = bound or least
+        n = int(min(DRAWN, np.ceil(times)))
+        uses, placed = max(1, int(times) // n), 0
+        for lengths_of in drawn(weight, lengths, ways, room, capacity, n, rng):
+            config = Counter(lengths_of.tolist())
+            some = min([uses, *(left[length] // k for length, k in config.items())])
+            if config and some:
+                for length, k in config.items():
+                    left[length] -= some * k
+                plan[tuple(config.elements())] += some
+                placed += some
+        if placed < 0.1 * n * uses or sum(length * k for length, k in left.items()) < 0.001 * tokens:
             break
-        share = np.divide(covered, need, out=np.zeros_like(need), where=need > 0)
-        lengths = np.arange(capacity + 1)
-        value = np.where(open_, lengths * np.exp(-rate * share), 0.0)  # duals start at the lengths themselves
-        best, took = priced(value, capacity)
-        seeds = np.flatnonzero(open_)
-        worth = value[seeds] + best[capacity - seeds]
-        good = seeds[worth >= (1 - rate) * best[capacity]]
-        left = np.where(open_, need - covered, 0.0)
-        for seed in good[np.argsort(-left[good] * good)][:columns]:
-            config = taken(took, capacity - int(seed))
-            config[int(seed)] += 1
-            step = min(left[length] / times for length, times in config.items())
-            if step <= 0:
-                continue
-            step = step if step < 1 else max(1.0, step * max(rate, 0.5))
-            uses[tuple(sorted(config.items(), reverse=True))] += step
-            for length, times in config.items():
-                covered[length] += step * times
-                left[length] -= step * times
-    return uses
+        keep = np.array([left[length] > 0 for length in lengths.tolist()])
+        lengths, weight = lengths[keep], weight[keep]
+    return list(plan.items()), +left, bound
 
 
 def packing_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple, int]]:
     """[(lengths of one sequence, sequences)]: together they hold every piece of the histogram once."""
-    left = Counter(counts)
+    plan, left, _ = configurations(counts, capacity)
     groups: dict[int, list[list]] = defaultdict(list)  # by free space: [lengths, sequences]
-    uses = configurations(dict(counts), capacity)
-    for config, times in sorted(uses.items(), key=lambda x: (-sum(a * b for a, b in x[0]), -x[1], x[0])):
-        whole = min([int(times), *(left[length] // k for length, k in config)])
-        if whole:
-            for length, k in config:
-                left[length] -= whole * k
-            groups[capacity - sum(a * b for a, b in config)].append([tuple(length for length, k in config for _ in range(k)), whole])
+    for config, times in plan:
+        groups[capacity - sum(config)].append([config, times])
     spaces = sorted(groups)
 
     def put(space: int, lengths: tuple, n: int) -> None:
@@ -240,10 +315,15 @@ def plan_segments(plan: list[tuple[tuple, int]]) -> np.ndarray:
 
 
 def packed(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length", order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``. ``pieces`` is read twice: pass a written table."""
-    salt = F.pmod(F.xxhash64(*order), F.lit(SALTS))
-    salted = pieces.withColumn("_salt", salt)
-    sizes = written(salted.groupBy(F.col(length_col).cast("long").alias("_len"), "_salt").count(), "lengths")  # at most capacity * SALTS rows
+    """``pieces`` with ``sequence_id`` and ``offset``. ``pieces`` is read several times: pass a written table."""
+    names = [f.name for f in pieces.schema.fields]
+    len_, part_, parts_, rank_ = unused(pieces, "len", "part", "parts", "rank")
+    sized = pieces.withColumn(len_, F.col(length_col).cast("long"))
+    totals = {r[0]: r[1] for r in sized.groupBy(len_).count().collect()}  # at most capacity rows
+    each = max(PART_ROWS, -(-sum(totals.values()) // PARTS_MOST))
+    share = pieces.sparkSession.createDataFrame([(length, -(-n // each)) for length, n in totals.items()], f"`{len_}` long, `{parts_}` long")
+    dealt = sized.join(F.broadcast(share), len_).withColumn(part_, F.pmod(F.xxhash64(*order), F.col(parts_)))
+    sizes = written(dealt.groupBy(len_, part_).count(), "lengths")  # at most capacity + PARTS_MOST rows
     counts: Counter = Counter()
     first: dict[tuple[int, int], int] = {}
     for length, part, n in sorted(sizes.collect()):
@@ -253,24 +333,19 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "lengt
     width = max(40, max(counts.values(), default=0).bit_length())
     starts = (segments[:, 0] << width) + segments[:, 1]
     bases = np.array([[length, part, n] for (length, part), n in first.items()], np.int64).reshape(-1, 3)
-    base_keys = bases[:, 0] * SALTS + bases[:, 1]
-    names = [f.name for f in pieces.schema.fields]
+    base_keys = (bases[:, 0] << 32) + bases[:, 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, part, within = (batch.column(len(names) + k).to_numpy() for k in range(3))
-            rank = bases[np.searchsorted(base_keys, length * SALTS + part), 2] + within - 1
+            rank = bases[np.searchsorted(base_keys, (length << 32) + part), 2] + within - 1
             seg = segments[np.searchsorted(starts, (length << width) + rank, "right") - 1] if len(segments) else np.zeros((0, 5), np.int64)
             nth = rank - seg[:, 1]
             places = [pa.array(seg[:, 2] + nth // seg[:, 3]), pa.array(seg[:, 4] + nth % seg[:, 3] * length)] if len(segments) else [pa.array([], pa.int64())] * 2
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *places], names=[*names, "sequence_id", "offset"])
 
-    ranked = salted.select(
-        *names,
-        F.col(length_col).cast("long").alias("_len"),
-        F.col("_salt").cast("long").alias("_salt"),
-        F.row_number().over(Window.partitionBy(length_col, "_salt").orderBy(*order)).cast("long").alias("_rank"),
-    )
+    rank = F.row_number().over(Window.partitionBy(len_, part_).orderBy(*order)).cast("long").alias(rank_)
+    ranked = dealt.select(*names, len_, part_, rank)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
     return ranked.mapInArrow(run, f"{fields}, sequence_id long, offset long")
 

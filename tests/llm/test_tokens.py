@@ -112,6 +112,69 @@ def test_plan_is_near_its_bound():
     assert sum(n for _, n in plan) <= 1.002 * bound + 1
 
 
+def planted_packings():
+    """Histograms of pieces cut from full sequences: by fixed triples, at random in three or four, and from few patterns."""
+    rng = np.random.default_rng(1)
+    yield Counter({2000: 30_000, 1000: 30_000, 1096: 30_000}), 30_000
+    for patterns, times in ((20_000, 1), (20, 1_000), (200, 100)):
+        found = Counter()
+        for _ in range(patterns):
+            cuts = np.sort(rng.choice(np.arange(1, 4096), rng.integers(2, 4), replace=False))
+            for piece in np.diff([0, *cuts, 4096]).tolist():
+                found[piece] += times
+        yield found, patterns * times
+
+
+def test_plans_of_perfect_packings_are_within_one_percent():
+    for counts, perfect in planted_packings():
+        plan = packing.packing_plan(counts)
+        held = Counter()
+        for lengths, n in plan:
+            assert sum(lengths) <= 4096
+            for length in lengths:
+                held[length] += n
+        assert held == counts
+        assert perfect <= sum(n for _, n in plan) <= 1.01 * perfect
+
+
+def test_the_dual_bound_and_plans_of_any_size():
+    rng = np.random.default_rng(0)
+    some = Counter(np.minimum(4096, rng.lognormal(6.3, 1, 20_000).astype(int) + 1).tolist())
+    for times in (1, 100_000):
+        counts = {length: n * times for length, n in some.items()}
+        _, _, bound = packing.configurations(counts)
+        assert bound <= sum(n for _, n in packing.packing_plan(counts)) <= 1.01 * bound
+    _, _, bound = packing.configurations({2100: 500})  # more than tokens over capacity
+    assert bound == 500
+
+
+def test_a_vocabulary_of_another_kind_is_tokenized_whole(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        other = json.load(file)
+    other["normalizer"]["normalizers"].pop()  # keeps capitals
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as file:
+        json.dump(other, file)
+    text = "Don't STOP É x<|endoftext|>y 12"
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    ids = packing.WordIds.of(path)
+    assert not ids.by_words and packing.WordIds.of(public_tokenizers.path("word_bpe_49k.json")).by_words
+    assert np.frombuffer(ids.of_text(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_keeps_columns_with_clashing_names(spark):
+    rows = [(k, 0, 1 + 37 * k % 4096, "a", "b", k % 3) for k in range(200)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length long, _len string, _part string, _rank int")
+    got = packing.packed(pieces).collect()
+    assert sorted((r.doc_id, r._len, r._part, r._rank) for r in got) == [(k, "a", "b", k % 3) for k in range(200)]
+    check_packing(got, 4096)
+
+
 def test_chats_round_trip(spark):
     rng = random.Random(3)
     bits = ["\\", "[", "<", "</s>", "[INST]", " [/INST]", "é", "\n", "a ", "<<SYS>>", "[/TURN]", "😀", ""]
