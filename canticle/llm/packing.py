@@ -47,6 +47,8 @@ END_ID = 1
 PART_ROWS, PARTS_MOST = 50_000, 200_000
 #: The program: coverage in which weights settle, gap to the dual bound, steps of weights, and configurations drawn at a time.
 COVER, GAP, STEPS, DRAWN = 0.02, 0.005, 60, 20_000
+#: Rows whose ids are in memory at a time.
+BATCH = 1_000
 
 #: What a vocabulary must say of itself for words to be tokenized one by one; by any other, texts are tokenized whole.
 BY_WORDS = {
@@ -78,7 +80,7 @@ class WordIds(dict):
     one for all its tasks, and starts it anew at ``most`` entries.
     """
 
-    most = 600_000
+    most = 150_000
     made: dict[str, WordIds] = {}
 
     @classmethod
@@ -135,7 +137,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = WordIds.of(path)
         end = array("I", [END_ID]).tobytes()
-        for batch in batches:
+        for batch in (whole.slice(at, BATCH) for whole in batches for at in range(0, whole.num_rows, BATCH)):
             out: list[tuple] = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = ids_of.of_text(text.as_py() or "") + end

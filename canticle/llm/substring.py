@@ -39,7 +39,7 @@ KEYS = ["_id", "_row"]
 class WordHashes(dict):
     """Word to 64-bit hash, filled as words come; started anew at ``most`` entries."""
 
-    most = 400_000
+    most = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
