@@ -1,12 +1,15 @@
 """Quality rules with host verdicts, all in DataFrame functions.
 
-Documents are measured inside their row with array functions. Rule failures are counted by host; a host's rate is
-shrunk towards a beta prior fitted to all hosts by the method of moments, so small hosts aren't judged by
-chance. Hosts over ``host_limit`` are written as a table (Spark broadcasts it only under its threshold) and joined
-back to the documents.
+Documents are measured once, inside their row, with array functions. Rule failures are counted by host; a host's rate is
+shrunk towards a beta prior. The prior is that of a beta-binomial model, fitted to all hosts by moments that weigh
+a host by its documents and subtract what chance alone would spread: many one-document hosts, whose rates are 0 or 1, say
+nothing of how hosts differ, and the prior never counts less than ``LEAST_STRENGTH`` documents (a uniform one's weight).
+Hosts over ``host_limit`` are written as a table (Spark broadcasts it only under its threshold) and joined back to the
+documents.
 
 Defined results: a null text has no words and fails the base rule. A null ``source`` is a host of its own.
-Null ids and repeated rows each keep their row. Empty tables give empty results.
+Null ids and repeated rows each keep their row. Empty tables give empty results. Extra columns pass through
+:func:`keep_good` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from canticle.plans.expr import let
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT, SYMBOL_PERCENT, DUP_LINE_PERCENT = 10, 20, 10, 30
-HOST_LIMIT = 0.5
+HOST_LIMIT, LEAST_STRENGTH = 0.5, 2.0
 
 
 def words_of(text: Column) -> Column:
@@ -52,64 +55,70 @@ def repeated_words(words: Column, width: int = 5) -> Column:
     return F.when(F.size(words) > width, let(shingle_hashes(words, width), found)).otherwise(F.lit(0).cast("long"))
 
 
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the struct column ``_m``: the counts the rules use, and whether the base rule fails."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def measures(text: Column) -> Column:
+    """The counts that the rules use, and whether the base rule fails, as a struct."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    line_counts = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
 
     def counts(w: Column) -> Column:
         return F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"))
 
-    out = docs.withColumn("_w", let(words_of(text), counts)).withColumn(
-        "_m",
-        F.struct(
-            F.col("_w.n_words").alias("n_words"),
+    def told(x: Column) -> Column:
+        w, of = x["w"], x["l"]
+        return F.struct(
+            w["n_words"].alias("n_words"),
             F.char_length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
             (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-            let(lines, F.size).cast("long").alias("n_lines"),
-            F.col("_w.n_repeat_words").alias("n_repeat_words"),
-            ((F.col("_w.n_words") < MIN_WORDS) | (100 * F.col("_w.n_repeat_words") > REPEAT_PERCENT * F.col("_w.n_words"))).alias("base_failed"),
-        ),
-    )
-    return out.drop("_w")
+            of["dup"].cast("long").alias("n_dup_lines"),
+            of["n"].cast("long").alias("n_lines"),
+            w["n_repeat_words"].alias("n_repeat_words"),
+            ((w["n_words"] < MIN_WORDS) | (100 * w["n_repeat_words"] > REPEAT_PERCENT * w["n_words"])).alias("base_failed"),
+        )
 
+    return let(F.struct(let(words_of(text), counts).alias("w"), line_counts.alias("l")), told)
 
-def any_rule_failed() -> Column:
+
+def any_rule_failed(m: Column) -> Column:
     """A document counts against its host if the base rule, the symbol rule or the line rule fails."""
-    m = F.col("_m")
     return m["base_failed"] | (100 * m["n_symbols"] > SYMBOL_PERCENT * m["n_words"]) | (100 * m["n_dup_lines"] > DUP_LINE_PERCENT * m["n_lines"])
 
 
-def rejected_hosts(stats: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
-    """(_host) of the hosts whose shrunk failure rate is over ``host_limit``. ``stats`` has _host and _m."""
-    hosts = written(stats.groupBy("_host").agg(F.count("*").alias("n"), F.count_if(any_rule_failed()).alias("bad")), "hosts")
-    rate = F.col("bad") / F.col("n")
-    mean, var = hosts.agg(F.avg(rate), F.var_pop(rate)).first()  # two numbers
-    strength = mean * (1 - mean) / var - 1 if var else 0.0
-    a, b = (mean * strength, (1 - mean) * strength) if strength > 0 else (0.0, 0.0)
-    return written(hosts.where((F.col("bad") + a) / (F.col("n") + a + b) > host_limit).select("_host"), "rejected-hosts")
+def host_of(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
-def with_host(docs: DataFrame, host_col: str = "source") -> DataFrame:
-    return docs.withColumn("_host", F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("")))
+def rejected_hosts(stats: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
+    """(host) of the hosts whose shrunk failure rate is over ``host_limit``. ``stats`` has host and m."""
+    hosts = written(stats.groupBy("host").agg(F.count("*").alias("n"), F.count_if(any_rule_failed(F.col("m"))).alias("bad")), "hosts")
+    n, bad = F.col("n"), F.col("bad")
+    k, docs, failed, squares, spread = hosts.agg(F.count("*"), F.sum(n), F.sum(bad), F.sum(n.cast("double") * n), F.sum(bad.cast("double") * bad / n)).first()
+    mean = failed / docs if docs else 0.0
+    chance = mean * (1 - mean)
+    free = docs - squares / docs - (k - 1) if docs else 0.0  # what hosts of several documents add
+    alike = ((spread - failed * mean) / chance - (k - 1)) / free if chance and free > 0 else 0.0
+    strength = max(LEAST_STRENGTH, 1 / alike - 1) if alike > 0 else None  # no more spread than by chance: no host is worse than others
+    worse = (bad + mean * strength) / (n + strength) > host_limit if strength else F.lit(False)
+    return written(hosts.where(worse).select("host"), "rejected-hosts")
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
     """(doc_id, the counts, base_failed, kept) for every row."""
-    slim = with_host(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(host_col).alias("source")), "source")
-    stats = written(measured(slim).select("doc_id", "_host", "_m"), "quality")
-    bad = rejected_hosts(stats, host_limit).withColumn("_out", F.lit(True))
-    kept = ~F.col("_m.base_failed") & F.col("_out").isNull()
+    stats = written(docs.select(F.col(id_col).alias("doc_id"), host_of(F.col(host_col)).alias("host"), measures(F.col(text_col)).alias("m")), "quality")
+    bad = rejected_hosts(stats, host_limit).withColumn("out", F.lit(True))
+    kept = ~F.col("m.base_failed") & F.col("out").isNull()
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    return stats.join(bad, "_host", "left").select("doc_id", *[F.col(f"_m.{c}").alias(c) for c in names], kept.alias("kept"))
+    return stats.join(bad, "host", "left").select("doc_id", *[F.col(f"m.{c}").alias(c) for c in names], kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
-    """The rows of ``docs`` that pass the base rule and whose host isn't rejected."""
-    marked = with_host(measured(docs, text_col), host_col)
-    bad = rejected_hosts(marked.select("_host", "_m"), host_limit)
-    return marked.where("not _m.base_failed").join(bad, "_host", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that pass the base rule and whose host isn't rejected. Rows are measured and written once; the
+    texts of those that fail the base rule aren't kept on the way."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    told = docs.select(row.alias("row"), host_of(F.col(host_col)).alias("host"), measures(F.col(text_col)).alias("m"))
+    marked = written(told.select("host", "m", F.when(~F.col("m.base_failed"), F.col("row")).alias("row")), "quality")
+    bad = rejected_hosts(marked.select("host", "m"), host_limit)
+    return marked.where("not m.base_failed").join(bad, "host", "left_anti").select("row.*")
 
 
 def op8_quality_rules(spark, sf_dir):
@@ -141,9 +150,17 @@ h AS (
   SELECT source, count(*) AS n,
          count(*) FILTER (base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines) AS bad
   FROM b GROUP BY 1),
-q AS (SELECT avg(bad / n) AS mean, var_pop(bad / n) AS var FROM h),
-s AS (SELECT mean, greatest(coalesce(mean * (1 - mean) / nullif(var, 0) - 1, 0), 0) AS k FROM q),
-v AS (SELECT source, (bad + mean * k) / (n + k) > 0.5 AS rejected FROM h, s)
+q AS (
+  SELECT count(*) AS k, CAST(sum(n) AS DOUBLE) AS docs, CAST(sum(bad) AS DOUBLE) AS failed, sum(CAST(n AS DOUBLE) * n) AS squares,
+         sum(CAST(bad AS DOUBLE) * bad / n) AS spread, failed / docs AS mean
+  FROM h),
+a AS (
+  SELECT mean, CASE WHEN mean * (1 - mean) > 0 AND docs - squares / docs - (k - 1) > 0
+    THEN ((spread - failed * mean) / (mean * (1 - mean)) - (k - 1)) / (docs - squares / docs - (k - 1)) ELSE 0 END AS alike
+  FROM q),
+v AS (
+  SELECT source, CASE WHEN alike > 0 THEN (bad + mean * greatest(2, 1 / alike - 1)) / (n + greatest(2, 1 / alike - 1)) > 0.5 ELSE false END AS rejected
+  FROM h, a)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT rejected AS kept
 FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source

@@ -39,6 +39,28 @@ def test_bad_hosts_are_rejected_and_small_ones_spared(spark):
     assert {r.doc_id for r in quality.keep_good(docs).collect()} == kept
 
 
+def test_hosts_of_one_document_don_t_judge_others(spark):
+    rng = random.Random(4)
+    good = lambda: " ".join(rng.choices([f"w{k}" for k in range(900)], k=40))
+    rows = [(k, good() if k % 10 else "bad", f"single{k}") for k in range(100)]
+    rows += [(200, "bad", "small"), (201, "bad", "small"), (202, good(), "small")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r.doc_id for r in quality.verdicts(docs).where("kept").collect()}
+    assert kept == {k for k in range(100) if k % 10} | {202}
+    more = [(1000 + k, "bad" if k % 12 else good(), "spam") for k in range(120)] + [(3000 + k, good(), f"big{k % 5}") for k in range(200)]
+    docs = docs.union(spark.createDataFrame(more, docs.schema))
+    kept = {r.doc_id for r in quality.verdicts(docs).where("kept").collect()}
+    assert not {1000 + k for k in range(0, 120, 12)} & kept and {3000 + k for k in range(200)} <= kept
+
+
+def test_documents_are_measured_once(spark, documents, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "written", lambda df, label, f=quality.written: (seen.append((label, df._jdf.queryExecution().analyzed().toString())), f(df, label))[1])
+    out = quality.keep_good(documents)
+    plans = [p for _, p in seen] + [out._jdf.queryExecution().analyzed().toString()]
+    assert sum("n_repeat_words" in p and "regexp_replace" in p for p in plans) == 1
+
+
 def shingles(text):
     w = (text or "").encode().split()
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
