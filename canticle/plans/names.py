@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
@@ -16,3 +17,14 @@ def unused(df: DataFrame, *names: str) -> list[str]:
         found.append(name)
         have.add(name.lower())
     return found
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` in one struct: whatever their names, they meet no others on the way."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def restored(df: DataFrame, row: str, new: dict[str, Column] | None = None) -> list[Column]:
+    """The columns of ``df`` out of the struct column ``row``; those in ``new`` take its values."""
+    new = new or {}
+    return [(new[c] if c in new else F.col(f"{row}.`{c}`")).alias(c) for c in df.columns]
