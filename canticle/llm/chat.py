@@ -3,15 +3,17 @@
 Turns are sorted inside their conversation by Spark. A batch of turns becomes formatted text in one go: the escaped
 contents are an Arrow buffer, every turn's header, content and footer have lengths; their running sums are the
 offsets; and numpy index arrays scatter all headers, contents and footers into one preallocated buffer, over
-which the formatted strings are Arrow slices. A conversation longer than a batch comes in ordered pieces, so
-memory stays bounded whatever its length.
+which the formatted strings are Arrow slices. Segments over ``LONG`` bytes are copied as slices, without an index a byte. A batch
+holds ``ROWS`` turns and about ``BYTES`` bytes, or one turn that has more; a conversation longer than a batch comes in ordered
+pieces, so memory stays bounded whatever its length: by a small multiple of its largest turn.
 
 Template: ``[INST] user [/INST]``, `` assistant </s>``, ``<<SYS>>\\nsystem\\n<</SYS>>\\n``, and for any other role
 ``[ROLE]role[/ROLE]text[/TURN]``. Inside roles and texts the characters ``\\``, ``[`` and ``<``, with which every control
 string begins, are escaped by a backslash; :func:`read_back` undoes it. The loss mask covers assistant texts.
 
 Defined results: a null text or role is empty. Turns sort by turn (null last), then role and text. A null ``conv_id``
-is a conversation of its own. Empty tables give empty results; other columns are ignored.
+is a conversation of its own. Empty tables give empty results; other columns are ignored, whatever their names. A turn whose escaped
+text is over 2 GB, more than a Spark string can hold, is an error.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROWS = 2_000
+ROWS, BYTES, LONG = 2_000, 4 << 20, 1 << 14
+#: Bytes of a string at most.
+MOST = (1 << 31) - 1
 FRAMES = {"user": ("[INST] ", " [/INST]"), "assistant": (" ", " </s>"), "system": ("<<SYS>>\n", "\n<</SYS>>\n")}
 BODY = r"[^\\\[<]*(?:\\.[^\\\[<]*)*"
 TURN = re.compile(
@@ -45,11 +49,15 @@ def unescape(text: str) -> str:
 
 def before(lengths: np.ndarray) -> np.ndarray:
     """Exclusive running sum."""
-    return np.append(0, np.cumsum(lengths)[:-1])
+    return np.cumsum(lengths) - lengths
 
 
 def scatter(out: np.ndarray, to: np.ndarray, source: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> None:
-    """Copy source[start[k] : start[k] + lengths[k]] to out[to[k] : ...] for all k at once."""
+    """Copy source[start[k] : start[k] + lengths[k]] to out[to[k] : ...] for all k at once; long ones as slices."""
+    for k in np.flatnonzero(lengths > LONG):
+        out[to[k] : to[k] + lengths[k]] = source[start[k] : start[k] + lengths[k]]
+    short = lengths <= LONG
+    to, start, lengths = to[short], start[short], lengths[short]
     within = np.arange(lengths.sum()) - np.repeat(before(lengths), lengths)
     out[np.repeat(to, lengths) + within] = source[np.repeat(start, lengths) + within]
 
@@ -80,6 +88,8 @@ def assemble(conv: list, roles: list[str], texts: pa.Array) -> tuple[list[int],
         scatter(out, to, data, start, lengths)
         to = to + lengths
     first = [k for k in range(len(conv)) if not k or conv[k] != conv[k - 1]]
+    if len(out) > MOST:
+        raise ValueError(f"conversation {conv[0]}: a turn of {len(out)} bytes is more than a string can hold")
     offsets = np.append(begin[first], len(out)).astype(np.int32)
     formatted = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(out))
     points = before(sum(p[3] for p in parts))
@@ -92,12 +102,22 @@ def assemble(conv: list, roles: list[str], texts: pa.Array) -> tuple[list[int],
     return first, formatted, starts, stops
 
 
+def bounded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of ``ROWS`` turns and ``BYTES`` bytes at most, or one turn."""
+    upto = np.cumsum(pc.add(pc.binary_length(batch.column(1)), pc.binary_length(batch.column(2))).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        fit = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BYTES, "right"))
+        end = min(at + ROWS, max(at + 1, fit))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def format_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted (conv_id, role, text) to (conv_id, piece, formatted, loss_starts, loss_stops)."""
     last, piece = object(), 0
     for whole in batches:
-        for at in range(0, whole.num_rows, ROWS):
-            batch = whole.slice(at, ROWS)
+        for batch in bounded(whole):
             conv = batch.column(0).to_pylist()
             first, formatted, starts, stops = assemble(conv, batch.column(1).to_pylist(), batch.column(2))
             pieces = []
@@ -124,7 +144,8 @@ def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         done = []
-        for conv, piece, text, starts, stops in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+        for conv, piece, text, starts, stops in zip(*(batch.column(k).to_pylist() if k != 2 else batch.column(k) for k in range(5)), strict=True):
+            text = text.as_py()
             if piece == 0:
                 if state:
                     done.append(state)

@@ -9,7 +9,7 @@ Only hashes and positions are shuffled until the removals, one array a row, meet
 
 Defined results: a null text stays null. Blank lines are never judged. A null ``source`` is a site of its
 own. Rows without ``doc_id`` come after all ids. Rows that repeat id and text are judged alike. Empty tables
-give empty results.
+give empty results. Extra columns pass unchanged, whatever their names; only ``_n_lines_removed`` is replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from canticle.plans.cut import written
 from canticle.plans.expr import let
+from canticle.plans.names import restored, whole_row
 
 MIN_SITES = 10
 LG_K = 12
@@ -26,21 +27,20 @@ LINE = ["_h", "_g"]
 LAST = (1 << 63) - 1
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with ``_id`` and ``_row`` (hash of the text), the key of a row."""
-    return docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).withColumn("_row", F.xxhash64(F.col(text_col).cast("string")))
+def keyed(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
+    """(_id, _row, _site, _text, _doc): the key of a row (id and hash of the text), what is judged, and all its columns."""
+    text, site = F.col(text_col).cast("string"), F.col(site_col).cast("string")
+    return docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_id"), F.xxhash64(text).alias("_row"), F.coalesce(F.concat(F.lit("="), site), F.lit("")).alias("_site"), text.alias("_text"), whole_row(docs).alias("_doc")
+    )
 
 
-def line_places(docs: DataFrame, text_col: str, site_col: str) -> DataFrame:
+def line_places(marked: DataFrame) -> DataFrame:
     """(_id, _row, _site, _pos, _h, _g): every line that isn't blank, by two hashes."""
-    lines = keyed_columns(docs, site_col).select("_id", "_row", "_site", F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("_pos", "_line"))
+    lines = marked.select("_id", "_row", "_site", F.posexplode(F.split("_text", "\n")).alias("_pos", "_line"))
     return lines.where(F.col("_line").rlike(r"[^\x20\x09-\x0D]")).select("_id", "_row", "_site", "_pos", F.xxhash64("_line").alias("_h"), F.xxhash64("_line", F.lit(1)).alias("_g"))
 
 
-def keyed_columns(docs: DataFrame, site_col: str) -> DataFrame:
-    return docs.withColumn("_site", F.coalesce(F.concat(F.lit("="), F.col(site_col).cast("string")), F.lit("")))
-
-
 def boilerplate(places: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
     """(_h, _g, _first): lines on at least ``min_sites`` sites and their first place."""
     spread = places.groupBy(*LINE).agg(F.hll_sketch_agg("_site", F.lit(lg_k)).alias("sketch"), F.min(F.struct("_id", "_row", "_pos")).alias("_first"))
@@ -64,14 +64,15 @@ def without(text: Column, gone: Column) -> Column:
 
 def without_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text, and ``_n_lines_removed``."""
-    marked = keyed(docs, id_col, text_col)
-    places = line_places(marked, text_col, site_col)
+    marked = keyed(docs, id_col, text_col, site_col)
+    places = line_places(marked)
     found = boilerplate(places, min_sites)
     hits = places.join(found, LINE).where(F.struct("_id", "_row", "_pos") != F.col("_first"))
     gone = written(hits.groupBy("_id", "_row").agg(F.collect_set("_pos").alias("_gone")), "gone-lines")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.col("_gone")))
-    out = marked.join(gone, ["_id", "_row"], "left").withColumn(text_col, text)
-    return out.select(*docs.columns, F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_n_lines_removed"))
+    text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(without(F.col("_text"), F.col("_gone")))
+    out = marked.join(gone, ["_id", "_row"], "left")
+    n = F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_n_lines_removed")
+    return out.select(*restored(docs.drop("_n_lines_removed"), "_doc", {text_col: text}), n)
 
 
 def op4_line_dedup(spark, sf_dir):

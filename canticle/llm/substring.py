@@ -14,7 +14,7 @@ Joins go through written tables, so adaptive execution can split hot anchors, ru
 
 Defined results: a null text has no words. A row without ``doc_id`` loses nothing and counts as no earlier
 document. Rows that repeat a ``doc_id`` are judged alike: only smaller ids count. Texts shorter than the window
-stay whole. Empty tables give empty results. Other columns are carried only by :func:`without_repeats`.
+stay whole. Empty tables give empty results. Extra columns pass through :func:`replaced_text` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canticle.plans.cut import written
+from canticle.plans.names import restored, whole_row
 
 WINDOW = 50
 ANCHOR = 8
@@ -224,9 +225,9 @@ def replaced_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     text = F.col(text_col).cast("string")
     hit = F.col("_spans").isNotNull()
-    marked = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_row", F.xxhash64(F.coalesce(text, F.lit(""))))
-    out = marked.join(spans, KEYS, "left").withColumn(text_col, F.when(hit, cut(F.when(hit, text), F.when(hit, F.col("_spans")))).otherwise(text))
-    return out.select(*docs.columns)
+    marked = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_row"), text.alias("_text"), whole_row(docs).alias("_doc"))
+    left = F.when(hit, cut(F.when(hit, F.col("_text")), F.when(hit, F.col("_spans")))).otherwise(F.col("_text"))
+    return marked.join(spans, KEYS, "left").select(*restored(docs, "_doc", {text_col: left}))
 
 
 def op1_substring_dedup(spark, sf_dir):

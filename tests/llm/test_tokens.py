@@ -246,3 +246,53 @@ def test_odd_rows(odd):
     got = sharding.sharded(keyed, "_k", 4, 8).collect()
     assert sorted(Counter(r.shard for r in got).values()) == [1, 2, 2, 2]
     assert sharding.sharded(keyed.limit(0), "_k").collect() == []
+
+
+def moved_by_growth(spark, epsilon):
+    rows = spark.range(20_000).select(F.concat(F.lit("key "), F.col("id")).alias("k"))
+    a, b = ({r.k: r.shard for r in sharding.sharded(rows, "k", n, 128, epsilon).collect()} for n in (16, 17))
+    moved = [k for k in a if a[k] != b[k]]
+    return len(moved) / len(a), sum(b[k] != 16 for k in moved) / len(a)
+
+
+def test_growth_as_shipped_moves_few_rows(spark):
+    all_, between_old = moved_by_growth(spark, 0.0)
+    assert 1 / 17 <= all_ < 0.09 and between_old < 0.03
+    all_, between_old = moved_by_growth(spark, 0.25)
+    assert all_ < 0.08 and between_old < 0.005
+
+
+def test_ranks_are_counted_in_cells(spark, monkeypatch):
+    df = spark.range(3_000).select(F.concat(F.lit("key "), F.col("id") % 2_900).alias("k"), F.lit("x").alias("_row"), F.lit(1).alias("_arc"))
+    want = {(r.k, r.shard, r.slot) for r in sharding.sharded(df, "k", 16, 8).collect()}
+    monkeypatch.setattr(sharding, "CELL_ROWS", 10)
+    assert {(r.k, r.shard, r.slot) for r in sharding.sharded(df, "k", 16, 8).collect()} == want and len(want) == 3_000
+
+
+def test_a_very_long_turn_takes_a_small_multiple_of_its_size():
+    import subprocess
+    import sys
+
+    code = """
+import resource, pyarrow as pa
+from canticle.llm import chat
+text = pa.array(["short", "[a" + "long text, " * 9_500_000, "last"])
+batch = pa.RecordBatch.from_arrays([pa.array([1, 1, 1]), pa.array(["user", "assistant", "user"]), text], names=["conv_id", "role", "text"])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+pieces = list(chat.format_batches(iter([batch])))
+row, = [r for b in chat.read_back(iter(pieces)) for r in b.to_pylist()]
+assert row["n_turns"] == 3 and row["loss_chars"] == len(text[1].as_py()), row
+print(len(pieces), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) == 3 and int(out[1]) < 1000
+
+
+def test_batches_are_bounded_by_bytes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(chat, "BYTES", 100)
+    texts = ["a" * 30, "b" * 500, "", "c" * 60, "d" * 39, "e" * 2]
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * 6), pa.array([""] * 6), pa.array(texts)], names=["conv_id", "role", "text"])
+    assert [b.num_rows for b in chat.bounded(batch)] == [1, 1, 3, 1]
+    assert [t for b in chat.bounded(batch) for t in b.column(2).to_pylist()] == texts
