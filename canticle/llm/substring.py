@@ -166,11 +166,11 @@ def packed(start, length):
 
 def repeated_spans(slim: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(_id, _row, spans): per row with repeats, its repeated windows as packed (start, words covered)."""
-    every = runs(slim, window, min(anchor, window))
+    every = written(runs(slim, window, min(anchor, window)), "all-runs")
     shared = written(every.groupBy("anchor").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("anchor"), "anchors")
     near = written(every.join(shared, "anchor", "left_semi"), "runs")
-    kinds = near.groupBy("anchor", "run1", "run2").agg(F.min("_id").alias("lo"))
-    several = kinds.groupBy("anchor").agg(F.min("run1").alias("a"), F.max("run1").alias("b")).select("anchor", (F.col("a") < F.col("b")).alias("several"))
+    kinds = written(near.groupBy("anchor", "run1", "run2").agg(F.min("_id").alias("lo")), "kinds")
+    several = written(kinds.groupBy("anchor").agg(F.min("run1").alias("a"), F.max("run1").alias("b")).select("anchor", (F.col("a") < F.col("b")).alias("several")), "anchor-kinds")
     firsts = written(kinds.join(several, "anchor"), "first-runs")
     judged = written(near.join(firsts, ["anchor", "run1", "run2"]).where("_id > lo or several").select(*KEYS, "start", "n", (F.col("_id") > F.col("lo")).alias("gone")), "judged-runs")
     open_runs = judged.where("not gone").groupBy(*KEYS).agg(F.collect_list(packed(F.col("start"), F.col("n"))).alias("spans"))
