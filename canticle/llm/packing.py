@@ -44,7 +44,7 @@ from canticle.plans.names import unused
 CAPACITY = 4096
 END_ID = 1
 #: Rows of one part of a length, and the most parts beyond one for each length.
-PART_ROWS, PARTS_MOST = 50_000, 200_000
+PART_ROWS, PARTS_MOST = 1_000, 200_000
 #: The program: coverage in which weights settle, gap to the dual bound, steps of weights, and configurations drawn at a time.
 COVER, GAP, STEPS, DRAWN = 0.02, 0.005, 60, 20_000
 #: Rows whose ids are in memory at a time.
