@@ -79,11 +79,19 @@ def catalog_metrics(songs: DataFrame, plays: DataFrame, key: str, user: str, at:
 
 
 def monthly_usage(events: DataFrame, amount: str, thresholds: list[int], at: str = "ts") -> DataFrame:
-    """(month, used, threshold): thresholds that a month's running sum reached, each once, at its first event."""
-    month = F.date_format(at, "yyyy-MM")
-    running = F.sum(amount).over(Window.partitionBy(month).orderBy(at, "event_id"))
-    reached = events.withColumns({"month": month, "used": running}).withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).where("used >= threshold")
-    return reached.groupBy("month", "threshold").agg(F.min("used").alias("used"), F.min(at).alias("reached_at"))
+    """(month, used, threshold, reached_at): thresholds that a month's running sum reached, each once, at its first event.
+
+    Amounts aren't negative. Sums run over the minutes of a month, and then over the events of the minutes in which a threshold
+    was reached, so that no task sorts the events of a month.
+    """
+    marked = events.select(F.date_format(at, "yyyy-MM").alias("month"), F.date_trunc("minute", at).alias("_minute"), F.col(at).alias("_at"), "event_id", F.col(amount).alias("_amount"))
+    minutes = marked.groupBy("month", "_minute").agg(F.sum("_amount").alias("_sum"))
+    upto = F.sum("_sum").over(Window.partitionBy("month").orderBy("_minute"))
+    limits = F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")
+    hit = minutes.withColumn("_upto", upto).select("*", limits).where("_upto >= threshold").groupBy("month", "threshold").agg(F.min(F.struct("_minute", (F.col("_upto") - F.col("_sum")).alias("before"))).alias("m"))
+    rows = marked.join(hit.select("month", "threshold", "m.*"), ["month", "_minute"])
+    running = F.col("before") + F.sum("_amount").over(Window.partitionBy("month", "threshold").orderBy("_at", "event_id"))
+    return rows.withColumn("used", running).where("used >= threshold").groupBy("month", "threshold").agg(F.min("used").alias("used"), F.min("_at").alias("reached_at"))
 
 
 def cascade(results: DataFrame, key: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from canticle.functions import scoring as S
 from canticle.functions import text as T
 from canticle.plans.cut import written
+from canticle.plans.names import unused
 
 ALBUM_RANK = {"album": 0, "single": 1, "compilation": 2}
 GROUP = ["title_norm", "artist_norm"]
@@ -92,35 +93,51 @@ def primary_artist_pairs(rows: DataFrame, catalog: DataFrame, seen: DataFrame) -
     return left.join(cands, (F.col("title_norm") == F.col("c_title_norm")) & (F.col("_primary") == F.col("c_artist_norm"))).drop("_primary")
 
 
+def near_best_variant(seconds: Column, millis: Column) -> Column:
+    """Whether a candidate is within 30 seconds of a group's best variant; rescues test that one alone."""
+    return F.abs(seconds - F.floor(millis / 1000)) <= 30
+
+
 def rescue_pairs(rows: DataFrame, catalog: DataFrame, least: float = 0.70, most: int = 100) -> DataFrame:
-    """By title alone, then similar artist and duration. The cut to the most popular comes before both tests."""
+    """By title alone, then artists of like spelling and duration. The cut to the most popular comes before both tests.
+
+    Likeness of spelling (``_near``) only admits a candidate and pays a bonus; its score has the artists' word similarity.
+    """
     cands = _renamed(top_candidates(catalog, ["title_norm"], most))
-    pairs = rows.where(~T.is_common_title(F.col("title_norm"))).join(cands, F.col("title_norm") == F.col("c_title_norm"))
+    groups = canonical(rows).select(*GROUP, F.col("duration_sec").alias("_seconds")).where(~T.is_common_title(F.col("title_norm")))
     near = F.array_max(F.transform("c_artists", lambda a: T.edit_similarity(F.col("artist_norm"), a)))
-    return pairs.withColumn("_near", near).where((F.col("_near") >= least) & (F.abs(F.col("duration_sec") - F.floor(F.col("c_duration_ms") / 1000)) <= 30))
+    close = groups.join(cands, F.col("title_norm") == F.col("c_title_norm")).withColumn("_near", near)
+    kept = close.where((F.col("_near") >= least) & near_best_variant(F.col("_seconds"), F.col("c_duration_ms")))
+    return rows.join(kept.drop("_seconds"), GROUP)
 
 
 def fuzzy_pairs(rows: DataFrame, catalog: DataFrame, least: float = 0.90, most: int = 20) -> DataFrame:
-    """Same artist, most similar title of at least ``least``; lengths are compared before texts."""
-    left = rows.where(~T.is_common_title(F.col("title_norm")))
+    """Same artist, most similar title of at least ``least``, then the first of its candidates by popularity that is near enough.
+    Lengths are compared before texts."""
+    groups = canonical(rows).select(*GROUP, F.col("duration_sec").alias("_seconds")).where(~T.is_common_title(F.col("title_norm")))
     titles = catalog.select(*GROUP).distinct().select(F.col("title_norm").alias("_catalog_title"), F.col("artist_norm").alias("_artist"))
     a, b = F.char_length("title_norm"), F.char_length("_catalog_title")
     longer = F.greatest(a, b)
-    close = left.select(*GROUP).distinct().join(titles, (F.col("artist_norm") == F.col("_artist")) & (F.abs(a - b) * 10 <= longer))
+    close = groups.join(titles, (F.col("artist_norm") == F.col("_artist")) & (F.abs(a - b) * 10 <= longer))
     distance = F.levenshtein(F.col("title_norm"), F.col("_catalog_title"))
     measured = close.withColumn("_sim", F.when(longer == 0, 1.0).otherwise(1 - distance / longer)).where(F.col("_sim") >= least)
-    best = measured.groupBy(*GROUP).agg(F.min_by(F.struct("_catalog_title", "_sim"), F.struct(-F.col("_sim"), "_catalog_title")).alias("b")).select(*GROUP, "b.*")
+    best = measured.groupBy(*GROUP, "_seconds").agg(F.min_by(F.struct("_catalog_title", "_sim"), F.struct(-F.col("_sim"), "_catalog_title")).alias("b")).select(*GROUP, "_seconds", "b.*")
     cands = _renamed(top_candidates(catalog, GROUP, most))
-    pairs = left.join(best, GROUP).join(cands, (F.col("_catalog_title") == F.col("c_title_norm")) & (F.col("artist_norm") == F.col("c_artist_norm")))
-    return pairs.where(F.abs(F.col("duration_sec") - F.floor(F.col("c_duration_ms") / 1000)) <= 30)
+    found = best.join(cands, (F.col("_catalog_title") == F.col("c_title_norm")) & (F.col("artist_norm") == F.col("c_artist_norm")))
+    found = found.where(near_best_variant(F.col("_seconds"), F.col("c_duration_ms")))
+    first = found.withColumn("_n", F.row_number().over(Window.partitionBy(*GROUP).orderBy(F.desc("c_popularity"), "c_track_id"))).where("_n = 1")
+    return rows.join(first.drop("_n", "_seconds"), GROUP)
 
 
 def unpopular_pairs(rows: DataFrame, catalog: DataFrame, common_titles: DataFrame) -> DataFrame:
-    """Catalog rows of popularity 0: same title, any credited artist, duration within three seconds; common titles aside."""
+    """Catalog rows of popularity 0: same title, any credited artist; common titles aside. A candidate must be within three seconds
+    of some open variant under its title; then all variants of its group are scored."""
     zero = catalog.where("popularity = 0").join(common_titles.select("title_norm"), "title_norm", "left_anti")
-    cands = _renamed(zero).withColumn("_artist", F.explode("c_artists"))
-    near = F.abs(F.col("duration_sec") * 1000 - F.col("c_duration_ms")) <= 3000
-    return rows.join(cands, (F.col("title_norm") == F.col("c_title_norm")) & (F.col("artist_norm") == F.col("_artist")) & near).drop("_artist")
+    cands = _renamed(zero)
+    lengths = rows.select(F.col("title_norm").alias("_t"), (F.col("duration_sec") * 1000).alias("_ms")).distinct()
+    near = (F.col("c_title_norm") == F.col("_t")) & F.col("_ms").between(F.col("c_duration_ms") - 3000, F.col("c_duration_ms") + 3000)
+    named = cands.join(lengths, near, "left_semi").withColumn("_artist", F.explode(F.array_distinct("c_artists")))
+    return rows.join(named, (F.col("title_norm") == F.col("c_title_norm")) & (F.col("artist_norm") == F.col("_artist"))).drop("_artist")
 
 
 def common_title_counts(catalog: DataFrame, over: int = 500) -> DataFrame:
@@ -128,12 +145,12 @@ def common_title_counts(catalog: DataFrame, over: int = 500) -> DataFrame:
 
 
 def album_upgrades(matches: DataFrame, rows: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Matched groups without an album get the album row within 30 seconds of their match, if one is accepted."""
+    """Matched groups without an album: their matched variant with album rows within 30 seconds of that variant."""
     albums = _renamed(catalog.where(F.lower("album_type") == "album"))
-    wanted = matches.where(album_rank(F.col("c_album_type")) > 0).select(*GROUP, F.col("c_duration_ms").alias("_ms"), F.col("id").alias("_best"))
-    pairs = rows.join(wanted, GROUP).where(F.col("id") == F.col("_best"))
-    near = F.col("c_duration_ms").between(F.col("_ms") - 30_000, F.col("_ms") + 30_000)
-    return pairs.join(albums, (F.col("title_norm") == F.col("c_title_norm")) & (F.col("artist_norm") == F.col("c_artist_norm")) & near).drop("_ms", "_best")
+    wanted = matches.where(album_rank(F.col("c_album_type")) > 0).select(*GROUP, "id")
+    millis = F.col("duration_sec") * 1000
+    near = F.col("c_duration_ms").between(millis - 30_000, millis + 30_000)
+    return rows.join(wanted, [*GROUP, "id"], "left_semi").join(albums, (F.col("title_norm") == F.col("c_title_norm")) & (F.col("artist_norm") == F.col("c_artist_norm")) & near)
 
 
 def jaccard_pairs(rows: DataFrame, catalog: DataFrame, least: float = 0.5) -> DataFrame:
@@ -143,9 +160,21 @@ def jaccard_pairs(rows: DataFrame, catalog: DataFrame, least: float = 0.5) -> Da
     return pairs.withColumn("_sim", sim).where(F.col("_sim") >= least).withColumn("_penalty", ((1 - F.col("_sim")) * 50).cast("int"))
 
 
-def resolve(rows: DataFrame, catalog: DataFrame) -> DataFrame:
+def streamed_pairs(rows: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The match without an index: whole keys where the catalog has them, titles with artists half alike for the other groups."""
+    exact = rows.join(_renamed(catalog), (F.col("title_norm") == F.col("c_title_norm")) & (F.col("artist_norm") == F.col("c_artist_norm")))
+    keys = catalog.select(*GROUP).distinct()
+    loose = jaccard_pairs(rows.join(keys, GROUP, "left_anti"), catalog)
+    scored = scored_pairs(loose, "title", -F.col("_penalty"), F.col("_sim")).drop("_sim", "_penalty")
+    return scored_pairs(exact, "exact").unionByName(scored)
+
+
+def resolve(rows: DataFrame, catalog: DataFrame, retry_rejected: bool = False) -> DataFrame:
     """All phases: one accepted match a group with the phase that found it, albums preferred.
 
+    The last phase passes over groups whose candidates were all rejected before, as it has always done, though they are counted
+    as eligible; ``retry_rejected`` takes them too.
+
     ``rows`` are variants; pass written tables, as phases read them again. What a phase finds is written, so that later ones
     don't compute it again.
     """
@@ -158,18 +187,26 @@ def resolve(rows: DataFrame, catalog: DataFrame) -> DataFrame:
 
     open_ = rows.join(main, GROUP, "left_anti")
     rescued = rescue_pairs(open_.join(seen, GROUP, "left_anti"), popular)
-    rescue = written(best_match(scored_pairs(rescued, "rescue", (F.col("_near") * 50).cast("int"), F.col("_near"))), "rescue")
+    rescue = written(best_match(scored_pairs(rescued, "rescue", (F.col("_near") * 50).cast("int"))), "rescue")
     open_ = open_.join(rescue, GROUP, "left_anti")
-    fuzzy = best_match(scored_pairs(fuzzy_pairs(open_, popular), "fuzzy", (F.col("_sim") * 30).cast("int"), F.lit(1.0)))
+    fuzzy = best_match(scored_pairs(fuzzy_pairs(open_, popular), "fuzzy", (F.col("_sim") * 30).cast("int")))
     found = written(main.unionByName(rescue).unionByName(fuzzy), "found")
 
     better = written(best_match(scored_pairs(album_upgrades(found, rows, popular), "upgrade")), "upgrades")
     found = found.join(better, GROUP, "left_anti").unionByName(better)
-    rest = rows.join(found, GROUP, "left_anti").join(seen, GROUP, "left_anti")
+    rest = rows.join(found, GROUP, "left_anti")
+    rest = rest if retry_rejected else rest.join(seen, GROUP, "left_anti")
     zero = best_match(scored_pairs(unpopular_pairs(rest, catalog, common_title_counts(catalog)), "unpopular", similarity=F.lit(1.0)))
     return found.unionByName(zero)
 
 
+def phase_statistics(rows: DataFrame, matches: DataFrame) -> DataFrame:
+    """(phase, groups, percent) of all groups; those without a match are in phase ``none``."""
+    groups = rows.select(*GROUP).distinct().join(matches.select(*GROUP, "phase"), GROUP, "left")
+    counted = groups.groupBy(F.coalesce("phase", F.lit("none")).alias("phase")).agg(F.count("*").alias("groups"))
+    return counted.withColumn("percent", F.col("groups") * 100 / F.sum("groups").over(Window.partitionBy(F.lit(1))))  # a row a phase
+
+
 def enriched(rows: DataFrame, matches: DataFrame, catalog: DataFrame) -> DataFrame:
     """The canonical variant of each group with what the catalog knows; popularity is null where nothing matched."""
     best = canonical(rows)
@@ -197,16 +234,16 @@ def failures(rows: DataFrame, matches: DataFrame, pairs: DataFrame, least_qualit
 
 
 def popularity_rank(rows: DataFrame) -> DataFrame:
-    """``search_id`` from 1 by popularity (nulls last), quality and id.
+    """``search_id`` from 1 by popularity (nulls last), quality (nulls last) and id.
 
-    Ranks are counted in popularity ranges: rank within a popularity value and its slice of ids, plus the rows before it, so
-    no task sorts the whole table.
+    Rows are dealt into ranges of that whole order, so neither unmatched rows nor equal qualities meet in one task. A row's rank is
+    its place in its range plus the rows of the ranges before it; ranges are as many as partitions.
     """
-    sliced = rows.withColumn("_slice", F.floor(F.col("quality")))
-    key = Window.partitionBy("popularity", "_slice").orderBy("id")
-    sizes = sliced.groupBy("popularity", "_slice").count()
-    before = Window.orderBy(F.desc_nulls_last("popularity"), F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).withColumnsRenamed({"popularity": "_p", "_slice": "_s"})
-    numbered = sliced.withColumn("_n", F.row_number().over(key))
-    out = numbered.join(starts, F.col("popularity").eqNullSafe(F.col("_p")) & (F.col("_slice") == F.col("_s")))
-    return out.withColumn("search_id", F.col("_n") + F.col("_before")).drop("_n", "_before", "_p", "_s", "_slice", "count")
+    (at_,) = unused(rows, "at")
+    order = [F.desc_nulls_last("popularity"), F.desc_nulls_last("quality"), F.asc("id")]
+    dealt = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at_, F.monotonically_increasing_id()), "ranges")
+    range_, place = F.shiftright(at_, 33), F.col(at_).bitwiseAND(F.lit((1 << 33) - 1))  # as the function defines them
+    sizes = dealt.groupBy(range_.alias("_range")).count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_range", before.alias("_before"))
+    return dealt.join(F.broadcast(starts), range_ == F.col("_range")).select(*rows.columns, (place + F.col("_before") + 1).alias("search_id"))

@@ -416,7 +416,7 @@ def group_variants(spark, sf_dir):
     return plain_songs(spark, sf_dir).groupBy("title_norm", "artist_norm").agg(F.count("*").alias("variants"), F.min("duration_sec").cast("int").alias("shortest"))
 
 
-CAT_SQL = """cat AS (SELECT p_partkey AS track_id, p_name AS title_norm, lower(p_brand) AS artist_norm, (100 + p_size) * 1000 + p_partkey % 7 * 2000 AS duration_ms, p_partkey % 90 + 1 AS popularity, p_partkey % 4 AS kind FROM part WHERE p_partkey % 2 = 0)"""
+CAT_SQL = """cat AS (SELECT p_partkey AS track_id, p_name AS title_norm, lower(p_brand) AS artist_norm, (100 + p_size) * 1000 + p_partkey % 7 * 2000 AS duration_ms, p_partkey % 90 + 1 AS popularity, p_partkey % 4 AS kind FROM part)"""
 
 
 def part_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -446,18 +446,119 @@ m AS (SELECT *, row_number() OVER (PARTITION BY title_norm, artist_norm ORDER BY
 SELECT title_norm, artist_norm, id, track_id, CAST(score AS INT) AS score FROM m WHERE n = 1""")
 def exact_matches(spark, sf_dir):
     songs = written(plain_songs(spark, sf_dir), "songs")
-    catalog = part_catalog(spark, sf_dir).where("track_id % 2 = 0")  # as in CAT_SQL
-    pairs = resolve.scored_pairs(resolve.exact_pairs(songs, catalog), "exact")
+    pairs = resolve.scored_pairs(resolve.exact_pairs(songs, part_catalog(spark, sf_dir)), "exact")
     return resolve.best_match(pairs).select("title_norm", "artist_norm", "id", F.col("c_track_id").alias("track_id"), "score")
 
 
-@query()
+# Songs and a catalog made of all parts so that every phase of the resolution finds some: by p_partkey % 12, 0 whole keys, 1 a single whose album
+# has the same duration bucket, 2 a first artist, 3 a like artist, 4 the same but too long, 5 a misspelt title, 6 a common title, 7 popularity 0,
+# 8 rejected though the catalog has it with popularity 0, 9 nothing, 10 two variants, 11 two groups of one catalog row.
+
+SONG_COPIES = "CASE WHEN p_partkey % 12 >= 10 THEN 2 ELSE 1 END"
+SONG_NAME = "p_name || ' of Morning ' || CAST(p_partkey AS VARCHAR(20))"
+BAND = "'Fox ' || p_brand || ' Club ' || CAST(p_partkey AS VARCHAR(20))"
+SONG = {
+    "id": "p_partkey * 10 + n",
+    "title": f"CASE WHEN p_partkey % 12 = 5 OR p_partkey % 12 = 11 AND n = 2 THEN replace({SONG_NAME}, 'Morning', 'Mornong') WHEN p_partkey % 12 = 6 THEN 'Home' WHEN p_partkey % 12 = 10 AND n = 2 THEN {SONG_NAME} || ' (Live)' ELSE {SONG_NAME} END",
+    "artist": f"CASE WHEN p_partkey % 12 = 2 THEN {BAND} || ' and Friends' WHEN p_partkey % 12 IN (3, 4, 6) THEN replace({BAND}, 'Club', 'Clubs') ELSE {BAND} END",
+    "album": ALBUM_SQL,
+    "duration_sec": "CAST(150 + p_size + n AS BIGINT)",
+}
+CATALOG_COPIES = "CASE WHEN p_partkey % 12 IN (1, 8) THEN 2 ELSE 1 END"
+CATALOG = {
+    "track_id": "p_partkey * 10 + n",
+    "title": f"CASE p_partkey % 12 WHEN 6 THEN 'Home' WHEN 9 THEN 'Unlisted' ELSE {SONG_NAME} END",
+    "artist_norm": f"lower({BAND})",
+    "duration_ms": "(150 + p_size) * 1000 + p_partkey % 7 * 500 + n - 1 + CASE WHEN p_partkey % 12 = 4 THEN 100000 WHEN p_partkey % 12 = 8 AND n = 1 THEN 200000 ELSE 0 END",
+    "popularity": "CASE WHEN p_partkey % 12 = 7 OR p_partkey % 12 = 8 AND n = 2 THEN 0 WHEN p_partkey % 12 = 1 AND n = 2 THEN 1 ELSE p_partkey % 90 + 2 END",
+    "kind": "CASE WHEN p_partkey % 12 = 1 AND n = 2 THEN 0 ELSE p_partkey % 4 END",
+}
+
+
+def made_of_parts(spark: SparkSession, sf_dir: str, columns: dict[str, str], copies: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").withColumn("n", F.explode(F.sequence(F.lit(1), F.expr(copies))))
+    return rows.select(*[F.expr(sql).alias(name) for name, sql in columns.items()])
+
+
+def sql_made_of_parts(columns: dict[str, str], copies: str) -> str:
+    return "SELECT " + ", ".join(f"{sql} AS {name}" for name, sql in columns.items()) + f" FROM (SELECT *, unnest(range(1, {copies} + 1)) AS n FROM part)"
+
+
+def morning_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.get(F.array(*[F.lit(k) for k in ("Album", "Single", "Compilation", "Other")]), F.col("kind").cast("int"))
+    return made_of_parts(spark, sf_dir, CATALOG, CATALOG_COPIES).withColumns({"title_norm": F.lower("title"), "artists": F.array("artist_norm"), "album_type": kinds}).drop("kind")
+
+
+def sql_scored(pairs: str) -> str:
+    """A query that scores pairs: title_norm, artist_norm, id, title, duration_sec, quality, track_id, duration_ms, popularity, kind, c_artist, bonus, phase."""
+    a, b = "string_split(artist_norm, ' ')", "string_split(c_artist, ' ')"
+    sim = f"CASE WHEN artist_norm = c_artist THEN 1.0 ELSE CAST(len(list_intersect({a}, {b})) AS DOUBLE) / len(list_distinct(list_concat({a}, {b}))) END"
+    points = "CASE " + " ".join(f"WHEN gap <= {edge} THEN {n}" for edge, n in S.DURATION_POINTS) + " ELSE 1 END"
+    return f"""SELECT *, CASE WHEN sim < 0.3 THEN -500 WHEN gap > least(90, greatest(CASE WHEN sim >= 1 THEN 60 WHEN sim >= 0.7 THEN 45 ELSE 30 END, CAST(floor(cs * 0.1) AS INT))) OR gap > 30 AND sim < 1 THEN -1000
+      ELSE {points} + CASE WHEN sim >= 1 THEN 50 ELSE CAST(floor(sim * 30) AS INT) END + quality + CASE WHEN {GARBAGE_SQL} THEN 0 ELSE 30 END - CASE WHEN gap > 30 THEN 20 ELSE 0 END + popularity // 10 + bonus END AS score
+      FROM (SELECT *, {sim} AS sim, duration_ms // 1000 AS cs, abs(duration_sec - duration_ms // 1000) AS gap FROM ({pairs}))"""
+
+
+def sql_best(pairs: str) -> str:
+    return f"SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY title_norm, artist_norm ORDER BY kind, score DESC, track_id, id) AS n FROM ({sql_scored(pairs)}) WHERE score >= 80) WHERE n = 1"
+
+
+def sql_pair(bonus: str, phase: str) -> str:
+    return f"q.title_norm, q.artist_norm, q.id, q.title, q.duration_sec, q.quality, t.track_id, t.duration_ms, t.popularity, t.kind, t.artist_norm AS c_artist, {bonus} AS bonus, '{phase}' AS phase"
+
+
+COMMON_SQL = "(strlen(title_norm) < 3 OR title_norm IN (" + ", ".join(map(literal, fixed.COMMON_TITLES)) + "))"
+LEV_SQL = "(1 - levenshtein({a}, {b}) / CAST(greatest(length({a}), length({b})) AS DOUBLE))"
+MORNING_SQL = f"""s0 AS ({sql_made_of_parts(SONG, SONG_COPIES)}),
+s1 AS (SELECT *, {sql_title("title")} AS t0, {sql_artist("artist")} AS artist_norm FROM s0),
+songs AS (SELECT *, t0 AS title_norm FROM s1), q AS (SELECT *, CAST({QUALITY_SQL} AS INT) AS quality FROM songs),
+cat AS (SELECT *, lower(title) AS title_norm FROM ({sql_made_of_parts(CATALOG, CATALOG_COPIES)})), pop AS (SELECT * FROM cat WHERE popularity >= 1),
+bucketed AS (SELECT *, row_number() OVER (PARTITION BY title_norm, artist_norm, duration_ms // 5000 ORDER BY popularity DESC, track_id) AS nb FROM pop),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title_norm, artist_norm ORDER BY popularity DESC, track_id) AS nt FROM bucketed WHERE nb = 1) WHERE nt <= 20),
+ex AS (SELECT {sql_pair("0", "exact")} FROM q JOIN t ON t.title_norm = q.title_norm AND t.artist_norm = q.artist_norm),
+pr AS (SELECT {sql_pair("0", "primary")} FROM q JOIN t ON t.title_norm = q.title_norm AND contains(q.artist_norm, ' and ') AND t.artist_norm = split_part(q.artist_norm, ' and ', 1)
+  WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.title_norm = q.title_norm AND ex.artist_norm = q.artist_norm)),
+seen AS (SELECT DISTINCT title_norm, artist_norm FROM ex UNION SELECT DISTINCT title_norm, artist_norm FROM pr),
+main AS ({sql_best("SELECT * FROM ex UNION ALL SELECT * FROM pr")}),
+v AS (SELECT title_norm, artist_norm, duration_sec AS best_sec FROM (SELECT *, row_number() OVER (PARTITION BY title_norm, artist_norm ORDER BY quality DESC, id) AS n FROM q) WHERE n = 1 AND NOT {COMMON_SQL}),
+o1 AS (SELECT * FROM v ANTI JOIN main USING (title_norm, artist_norm)),
+t100 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title_norm ORDER BY popularity DESC, track_id) AS n FROM pop) WHERE n <= 100),
+near AS (SELECT o.title_norm, o.artist_norm, t.track_id, {LEV_SQL.format(a="o.artist_norm", b="t.artist_norm")} AS near FROM o1 o ANTI JOIN seen USING (title_norm, artist_norm) JOIN t100 t ON t.title_norm = o.title_norm
+  WHERE {LEV_SQL.format(a="o.artist_norm", b="t.artist_norm")} >= 0.7 AND abs(best_sec - t.duration_ms // 1000) <= 30),
+rescue AS ({sql_best(f"SELECT {sql_pair('CAST(floor(near.near * 50) AS INT)', 'rescue')} FROM q JOIN near ON near.title_norm = q.title_norm AND near.artist_norm = q.artist_norm JOIN pop t ON t.track_id = near.track_id")}),
+o2 AS (SELECT * FROM o1 ANTI JOIN rescue USING (title_norm, artist_norm)),
+sims AS (SELECT o.title_norm, o.artist_norm, best_sec, c.title_norm AS other, {LEV_SQL.format(a="o.title_norm", b="c.title_norm")} AS sim FROM o2 o JOIN (SELECT DISTINCT title_norm, artist_norm FROM pop) c ON c.artist_norm = o.artist_norm),
+liked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title_norm, artist_norm ORDER BY sim DESC, other) AS n FROM sims WHERE sim >= 0.9) WHERE n = 1),
+first AS (SELECT * FROM (SELECT l.*, t.track_id, row_number() OVER (PARTITION BY l.title_norm, l.artist_norm ORDER BY t.popularity DESC, t.track_id) AS k FROM liked l JOIN pop t ON t.title_norm = l.other AND t.artist_norm = l.artist_norm
+  WHERE abs(best_sec - t.duration_ms // 1000) <= 30) WHERE k = 1),
+fuzzy AS ({sql_best(f"SELECT {sql_pair('CAST(floor(first.sim * 30) AS INT)', 'fuzzy')} FROM q JOIN first ON first.title_norm = q.title_norm AND first.artist_norm = q.artist_norm JOIN pop t ON t.track_id = first.track_id")}),
+found AS (SELECT * FROM main UNION ALL SELECT * FROM rescue UNION ALL SELECT * FROM fuzzy),
+better AS ({sql_best(f"SELECT {sql_pair('0', 'upgrade')} FROM q JOIN found f ON f.title_norm = q.title_norm AND f.artist_norm = q.artist_norm AND f.id = q.id AND f.kind > 0 JOIN pop t ON t.title_norm = q.title_norm AND t.artist_norm = q.artist_norm AND t.kind = 0 AND abs(q.duration_sec * 1000 - t.duration_ms) <= 30000")}),
+kept AS (SELECT * FROM found ANTI JOIN better USING (title_norm, artist_norm) UNION ALL SELECT * FROM better),
+rest AS (SELECT * FROM q ANTI JOIN kept USING (title_norm, artist_norm) ANTI JOIN seen USING (title_norm, artist_norm)),
+zero AS ({sql_best(f"SELECT {sql_pair('0', 'unpopular')} FROM rest q JOIN cat t ON t.title_norm = q.title_norm AND t.artist_norm = q.artist_norm AND t.popularity = 0 WHERE EXISTS (SELECT 1 FROM rest r WHERE r.title_norm = t.title_norm AND abs(r.duration_sec * 1000 - t.duration_ms) <= 3000)")}),
+m AS (SELECT * FROM kept UNION ALL SELECT * FROM zero),
+canon AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title_norm, artist_norm ORDER BY quality DESC, id) AS n FROM q) WHERE n = 1),
+joined AS (SELECT c.title_norm, c.artist_norm, c.id, m.track_id, CAST(m.score AS INT) AS match_score, m.phase, cat.popularity, coalesce(cat.title, c.title) AS display_title,
+  row_number() OVER (PARTITION BY m.track_id ORDER BY c.quality DESC, c.id) AS nth FROM canon c LEFT JOIN m ON m.title_norm = c.title_norm AND m.artist_norm = c.artist_norm LEFT JOIN cat ON cat.track_id = m.track_id)"""
+
+
+@query(f"WITH {MORNING_SQL} SELECT * EXCLUDE (nth) FROM joined WHERE track_id IS NULL OR nth = 1")
 def resolved_catalog(spark, sf_dir):
-    """All phases of the resolution; held against a sequential fold in the tests."""
-    songs = written(resolve.variants(part_songs(spark, sf_dir)), "songs")
-    catalog = written(part_catalog(spark, sf_dir), "catalog")
+    """All phases of the resolution over songs and a catalog in which each phase finds some."""
+    songs = written(resolve.variants(made_of_parts(spark, sf_dir, SONG, SONG_COPIES)), "songs")
+    catalog = written(morning_catalog(spark, sf_dir), "catalog")
     matches = written(resolve.resolve(songs, catalog), "matches")
-    return resolve.one_per_catalog_id(resolve.enriched(songs, matches, catalog)).select("title_norm", "artist_norm", "id", "track_id", "match_score", "phase", "popularity", "display_title")
+    found = resolve.one_per_catalog_id(resolve.enriched(songs, matches, catalog))
+    return found.select("title_norm", "artist_norm", "id", "track_id", "match_score", "phase", "popularity", "display_title")
+
+
+@query(f"""WITH {MORNING_SQL} SELECT coalesce(m.phase, 'none') AS phase, count(*) AS groups, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS percent
+FROM canon LEFT JOIN m USING (title_norm, artist_norm) GROUP BY 1""")
+def phase_statistics(spark, sf_dir):
+    songs = written(resolve.variants(made_of_parts(spark, sf_dir, SONG, SONG_COPIES)), "songs")
+    matches = resolve.resolve(songs, written(morning_catalog(spark, sf_dir), "catalog"))
+    return resolve.phase_statistics(songs, matches).withColumn("percent", F.round("percent", 6))
 
 
 NAMES_SQL = "names AS (SELECT DISTINCT p_name AS n FROM part)"

@@ -24,7 +24,7 @@ def test_phases(spark):
     songs = spark.createDataFrame(
         [
             (1, "First Song", "Alpha", "Album", 200), (2, "First Song (Live)", "Alpha", "Live", 201), (3, "Second Song", "Beta & Gamma", "Album", 200),
-            (4, "Third Song", "Deltas", "Album", 200), (5, "Fourth Somg Of Mine", "Echo", "Album", 200), (6, "Fifth Song", "Foxtrot", "Album", 200),
+            (4, "Third Song", "Delta Blues Clubs", "Album", 200), (40, "Other Third", "Deltas", "Album", 200), (5, "Fourth Somg Of Mine", "Echo", "Album", 200), (6, "Fifth Song", "Foxtrot", "Album", 200),
             (7, "Sixth Song", "Golf", "Album", 200), (8, "Nothing Here", "Nobody", "Album", 200), (9, "Intro", "Unknowns", "Album", 200),
         ],
         SONG,
@@ -32,7 +32,7 @@ def test_phases(spark):
     catalog = spark.createDataFrame(
         [
             track(10, "first song", "alpha"), track(11, "first song", "alpha", pop=90, kind="Single"), track(12, "second song", "beta and gamma"),
-            track(13, "third song", "delta"), track(14, "fourth song of mine", "echo"), track(15, "fifth song", "foxtrot", kind="Single"),
+            track(13, "third song", "delta blues club"), track(19, "other third", "delta"), track(14, "fourth song of mine", "echo"), track(15, "fifth song", "foxtrot", kind="Single"),
             track(16, "fifth song", "foxtrot", ms=229_000, kind="Album", pop=1), track(17, "sixth song", "golf", ms=201_000, pop=0), track(18, "intro", "unknown"),
         ],
         CATALOG,
@@ -45,12 +45,48 @@ def test_phases(spark):
     assert found["fifth song"][1] == 16
     assert found["sixth song"][1:] == (17, "unpopular")
     assert "nothing here" not in found and "intro" not in found
+    assert "other third" not in found  # artists of like spelling without a common word
     matches = resolve.resolve(groups, catalog)
     enriched = resolve.one_per_catalog_id(resolve.enriched(groups, matches, catalog))
     by_title = {r.title_norm: r for r in enriched.collect()}
     assert by_title["nothing here"].popularity is None and by_title["first song"].display_title == "First Song"
     lost = resolve.failures(groups, matches, resolve.scored_pairs(resolve.exact_pairs(groups, catalog), "exact"))
-    assert {(r.title_norm, r.failure_reason) for r in lost.collect()} == {("nothing here", "no_candidates"), ("intro", "no_candidates")}
+    assert {(r.title_norm, r.failure_reason) for r in lost.collect()} == {("nothing here", "no_candidates"), ("intro", "no_candidates"), ("other third", "no_candidates")}
+
+
+def test_phases_that_reject(spark):
+    songs = spark.createDataFrame(
+        [
+            (1, "Long Song", "Alpha Beta Gammas", "Album", 200), (2, "Twice Song", "Echo", "Album", 200), (3, "Twice Song", "Echo", "Karaoke", 290),
+            (4, "Lost Song", "Golf", "Album", 200), (5, "Near Song Of Mine", "Kilo", "Album", 200), (6, "Wide Song", "Lima", "Live", 230),
+        ],
+        SONG,
+    )
+    catalog = spark.createDataFrame(
+        [
+            track(10, "long song", "alpha beta gamma", ms=231_000), track(11, "twice song", "echoes"), track(12, "lost song", "golf", ms=400_000), track(13, "lost song", "golf", pop=0),
+            track(14, "near somg of mine", "kilo", ms=240_000, pop=90), track(15, "near somg of mine", "kilo", pop=20), track(16, "near somg of mine", "kilo", pop=10),
+            track(17, "wide song", "lima", ms=230_000, kind="Single", pop=60), track(18, "wide song", "lima", ms=234_000, pop=50), track(19, "wide song", "lima", ms=262_000, pop=40),
+        ],
+        CATALOG,
+    )
+    groups = resolve.variants(songs)
+    found = {r.title_norm: (r.c_track_id, r.phase) for r in resolve.resolve(groups, catalog).collect()}
+    # 31 seconds off the best variant; no common word of artists; rejected before; the first by popularity that is near enough; the album of one bucket.
+    assert found == {"near song of mine": (15, "fuzzy"), "wide song": (18, "upgrade")}
+    retried = {r.title_norm: (r.c_track_id, r.phase) for r in resolve.resolve(groups, catalog, retry_rejected=True).collect()}
+    assert retried == found | {"lost song": (13, "unpopular")}
+    statistics = {r.phase: r.groups for r in resolve.phase_statistics(groups, resolve.resolve(groups, catalog)).collect()}
+    assert statistics == {"fuzzy": 1, "upgrade": 1, "none": 3}
+
+
+def test_streamed_pairs(spark):
+    songs = spark.createDataFrame([(1, "First Song", "Alpha", "Album", 200), (2, "Second Song", "Beta Gamma", "Album", 200)], SONG)
+    catalog = spark.createDataFrame([track(10, "first song", "alpha"), track(11, "first song", "alpha beta"), track(12, "second song", "beta gamma delta"), track(13, "second song", "delta")], CATALOG)
+    got = resolve.streamed_pairs(resolve.variants(songs), catalog)
+    assert rows_of(got, "id", "c_track_id", "phase") == [(1, 10, "exact"), (2, 12, "title")]
+    exact, loose = (r.score for r in got.orderBy("id").collect())
+    assert exact - loose == 50 - int(2 / 3 * 30) + int((1 - 2 / 3) * 50)
 
 
 def test_choice_is_a_sequential_fold(spark):
