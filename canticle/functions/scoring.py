@@ -38,11 +38,8 @@ def duration_tolerance(confidence: Column, seconds: Column) -> Column:
 
 def quality_score(title: Column, artist: Column, album: Column, median_seconds: Column | None = None, seconds: Column | None = None) -> Column:
     """Points for a variant: album class, marks of live or garbage titles, album name, closeness to the median."""
-    kind = T.album_class(album)
-    out = F.lit(0)
-    for name, points in fixed.ALBUM_POINTS.items():
-        out = F.when(kind == name, points).otherwise(out)
-    out = out - F.when(T.is_live_or_remix(title) | T.is_live_or_remix(album), 30).otherwise(0)
+    points = F.create_map(*[F.lit(x) for pair in fixed.ALBUM_POINTS.items() for x in pair])
+    out = F.element_at(points, T.album_class(album)) - F.when(T.is_live_or_remix(title) | T.is_live_or_remix(album), 30).otherwise(0)
     out = out - F.when(T.is_garbage_title(title), 50).otherwise(0) - F.when(T.title_contains_artist(title, artist), 40).otherwise(0)
     if median_seconds is not None:
         out = out + F.coalesce(steps(F.abs(seconds - median_seconds), [(2, 30), (5, 20), (10, 10)], 0), F.lit(0))

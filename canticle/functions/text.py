@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from canticle.functions import fixed
 from canticle.plans.expr import let
+from canticle.plans.names import unused
 
 
 def java(pattern: str) -> str:
@@ -33,10 +34,12 @@ def removed(text: Column, patterns: tuple[str, ...]) -> Column:
 
 
 def punctuation(text: Column) -> Column:
-    """Straight quotes, ``and`` for ``&``, repaired apostrophes, single spaces."""
+    """Straight quotes, ``and`` for ``&``, repaired apostrophes, single spaces. Most texts end at one test; ``text`` is a plain column."""
+    out = text
     for old, new in fixed.PUNCTUATION:
-        text = F.replace(text, F.lit(old), F.lit(new))
-    return F.regexp_replace(text, r"(?U)\s{2,}", " ")
+        out = F.replace(out, F.lit(old), F.lit(new))
+    any_old = "|".join(rf"\Q{old}\E" for old, _ in fixed.PUNCTUATION)
+    return F.when(text.rlike(any_old + r"|(?U)\s{2}"), F.regexp_replace(out, r"(?U)\s{2,}", " ")).otherwise(text)
 
 
 def letter_table() -> dict[int, str]:
@@ -84,9 +87,47 @@ def without_the(text: Column, longer_than: int = 0) -> Column:
     return F.when(text.startswith("the ") & (F.octet_length(text) > longer_than), F.substring(text, F.lit(5), F.length(text))).otherwise(text)
 
 
+#: What a text must hold for any pattern of a kind to match it, by how the pattern begins after white space; removals add nothing to a text.
+KINDS = {"bracket": r"[\(\[]", "dash": r"[-–—/]", "credit": r"(?i)f(?:ea)?t"}
+#: What lets any other pattern of titles match: a number or a marker in front, a dot, an underscore, a broken character.
+OTHER = r"(?U)^\s*(?:\d|\[|(?i:track))|[._�]"
+
+
+def kind_of(pattern: str) -> str:
+    start = pattern.removeprefix("(?i)")
+    if start.startswith(r"\s*[\(\["):
+        return "bracket"
+    if start.startswith((r"\s*[-–—]\s*", r"\s*[-–—/]\s*")):
+        return "dash"
+    return "credit" if start.startswith(r"\s+(?:feat") else "other"
+
+
+def tidied_title(text: Column, artist_norm: Column | None = None) -> Column:
+    """A punctuated title (a plain column) after all replacements. A title that only patterns of one kind can match meets those alone;
+    one with nothing that any could match is left as it is."""
+    has = {kind: text.rlike(test) for kind, test in KINDS.items()}
+    rest = text.rlike(OTHER) if artist_norm is None else text.rlike(OTHER) | text.rlike("[-–—:]")
+    out = None
+    for kind in KINDS:
+        alone = ~rest & has[kind]
+        for other in KINDS:
+            if other != kind:
+                alone = alone & ~has[other]
+        own = tuple(p for p in fixed.TITLE_PATTERNS if kind_of(p) == kind)
+        tidied = removed(text, (*fixed.TITLE_SUFFIXES[:2], *own) if kind == "bracket" else own)
+        out = F.when(alone, tidied) if out is None else out.when(alone, tidied)
+    any_ = rest
+    for test in has.values():
+        any_ = any_ | test
+    return out.when(any_, whole_chain(text, artist_norm)).otherwise(text)
+
+
 def cleaned_title(text: Column, artist_norm: Column | None = None) -> Column:
     """A title after all replacements, before folding. With the artist's normalized name, that is cut off the front."""
-    text = punctuation(text)
+    return whole_chain(punctuation(text), artist_norm)
+
+
+def whole_chain(text: Column, artist_norm: Column | None = None) -> Column:
     for p, by in fixed.TITLE_PREFIXES:
         text = F.regexp_replace(text, java(p), F.lit(by))
     if artist_norm is not None:
@@ -138,12 +179,19 @@ def normalize_artist(artist: Column, aliases: dict[str, str] | None = None) -> C
 
 
 def with_norms(rows: DataFrame, aliases: dict[str, str] | None = None, artist_context: bool = True) -> DataFrame:
-    """``rows`` (title, artist) with ``title_norm`` and ``artist_norm``. Cleaned texts are columns of their own on the way, so
-    the replacements run once a row and not once a mention."""
-    out = rows.withColumn("_artist", cleaned_artist(F.col("artist"))).withColumn("artist_norm", folded_artist(F.col("_artist"), aliases))
+    """``rows`` (title, artist) with ``title_norm`` and ``artist_norm``. Texts are columns of their own on the way, so the
+    replacements run once a row and not once a mention. Few input partitions are spread over all cores first."""
+    artist_, title_ = unused(rows, "artist", "title")
+    out = spread(rows).withColumn(artist_, cleaned_artist(F.col("artist"))).withColumn("artist_norm", folded_artist(F.col(artist_), aliases))
     context = F.col("artist_norm") if artist_context else None
-    out = out.withColumn("_title", cleaned_title(F.col("title"), context)).withColumn("title_norm", folded_title(F.col("_title")))
-    return out.drop("_artist", "_title")
+    out = out.withColumn(title_, punctuation(F.col("title"))).withColumn(title_, tidied_title(F.col(title_), context)).withColumn("title_norm", folded_title(F.col(title_)))
+    return out.drop(artist_, title_)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` in at least as many partitions as there are cores: work a row is worth a shuffle where a small file is one task."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.isStreaming or rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def primary_artist(artist_norm: Column) -> Column:

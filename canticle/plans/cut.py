@@ -4,6 +4,8 @@ A table written to the shared folder named by ``spark.checkpoint.dir`` cuts line
 executors. Reread, it carries no partitioning, so a join on it exchanges both sides, which lets adaptive
 execution split skewed keys; and its file size is known when the next plan is made, so Spark's own broadcast
 threshold decides between a broadcast and a sort-merge join.
+
+Tables go when the application ends, or with :func:`release`.
 """
 
 from __future__ import annotations
@@ -13,19 +15,42 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one is made only where the session names none (tests, one machine)."""
+    """The folder all executors share. Where the session names none, one machine (``local``) gets a folder of its own; on a
+    cluster that would be a different folder for each executor, so there it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
         path = spark.sparkContext.getCheckpointDir()
     return path
 
 
+def made(spark: SparkSession) -> list[str]:
+    """Paths of the tables written in this application, in order."""
+    return _made.setdefault(spark.sparkContext.applicationId, [])
+
+
 def written(df: DataFrame, label: str = "table") -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again. Nothing is cached."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    made(spark).append(path)
+    _files(spark, path, lambda files, at: files.deleteOnExit(at))
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, first: int, last: int) -> None:
+    """Delete tables ``first`` to ``last`` (exclusive) of :func:`made`: those of a finished step, which nothing reads any more."""
+    for path in made(spark)[first:last]:
+        _files(spark, path, lambda files, at: files.delete(at, True))
+
+
+def _files(spark: SparkSession, path: str, do) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    do(at.getFileSystem(spark._jsc.hadoopConfiguration()), at)

@@ -144,10 +144,10 @@ def catalog_metrics(spark, sf_dir):
     return found.select("p_partkey", "users", F.date_format("last_at", "yyyy-MM-dd").alias("last_on"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_acctbal < 5000 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_acctbal < 5000 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def missing_metadata(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").where("c_acctbal < 5000")
-    return customers.join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    return customers.join(table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
 @query("""SELECT p_partkey, p_name, CAST(sum(l_quantity) AS BIGINT) AS plays FROM lineitem JOIN part ON p_partkey = l_partkey
@@ -221,11 +221,11 @@ def quantity_histogram(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT l_orderkey, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY d, l_linenumber, l_partkey) AS n FROM (
-  SELECT *, CASE WHEN abs(l_quantity - 30) <= 5 THEN abs(l_quantity - 30) WHEN l_quantity > 30 THEN 1000 + l_quantity - 30 END AS d FROM lineitem) WHERE d IS NOT NULL) WHERE n = 1""")
+@query("""SELECT l_orderkey, url FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY d, url) AS n FROM (
+  SELECT l_orderkey, 'u' || l_partkey AS url, CASE WHEN abs(l_quantity * 10 - 300) <= 50 THEN abs(l_quantity * 10 - 300) WHEN l_quantity > 30 THEN 1000 + l_quantity * 10 - 300 END AS d FROM lineitem) WHERE d IS NOT NULL) WHERE n = 1""")
 def image_pick(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").withColumn("tier", F.when(F.abs(F.col("l_quantity") - 30) <= 5, 0).when(F.col("l_quantity") > 30, 1)).where("tier is not null")
-    return rows.groupBy("l_orderkey").agg(F.min_by("l_partkey", F.struct("tier", F.abs(F.col("l_quantity") - 30), "l_linenumber", "l_partkey")).alias("l_partkey"))
+    images = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_quantity") * 10).alias("width"), F.concat(F.lit("u"), "l_partkey").alias("url"))
+    return ranking.image_for(images, "l_orderkey")
 
 
 @query("""SELECT user_id, event_type, n AS nth FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY max(ts) DESC, event_type) AS n FROM events GROUP BY 1, 2) WHERE n <= 3""")
@@ -265,14 +265,15 @@ def upsert_merge(spark, sf_dir):
 HISTORY_SQL = "SELECT user_id, event_type AS song_id, max(ts) AS last_played_at, count(*) AS play_count FROM events WHERE {w} GROUP BY 1, 2"
 
 
-@query(f"""WITH o AS ({HISTORY_SQL.format(w="event_id % 2 = 0 AND user_id % 3 <> 0")}), n AS ({HISTORY_SQL.format(w="event_id % 2 = 1 AND event_id % 7 <> 0")})
+@query(f"""WITH o AS ({HISTORY_SQL.format(w="ts < TIMESTAMP '2024-01-15'")}), n AS ({HISTORY_SQL.format(w="ts >= TIMESTAMP '2024-01-15' AND event_id % 7 <> 0")})
 SELECT user_id, song_id, strftime(greatest(o.last_played_at, n.last_played_at), '%Y-%m-%d %H:%M') AS last_at, coalesce(o.play_count, 0) + coalesce(n.play_count, 0) AS play_count
 FROM o FULL JOIN n USING (user_id, song_id)""")
 def history_sync(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("song_id"), F.col("ts").alias("last_played_at"), F.lit(1).cast("long").alias("play_count"), "event_id", (F.col("event_id") % 7).alias("batch"))
-    old = e.where("event_id % 2 = 0 AND user_id % 3 <> 0").groupBy("user_id", "song_id").agg(F.max("last_played_at").alias("last_played_at"), F.sum("play_count").alias("play_count"))
+    split = F.lit("2024-01-15").cast("timestamp_ntz")
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("song_id"), F.col("ts").cast("timestamp_ntz").alias("last_played_at"), F.lit(1).cast("long").alias("play_count"), "event_id", (F.col("event_id") % 7).alias("batch"))
+    old = e.where(F.col("last_played_at") < split).groupBy("user_id", "song_id").agg(F.max("last_played_at").alias("last_played_at"), F.sum("play_count").alias("play_count"))
     applied = spark.createDataFrame([(0,)], "batch long")
-    found = merge.synced_history(old, e.where("event_id % 2 = 1"), "batch", applied)
+    found = merge.synced_history(old, e.where(F.col("last_played_at") >= split), "batch", applied)
     return found.select("user_id", "song_id", F.date_format("last_played_at", "yyyy-MM-dd HH:mm").alias("last_at"), "play_count")
 
 
@@ -308,21 +309,21 @@ def next_order(spark, sf_dir):
 # Ranked lists.
 
 
-@query("""WITH u AS (SELECT s_suppkey AS id, s_name AS name, 0 AS r FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL
-SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END, 1 FROM customer WHERE c_custkey < 200 UNION ALL SELECT p_partkey, p_name, 2 FROM part WHERE p_partkey < 400)
+@query("""WITH u AS (SELECT s_suppkey AS id, s_name AS name, 0 AS r FROM supplier UNION ALL
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END, 1 FROM customer UNION ALL SELECT p_partkey, p_name, 2 FROM part)
 SELECT id, name, r AS source_rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY r) AS n FROM u) WHERE n = 1 AND name <> ''""")
 def priority_union(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    c = table(spark, sf_dir, "customer").where("c_custkey < 200").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_name")).alias("name"))
-    p = table(spark, sf_dir, "part").where("p_partkey < 400").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_name")).alias("name"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
     return ranking.priority_union([s, c, p], "id", F.col("name") != "")
 
 
-@query("""SELECT doc_id, source FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT r.doc_id, r.source FROM documents r WHERE r.doc_id % 3 = 0
-AND NOT EXISTS (SELECT 1 FROM documents l WHERE l.doc_id % 2 = 0 AND l.doc_id = r.doc_id) AND NOT EXISTS (SELECT 1 FROM documents l WHERE l.doc_id % 2 = 0 AND l.n_chars = r.n_chars)""")
+@query("""SELECT doc_id, source FROM documents WHERE lang = 'en' UNION ALL SELECT r.doc_id, r.source FROM documents r
+WHERE NOT EXISTS (SELECT 1 FROM documents l WHERE l.lang = 'en' AND l.doc_id = r.doc_id) AND NOT EXISTS (SELECT 1 FROM documents l WHERE l.lang = 'en' AND l.n_chars = r.n_chars)""")
 def two_key_append(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    return ranking.appended(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 3 = 0"), ["doc_id", "n_chars"]).select("doc_id", "source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", "lang")
+    return ranking.appended(docs.where("lang = 'en'"), docs, ["doc_id", "n_chars"]).select("doc_id", "source")
 
 
 @query("""SELECT p_name, min(p_partkey) AS p_partkey FROM part GROUP BY 1""")
@@ -617,10 +618,13 @@ def ranked_search(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
-@query("""SELECT p_partkey, round(CASE WHEN p_name = 'hot ri' THEN 1.0 WHEN contains(p_name, 'hot ri') THEN 0.7 + 0.3 * 6 / length(p_name) ELSE 0 END, 6) AS contained FROM part WHERE contains(p_name, 'hot ri')""")
+@query("""WITH s AS (SELECT p_partkey, p_name, CASE WHEN contains(p_name, 'ot ri') THEN 0.7 + 0.3 * 5 / length(p_name) ELSE 0 END AS inside,
+CASE WHEN len([x FOR x IN string_split(p_name, ' ') IF starts_with(x, 'ri')]) > 0 THEN CASE WHEN ([x FOR x IN string_split(p_name, ' ') IF starts_with(x, 'ri')])[1] = 'ri' THEN 0.5 ELSE 0.35 END ELSE 0 END AS words FROM part)
+SELECT p_partkey, round(greatest(inside, words), 6) AS contained FROM s WHERE greatest(inside, words) > 0""")
 def contained_search(spark, sf_dir):
-    score = T.fuzzy_score(F.lit("hot ri"), F.col("p_name"))
-    return table(spark, sf_dir, "part").where(F.contains("p_name", F.lit("hot ri"))).select("p_partkey", F.round(F.when(F.contains("p_name", F.lit("hot ri")), 0.7 + 0.3 * 6 / F.char_length("p_name")).otherwise(score), 6).alias("contained"))
+    """A query that begins inside a word: what holds it, by the ratio of lengths; else its words."""
+    score = T.fuzzy_score(F.lit("Ot ri"), F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(score, 6).alias("contained")).where("contained > 0")
 
 
 @query("""WITH w AS (SELECT DISTINCT p_name, string_split(p_name, ' ') AS t FROM part),
@@ -727,7 +731,7 @@ def trimmed_lines(spark, sf_dir):
 
 
 WORDS_SQL = "li AS (SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2)"
-TEMPO_SQL = WORDS_SQL + """, t AS (SELECT l_orderkey AS song_id, l_linenumber * 960 AS tick, 60 + l_quantity AS bpm FROM li WHERE l_linenumber <= 4),
+TEMPO_SQL = WORDS_SQL + """, t AS (SELECT l_orderkey AS song_id, l_linenumber * 960 AS tick, 60 + l_quantity AS bpm FROM li),
 g AS (SELECT *, lead(tick) OVER w AS nt, coalesce(sum((nt0 - tick) * 60000 / (bpm * 960)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_ms
 FROM (SELECT *, coalesce(lead(tick) OVER (PARTITION BY song_id ORDER BY tick), tick) AS nt0 FROM t) WINDOW w AS (PARTITION BY song_id ORDER BY tick)),
 n AS (SELECT l_orderkey AS song_id, l_linenumber * 700 + 500 AS tick FROM li)"""
@@ -742,7 +746,7 @@ def line_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT x.song_id, x.tick, round(at_ms + (x.tick - g.tick) * 60000 / (bpm * 960), 3) AS ms FROM x JOIN g ON g.song_id = x.song_id AND g.tick = coalesce(b, a)""")
 def tempo_times(spark, sf_dir):
     lines = line_words(spark, sf_dir)
-    tempos = lines.where("l_linenumber <= 4").select(F.col("l_orderkey").alias("song_id"), (F.col("l_linenumber") * 960).alias("tick"), (F.col("l_quantity") + 60).alias("bpm"))
+    tempos = lines.select(F.col("l_orderkey").alias("song_id"), (F.col("l_linenumber") * 960).alias("tick"), (F.col("l_quantity") + 60).alias("bpm"))
     notes = lines.select(F.col("l_orderkey").alias("song_id"), (F.col("l_linenumber") * 700 + 500).alias("tick"))
     seen = notes.join(tempos.select("song_id").distinct(), "song_id", "left_semi")
     return timeline.ticks_to_ms(seen, tempos, "song_id").select("song_id", "tick", F.round("ms", 3).alias("ms"))
@@ -785,12 +789,12 @@ def mean_colours(spark, sf_dir):
     return signals.mean_colour(pixels, ["l_suppkey"])
 
 
-@query("""WITH m AS (SELECT user_id, coalesce(max(value / 400) FILTER (event_type = 'view'), 0) AS si, coalesce(max(value / 400) FILTER (event_type = 'click'), 0) AS sp, coalesce(max(value / 400) FILTER (event_type IN ('error', 'signup')), 0) AS mu,
-coalesce(max(value / 400) FILTER (event_type = 'purchase'), 0) AS i, coalesce(max(value / 400) FILTER (event_type = 'signup'), 0) AS pr FROM events WHERE event_id % 4 = 0 GROUP BY 1)
+@query("""WITH m AS (SELECT user_id, coalesce(max(value / 600) FILTER (event_type = 'view'), 0) AS si, coalesce(max(value / 600) FILTER (event_type = 'click'), 0) AS sp, coalesce(max(value / 600) FILTER (event_type IN ('error', 'signup')), 0) AS mu,
+coalesce(max(value / 600) FILTER (event_type = 'purchase'), 0) AS i, coalesce(max(value / 600) FILTER (event_type = 'signup'), 0) AS pr FROM events GROUP BY 1)
 SELECT user_id, CASE WHEN si >= 0.5 THEN 'allow' WHEN mu > 0.3 AND greatest(si, sp) > 0.15 THEN 'allow' WHEN sp >= 0.5 THEN 'allow' WHEN pr > 0.25 AND greatest(si, sp) < 0.2 THEN 'reject'
 WHEN i >= 0.5 AND greatest(si, sp) < 0.15 THEN 'reject' WHEN mu >= 0.4 AND greatest(si, sp) < 0.1 THEN 'reject' ELSE 'defer' END AS decision FROM m""")
 def class_decisions(spark, sf_dir):
-    scores = table(spark, sf_dir, "events").where("event_id % 4 = 0").select("user_id", F.col("event_type").alias("category"), (F.col("value") / 400).alias("score"))
+    scores = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("category"), (F.col("value") / 600).alias("score"))
     sets = {"singing": ["view"], "speech": ["click"], "music": ["error", "signup"], "instrument": ["purchase"], "priority": ["signup"]}
     return signals.class_decision(scores, "user_id", sets)
 
@@ -801,7 +805,7 @@ def order_coverage(spark, sf_dir):
     return found.withColumn("coverage", F.round("coverage", 6))
 
 
-@query("""SELECT o_custkey AS song_id, o_orderkey AS note, CAST(floor(o_totalprice / 50000) AS BIGINT) AS bar FROM orders WHERE o_totalprice < 500000""")
+@query("""SELECT o_custkey AS song_id, o_orderkey AS note, CAST(floor(o_totalprice / 50000) AS BIGINT) AS bar FROM orders""")
 def notes_by_bar(spark, sf_dir):
     notes = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("song_id"), F.col("o_orderkey").alias("note"), F.col("o_totalprice").alias("tick"))
     last = notes.groupBy("song_id").agg(F.floor(F.max("tick") / 50_000).cast("int").alias("last"))
