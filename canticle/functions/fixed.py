@@ -161,3 +161,21 @@ ALBUM_NAME_PATTERNS = (
     r"(?i)\s*[\(\[](?:explicit|clean)[\)\]]",
     r"(?i)\s*[-–—]\s*\d{4}(?:\s+(?:version|mix|edit))?$",
 )
+
+# Patterns removed from artist display names, in order.
+ARTIST_NAME_PATTERNS = (
+    r"(?i)\s+(?:feat\.?|ft\.?|featuring|with|&|,|;|\/)\s+.*",
+    r"(?i)\s+(?:band|orchestra|ensemble|quartet|trio)$",
+)
+
+# What the analysis of failures strips off normalized titles.
+VERSION_SUFFIX = r"(?i)\s*[\(\[].*?(remix|version|edit|remaster|live|mix|stereo|mono|radio|explicit|clean|deluxe).*?[\)\]]?\s*$"
+VERSION_DASH = r"(?i)\s*-\s*(remix|version|remaster|live|edit).*$"
+TRACK_NUMBER = r"^\d+[\.\-\s]+"
+
+# Suffixes of chords inferred from notes.
+CHORD_QUALITIES = {"major": "", "minor": "m", "dim": "dim", "dom7": "7", "min7": "m7"}
+
+# Characters that keys of songs and titles leave out.
+SONG_KEY_MARKS = r"""[.,!?'"():;\-–—]"""
+DEDUP_KEY_MARKS = r"""[.,!?'"]"""

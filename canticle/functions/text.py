@@ -270,6 +270,12 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longer)
 
 
+def byte_similarity(a: Column, b: Column) -> Column:
+    """1 - distance in characters / longer length in bytes; 1 for two empty texts."""
+    longer = F.greatest(F.octet_length(a), F.octet_length(b))
+    return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longer)
+
+
 def bare_words(text: Column) -> Column:
     """Lower case, ASCII word characters and single spaces only."""
     kept = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\w\s]", "")
@@ -300,7 +306,7 @@ def fuzzy_song_score(query: Column, title: Column, artist: Column) -> Column:
 def song_key(text: Column) -> Column:
     """Lower case, single spaces, without punctuation."""
     spaced = F.regexp_replace(F.lower(text), r"\s+", " ")
-    return F.btrim(F.regexp_replace(spaced, r"""[.,!?'"():;\-–—]""", ""))
+    return F.btrim(F.regexp_replace(spaced, fixed.SONG_KEY_MARKS, ""))
 
 
 def display_track(name: Column) -> Column:
@@ -311,9 +317,14 @@ def display_album(name: Column) -> Column:
     return F.btrim(removed(name, fixed.ALBUM_NAME_PATTERNS))
 
 
+def display_artist(name: Column) -> Column:
+    """An artist's name without further credits and ensemble words."""
+    return F.btrim(removed(name, fixed.ARTIST_NAME_PATTERNS))
+
+
 def dedup_key(title: Column, artist: Column) -> Column:
-    clean = lambda t: F.btrim(F.regexp_replace(F.regexp_replace(F.lower(t), r"\s+", " "), r"""[.,!?'"]""", ""))
-    return F.concat(clean(artist), F.lit(":"), clean(display_track(title)))
+    clean = lambda t: F.btrim(F.regexp_replace(F.regexp_replace(F.lower(t), r"\s+", " "), fixed.DEDUP_KEY_MARKS, ""))
+    return F.concat(clean(display_artist(artist)), F.lit(":"), clean(display_track(title)))
 
 
 def slug(text: Column) -> Column:
@@ -408,6 +419,45 @@ def transpose_chord(chord: Column, semitones: Column) -> Column:
     return F.when((semitones == 0) | chord.isin(*fixed.NO_CHORD), chord).otherwise(moved)
 
 
+def extracted_chord(root: Column, quality: Column) -> Column:
+    """A chord's name from its root's pitch class and its quality."""
+    suffixes = F.create_map(*[F.lit(x) for pair in fixed.CHORD_QUALITIES.items() for x in pair])
+    return F.concat(F.get(F.array(*map(F.lit, fixed.SHARPS)), F.pmod(root, F.lit(12)).cast("int")), F.element_at(suffixes, quality))
+
+
+def chord_name(base: Column, suffix: Column, bass: Column) -> Column:
+    """A chord's name; its lowest note follows a slash where that isn't the base note."""
+    return F.concat(base, suffix, F.when(bass != base, F.concat(F.lit("/"), bass)).otherwise(""))
+
+
+def proportional_index(at: Column, source: Column, target: Column) -> Column:
+    """The place in ``target`` in proportion to ``at`` in ``source``; off a space to the nearest other character within 4, the left first."""
+    n = F.char_length(target)
+    about = F.greatest(F.lit(0), F.least(n - 1, js_round(at / F.greatest(F.char_length(source), F.lit(1)) * n)))
+    good = lambda k: (k >= 0) & (k < n) & (F.substring(target, (k + 1).cast("int"), F.lit(1)) != " ")
+    steps = [about]
+    for delta in range(1, 5):
+        steps += [about - delta, about + delta]
+    return F.when(n > 0, F.coalesce(*[F.when(good(k), k) for k in steps], about).cast("int"))
+
+
+def proportional_time(at: Column, text: Column, start: Column, end: Column) -> Column:
+    """Time into a line in proportion to a character's place; an empty interval counts as 3000."""
+    return at / F.greatest(F.char_length(text), F.lit(1)) * F.when(end == start, 3000).otherwise(end - start)
+
+
+def format_number(n: Column) -> Column:
+    """A count with two decimals and K, M or B from a thousand on."""
+    out = n.cast("string")
+    for size, letter in ((1e3, "K"), (1e6, "M"), (1e9, "B")):
+        out = F.when(n >= size, F.format_string(f"%.2f{letter}", n / size)).otherwise(out)
+    return out
+
+
+def format_duration(seconds: Column) -> Column:
+    return F.format_string("%dm %ds", F.floor(seconds / 60), seconds % 60)
+
+
 def catalog_id(text: Column) -> Column:
     """The 22-character id in a share link or URI, null if there is none."""
     return F.nullif(F.regexp_extract(text, r"(?:track[:/])?([A-Za-z0-9]{22})(?:\?.*)?$", 1), F.lit(""))

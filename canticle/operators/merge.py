@@ -6,15 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latest(rows: DataFrame, key: list[str], order: list) -> DataFrame:
-    """One row a key: the first under ``order``."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
-
-
 def upserted(old: DataFrame, new: DataFrame, key: list[str], rules: dict[str, str]) -> DataFrame:
     """Full outer merge. Rules by column: ``keep`` (old unless null), ``keep_text`` (old unless null or empty), ``take`` (new
-    unless null), ``take_text`` (new unless null or empty), ``or``, ``greatest``, ``add``."""
-    a, b = old.alias("a"), new.alias("b")
+    unless null), ``take_text`` (new unless null or empty), ``take_set`` (new unless null, empty, 0 or false), ``with:<column>`` (new where
+    that column's new value is set, so that a block of columns changes together), ``first`` (old where the row exists, even null), ``new``
+    (new where there is one, even null), ``or``, ``greatest``, ``add``."""
+    a, b = old.withColumn("_old", F.lit(True)).alias("a"), new.withColumn("_new", F.lit(True)).alias("b")
+    kinds = dict(new.dtypes)
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]
     joined = a.join(b, _all(same), "full_outer")
 
@@ -29,17 +27,41 @@ def upserted(old: DataFrame, new: DataFrame, key: list[str], rules: dict[str, st
                 return F.coalesce(y, x)
             case "take_text":
                 return F.coalesce(F.nullif(y, F.lit("")), x, y)
+            case "take_set":
+                return F.when(_set(y, kinds[c]), y).otherwise(x)
+            case "first":
+                return F.when(F.col("a._old"), x).otherwise(y)
+            case "new":
+                return F.when(F.col("b._new"), y).otherwise(x)
             case "or":
                 return F.coalesce(x, F.lit(False)) | F.coalesce(y, F.lit(False))
             case "greatest":
                 return F.greatest(x, y)
             case "add":
                 return F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))
+        if rule.startswith("with:"):
+            lead = rule.removeprefix("with:")
+            return F.when(_set(F.col(f"b.{lead}"), kinds[lead]), y).otherwise(x)
         raise ValueError(rule)
 
     return joined.select(*[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in key], *[merged(c, r).alias(c) for c, r in rules.items()])
 
 
+def _set(value: Column, kind: str) -> Column:
+    """Whether a value is neither null nor empty, 0 or false."""
+    if kind == "boolean":
+        return F.coalesce(value, F.lit(False))
+    return F.coalesce(value != ("" if kind == "string" else 0), F.lit(False)) if kind in ("string", "tinyint", "smallint", "int", "bigint", "float", "double") else value.isNotNull()
+
+
+def merged_settings(old: Column, new: Column) -> Column:
+    """A JSON object of settings with those of another one written over it; what isn't an object counts as empty."""
+    kind = "map<string,string>"
+    a, b = (F.coalesce(F.from_json(x, kind), F.create_map().cast(kind)) for x in (old, new))
+    kept = F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k))
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(kept, b)))))
+
+
 def _all(tests: list[Column]) -> Column:
     out = tests[0]
     for t in tests[1:]:

@@ -69,12 +69,16 @@ def phrase_search(index: DataFrame, phrases: dict[str, str]) -> DataFrame:
     return out
 
 
-def bm25(index: DataFrame, text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, score) of documents with any token of ``text``. Corpus statistics cover all postings."""
+def bm25(index: DataFrame, text: str, k1: float = 1.2, b: float = 0.75, weights: dict[str, float] | None = None) -> DataFrame:
+    """(id, score) of documents with any token of ``text``. Corpus statistics cover all postings; ``weights`` by field count a token
+    in a field so many times."""
     tokens = query_tokens(text)
     lengths = index.groupBy("id").agg(F.count("*").alias("len"))
     n, mean = lengths.agg(F.count("*"), F.avg("len")).first()
-    tf = index.where(F.col("token").isin(tokens)).groupBy("id", "token").agg(F.count("*").alias("tf"))
+    times = F.lit(1.0)
+    for field, weight in (weights or {}).items():
+        times = F.when(F.col("field") == field, weight).otherwise(times)
+    tf = index.where(F.col("token").isin(tokens)).groupBy("id", "token").agg(F.sum(times).alias("tf"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))  # one row a query token
     idf = F.log(1 + (F.lit(n or 0) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean or 1.0)))
@@ -91,6 +95,13 @@ def page(rows: DataFrame, order: list, limit: int, offset: int, most: int = 50)
     return rows.orderBy(*order).offset(max(0, offset)).limit(max(1, min(most, limit)))
 
 
+def counted_page(rows: DataFrame, order: list, limit: int, offset: int, most: int = 50) -> DataFrame:
+    """One page with ``total`` rows in all and whether it ``has_more``."""
+    total = rows.count()
+    shown = max(1, min(most, limit)) + max(0, offset)
+    return page(rows, order, limit, offset, most).withColumns({"total": F.lit(total).cast("long"), "has_more": F.lit(total > shown)})
+
+
 def reranked_by_duration(rows: DataFrame, seconds: int, first: int = 10) -> DataFrame:
     """The best ``first`` by quality, reordered by quality plus closeness of duration."""
     gap = F.abs(F.col("duration_sec") - seconds)

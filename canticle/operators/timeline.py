@@ -164,21 +164,56 @@ def global_offset(matches: DataFrame, key: str, first: int = 8) -> DataFrame:
     return matches.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= first).groupBy(key).agg(T.js_round(F.median("offset_ms")).alias("offset_ms"))
 
 
-def monotonic_starts(words: DataFrame, step: int = 50) -> DataFrame:
-    """Word starts that grow by at least ``step`` ms in a line: a running maximum in closed form."""
-    order = Window.partitionBy("song_id", "line_idx").orderBy("word_idx")
+def monotonic_starts(lines: DataFrame, step: int = 50) -> DataFrame:
+    """Line starts of a song that grow by at least ``step`` ms: a running maximum in closed form."""
+    order = Window.partitionBy("song_id").orderBy("line_idx")
     i = F.row_number().over(order)
     lead = F.max(F.col("start_ms") - step * F.col("_i")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return words.withColumn("_i", i).withColumn("start_ms", F.col("_i") * step + F.greatest(F.lit(0), lead)).drop("_i")
-
-
-def enhanced_lrc(words: DataFrame) -> DataFrame:
-    """(song_id, lrc): lines with a stamp for each word."""
-    stamp = lambda ms: T.format_stamp(ms / 1000)
-    piece = F.concat(F.lit("<"), stamp(F.col("start_ms")), F.lit("> "), "word")
-    lines = words.groupBy("song_id", "line_idx").agg(F.min("start_ms").alias("at"), F.array_sort(F.collect_list(F.struct("word_idx", piece.alias("p")))).alias("w"))
-    text = F.concat(F.lit("["), stamp(F.col("at")), F.lit("] "), F.array_join(F.transform("w", lambda x: x["p"]), " "))
-    return lines.groupBy("song_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", text.alias("t")))), lambda x: x["t"]), "\n").alias("lrc"))
+    return lines.withColumn("_i", i).withColumn("start_ms", F.col("_i") * step + F.greatest(F.lit(0), lead)).drop("_i")
+
+
+def millis_stamp(ms: Column) -> Column:
+    """Milliseconds as ``mm:ss.xx``."""
+    return F.format_string("%02d:%05.2f", F.floor(ms / 60_000), (ms % 60_000) / 1000)
+
+
+def enhanced_lrc(songs: DataFrame, starts: DataFrame, words: DataFrame) -> DataFrame:
+    """(song_id, lrc): lyric texts with word stamps.
+
+    ``songs`` (song_id, lrc); ``starts`` (song_id, line_idx, start_ms) of lines with a start of their own; ``words`` (song_id, line_idx,
+    word_idx, offset_ms from the line). Lines are counted without blank and other lines, which stay as they are. Own starts grow by 50 ms
+    at least; other lines keep their stamp. A first word at offset 0 has no stamp.
+    """
+    order = Window.partitionBy("song_id").orderBy("raw_idx")
+    raw = songs.select("song_id", F.posexplode(F.split("lrc", "\n")).alias("raw_idx", "raw"))
+    pattern = r"^\[(\d{2}:\d{2}\.\d{2,3})\]\s*(.*)$"
+    parsed = raw.withColumns({"stamp": F.regexp_extract("raw", pattern, 1), "text": F.btrim(F.regexp_extract("raw", pattern, 2))})
+    counted = parsed.withColumn("sung", (F.col("stamp") != "") & (F.col("text") != ""))
+    numbered = counted.withColumn("line_idx", F.when(F.col("sung"), F.sum(F.col("sung").cast("int")).over(order) - 1).cast("long"))
+    own = monotonic_starts(starts.select("song_id", F.col("line_idx").cast("long").alias("line_idx"), "start_ms"))
+    by_line = words.groupBy("song_id", F.col("line_idx").cast("long").alias("line_idx")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("word_idx").cast("int"), F.col("offset_ms").cast("long")))).alias("offsets"))
+    lines = numbered.join(own, ["song_id", "line_idx"], "left").join(by_line, ["song_id", "line_idx"], "left")
+    at = F.coalesce(F.col("start_ms"), T.stamp_millis(F.concat(F.lit("["), "stamp", F.lit("]")))).cast("long")
+
+    def spoken(word: Column, k: Column) -> Column:
+        offset = F.element_at(F.col("offsets"), k)
+        return F.when(offset.isNull() | ((k == 0) & (offset == 0)), word).otherwise(F.concat(F.lit("<"), millis_stamp(F.col("at") + offset), F.lit(">"), word))
+
+    text = F.when(F.col("offsets").isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.split("text", r"\s+"), spoken), " "))
+    out = F.when(F.col("stamp") == "", F.col("raw")).when(F.col("text") == "", F.concat(F.lit("["), "stamp", F.lit("]"))).otherwise(F.concat(F.lit("["), millis_stamp(F.col("at")), F.lit("] "), text))
+    done = lines.withColumn("at", at).select("song_id", "raw_idx", out.alias("line"))
+    return done.groupBy("song_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("raw_idx", "line"))), lambda x: x["line"]), "\n").alias("lrc"))
+
+
+def enhanced_words(lines: DataFrame, words: DataFrame) -> DataFrame:
+    """(song_id, line_idx, word_idx, text, start_s, end_s) of all words of lines (song_id, line_idx, text, start_s) that have any timed word
+    (song_id, line_idx, word_idx, offset_ms, duration_ms). Words without one stand at the line's start; negative offsets count as 0."""
+    line = ["song_id", "line_idx"]
+    split = lines.join(words.select(*line).distinct(), line, "left_semi")
+    each = split.select(*line, "start_s", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("word_idx", "text"))
+    timed = each.join(words.select(*line, "word_idx", "offset_ms", "duration_ms"), [*line, "word_idx"], "left")
+    start = F.col("start_s") + F.coalesce(F.greatest(F.lit(0), F.col("offset_ms")) / 1000, F.lit(0.0))
+    return timed.select(*line, "word_idx", "text", start.alias("start_s"), (start + F.coalesce(F.col("duration_ms") / 1000, F.lit(0.0))).alias("end_s"))
 
 
 def payload(patches: DataFrame) -> DataFrame:

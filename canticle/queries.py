@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from canticle.functions import fixed
 from canticle.functions import scoring as S
 from canticle.functions import text as T
-from canticle.operators import merge, ranking, reports, resolve, search, signals, timeline
+from canticle.operators import catalog, failures, merge, ranking, reports, resolve, search, signals, timeline
 from canticle.plans.cut import written
 from canticle.sources.readers import table
 from canticle.streaming import detectors
@@ -752,11 +752,11 @@ def tempo_times(spark, sf_dir):
     return timeline.ticks_to_ms(seen, tempos, "song_id").select("song_id", "tick", F.round("ms", 3).alias("ms"))
 
 
-@query(f"""WITH {WORDS_SQL}, w AS (SELECT l_orderkey AS song_id, l_linenumber AS word_idx, CAST(l_quantity * 20 AS BIGINT) AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i FROM li)
-SELECT song_id, word_idx, 50 * i + greatest(0, max(s - 50 * i) OVER (PARTITION BY song_id ORDER BY word_idx)) AS start_ms FROM w""")
+@query(f"""WITH {WORDS_SQL}, w AS (SELECT l_orderkey AS song_id, l_linenumber AS line_idx, CAST(l_quantity * 20 AS BIGINT) AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i FROM li)
+SELECT song_id, line_idx, 50 * i + greatest(0, max(s - 50 * i) OVER (PARTITION BY song_id ORDER BY line_idx)) AS start_ms FROM w""")
 def monotonic_starts(spark, sf_dir):
-    words = line_words(spark, sf_dir).select(F.col("l_orderkey").alias("song_id"), F.lit(0).alias("line_idx"), F.col("l_linenumber").alias("word_idx"), (F.col("l_quantity") * 20).cast("long").alias("start_ms"))
-    return timeline.monotonic_starts(words).select("song_id", "word_idx", "start_ms")
+    lines = line_words(spark, sf_dir).select(F.col("l_orderkey").alias("song_id"), F.col("l_linenumber").alias("line_idx"), (F.col("l_quantity") * 20).cast("long").alias("start_ms"))
+    return timeline.monotonic_starts(lines).select("song_id", "line_idx", "start_ms")
 
 
 @query(f"""WITH {WORDS_SQL} SELECT l_orderkey, l_linenumber, first_value(CASE WHEN l_quantity > 25 THEN l_quantity END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_known FROM li""")
@@ -846,3 +846,193 @@ def trigger_replay(spark, sf_dir):
 def voice_replay(spark, sf_dir):
     e = user_events(spark, sf_dir)
     return detectors.replayed(e.withColumn("p", F.col("value") / 100), detectors.Voice, "user_id", "at", "p").select("key", "at_ms", "fired")
+
+
+# The catalog from its sources, and what is known of matches.
+
+
+@query("""WITH c AS (SELECT l_partkey AS track_id, l_suppkey AS artist_id, min(l_orderkey * 8 + l_linenumber) AS ord FROM lineitem GROUP BY 1, 2),
+n AS (SELECT track_id, list(s_name ORDER BY ord, s_name) AS names FROM c JOIN supplier ON s_suppkey = artist_id GROUP BY 1),
+t AS (SELECT p_partkey AS track_id, lower(p_name) AS title_norm, n_name AS album_name, names FROM part JOIN n ON n.track_id = p_partkey LEFT JOIN nation ON n_nationkey = p_size WHERE p_partkey % 90 >= 1)
+SELECT track_id, title_norm, lower(unnest(names)) AS artist_norm, array_to_string(names, '|') AS artists, album_name FROM t""")
+def built_catalog(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    tracks = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("track_id"), F.col("p_name").alias("name"), F.col("p_size").alias("album_id"), F.lit(200_000).alias("duration_ms"), (F.col("p_partkey") % 90).alias("popularity"))
+    credits = lines.groupBy(F.col("l_partkey").alias("track_id"), F.col("l_suppkey").alias("artist_id")).agg(F.min(F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"))
+    artists = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("artist_id"), F.col("s_name").alias("name"))
+    albums = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("album_id"), F.col("n_name").alias("album_name"), F.lit("Album").alias("album_type"))
+    found = catalog.built_catalog(tracks, credits, artists, albums, 1)
+    return found.select("track_id", "title_norm", "artist_norm", F.array_join("artist_names", "|").alias("artists"), "album_name")
+
+
+@query(f"""WITH {MORNING_SQL}, f AS (SELECT p_partkey * 10 + 1 AS track_id, p_retailprice AS tempo, ['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'][p_size % 12 + 1] || CASE WHEN p_partkey % 2 = 1 THEN ' major' ELSE ' minor' END AS musical_key FROM part),
+i AS (SELECT p_partkey * 10 + 1 AS track_id, CASE WHEN p_size % 3 = 0 THEN 'u300' WHEN p_size % 3 = 1 THEN 'u640' END AS image_url FROM part)
+SELECT id, j.track_id, phase, tempo, musical_key, image_url FROM joined j LEFT JOIN f USING (track_id) LEFT JOIN i USING (track_id) WHERE j.track_id IS NULL OR nth = 1""")
+def enriched_catalog(spark, sf_dir):
+    found = resolved_catalog(spark, sf_dir)
+    part = table(spark, sf_dir, "part").withColumn("track_id", F.col("p_partkey") * 10 + 1)
+    features = part.select("track_id", F.col("p_retailprice").alias("tempo"), (F.col("p_size") % 12).alias("key"), (F.col("p_partkey") % 2).alias("mode"))
+    widths = F.when(F.col("p_size") % 3 == 0, F.array(F.lit(64), F.lit(300), F.lit(640))).when(F.col("p_size") % 3 == 1, F.array(F.lit(64), F.lit(640), F.lit(900))).otherwise(F.array(F.lit(64)))
+    images = part.select("track_id", F.explode(widths).alias("width")).withColumn("url", F.concat(F.lit("u"), "width"))
+    return catalog.with_features(found, features, ranking.image_for(images, "track_id")).select("id", "track_id", "phase", "tempo", "musical_key", "image_url")
+
+
+LOST_SQL = """lost AS (SELECT p_partkey AS id, CASE p_partkey % 7 WHEN 0 THEN p_name || ' (radio edit)' WHEN 1 THEN p_name WHEN 2 THEN substr(p_name, 5) WHEN 3 THEN '12. ' || p_name WHEN 4 THEN p_name || 's' WHEN 5 THEN 'unknown words' ELSE p_name || ' - live' END AS title_norm,
+CASE p_partkey % 7 WHEN 1 THEN lower(p_brand) || ', other' ELSE lower(p_brand) END AS artist_norm FROM part)"""
+
+
+@query(f"""WITH {LOST_SQL}, k AS (SELECT DISTINCT p_name AS t, lower(p_brand) AS a FROM part),
+r AS (SELECT id, title_norm, artist_norm, regexp_replace(regexp_replace(title_norm, {literal(fixed.VERSION_SUFFIX)}, ''), {literal(fixed.VERSION_DASH)}, '') AS stripped, trim(split_part(artist_norm, ',', 1)) AS first, regexp_replace(title_norm, {literal(fixed.TRACK_NUMBER)}, '') AS plain FROM lost),
+s AS (SELECT id, CASE WHEN stripped <> title_norm AND EXISTS (SELECT 1 FROM k WHERE t = stripped AND a = artist_norm) THEN 'suffix' WHEN first <> artist_norm AND EXISTS (SELECT 1 FROM k WHERE t = title_norm AND a = first) THEN 'primary_artist'
+ WHEN NOT starts_with(title_norm, 'the ') AND EXISTS (SELECT 1 FROM k WHERE t = 'the ' || title_norm AND a = artist_norm) THEN 'the_prefix' WHEN plain <> title_norm AND EXISTS (SELECT 1 FROM k WHERE t = plain AND a = artist_norm) THEN 'track_number'
+ ELSE (SELECT CASE WHEN max(v) >= 0.95 THEN 'fuzzy_95' WHEN max(v) >= 0.90 THEN 'fuzzy_90' WHEN max(v) >= 0.85 THEN 'fuzzy_85' END FROM (SELECT 1 - levenshtein(r.title_norm, t) / CAST(greatest(strlen(r.title_norm), strlen(t)) AS DOUBLE) AS v FROM k WHERE a = r.artist_norm)) END AS strategy FROM r)
+SELECT coalesce(strategy, 'not_found') AS strategy, count(*) AS rows FROM s GROUP BY 1""")
+def recovery_strategies(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    name, brand, kind = F.col("p_name"), F.lower("p_brand"), F.col("p_partkey") % 7
+    title = F.when(kind == 0, F.concat(name, F.lit(" (radio edit)"))).when(kind == 1, name).when(kind == 2, F.substring(name, 5, 1000)).when(kind == 3, F.concat(F.lit("12. "), name)).when(kind == 4, F.concat(name, F.lit("s"))).when(kind == 5, "unknown words")
+    lost = part.select(F.col("p_partkey").alias("id"), title.otherwise(F.concat(name, F.lit(" - live"))).alias("title_norm"), F.when(kind == 1, F.concat(brand, F.lit(", other"))).otherwise(brand).alias("artist_norm"))
+    return failures.strategy_counts(lost, part.select(name.alias("title_norm"), brand.alias("artist_norm")))
+
+
+@query(f"""WITH {SONGS_SQL}, o AS (SELECT title, title_norm, lower(title) AS old FROM songs)
+SELECT CASE WHEN regexp_matches(title, {literal(fixed.TITLE_PREFIXES[2][0])}) OR regexp_matches(title, '^[0-9]') AND regexp_matches(old, '^[0-9]') AND NOT regexp_matches(title_norm, '^[0-9]') AND title_norm <> '' THEN 'track_number'
+WHEN regexp_matches(title, {literal(fixed.TITLE_SUFFIXES[0])}) THEN 'bracket' WHEN regexp_matches(title, {literal(fixed.TITLE_PREFIXES[0][0])}) THEN 'extension' WHEN regexp_matches(title, {literal(fixed.TITLE_SUFFIXES[1])}) THEN 'year'
+WHEN contains(title, '?') OR contains(title, ' s ') OR contains(title, ' t ') THEN 'encoding' ELSE 'other' END AS kind, count(*) AS rows FROM o WHERE title_norm <> old GROUP BY 1""")
+def normalization_changes(spark, sf_dir):
+    kind = failures.change_kind(F.col("title"), F.lower("title"), F.col("title_norm"))
+    return plain_songs(spark, sf_dir).withColumn("kind", kind).where("kind is not null").groupBy("kind").agg(F.count("*").alias("rows"))
+
+
+@query(f"""WITH {SONGS_SQL} SELECT id, trim({sql_replace(sql_replace("lower(regexp_replace(regexp_replace(artist, '(?i)[[:space:]]+(?:feat[.]?|ft[.]?|featuring|with|&|,|;|/)[[:space:]]+.*', ''), '(?i)[[:space:]]+(?:band|orchestra|ensemble|quartet|trio)$', ''))", chr(92) + "s+", " "), fixed.DEDUP_KEY_MARKS)}) AS artist_key FROM songs""")
+def artist_keys(spark, sf_dir):
+    songs = part_songs(spark, sf_dir)
+    return songs.select("id", F.substring_index(T.dedup_key(F.col("title"), F.col("artist")), ":", 1).alias("artist_key"))
+
+
+@query("SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total, (SELECT count(*) FROM orders) > 120 AS has_more FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 40 OFFSET 80")
+def counted_page(spark, sf_dir):
+    return search.counted_page(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], 40, 80)
+
+
+@query("""WITH t AS (SELECT p_partkey AS id, 'p_name' AS field, unnest(string_split(lower(p_name), ' ')) AS token FROM part UNION ALL SELECT p_partkey, 'p_type', unnest(string_split(lower(p_type), ' ')) FROM part),
+l AS (SELECT id, count(*) AS len FROM t GROUP BY 1), f AS (SELECT id, token, sum(CASE WHEN field = 'p_name' THEN 10.0 ELSE 1.0 END) AS tf FROM t WHERE token IN ('small', 'promo', 'widget') GROUP BY 1, 2),
+d AS (SELECT token, count(*) AS df FROM f GROUP BY 1), n AS (SELECT count(*) AS n, avg(len) AS mean FROM l)
+SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM f JOIN d USING (token) JOIN l USING (id), n GROUP BY 1""")
+def weighted_search(spark, sf_dir):
+    index = written(search.postings(table(spark, sf_dir, "part"), "p_partkey", ["p_name", "p_type"]), "postings")
+    return search.bm25(index, "small promo widget", weights={"p_name": 10.0, "p_type": 1.0}).select("id", F.round("score", 6).alias("score"))
+
+
+# Upserts of songs.
+
+
+@query("""WITH o AS (SELECT c_custkey, c_mktsegment AS album, c_acctbal AS bpm, 'old' AS bpm_source, c_name AS created FROM customer WHERE c_acctbal < 7000),
+n AS (SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 'new' ELSE '' END AS album, CASE WHEN c_nationkey % 3 = 0 THEN 0.0 WHEN c_nationkey % 3 = 1 THEN 99.0 END AS bpm, CASE WHEN c_nationkey % 3 = 1 THEN 'fresh' END AS bpm_source, 'later' AS created FROM customer WHERE c_acctbal > 3000)
+SELECT c_custkey, CASE WHEN coalesce(n.album, '') <> '' THEN n.album ELSE o.album END AS album, CASE WHEN coalesce(n.bpm, 0) <> 0 THEN n.bpm ELSE o.bpm END AS bpm,
+CASE WHEN coalesce(n.bpm, 0) <> 0 THEN n.bpm_source ELSE o.bpm_source END AS bpm_source, coalesce(o.created, n.created) AS created FROM o FULL JOIN n USING (c_custkey)""")
+def song_upsert(spark, sf_dir):
+    c, nation = table(spark, sf_dir, "customer"), F.col("c_nationkey")
+    old = c.where("c_acctbal < 7000").select("c_custkey", F.col("c_mktsegment").alias("album"), F.col("c_acctbal").alias("bpm"), F.lit("old").alias("bpm_source"), F.col("c_name").alias("created"))
+    new = c.where("c_acctbal > 3000").select("c_custkey", F.when(nation % 2 == 0, "new").otherwise("").alias("album"), F.when(nation % 3 == 0, 0.0).when(nation % 3 == 1, 99.0).alias("bpm"), F.when(nation % 3 == 1, "fresh").alias("bpm_source"), F.lit("later").alias("created"))
+    return merge.upserted(old, new, ["c_custkey"], {"album": "take_set", "bpm": "take_set", "bpm_source": "with:bpm", "created": "first"})
+
+
+# Lyrics: a conversation's turns are the lines of a song, the words of orders its timed words.
+
+LRC_SQL = """l AS (SELECT conv_id AS song_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS i, CASE WHEN role = 'assistant' AND turn % 4 = 1 THEN '' ELSE role || ' says ' || turn END AS text FROM conversations),
+s AS (SELECT *, '[' || lpad(CAST(i // 6 AS VARCHAR), 2, '0') || ':' || lpad(CAST(i % 6 * 10 AS VARCHAR), 2, '0') || '.50]' AS stamp, i * 10 + 0.5 AS at_s FROM l)"""
+
+
+def turn_lyrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("conv_id").orderBy("turn", "role")
+    text = F.when((F.col("role") == "assistant") & (F.col("turn") % 4 == 1), "").otherwise(F.concat("role", F.lit(" says "), "turn"))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("song_id"), (F.row_number().over(order) - 1).alias("i"), text.alias("text"))
+    stamp = F.format_string("[%02d:%02d.50]", F.floor(F.col("i") / 6), F.col("i") % 6 * 10)
+    lines = rows.groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("i", F.concat(stamp, F.col("text")).alias("t")))).alias("x"))
+    return lines.select("song_id", F.array_join(F.transform("x", lambda x: x["t"]), "\n").alias("lrc"))
+
+
+@query(f"""WITH {LRC_SQL}, k AS (SELECT * FROM (SELECT *, lag(text) OVER (PARTITION BY song_id ORDER BY i) AS b FROM s) WHERE text <> '' OR coalesce(b, 'x') <> '')
+SELECT song_id, row_number() OVER (PARTITION BY song_id ORDER BY i) - 1 AS line_idx, text, CAST(at_s AS DOUBLE) AS start_s, CAST(coalesce(lead(at_s) OVER (PARTITION BY song_id ORDER BY i), at_s + 5) AS DOUBLE) AS end_s FROM k""")
+def parsed_lyrics(spark, sf_dir):
+    found = timeline.parsed_lines(turn_lyrics(spark, sf_dir))
+    return found.select("song_id", F.col("line_idx").cast("long").alias("line_idx"), "text", "start_s", "end_s")
+
+
+@query(f"""WITH {LRC_SQL}, n AS (SELECT *, CASE WHEN text <> '' THEN count(*) FILTER (text <> '') OVER (PARTITION BY song_id ORDER BY i) - 1 END AS line_idx FROM s),
+g AS (SELECT *, CASE WHEN line_idx % 2 = 0 THEN line_idx * 7000 + 40 END AS own FROM n),
+m AS (SELECT *, CASE WHEN own IS NOT NULL THEN 50 * k + greatest(0, max(own - 50 * k) OVER (PARTITION BY song_id ORDER BY i)) ELSE CAST(at_s * 1000 AS BIGINT) END AS ms FROM (SELECT *, CASE WHEN own IS NOT NULL THEN count(own) OVER (PARTITION BY song_id ORDER BY i) END AS k FROM g)),
+f AS (SELECT song_id, i, text, stamp, ms, line_idx, own, lpad(CAST(ms // 60000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(ms % 60000 // 1000 AS VARCHAR), 2, '0') || '.' || lpad(CAST(ms % 1000 // 10 AS VARCHAR), 2, '0') AS told,
+ lpad(CAST((ms + 400) // 60000 AS VARCHAR), 2, '0') || ':' || lpad(CAST((ms + 400) % 60000 // 1000 AS VARCHAR), 2, '0') || '.' || lpad(CAST((ms + 400) % 1000 // 10 AS VARCHAR), 2, '0') AS second, string_split(text, ' ') AS w FROM m)
+SELECT song_id, string_agg(CASE WHEN text = '' THEN stamp WHEN own IS NULL THEN '[' || told || '] ' || text ELSE '[' || told || '] ' || w[1] || ' <' || second || '>' || w[2] || ' ' || w[3] END, chr(10) ORDER BY i) AS lrc FROM f GROUP BY 1""")
+def enhanced_lyrics(spark, sf_dir):
+    songs = written(turn_lyrics(spark, sf_dir), "lyrics")
+    lines = timeline.parsed_lines(songs).where("text <> ''")
+    numbered = lines.select("song_id", (F.row_number().over(Window.partitionBy("song_id").orderBy("line_idx")) - 1).alias("line_idx")).where("line_idx % 2 = 0")
+    starts = numbered.select("song_id", "line_idx", (F.col("line_idx") * 7000 + 40).alias("start_ms"))
+    words = numbered.select("song_id", "line_idx", F.expr("explode(array(named_struct('word_idx', 0, 'offset_ms', 0), named_struct('word_idx', 1, 'offset_ms', 400)))").alias("w")).select("song_id", "line_idx", "w.*")
+    return timeline.enhanced_lrc(songs, starts, words)
+
+
+@query(f"""WITH {LRC_SQL}, k AS (SELECT song_id, i, text, at_s, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS word_idx FROM s WHERE text <> '' AND i % 3 <> 1)
+SELECT song_id, i AS line_idx, word_idx, word AS text, CAST(at_s + CASE word_idx WHEN 1 THEN 0.25 ELSE 0 END AS DOUBLE) AS start_s, CAST(at_s + CASE word_idx WHEN 0 THEN 0.1 WHEN 1 THEN 0.75 ELSE 0 END AS DOUBLE) AS end_s FROM k""")
+def enhanced_words(spark, sf_dir):
+    order = Window.partitionBy("conv_id").orderBy("turn", "role")
+    text = F.when((F.col("role") == "assistant") & (F.col("turn") % 4 == 1), "").otherwise(F.concat("role", F.lit(" says "), "turn"))
+    lines = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("song_id"), (F.row_number().over(order) - 1).cast("long").alias("line_idx"), text.alias("text")).withColumn("start_s", F.col("line_idx") * 10 + 0.5)
+    timed = F.expr("explode(array(named_struct('word_idx', 0, 'offset_ms', -20, 'duration_ms', 100), named_struct('word_idx', 1, 'offset_ms', 250, 'duration_ms', 500)))").alias("w")
+    words = lines.where("line_idx % 3 <> 1").select("song_id", "line_idx", timed).select("song_id", "line_idx", "w.*")
+    found = timeline.enhanced_words(lines, words)
+    return found.withColumn("word_idx", F.col("word_idx").cast("long"))
+
+
+@query(f"""WITH {WORDS_SQL} SELECT l_orderkey AS song_id, l_linenumber AS word_idx, CAST(lead(l_linenumber * 100) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - l_linenumber * 100 AS BIGINT) AS duration_ms FROM li""")
+def word_timings(spark, sf_dir):
+    words = line_words(spark, sf_dir).select(F.col("l_orderkey").alias("song_id"), F.lit(0).alias("line_idx"), F.col("l_linenumber").alias("word_idx"), (F.col("l_linenumber") * 100).cast("long").alias("start_ms"))
+    return timeline.word_timings(words).select("song_id", "word_idx", "duration_ms")
+
+
+@query(f"""WITH {WORDS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM li) SELECT l_orderkey AS song_id, CAST(floor(median(l_quantity) + 0.5) AS BIGINT) AS offset_ms FROM o WHERE n <= 8 GROUP BY 1""")
+def global_offsets(spark, sf_dir):
+    matches = line_words(spark, sf_dir).select(F.col("l_orderkey").alias("song_id"), F.lit(0).alias("line_idx"), F.col("l_linenumber").alias("word_idx"), F.col("l_quantity").alias("offset_ms"))
+    return timeline.global_offset(matches, "song_id")
+
+
+@query(f"""WITH {WORDS_SQL}, b AS (SELECT l_orderkey AS song_id, l_linenumber * 480 AS tick, CASE WHEN l_quantity >= 10 THEN CAST(CAST(l_quantity AS BIGINT) // 20 AS VARCHAR) END AS chord FROM li),
+c AS (SELECT * FROM (SELECT *, lag(chord) OVER (PARTITION BY song_id ORDER BY tick) AS p FROM b WHERE chord IS NOT NULL) WHERE p IS NULL OR p <> chord)
+SELECT song_id, tick, chord, coalesce(lead(tick) OVER (PARTITION BY song_id ORDER BY tick) - tick, 0) AS ticks FROM c""")
+def explicit_chords(spark, sf_dir):
+    chord = F.when(F.col("l_quantity") >= 10, F.floor(F.col("l_quantity").cast("long") / 20).cast("string"))
+    beats = line_words(spark, sf_dir).select(F.col("l_orderkey").alias("song_id"), (F.col("l_linenumber") * 480).alias("tick"), chord.alias("chord"))
+    return timeline.explicit_chords(beats).select("song_id", "tick", "chord", "ticks")
+
+
+@query(f"""WITH {WORDS_SQL}, a AS (SELECT l_orderkey AS song_id, l_linenumber * 1000 AS f, l_linenumber * 1000 + CAST(l_quantity AS INT) * 10 AS t, lead(l_linenumber * 1000) OVER w AS nf, lead(l_linenumber * 1000 + CAST(l_quantity AS INT) * 10) OVER w AS nt FROM li WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)),
+p AS (SELECT DISTINCT song_id, unnest([500, 1500, 2250, 9500]) AS at_ms FROM a),
+x AS (SELECT p.song_id, at_ms, coalesce(max(f) FILTER (f <= at_ms), min(f)) AS f FROM p JOIN a USING (song_id) GROUP BY 1, 2)
+SELECT x.song_id, at_ms, CASE WHEN at_ms >= x.f AND nf IS NOT NULL THEN t + (at_ms - x.f) * (nt - t) / CAST(nf - x.f AS DOUBLE) ELSE at_ms + t - x.f END AS mapped_ms FROM x JOIN a ON a.song_id = x.song_id AND a.f = x.f""")
+def piecewise_times(spark, sf_dir):
+    anchors = line_words(spark, sf_dir).select(F.col("l_orderkey").alias("song_id"), (F.col("l_linenumber") * 1000).alias("from_ms"), (F.col("l_linenumber") * 1000 + F.col("l_quantity").cast("int") * 10).alias("to_ms"))
+    points = anchors.select("song_id").distinct().withColumn("at_ms", F.explode(F.array(*map(F.lit, (500, 1500, 2250, 9500)))))
+    return timeline.piecewise(points, anchors, "song_id", "at_ms").select("song_id", "at_ms", F.col("mapped_ms").cast("double").alias("mapped_ms"))
+
+
+@query("""WITH c AS (SELECT p_partkey, p_name, p_size, ['major', 'minor', 'dim', 'dom7', 'min7'][p_partkey % 5 + 1] AS q, ['', 'm', 'dim', '7', 'm7'][p_partkey % 5 + 1] AS s, ['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'] AS k FROM part)
+SELECT p_partkey, k[p_size % 12 + 1] || s AS extracted, k[p_size % 12 + 1] || s || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '/' || k[(p_size + 7) % 12 + 1] END AS named,
+CASE WHEN p_partkey >= 1000 THEN printf('%.2fK', p_partkey / 1000.0) ELSE CAST(p_partkey AS VARCHAR) END AS number, (p_partkey // 60) || 'm ' || (p_partkey % 60) || 's' AS duration FROM c""")
+def chord_and_number_names(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    names = F.array(*map(F.lit, fixed.SHARPS))
+    quality = F.get(F.array(*map(F.lit, fixed.CHORD_QUALITIES)), (F.col("p_partkey") % 5).cast("int"))
+    suffix = F.get(F.array(*map(F.lit, fixed.CHORD_QUALITIES.values())), (F.col("p_partkey") % 5).cast("int"))
+    base = F.get(names, F.col("p_size") % 12)
+    bass = F.when(F.col("p_partkey") % 3 == 0, base).otherwise(F.get(names, (F.col("p_size") + 7) % 12))
+    return part.select("p_partkey", T.extracted_chord(F.col("p_size"), quality).alias("extracted"), T.chord_name(base, suffix, bass).alias("named"), T.format_number(F.col("p_partkey")).alias("number"), T.format_duration(F.col("p_partkey")).alias("duration"))
+
+
+@query()
+def gate_replay(spark, sf_dir):
+    """Model starts that energy confirms, over users' events; held against a plain loop in the tests."""
+    e = user_events(spark, sf_dir).withColumn("p", F.least(F.lit(1.0), F.col("value") / 60)).withColumn("energy", (F.col("event_type") == "view").cast("int"))
+    return detectors.replayed(e, detectors.Gate, "user_id", "at", "p", "energy", wait=86_400_000.0).select("key", "at_ms", "fired")

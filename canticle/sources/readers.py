@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,10 +44,38 @@ def bracket_chords(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"text": text, "chords": chords})
 
 
+NOTES = "file string, part string, measure int, position long, ticks long, step string, lyric string, syllabic string"
+
+
+def notes_of(file: str, score: bytes) -> list[tuple]:
+    """The notes of a score by a cursor for each part: ``backup`` and ``forward`` move it, notes of a chord share their start."""
+    found = []
+    for part in ElementTree.fromstring(score).iter("part"):
+        at = start = 0
+        for bar in part.iter("measure"):
+            for x in bar:
+                ticks = int(x.findtext("duration") or 0)
+                if x.tag == "backup":
+                    at -= ticks
+                elif x.tag == "forward":
+                    at += ticks
+                elif x.tag == "note":
+                    if x.find("chord") is None:
+                        start, at = at, at + ticks
+                    lyric = x.find("lyric")
+                    sung = (None, None) if lyric is None else (lyric.findtext("text"), lyric.findtext("syllabic"))
+                    number = "".join(c for c in bar.get("number") or "" if c.isdigit())
+                    found.append((file, part.get("id"), int(number) if number else None, start, ticks, x.findtext("pitch/step"), *sung))
+    return found
+
+
 def musicxml_notes(spark: SparkSession, path: str) -> DataFrame:
-    """(file, measure, position, ticks, pitch, lyric) of a score: the built-in XML source, and running sums for positions."""
-    rows = spark.read.format("xml").option("rowTag", "measure").load(path).withColumn("file", F.input_file_name())
-    notes = rows.select("file", F.col("_number").cast("int").alias("measure"), F.posexplode("note").alias("n", "note"))
-    order = Window.partitionBy("file").orderBy("measure", "n")
-    start = F.coalesce(F.sum("note.duration").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return notes.select("file", "measure", start.alias("position"), F.col("note.duration").alias("ticks"), F.col("note.pitch.step").alias("step"), F.col("note.lyric.text").alias("lyric"))
+    """(file, part, measure, position, ticks, step, lyric, syllabic) of scores, positions in ticks from the part's beginning. Order of
+    elements decides, so a file is read whole; files are spread over tasks."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [row for path, content in zip(frame["path"], frame["content"], strict=True) for row in notes_of(path, content)]
+            yield pd.DataFrame(rows, columns=[field.split()[0] for field in NOTES.split(", ")])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, NOTES)

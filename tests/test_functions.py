@@ -141,3 +141,15 @@ def test_tests_ahead_of_patterns_change_nothing(spark):
         got = T.with_norms(rows, artist_context=context).select("title", "title_norm", T.folded_title(T.cleaned_title(F.col("title"), norm)).alias("want"))
         assert [tuple(r) for r in got.where("title_norm <> want").collect()] == []
     assert {T.kind_of(p) for p in fixed.TITLE_PATTERNS} == {"bracket", "dash", "credit", "other"}
+
+
+def test_places_in_proportion(spark):
+    rows = [(0, "abcd", "ab cd ef", 0), (2, "abcd", "ab   cd", 5), (3, "abcd", "a      b", 7), (1, "ab", "a b", 2), (9, "ab", "xyz", 2), (1, "", "", None), (2, "abcd", "a" + " " * 20, 11)]
+    got = spark.createDataFrame(rows, "at int, source string, target string, want int").select("want", T.proportional_index(F.col("at"), F.col("source"), F.col("target")).alias("got"))
+    assert all(r.got == r.want for r in got.collect()), got.collect()
+
+
+def test_dedup_keys(spark):
+    rows = [("Song - 2011 Remaster", "Ann feat. Bob", "ann:song"), ("It's  Here!", "The Fox Band", "the fox:its here"), ("A", "X & Y", "x:a"), ("A", "Simon, Paul", "simon paul:a")]
+    got = spark.createDataFrame(rows, "t string, a string, want string").select("want", T.dedup_key(F.col("t"), F.col("a")).alias("got"))
+    assert all(r.got == r.want for r in got.collect())

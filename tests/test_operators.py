@@ -272,6 +272,42 @@ def test_sources_and_sinks(spark, tmp_path):
     assert readers.sampled(rows, 2, "detail").count() == 2
     score = f"{tmp_path}/score.xml"
     with open(score, "w") as out:
-        out.write('<score><part><measure number="1"><note><pitch><step>C</step></pitch><duration>2</duration><lyric><text>la</text></lyric></note><note><pitch><step>D</step></pitch><duration>3</duration></note></measure><measure number="2"><note><pitch><step>E</step></pitch><duration>1</duration></note><note><pitch><step>F</step></pitch><duration>1</duration></note></measure></part></score>')
+        out.write('<score><part id="P1"><measure number="1"><note><pitch><step>C</step></pitch><duration>2</duration><lyric><text>la</text></lyric></note><note><pitch><step>D</step></pitch><duration>3</duration></note></measure><measure number="2"><note><pitch><step>E</step></pitch><duration>1</duration></note><note><pitch><step>F</step></pitch><duration>1</duration></note></measure></part></score>')
     notes = readers.musicxml_notes(spark, score).orderBy("position").collect()
     assert [(n.measure, n.position, n.step) for n in notes] == [(1, 0, "C"), (1, 2, "D"), (2, 5, "E"), (2, 6, "F")]
+
+
+def test_musicxml_cursor(spark, tmp_path):
+    from canticle.sources import readers
+
+    note = lambda step, ticks, more="": f"<note>{more}<pitch><step>{step}</step></pitch><duration>{ticks}</duration></note>"
+    parts = "".join(f'<part id="{p}"><measure number="1">{body}</measure><measure number="2">{note("G", 1)}</measure></part>' for p, body in (
+        ("P1", note("C", 4) + note("E", 4, "<chord/>") + "<backup><duration>2</duration></backup>" + note("D", 1) + "<forward><duration>3</duration></forward>" + note("F", 2)), ("P2", note("A", 2))))
+    with open(f"{tmp_path}/a.xml", "w") as out:
+        out.write(f"<score>{parts}</score>")
+    got = [(n.part, n.measure, n.position, n.step) for n in readers.musicxml_notes(spark, str(tmp_path)).collect()]
+    assert got == [("P1", 1, 0, "C"), ("P1", 1, 0, "E"), ("P1", 1, 2, "D"), ("P1", 1, 6, "F"), ("P1", 2, 8, "G"), ("P2", 1, 0, "A"), ("P2", 2, 2, "G")]
+
+
+def test_settings_and_first_inserts(spark):
+    both = spark.createDataFrame([('{"a": "1", "b": "x"}', '{"b": "y", "c": "2"}'), (None, '{"k": "v"}'), ('{"a": "1"}', "not json")], "old string, new string")
+    assert [r[0] for r in both.select(merge.merged_settings(F.col("old"), F.col("new"))).collect()] == ['{"a":"1","b":"y","c":"2"}', '{"k":"v"}', '{"a":"1"}']
+    old = spark.createDataFrame([(1, "p", None)], "k int, payload string, by string")
+    new = spark.createDataFrame([(1, None, "me"), (2, "q", "me")], "k int, payload string, by string")
+    assert rows_of(merge.upserted(old, new, ["k"], {"payload": "new", "by": "first"}), "k", "payload", "by") == [(1, None, None), (2, "q", "me")]
+
+
+def test_enhanced_lrc_text(spark):
+    songs = spark.createDataFrame([(1, "[ar:X]\n[00:01.00] one two\n[00:02.00]\n[00:03.500] three  four\n[00:04.00] five")], "song_id long, lrc string")
+    starts = spark.createDataFrame([(1, 0, 1200), (1, 1, 1210)], "song_id long, line_idx int, start_ms long")
+    words = spark.createDataFrame([(1, 0, 0, 0), (1, 0, 1, 400), (1, 1, 0, 30)], "song_id long, line_idx int, word_idx int, offset_ms int")
+    got = timeline.enhanced_lrc(songs, starts, words).first().lrc.split("\n")
+    assert got == ["[ar:X]", "[00:01.20] one <00:01.60>two", "[00:02.00]", "[00:01.25] <00:01.28>three four", "[00:04.00] five"]
+
+
+def test_popularity_rank_keeps_nulls_and_equals(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.choice([None, 1, 2]), rng.choice([None, 5, 5, 7])) for k in range(300)]
+    got = {r.id: r.search_id for r in resolve.popularity_rank(spark.createDataFrame(rows, "id int, popularity int, quality int")).collect()}
+    order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[2] is None, -(r[2] or 0), r[0]))
+    assert got == {r[0]: n for n, r in enumerate(order, 1)}
