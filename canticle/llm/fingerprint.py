@@ -8,8 +8,8 @@ Agreement of two fingerprints is corrected for values that agree by chance, one
 
 Defined results: a text without words (null, empty, white space) has the empty fingerprint, whose likeness is 1 to
 another empty one and 0 to any other. Fewer words than a shingle make one shingle. In :func:`with_next`, rows without id
-come after all others, ties are ordered by text, and a single row is its own successor. Empty tables give empty
-results.
+come after all others, ties are ordered by text, and a single row is its own successor; extra columns pass unchanged, whatever
+their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,13 +20,14 @@ from pyspark.sql import functions as F
 from canticle.llm.quality import shingle_hashes, words_of
 from canticle.plans.cut import written
 from canticle.plans.expr import let
+from canticle.plans.names import restored, whole_row
 
 BIN_BITS, LOW_BITS, WIDTH = 7, 8, 5
 BINS = 1 << BIN_BITS
 SHIFT = 64 - BIN_BITS
 LAST = (1 << 63) - 1
-#: Rows of one bucket of :func:`with_next`, and the most buckets.
-BUCKET_ROWS, BUCKETS = 512, 16_384
+#: Rows of one bucket of :func:`with_next`; ids are cut in up to ``CUTS`` ranges, each of them in up to ``CUTS`` buckets.
+BUCKET_ROWS, CUTS, STRETCH = 512, 1024, 32
 
 
 def minima(hashes: Column) -> Column:
@@ -68,45 +69,50 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(empty, F.when(F.size(a) == F.size(b), 1.0).otherwise(0.0)).otherwise(found)
 
 
-def cut_points(ids: DataFrame, rows: int, most: int) -> list[int]:
-    """Ids that cut a table into buckets of about ``rows`` rows, ``most`` buckets at most."""
-    n = ids.count()
-    buckets = min(most, -(-n // rows))
+def cuts_of(id_: Column, buckets: int) -> Column:
+    """An aggregate: ids that cut a group of rows into ``buckets`` buckets of like size, in stretches of ``STRETCH``."""
     if buckets < 2:
-        return []
-    shares = [k / buckets for k in range(1, buckets)]
-    found = ids.agg(F.percentile_approx("_id", F.array(*map(F.lit, shares)), F.lit(10 * buckets))).first()[0]
-    return sorted(set(found))
+        return F.array().cast("array<array<bigint>>")
+    shares = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
+    cuts = F.array_sort(F.array_distinct(F.percentile_approx(id_, shares, F.lit(10 * buckets))))
+    return let(cuts, lambda c: F.transform(F.sequence(F.lit(0), F.floor((F.size(c) - 1) / STRETCH).cast("int")), lambda k: F.slice(c, k * STRETCH + 1, F.lit(STRETCH))))
 
 
-def bucket_of(id_: Column, cuts: list[int]) -> Column:
-    """How many cut points are at most ``id_``: coarse among every k-th, then fine inside that stretch."""
-    if not cuts:
-        return F.lit(0)
-    k = max(1, int(len(cuts) ** 0.5))
-    literal = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    stretches = [cuts[at : at + k] for at in range(0, len(cuts), k)]
-    below = lambda xs: F.size(F.filter(xs, lambda c: c <= id_))
-    coarse = below(literal([s[0] for s in stretches]))
-    return let(coarse, lambda s: F.when(s == 0, 0).otherwise((s - 1) * k + below(F.get(F.array(*map(literal, stretches)), s - 1))))
+def bucket_of(id_: Column, cuts: Column) -> Column:
+    """How many cut points are at most ``id_``: first among the stretches' beginnings, then inside one stretch."""
+    begun = F.size(F.filter(cuts, lambda s: s[0] <= id_))
+    return let(begun, lambda k: F.when(k == 0, 0).otherwise((k - 1) * STRETCH + F.size(F.filter(F.get(cuts, k - 1), lambda c: c <= id_))))
 
 
-def with_next(rows: DataFrame, id_col: str, text_col: str, carry: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def with_next(rows: DataFrame, id_col: str, text_col: str, carry: list[str], bucket_rows: int = BUCKET_ROWS, cuts: int = CUTS) -> DataFrame:
     """``rows`` with ``next_<c>`` for each column of ``carry``: its value in the next row by ascending id, the last
-    row's next being the first. Rows are dealt into id ranges; the first row of each range is also sent to the range
-    before it, so no window spans the table."""
+    row's next being the first.
+
+    Rows are dealt into id ranges (a table of at most ``cuts`` rows) and these into buckets of about ``bucket_rows`` rows, so buckets
+    grow with the table up to ``cuts`` squared; the first row of each is also sent to the bucket before it, so no window spans the
+    table.
+    """
     spark = rows.sparkSession
-    marked = rows.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).withColumn("_h", F.xxhash64(text_col))
-    cuts = cut_points(marked.select("_id"), bucket_rows, BUCKETS)
-    dealt = marked.withColumn("_bucket", bucket_of(F.col("_id"), cuts))
+    marked = rows.select(whole_row(rows).alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_id"), F.xxhash64(text_col).alias("_h"))
+    ids = marked.select("_id")
+    buckets = -(-ids.count() // bucket_rows)
+    wide = max(1, min(cuts, -(-buckets // cuts)))
+    coarse = ids.agg(cuts_of(F.col("_id"), wide).alias("c")).first()["c"]  # cuts numbers at most
+    literal = F.array(*[F.array(*[F.lit(x).cast("long") for x in some]) for some in coarse])
+    range_ = bucket_of(F.col("_id"), literal) if coarse else F.lit(0)
+    ranged = marked.withColumn("_range", range_.cast("int"))
+    fine = written(ranged.groupBy("_range").agg(cuts_of(F.col("_id"), max(1, min(cuts, -(-buckets // wide)))).alias("_cuts")), "cuts")
+    inner = F.when(F.size("_cuts") > 0, bucket_of(F.col("_id"), F.col("_cuts"))).otherwise(0)
+    dealt = ranged.join(F.broadcast(fine), "_range").withColumn("_bucket", (F.col("_range") * cuts + inner).cast("int")).drop("_range", "_cuts")
     firsts = sorted(dealt.groupBy("_bucket").agg(F.min(F.struct("_id", "_h")).alias("f")).collect())  # a row a bucket
     known = [(b, f["_id"], f["_h"], firsts[k - 1]["_bucket"]) for k, (b, f) in enumerate(firsts)]
     starts = F.broadcast(spark.createDataFrame(known, "_bucket int, _id long, _h long, _before int"))
     twice = F.array(F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("copy")), F.struct(F.col("_before").alias("b"), F.lit(1).alias("copy")))
     sent = dealt.join(starts, ["_bucket", "_id", "_h"], "left").withColumn("_to", F.explode(F.filter(twice, lambda x: x["b"].isNotNull())))
     order = Window.partitionBy("_to.b").orderBy("_to.copy", "_id", "_h")
-    out = sent.withColumns({f"next_{c}": F.lead(c).over(order) for c in carry}).where("_to.copy = 0")
-    return out.select(*rows.columns, *[f"next_{c}" for c in carry])
+    after = [F.lead(F.col(f"_row.`{c}`")).over(order).alias(f"next_{c}") for c in carry]
+    out = sent.select("_row", "_to", *after).where("_to.copy = 0")
+    return out.select(*restored(rows.drop(*[f"next_{c}" for c in carry]), "_row"), *[f"next_{c}" for c in carry])
 
 
 def edited_text(text: Column, after: Column) -> Column:

@@ -85,6 +85,18 @@ def test_fingerprints_estimate_jaccard(spark, documents):
         assert texts.setdefault(t, got[d]["print"]) == got[d]["print"]
 
 
+def test_successors_over_ranges_and_buckets(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([None, rng.randint(0, 5000)]), f"t{k}", "own", k % 3) for k in range(900)] + [(7, "same", "own", 0)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, t string, _row string, _bucket int")
+    want = sorted((d is None, d or 0, t) for d, t, _, _ in rows)
+    for bucket_rows, cuts in ((5, 8), (5, 1024), (1, 40), (10_000, 4)):
+        got = fingerprint.with_next(df, "doc_id", "t", ["doc_id"], bucket_rows, cuts).collect()
+        assert all(r["_row"] == "own" for r in got) and len(got) == len(rows)
+        after = [want[(k + 1) % len(want)][:2] for k in range(len(want))]
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.next_doc_id is None, r.next_doc_id or 0) for r in got) == sorted((*w[:2], *a) for w, a in zip(want, after, strict=True))
+
+
 def brute_bins(text):
     import xxhash
 
