@@ -228,7 +228,12 @@ def failures(rows: DataFrame, matches: DataFrame, pairs: DataFrame, least_qualit
     lost = best.join(matches, GROUP, "left_anti")
     order = Window.partitionBy(*GROUP).orderBy(F.desc("score"), "c_track_id")
     top = pairs.withColumn("_n", F.row_number().over(order)).where("_n <= 5").groupBy(*GROUP)
-    told = top.agg(F.max("score").alias("best_score"), F.to_json(F.array_sort(F.collect_list(F.struct("_n", "c_track_id", "score")))).alias("candidates"))
+    gap = F.abs(F.col("duration_sec") - F.floor(F.col("c_duration_ms") / 1000)).cast("long")
+    why = F.when(F.col("score") < S.ACCEPTED, "score_below_threshold")
+    named = {"id": "c_track_id", "name": "c_title", "artist": "c_artist_norm", "duration_ms": "c_duration_ms", "popularity": "c_popularity"}
+    one = F.struct("_n", *[F.col(c).alias(n) for n, c in named.items()], gap.alias("duration_diff_sec"), "score", why.alias("reject_reason"))
+    listed = F.transform(F.array_sort(F.collect_list(one)), lambda x: x.dropFields("_n"))
+    told = top.agg(F.max("score").alias("best_score"), F.to_json(listed).alias("candidates"))
     reason = F.when(F.col("best_score").isNull(), "no_candidates").otherwise("all_rejected")
     return lost.join(told, GROUP, "left").withColumn("failure_reason", reason)
 

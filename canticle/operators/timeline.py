@@ -29,6 +29,23 @@ def parsed_lines(songs: DataFrame, id_col: str = "song_id", text_col: str = "lrc
     return kept.select("song_id", (F.row_number().over(order) - 1).alias("line_idx"), "text", "start_s", F.coalesce(nxt, F.col("start_s") + 5).alias("end_s"))
 
 
+def strict_lines(songs: DataFrame, id_col: str = "song_id", text_col: str = "lrc") -> DataFrame:
+    """(song_id, line_idx, text, start_ms) of lines with one whole stamp in front and a text; other lines aren't counted."""
+    raw = songs.select(F.col(id_col).alias("song_id"), F.posexplode(F.split(text_col, "\n")).alias("raw_idx", "raw"))
+    pattern = r"^(\[\d{2}:\d{2}\.\d{2,3}\])\s*(.*)$"
+    parsed = raw.select("song_id", "raw_idx", T.stamp_millis(F.regexp_extract("raw", pattern, 1)).alias("start_ms"), F.btrim(F.regexp_extract("raw", pattern, 2)).alias("text"))
+    order = Window.partitionBy("song_id").orderBy("raw_idx")
+    return parsed.where("start_ms is not null and text <> ''").select("song_id", (F.row_number().over(order) - 1).alias("line_idx"), "text", "start_ms")
+
+
+def song_durations(songs: DataFrame, id_col: str = "song_id", text_col: str = "lrc") -> DataFrame:
+    """(song_id, seconds) of songs with lines or a ``length`` tag: the tag's minutes and seconds, else the end of the last line."""
+    tag = lambda k: F.regexp_extract("value", r"^(\d+):(\d+(?:\.\d+)?)$", k).try_cast("double")
+    told = lrc_tags(songs, id_col, text_col).where("tag = 'length'").groupBy("song_id").agg(F.first(tag(1) * 60 + tag(2), ignorenulls=True).alias("_told"))
+    last = parsed_lines(songs, id_col, text_col).groupBy("song_id").agg(F.max("end_s").alias("_last"))
+    return last.join(told, "song_id", "full_outer").select("song_id", F.coalesce("_told", "_last").alias("seconds"))
+
+
 def lrc_tags(songs: DataFrame, id_col: str = "song_id", text_col: str = "lrc") -> DataFrame:
     """(song_id, tag, value) of header tags such as ``[ar:...]``."""
     raw = songs.select(F.col(id_col).alias("song_id"), F.explode(F.split(text_col, "\n")).alias("raw"))

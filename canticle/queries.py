@@ -1036,3 +1036,48 @@ def gate_replay(spark, sf_dir):
     """Model starts that energy confirms, over users' events; held against a plain loop in the tests."""
     e = user_events(spark, sf_dir).withColumn("p", F.least(F.lit(1.0), F.col("value") / 60)).withColumn("energy", (F.col("event_type") == "view").cast("int"))
     return detectors.replayed(e, detectors.Gate, "user_id", "at", "p", "energy", wait=86_400_000.0).select("key", "at_ms", "fired")
+
+
+# Pages, memberships and strict lines.
+
+
+@query("SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey ORDER BY n_name, s_name, s_suppkey LIMIT 50 OFFSET 5")
+def alphabetical_page(spark, sf_dir):
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    rows = table(spark, sf_dir, "supplier").join(nations, "s_nationkey").select("s_suppkey", "s_name", "n_name")
+    return search.page(rows, ["n_name", "s_name", "s_suppkey"], 50, 5)
+
+
+@query("""SELECT p_partkey, p FROM (SELECT p_partkey, CASE WHEN p_size % 7 <> 0 THEN p_size END AS p, p_retailprice FROM part) ORDER BY coalesce(p, 0) DESC, p_retailprice DESC, p_partkey LIMIT 10""")
+def best_ten(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 7 != 0, F.col("p_size")).alias("p"), "p_retailprice")
+    return search.page(rows, [F.coalesce("p", F.lit(0)).desc(), F.desc("p_retailprice"), "p_partkey"], 10, 0).select("p_partkey", "p")
+
+
+@query("""WITH l AS (SELECT o_custkey, list(o_orderpriority) AS p FROM orders GROUP BY 1) SELECT o_custkey, len(list_filter(p, lambda x: x = '1-URGENT')) > 0 AS urgent FROM l""")
+def list_membership(spark, sf_dir):
+    lists = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("p"))
+    return lists.select("o_custkey", F.exists("p", lambda x: x == "1-URGENT").alias("urgent"))
+
+
+@query("""WITH page AS (SELECT c_custkey, c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 50)
+SELECT c_custkey, c_name, o_orderkey, l_linenumber, l_quantity FROM page LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1""")
+def page_with_links(spark, sf_dir):
+    """A page with all links of its rows: rows fan out, the page counts rows only."""
+    rows = search.page(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), [F.desc("c_acctbal"), "c_custkey"], 50, 0).drop("c_acctbal")
+    links = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    firsts = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity")
+    return rows.join(links, "c_custkey", "left").join(firsts, "o_orderkey", "left").select("c_custkey", "c_name", "o_orderkey", "l_linenumber", "l_quantity")
+
+
+@query(f"""WITH {LRC_SQL} SELECT song_id, row_number() OVER (PARTITION BY song_id ORDER BY i) - 1 AS line_idx, text, CAST(at_s * 1000 AS BIGINT) AS start_ms FROM s WHERE text <> ''""")
+def strict_lyrics(spark, sf_dir):
+    found = timeline.strict_lines(turn_lyrics(spark, sf_dir))
+    return found.select("song_id", F.col("line_idx").cast("long").alias("line_idx"), "text", "start_ms")
+
+
+@query(f"""WITH {LRC_SQL} SELECT song_id, CAST(CASE WHEN song_id % 2 = 0 THEN 185 ELSE max(at_s) + 5 END AS DOUBLE) AS seconds FROM s GROUP BY 1""")
+def lyric_durations(spark, sf_dir):
+    songs = turn_lyrics(spark, sf_dir)
+    tagged = F.when(F.col("song_id") % 2 == 0, F.concat(F.lit("[length: 3:05]\n"), "lrc")).otherwise(F.col("lrc"))
+    return timeline.song_durations(songs.withColumn("lrc", tagged))
