@@ -102,11 +102,20 @@ def _struct(df: DataFrame):
 
 def in_intervals(points: DataFrame, lines: DataFrame, key: str, at: str, start: str, before: int = 300, last_for: int = 10_000) -> DataFrame:
     """Points with every line whose interval holds them: from ``before`` ms ahead of its start to as much ahead of the
-    next one's start; a last line goes on for ``last_for`` ms."""
+    next one's start; a last line goes on for ``last_for`` ms.
+
+    No pairs of a key are tried: the lines of a point are the last one that starts ``before`` ms ahead of it or earlier (an as-of
+    lookup), and those that start within ``before`` ms of it, which share one of its two cells of time.
+    """
     order = Window.partitionBy(key).orderBy(start, "line_idx")
-    ends = lines.withColumn("_end", F.coalesce(F.lead(start).over(order) + before, F.col(start) + last_for)).withColumn("_start", F.col(start) - before)
-    joined = points.join(ends.withColumnRenamed(key, "_key"), (F.col(key) == F.col("_key")) & (F.col(at) >= F.col("_start")) & (F.col(at) < F.col("_end")))
-    return joined.drop("_key", "_start", "_end")
+    values = [c for c in lines.columns if c != key]
+    ends = lines.withColumns({"_end": F.coalesce(F.lead(start).over(order) + before, F.col(start) + last_for), "_tie": F.lpad(F.col("line_idx").cast("string"), 20, "0")})
+    earlier = asof(points, ends.withColumn(at, F.col(start) + before), key, at, [*values, "_end"], "_tie").where(F.col(at) < F.col("_end"))
+    cell = lambda x: F.floor(x / (2 * before))
+    dealt = points.withColumn("_cell", F.explode(F.array_distinct(F.array(cell(F.col(at) - before), cell(F.col(at) + before)))))
+    near = dealt.join(lines.select(F.col(key).alias("_key"), *values, cell(F.col(start)).alias("_of")), (F.col(key) == F.col("_key")) & (F.col("_cell") == F.col("_of")))
+    near = near.where((F.col(start) > F.col(at) - before) & (F.col(start) <= F.col(at) + before))
+    return earlier.select(*points.columns, *values).unionByName(near.select(*points.columns, *values))
 
 
 def nearest_line(queries: DataFrame, lines: DataFrame, key: str, query: str, text: str, over: float = 0.5) -> DataFrame:

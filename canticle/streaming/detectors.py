@@ -204,9 +204,12 @@ def streamed(rows: DataFrame, machine: type, key: str = "key", at: str = "at_ms"
 
 
 def gated(model: DataFrame, energy: DataFrame, wait_ms: int = 1000) -> DataFrame:
-    """Model starts (key, at_ms) that an energy start of their key confirms within ``wait_ms``: an AND gate as a range join."""
-    e = energy.select(F.col("key").alias("_k"), F.col("at_ms").alias("_at"))
-    near = model.join(e, (F.col("key") == F.col("_k")) & F.col("_at").between(F.col("at_ms") - wait_ms, F.col("at_ms") + wait_ms))
+    """Model starts (key, at_ms) that an energy start of their key confirms within ``wait_ms`` before or after, and the time when both have
+    come. Rows meet in cells of time, not by key alone. Sample by sample, with smoothing and frame counts, :class:`Gate` decides."""
+    cell = lambda x: F.floor(x / (2 * wait_ms))
+    e = energy.select(F.col("key").alias("_k"), F.col("at_ms").alias("_at"), cell(F.col("at_ms")).alias("_of"))
+    dealt = model.select("key", "at_ms").distinct().withColumn("_cell", F.explode(F.array_distinct(F.array(cell(F.col("at_ms") - wait_ms), cell(F.col("at_ms") + wait_ms)))))
+    near = dealt.join(e, (F.col("key") == F.col("_k")) & (F.col("_cell") == F.col("_of"))).where(F.abs(F.col("_at") - F.col("at_ms")) <= wait_ms)
     return near.groupBy("key", "at_ms").agg(F.greatest(F.col("at_ms"), F.min("_at")).alias("released_ms"))
 
 

@@ -311,3 +311,25 @@ def test_popularity_rank_keeps_nulls_and_equals(spark):
     got = {r.id: r.search_id for r in resolve.popularity_rank(spark.createDataFrame(rows, "id int, popularity int, quality int")).collect()}
     order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[2] is None, -(r[2] or 0), r[0]))
     assert got == {r[0]: n for n, r in enumerate(order, 1)}
+
+
+def test_intervals_are_all_pairs_of_a_loop(spark):
+    rng = random.Random(12)
+    lines = [(rng.randint(0, 2), k, rng.choice([rng.randint(0, 4000), rng.randint(0, 60_000)])) for k in range(60)]
+    points = [(rng.randint(0, 3), p, rng.choice([rng.randint(-400, 4500), rng.randint(0, 75_000)])) for p in range(300)]
+    want = []
+    for key in range(3):
+        own = sorted((s, k) for g, k, s in lines if g == key)
+        for n, (s, k) in enumerate(own):
+            end = own[n + 1][0] + 300 if n + 1 < len(own) else s + 10_000
+            want += [(p, k) for g, p, t in points if g == key and s - 300 <= t < end]
+    got = timeline.in_intervals(spark.createDataFrame(points, "song int, p int, t int"), spark.createDataFrame(lines, "song int, line_idx int, start_ms int"), "song", "t", "start_ms")
+    assert rows_of(got, "p", "line_idx") == sorted(want)
+
+
+def test_gate_of_two_tables(spark):
+    from canticle.streaming import detectors
+
+    model = spark.createDataFrame([("a", 1000), ("a", 5000), ("b", 1000), ("a", 9000)], "key string, at_ms long")
+    energy = spark.createDataFrame([("a", 1900), ("a", 2001), ("a", 4100), ("a", 5500), ("b", 2001), ("a", 8000)], "key string, at_ms long")
+    assert rows_of(detectors.gated(model, energy), "key", "at_ms", "released_ms") == [("a", 1000, 1900), ("a", 5000, 5000), ("a", 9000, 9000)]
