@@ -121,6 +121,17 @@ def test_filled_bins_hold_the_least_hash(spark):
     assert {v for v in got} <= {h & 255 for h in bins.values()}
 
 
+def test_empty_bins_take_the_filled_bin_first_in_their_order(spark):
+    text = " ".join(f"t{k}" for k in range(40))
+    bins = {b + 64: h & 255 for b, h in brute_bins(text).items()}
+    pairs = spark.createDataFrame([(j, f - 64, low) for j in range(128) if j not in bins for f, low in bins.items()], "j int, f long, low long")
+    place = F.xxhash64("j", "f")
+    first = pairs.groupBy("j").agg(F.min_by("low", F.struct(F.shiftright(place, 8), "low")).alias("low"))
+    want = bins | {r.j: r.low for r in first.collect()}
+    got = spark.createDataFrame([(text,)], "text string").select(fingerprint.fingerprint(F.col("text"))).first()[0]
+    assert 0 < len(bins) < 128 and got == [want[k] for k in range(128)]
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(5)
     plain, bad = [f"w{k}" for k in range(500)], ["fool", "zork", "zorkel", "grumble"]
