@@ -179,3 +179,33 @@ CHORD_QUALITIES = {"major": "", "minor": "m", "dim": "dim", "dom7": "7", "min7":
 # Characters that keys of songs and titles leave out.
 SONG_KEY_MARKS = r"""[.,!?'"():;\-–—]"""
 DEDUP_KEY_MARKS = r"""[.,!?'"]"""
+
+# Ranges of combining marks that folding drops.
+MARK_RANGES = ((0x0300, 0x036F), (0x1AB0, 0x1AFF), (0x1DC0, 0x1DFF), (0xFE20, 0xFE2F))
+
+# Look-alike letters of sung words and their Latin ones, and what is levelled, in order.
+LOOK_ALIKES = ("аеорсух", "aeopcyx")
+SUNG_WORD_PATTERNS = (
+    (r"([aeiou])\1+", "$1"),
+    (r"([ao])h+", "$1"),
+    (r"(?i)\bwh?o+a+h?\b", "o"),
+    (r"(?i)(o+h?[-−])+o*h?", "o"),
+    (r"(?i)(a+h?[-−])+a*h?", "a"),
+    (r"\([a-z]+\)", ""),
+    (r"\+\w+", ""),
+    ("-", ""),
+    (r"^[^\p{L}\p{N}]+", ""),
+    (r"[^\p{L}\p{N}]+\z", ""),
+)
+
+# Letters of scripts that run from right to left.
+RIGHT_TO_LEFT = "[֐-ࣿﬠ-﷿ﹰ-﻿]"
+
+# Points for the gap between two durations in seconds.
+DURATION_POINTS = ((2, 100), (5, 80), (10, 50), (15, 25), (30, 10), (45, 5), (60, 2))
+
+# Scores at which classes of sound decide.
+CLASS_LIMITS = {"music": 0.3, "voice_with_music": 0.15, "priority": 0.25, "voice_with_priority": 0.2, "voice_with_instrument": 0.15, "loud_music": 0.4, "voice_with_loud_music": 0.1}
+
+# Weights of chord templates: notes outside, the root or another note of the chord as bass, a seventh.
+CHORD_WEIGHTS = {"outside": 0.4, "root_bass": 0.8, "other_bass": 0.4, "seventh": 0.5}

@@ -12,9 +12,6 @@ from canticle.functions import fixed, text as T
 REJECTED, NO_ARTIST = -1000, -500
 ACCEPTED = 80
 
-# Points for the gap between two durations in seconds.
-DURATION_POINTS = ((2, 100), (5, 80), (10, 50), (15, 25), (30, 10), (45, 5), (60, 2))
-
 
 def steps(value: Column, edges: Sequence[tuple[float, float]], beyond: float) -> Column:
     """The points of the first edge that ``value`` doesn't exceed."""
@@ -27,7 +24,7 @@ def steps(value: Column, edges: Sequence[tuple[float, float]], beyond: float) ->
 def duration_score(seconds: Column, millis: Column) -> Column:
     """Points for how close two durations are; far ones are rejected."""
     gap = F.abs(seconds - F.floor(millis / 1000))
-    return steps(gap, DURATION_POINTS, REJECTED)
+    return steps(gap, fixed.DURATION_POINTS, REJECTED)
 
 
 def duration_tolerance(confidence: Column, seconds: Column) -> Column:
@@ -57,7 +54,7 @@ def combined_score(similarity: Column, seconds: Column, millis: Column, quality:
     gap = F.abs(seconds - candidate_s)
     exact = similarity >= 1.0
     confidence = F.when(exact, "high").when(similarity >= 0.7, "medium").otherwise("low")
-    points = steps(gap, DURATION_POINTS, 1)
+    points = steps(gap, fixed.DURATION_POINTS, 1)
     total = points + F.when(exact, 50).otherwise((similarity * 30).cast("int")) + quality + F.when(T.is_garbage_title(title), 0).otherwise(30)
     total = total + F.when((gap > 30) & exact, -20).otherwise(0) + F.floor(popularity / 10)
     return (

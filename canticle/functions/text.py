@@ -65,7 +65,7 @@ LETTERS = letter_table()
 
 
 def _mark(c: str) -> bool:
-    return any(a <= ord(c) <= b for a, b in ((0x0300, 0x036F), (0x1AB0, 0x1AFF), (0x1DC0, 0x1DFF), (0xFE20, 0xFE2F)))
+    return any(a <= ord(c) <= b for a, b in fixed.MARK_RANGES)
 
 
 def _fold(texts: pd.Series) -> pd.Series:
@@ -370,19 +370,8 @@ def rolling_hash(text: Column) -> Column:
 
 def lyric_token(word: Column) -> Column:
     """A sung word for comparison: look-alikes, held vowels, interjections, markers and hyphens levelled."""
-    t = F.translate(F.lower(word), "аеорсух", "aeopcyx")
-    for p, by in (
-        (r"([aeiou])\1+", "$1"),
-        (r"([ao])h+", "$1"),
-        (r"(?i)\bwh?o+a+h?\b", "o"),
-        (r"(?i)(o+h?[-−])+o*h?", "o"),
-        (r"(?i)(a+h?[-−])+a*h?", "a"),
-        (r"\([a-z]+\)", ""),
-        (r"\+\w+", ""),
-        ("-", ""),
-        (r"^[^\p{L}\p{N}]+", ""),
-        (r"[^\p{L}\p{N}]+\z", ""),
-    ):
+    t = F.translate(F.lower(word), *fixed.LOOK_ALIKES)
+    for p, by in fixed.SUNG_WORD_PATTERNS:
         t = F.regexp_replace(t, p, by)
     return t
 

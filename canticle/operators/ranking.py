@@ -85,7 +85,7 @@ def medians(rows: DataFrame, group: str, value: str) -> DataFrame:
 def text_direction(lines: Column, samples: int = 10) -> Column:
     """``rtl`` if over half of the first non-blank lines hold right-to-left letters."""
     seen = F.slice(F.filter(lines, lambda x: F.btrim(x) != ""), 1, samples)
-    rtl = F.filter(seen, lambda x: x.rlike("[֐-ࣿﬠ-﷿ﹰ-﻿]"))
+    rtl = F.filter(seen, lambda x: x.rlike(fixed.RIGHT_TO_LEFT))
     return F.when(F.size(rtl) * 2 > F.size(seen), "rtl").otherwise("ltr")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from canticle.functions import fixed
+
 
 def rms_levels(samples: DataFrame, keys: list[str], value: str, full: float = 255.0) -> DataFrame:
     """Root mean square of samples scaled by ``full``."""
@@ -25,14 +27,14 @@ def class_decision(scores: DataFrame, key: str, sets: dict[str, list[str]], sing
     """
     best = lambda name: F.coalesce(F.max(F.when(F.col("category").isin(sets[name]), F.col("score"))), F.lit(0.0)).alias(f"_{name}")
     found = scores.groupBy(key).agg(*[best(n) for n in ("singing", "speech", "music", "instrument", "priority")])
-    voice = F.greatest("_singing", "_speech")
+    voice, limit = F.greatest("_singing", "_speech"), fixed.CLASS_LIMITS
     decision = (
         F.when(F.col("_singing") >= singing, "allow")
-        .when((F.col("_music") > 0.3) & (voice > 0.15), "allow")
+        .when((F.col("_music") > limit["music"]) & (voice > limit["voice_with_music"]), "allow")
         .when(F.col("_speech") >= speech, "allow")
-        .when((F.col("_priority") > 0.25) & (voice < 0.2), "reject")
-        .when((F.col("_instrument") >= instrument) & (voice < 0.15), "reject")
-        .when((F.col("_music") >= 0.4) & (voice < 0.1), "reject")
+        .when((F.col("_priority") > limit["priority"]) & (voice < limit["voice_with_priority"]), "reject")
+        .when((F.col("_instrument") >= instrument) & (voice < limit["voice_with_instrument"]), "reject")
+        .when((F.col("_music") >= limit["loud_music"]) & (voice < limit["voice_with_loud_music"]), "reject")
         .otherwise("defer")
     )
     return found.select(key, decision.alias("decision"))

@@ -282,9 +282,9 @@ def chord_templates() -> list[tuple[str, int, list[int], bool]]:
 def best_chord(bins: Column, bass: Column) -> Column:
     """The template that fits best: weight inside, less 0.4 of that outside, points for the bass, half off sevenths."""
     total = F.aggregate(bins, F.lit(0.0), lambda a, x: a + x)
-    scored = []
+    scored, of = [], fixed.CHORD_WEIGHTS
     for k, (name, root, classes, seventh) in enumerate(chord_templates()):
         inside = sum((F.get(bins, F.lit(c)) for c in classes[1:]), F.get(bins, F.lit(classes[0])))
-        bonus = F.when(bass == root, 0.8).when(bass.isin(classes), 0.4).otherwise(0.0)
-        scored.append(F.struct((inside - 0.4 * (total - inside) + bonus - (0.5 if seventh else 0.0)).alias("score"), F.lit(-k).alias("order"), F.lit(name).alias("name")))
+        bonus = F.when(bass == root, of["root_bass"]).when(bass.isin(classes), of["other_bass"]).otherwise(0.0)
+        scored.append(F.struct((inside - of["outside"] * (total - inside) + bonus - (of["seventh"] if seventh else 0.0)).alias("score"), F.lit(-k).alias("order"), F.lit(name).alias("name")))
     return F.array_max(F.array(*scored))

@@ -494,7 +494,7 @@ def sql_scored(pairs: str) -> str:
     """A query that scores pairs: title_norm, artist_norm, id, title, duration_sec, quality, track_id, duration_ms, popularity, kind, c_artist, bonus, phase."""
     a, b = "string_split(artist_norm, ' ')", "string_split(c_artist, ' ')"
     sim = f"CASE WHEN artist_norm = c_artist THEN 1.0 ELSE CAST(len(list_intersect({a}, {b})) AS DOUBLE) / len(list_distinct(list_concat({a}, {b}))) END"
-    points = "CASE " + " ".join(f"WHEN gap <= {edge} THEN {n}" for edge, n in S.DURATION_POINTS) + " ELSE 1 END"
+    points = "CASE " + " ".join(f"WHEN gap <= {edge} THEN {n}" for edge, n in fixed.DURATION_POINTS) + " ELSE 1 END"
     return f"""SELECT *, CASE WHEN sim < 0.3 THEN -500 WHEN gap > least(90, greatest(CASE WHEN sim >= 1 THEN 60 WHEN sim >= 0.7 THEN 45 ELSE 30 END, CAST(floor(cs * 0.1) AS INT))) OR gap > 30 AND sim < 1 THEN -1000
       ELSE {points} + CASE WHEN sim >= 1 THEN 50 ELSE CAST(floor(sim * 30) AS INT) END + quality + CASE WHEN {GARBAGE_SQL} THEN 0 ELSE 30 END - CASE WHEN gap > 30 THEN 20 ELSE 0 END + popularity // 10 + bonus END AS score
       FROM (SELECT *, {sim} AS sim, duration_ms // 1000 AS cs, abs(duration_sec - duration_ms // 1000) AS gap FROM ({pairs}))"""
