@@ -233,10 +233,10 @@ def recent_list(spark, sf_dir):
     return ranking.recent(table(spark, sf_dir, "events"), "user_id", "event_type", "ts", 3).select("user_id", "event_type", F.col("nth").cast("long").alias("nth"))
 
 
-@query("""SELECT p_partkey, row_number() OVER (ORDER BY popularity DESC NULLS LAST, quality DESC, p_partkey) AS search_id FROM (
-  SELECT p_partkey, CASE WHEN p_size % 7 <> 0 THEN p_size END AS popularity, CAST(floor(p_retailprice / 100) AS INT) AS quality FROM part)""")
+@query("""SELECT p_partkey, row_number() OVER (ORDER BY popularity DESC NULLS LAST, quality DESC NULLS LAST, p_partkey) AS search_id FROM (
+  SELECT p_partkey, CASE WHEN p_size % 7 <> 0 THEN p_size END AS popularity, CASE WHEN p_partkey % 11 <> 0 THEN CAST(floor(p_retailprice / 100) AS INT) END AS quality FROM part)""")
 def popularity_rank(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 7 != 0, F.col("p_size")).alias("popularity"), F.floor(F.col("p_retailprice") / 100).cast("int").alias("quality"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 7 != 0, F.col("p_size")).alias("popularity"), F.when(F.col("p_partkey") % 11 != 0, F.floor(F.col("p_retailprice") / 100).cast("int")).alias("quality"))
     return resolve.popularity_rank(rows).select(F.col("id").alias("p_partkey"), F.col("search_id").cast("long").alias("search_id"))
 
 
@@ -582,10 +582,13 @@ def levenshtein_pairs(spark, sf_dir):
     return names.join(names.withColumnRenamed("a", "b"), "w").where("a < b").select("a", "b", F.round(sim, 6).alias("similarity")).where("similarity >= 0.6")
 
 
-@query("SELECT p_partkey, coalesce(nullif(trim(split_part(lower(p_brand || ' feat. ' || p_name), 'feat.', 1)), ''), '') AS primary_artist FROM part")
+JOINED_SQL = "lower(CASE p_partkey % 6 WHEN 0 THEN p_brand || ' feat. ' || p_name WHEN 1 THEN p_brand || ' & ' || p_name WHEN 2 THEN 'The ' || p_brand || ' and ' || p_name WHEN 3 THEN p_brand || '/' || p_name WHEN 4 THEN 'X, ' || p_name ELSE p_brand END)"
+
+
+@query(f"""WITH n AS (SELECT p_partkey, string_split_regex({JOINED_SQL}, {literal(fixed.ARTIST_SEPARATOR)}) AS parts FROM part)
+SELECT p_partkey, CASE WHEN len(parts) > 1 AND strlen(trim(parts[1])) >= 2 THEN regexp_replace(trim(parts[1]), '^the ', '') END AS primary_artist FROM n""")
 def primary_artists(spark, sf_dir):
-    norm = F.lower(F.concat("p_brand", F.lit(" feat. "), "p_name"))
-    return table(spark, sf_dir, "part").select("p_partkey", T.primary_artist(norm).alias("primary_artist"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.primary_artist(F.expr(JOINED_SQL)).alias("primary_artist"))
 
 
 # Search.
@@ -641,10 +644,11 @@ def fuzzy_search(spark, sf_dir):
 # Hashes, slugs and JSON.
 
 
-@query(r"""SELECT page_id, sha256(rtrim(url)) AS digest, CAST(regexp_extract(url, '/(\d+)', 1) AS VARCHAR) AS number, lower(split_part(split_part(url, '//', 2), '/', 1)) AS host FROM pages""")
+@query(r"""SELECT page_id, sha256(rtrim(url)) AS digest, CAST(regexp_extract(url, '/(\d+)', 1) AS VARCHAR) AS number, lower(split_part(split_part(url, '//', 2), '/', 1)) AS host,
+sha256(regexp_replace(regexp_replace(replace(html, chr(13) || chr(10), chr(10)), '(?m)[ \t\f\r]+$', '', 'g'), '\s+$', '')) AS html_digest FROM pages""")
 def page_hashes(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", T.lines_sha256(F.col("url")).alias("digest"), F.regexp_extract("url", r"/(\d+)", 1).alias("number"), F.lower(F.parse_url("url", F.lit("HOST"))).alias("host"))
+    return pages.select("page_id", T.lines_sha256(F.col("url")).alias("digest"), F.regexp_extract("url", r"/(\d+)", 1).alias("number"), F.lower(F.parse_url("url", F.lit("HOST"))).alias("host"), T.lines_sha256(F.col("html")).alias("html_digest"))
 
 
 @query(r"""SELECT p_partkey, '/song/' || trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), '-') || '/' || trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') || '-' || p_partkey AS path, p_partkey AS parsed FROM part""")
