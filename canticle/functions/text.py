@@ -436,10 +436,14 @@ def proportional_time(at: Column, text: Column, start: Column, end: Column) -> C
 
 
 def format_number(n: Column) -> Column:
-    """A count with two decimals and K, M or B from a thousand on."""
+    """A whole count with two decimals and K, M or B from a thousand on. Halves go where the quotient's double lies."""
     out = n.cast("string")
-    for size, letter in ((1e3, "K"), (1e6, "M"), (1e9, "B")):
-        out = F.when(n >= size, F.format_string(f"%.2f{letter}", n / size)).otherwise(out)
+    for size, letter in ((10**3, "K"), (10**6, "M"), (10**9, "B")):
+        step = size // 100
+        double = (n / F.lit(float(size)) * float(1 << 52)).cast("decimal(38,0)") * F.lit(size).cast("decimal(10,0)")
+        up = F.when(n % step * 2 == step, double >= n.cast("decimal(20,0)") * F.lit(1 << 52).cast("decimal(17,0)")).otherwise(n % step * 2 > step)
+        hundredths = F.floor(n / step) + up.cast("int")
+        out = F.when(n >= size, F.format_string(f"%d.%02d{letter}", F.floor(hundredths / 100), hundredths % 100)).otherwise(out)
     return out
 
 

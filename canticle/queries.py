@@ -1024,7 +1024,7 @@ def piecewise_times(spark, sf_dir):
 
 @query("""WITH c AS (SELECT p_partkey, p_name, p_size, ['major', 'minor', 'dim', 'dom7', 'min7'][p_partkey % 5 + 1] AS q, ['', 'm', 'dim', '7', 'm7'][p_partkey % 5 + 1] AS s, ['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'] AS k FROM part)
 SELECT p_partkey, k[p_size % 12 + 1] || s AS extracted, k[p_size % 12 + 1] || s || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '/' || k[(p_size + 7) % 12 + 1] END AS named,
-CASE WHEN p_partkey >= 1000 THEN printf('%.2fK', p_partkey / 1000.0) ELSE CAST(p_partkey AS VARCHAR) END AS number, (p_partkey // 60) || 'm ' || (p_partkey % 60) || 's' AS duration FROM c""")
+CASE WHEN p_partkey >= 1000 THEN printf('%.2fK', p_partkey / 1000.0 + CASE WHEN p_partkey % 125 = 0 THEN 1e-9 ELSE 0 END) ELSE CAST(p_partkey AS VARCHAR) END AS number, (p_partkey // 60) || 'm ' || (p_partkey % 60) || 's' AS duration FROM c""")
 def chord_and_number_names(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     names = F.array(*map(F.lit, fixed.SHARPS))

@@ -153,3 +153,13 @@ def test_dedup_keys(spark):
     rows = [("Song - 2011 Remaster", "Ann feat. Bob", "ann:song"), ("It's  Here!", "The Fox Band", "the fox:its here"), ("A", "X & Y", "x:a"), ("A", "Simon, Paul", "simon paul:a")]
     got = spark.createDataFrame(rows, "t string, a string, want string").select("want", T.dedup_key(F.col("t"), F.col("a")).alias("got"))
     assert all(r.got == r.want for r in got.collect())
+
+
+def test_numbers_round_as_doubles(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    told = lambda n, size, letter: (n, f"{Decimal(n / size).quantize(Decimal('0.01'), ROUND_HALF_UP)}{letter}")
+    rows = [told(n, 1000, "K") for n in (*range(1000, 3000, 5), 999_995)] + [told(n, 10**6, "M") for n in (1_005_000, 1_015_000, 2_675_000, 1_125_000, 4_000_001)]
+    rows += [told(n, 10**9, "B") for n in (1_005_000_000, 2_675_000_000)] + [(999, "999"), (0, "0")]
+    got = spark.createDataFrame(rows, "n long, want string").select("n", "want", T.format_number(F.col("n")).alias("got"))
+    assert [tuple(r) for r in got.where("got <> want").collect()] == []
