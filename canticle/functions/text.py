@@ -188,10 +188,16 @@ def with_norms(rows: DataFrame, aliases: dict[str, str] | None = None, artist_co
     return out.drop(artist_, title_)
 
 
+#: Bytes of one input partition, as Spark reads files.
+SPREAD = 128 << 20
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` in at least as many partitions as there are cores: work a row is worth a shuffle where a small file is one task."""
+    """``rows`` in as many partitions as there are cores if Spark's estimate is less than ``SPREAD`` bytes a core: such a table may be one
+    task, and work on its rows is worth a small shuffle. Larger ones have partitions enough."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.isStreaming or rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows if rows.isStreaming or size >= cores * SPREAD else rows.repartition(cores)
 
 
 def primary_artist(artist_norm: Column) -> Column:
