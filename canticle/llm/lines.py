@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canticle.plans.cut import written
+from canticle.plans.cut import scope, written
 from canticle.plans.expr import let
 from canticle.plans.names import restored, whole_row
 
@@ -66,9 +66,10 @@ def without_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``docs`` with boilerplate lines taken out of the text, and ``_n_lines_removed``."""
     marked = keyed(docs, id_col, text_col, site_col)
     places = line_places(marked)
-    found = boilerplate(places, min_sites)
-    hits = places.join(found, LINE).where(F.struct("_id", "_row", "_pos") != F.col("_first"))
-    gone = written(hits.groupBy("_id", "_row").agg(F.collect_set("_pos").alias("_gone")), "gone-lines")
+    with scope(docs.sparkSession):
+        found = boilerplate(places, min_sites)
+        hits = places.join(found, LINE).where(F.struct("_id", "_row", "_pos") != F.col("_first"))
+        gone = written(hits.groupBy("_id", "_row").agg(F.collect_set("_pos").alias("_gone")), "gone-lines", keep=True)
     text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(without(F.col("_text"), F.col("_gone")))
     out = marked.join(gone, ["_id", "_row"], "left")
     n = F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_n_lines_removed")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canticle.llm.components import smallest_reachable
-from canticle.plans.cut import written
+from canticle.plans.cut import scope, written
 from canticle.plans.names import unused
 
 BITS = 64
@@ -213,10 +213,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     Rows without an id can't be named as copies and stay.
     """
-    marked = near_duplicates(docs, id_col, text_col, shingle, radius)
     (gone_,) = unused(docs, "gone")
-    gone = marked.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(gone_)).distinct()
-    return docs.join(written(gone, "copies"), F.col(id_col).cast("long") == F.col(gone_), "left_anti")
+    with scope(docs.sparkSession):
+        marked = near_duplicates(docs, id_col, text_col, shingle, radius)
+        gone = written(marked.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(gone_)).distinct(), "copies", keep=True)
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(gone_), "left_anti")
 
 
 def op10_simhash_near_dedup(spark, sf_dir):

@@ -7,15 +7,19 @@ alone don't tell 0.8 from 0.7. Therefore:
    minimum. Equal sets are one node. A pair at 0.8 shares no key with a chance of 3 in a million, and less above.
 2. Inside a bucket, SimHashes are compared bit-sliced (:func:`canticle.llm.simhash.lanes_within`): many distances at once by carry-save
    counters, abandoned once all exceed ``RADIUS``. Of pairs within it, the bytes of the minima estimate the similarity.
-   First come pivots, members in the middle of others (nearest to the majority of the bits around them), against all; then members that
-   are still apart, those most alike first. Only pairs of members that nothing links yet leave the task: some per member, not all pairs of a bucket.
+   In larger buckets first come pivots, members in the middle of others (nearest to the majority of the bits around them), against all; then members
+   that are still apart, those most alike first. Only pairs of members that no pairs before connected leave the task: some per member, not all pairs of a bucket.
    Buckets over ``bucket_limit`` are cut into blocks, a task for each pair of blocks.
-3. The exact similarity decides every pair that leaves a bucket. (In a bucket of more than ``SMALL`` texts a pair that it rejects may have
-   stood for another; such crowds lie just under ``least``.)
-4. Components of the links come from star contraction.
+3. The exact similarity decides every pair that leaves a bucket.
+4. A pair that is rejected may have stood for one that isn't. So pairs, rejected ones too, are joined to crowds, and every crowd with a rejected pair is
+   gone through again with its sets: its members are compared until all that are alike are united, and the links that did it are exact. (Where no pair
+   is rejected, the verified pairs connect all that the estimates did.) Crowds over ``crowd_limit`` are cut into pairs of blocks.
+5. Components of the verified links come from star contraction. Nothing is united by an estimate.
 
 A null or wordless text has the empty set, and all such rows are copies of each other. Null and repeated ids are treated as
-in :mod:`canticle.llm.simhash`.
+in :mod:`canticle.llm.simhash`. Repeated rows are one node; of several alike the smallest id stays. Texts are hashed whole, in pieces of ``256`` rows
+at a time: a text's set of hashes is in memory, so one of 20 million words takes about 1 GB on the way. Extra columns pass through :func:`keep_one_similar` unchanged, whatever their names.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,16 +32,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canticle.llm.components import smallest_reachable
+from canticle.llm.components import smallest_reachable, stars
 from canticle.llm.simhash import bit_planes, hook, lanes_within, pack_lanes
-from canticle.plans.cut import written
+from canticle.plans.cut import scope, written
 from canticle.plans.names import unused
 
 BANDS, ROWS = 32, 5
-#: Differing bits of SimHashes at most (four standard errors over the mean at 0.8), pivots of a bucket, and what a small bucket is.
-RADIUS, PIVOTS, SMALL = 22, 4, 32
-#: Estimates within three standard errors under the least similarity are verified; over it by as much they link at once.
-ERRORS = 3.0
+#: Differing bits of SimHashes at most (four standard errors over the mean at 0.8), pivots of a bucket, and the members that make them worth while.
+RADIUS, PIVOTS, PIVOTED = 22, 4, 32
+#: Estimates within so many standard errors under the least similarity are verified.
+ERRORS = 4.0
 _RNG = np.random.default_rng(42)
 _FLIP = _RNG.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64)
 _ODD = _RNG.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
@@ -109,6 +113,11 @@ def marks(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, fp long, n long, bits long, low binary, keys array<long>")
 
 
+def margin(least: float) -> float:
+    """How far under the least similarity an estimate may be."""
+    return ERRORS * (least * (1 - least) / (BANDS * ROWS)) ** 0.5
+
+
 def alike(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated similarity of members a[k] and b[k]: the share of equal minima, less what bytes agree by chance."""
     found = np.empty(len(a))
@@ -119,22 +128,20 @@ def alike(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def bucket_pairs(keys: np.ndarray, n: np.ndarray, bits: np.ndarray, low: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of members (rows; keys are sorted) that may be similar and that no other pairs join in their bucket."""
-    error = ERRORS * (least * (1 - least) / (BANDS * ROWS)) ** 0.5
+    error = margin(least)
     size = np.diff(np.append(np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1)), len(keys))) if len(keys) else np.empty(0, np.int64)
     group, root = np.repeat(np.arange(len(size)), size), np.arange(len(keys))
-    crowded = (size > SMALL)[group]
+    pivoted = (size > PIVOTED)[group]
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
 
     def kept(a: np.ndarray, b: np.ndarray, over: float) -> None:
-        """Note pairs that are alike enough; those that surely are, and in crowds all, join their members."""
+        """Note the pairs that connect members and are alike enough."""
         fit = np.minimum(n[a], n[b]) >= np.maximum(n[a], n[b]) * least
         a, b = a[fit], b[fit]
-        found = alike(low, a, b)
-        a, b, found = a[found >= over], b[found >= over], found[found >= over]
-        left.append(a)
-        right.append(b)
-        join = crowded[a] | (found >= least + error)
-        hook(root, a[join], b[join])
+        fit = alike(low, a, b) >= over
+        left.append(a[fit])
+        right.append(b[fit])
+        hook(root, a[fit], b[fit])
 
     def apart() -> np.ndarray:
         """Members of the buckets whose members aren't all joined."""
@@ -146,7 +153,7 @@ def bucket_pairs(keys: np.ndarray, n: np.ndarray, bits: np.ndarray, low: np.ndar
     used = np.zeros(len(keys), bool)
     for _ in range(PIVOTS):
         rows = apart()
-        rows = rows[crowded[rows]]
+        rows = rows[pivoted[rows]]
         # Around a member that nothing joins yet lie those within the radius; the one nearest to their majority is the pivot.
         free = rows[(np.bincount(root, minlength=len(keys))[root[rows]] == 1) & ~used[rows]]
         if not len(free):
@@ -235,25 +242,106 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return rows.groupBy("fp").agg(F.first("text").alias("text")).mapInArrow(run, "fp long, s array<long>")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets have a similarity of ``least`` or more."""
+def similarity(s: np.ndarray, t: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets."""
+    if not len(s) or not len(t):
+        return float(len(s) == len(t))
+    at = np.minimum(np.searchsorted(s, t), len(s) - 1)
+    same = int((s[at] == t).sum())
+    return same / (len(s) + len(t) - same)
+
+
+def judged(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) with ``ok``: whether their sets have a similarity of ``least`` or more."""
     left, right = sets.select(F.col("fp").alias("a"), F.col("s").alias("_s")), sets.select(F.col("fp").alias("b"), F.col("s").alias("_t"))
     same = F.size(F.array_intersect("_s", "_t"))
-    return pairs.join(left, "a").join(right, "b").where(same / (F.size("_s") + F.size("_t") - same) >= least).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", (same / (F.size("_s") + F.size("_t") - same) >= least).alias("ok"))
+
+
+def crowd_links(root: np.ndarray, block: np.ndarray, n: np.ndarray, bits: np.ndarray, low: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
+    """Exact links between members of one crowd that aren't united yet (``root``: the smallest member of each one's class). If members are of two
+    blocks, those of one block are left to the task that has this block alone."""
+    links: tuple[list[int], list[int]] = ([], [])
+    order = np.argsort(bits, kind="stable")
+    n, bits, low, block = n[order], bits[order], low[order], block[order]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    root = place[root[order]]
+    low_root = np.arange(len(root))
+    hook(low_root, np.arange(len(root)), root)
+    root, planes, across = low_root, bit_planes(bits), len(np.unique(block)) > 1
+    for shift in range(1, len(order)):
+        want = root[shift:] != root[:-shift]
+        if across:
+            want &= block[shift:] != block[:-shift]
+        if not want.any():
+            continue
+        hits = lanes_within(planes, pack_lanes(want, planes.shape[1]), shift, RADIUS)
+        a, b = hits, hits + shift
+        fit = (np.minimum(n[a], n[b]) >= np.maximum(n[a], n[b]) * least) & (alike(low, a, b) >= least - margin(least))
+        for x, y in zip(a[fit].tolist(), b[fit].tolist(), strict=True):
+            if root[x] != root[y] and similarity(sets[order[x]], sets[order[y]]) >= least:
+                links[0].append(int(order[x]))
+                links[1].append(int(order[y]))
+                hook(root, np.array([x]), np.array([y]))
+    return links
+
+
+def crowds(tried: DataFrame, nodes: DataFrame, sets: DataFrame, least: float, crowd_limit: int) -> DataFrame:
+    """(a, b): the exact links of every crowd with a rejected pair, beyond those in ``tried`` (a, b, ok)."""
+    star = stars(tried.select("a", "b"))
+    members = written(star.select(F.col("a").alias("fp"), F.col("b").alias("crowd")).union(star.select(F.col("b").alias("fp"), F.col("b").alias("crowd")).distinct()), "crowds")
+    bad = tried.where("not ok").select(F.col("a").alias("fp")).distinct()
+    again = written(members.join(bad, "fp").select("crowd").distinct(), "crowds-again")
+    inside = written(members.join(again, "crowd", "left_semi"), "crowd-members")
+    sure = stars(tried.where("ok").join(inside.select(F.col("fp").alias("a")), "a", "left_semi").select("a", "b"))
+    sizes = inside.groupBy("crowd").agg(F.ceil(F.count("*") * 2 / crowd_limit).alias("blocks"))
+    block = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks"))
+    rows = inside.join(sure.select(F.col("a").alias("fp"), F.col("b").alias("class")), "fp", "left").withColumn("class", F.coalesce("class", "fp")).join(sizes, "crowd").withColumn("block", block)
+    spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    key = F.xxhash64("crowd", F.least("block", "other"), F.greatest("block", "other")).alias("key")
+    dealt = spread.select(key, "fp", "class", "block").join(nodes.select("fp", "n", "bits", "low"), "fp").join(sets, "fp").select("key", "fp", "class", "block", "n", "bits", "low", "s")
+
+    def found(rows: list[dict]) -> pa.RecordBatch:
+        fps, classes, block, n, bits = (np.array([r[c] for r in rows], np.int64) for c in ("fp", "class", "block", "n", "bits"))
+        low = np.frombuffer(b"".join(r["low"] for r in rows), np.uint8).reshape(-1, BANDS * ROWS)
+        _, first, of = np.unique(classes, return_index=True, return_inverse=True)
+        a, b = crowd_links(first[of], block, n, bits, low, [np.asarray(r["s"], np.int64) for r in rows], least)
+        return pa.RecordBatch.from_arrays([pa.array(fps[a], pa.int64()), pa.array(fps[b], pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            cols = {name: batch.column(name).to_pylist() for name in ("key", "fp", "class", "block", "n", "bits", "low")}
+            for k in range(batch.num_rows):
+                row = {c: x[k] for c, x in cols.items()} | {"s": batch.column("s")[k].values.to_numpy()}
+                if held and held[0]["key"] != row["key"]:
+                    yield found(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield found(held)
+
+    return dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, bucket_limit: int = 50_000) -> DataFrame:
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, bucket_limit: int = 50_000, crowd_limit: int = 2_048) -> DataFrame:
     """(doc_id, fp, component_id): the shingle set of each row and the smallest id reachable over links."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marked = written(marks(slim, shingle), "shingle-marks")
     first = [F.first(c).alias(c) for c in ("n", "bits", "low", "keys")]
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("lo"), *first), "shingle-sets")
-    dealt = nodes.select("fp", F.explode("keys").alias("key"))
-    several = written(dealt.groupBy("key").count().where("count > 1").select("key"), "shared-keys")
-    shared = written(dealt.join(several, "key", "left_semi").join(nodes.select("fp", "n", "bits", "low"), "fp").select("key", "fp", "n", "bits", "low"), "buckets")
-    pairs = written(candidates(shared, least, bucket_limit), "candidate-pairs")
+    with scope(docs.sparkSession):
+        dealt = nodes.select("fp", F.explode("keys").alias("key"))
+        several = written(dealt.groupBy("key").count().where("count > 1").select("key"), "shared-keys")
+        shared = written(dealt.join(several, "key", "left_semi").join(nodes.select("fp", "n", "bits", "low"), "fp").select("key", "fp", "n", "bits", "low"), "buckets")
+        pairs = written(candidates(shared, least, bucket_limit), "candidate-pairs", keep=True)
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "candidates")
-    links = linked(pairs, written(sets_of(slim, wanted, shingle), "candidate-sets"), least)
+    sets = written(sets_of(slim, wanted, shingle), "candidate-sets")
+    tried = written(judged(pairs, sets, least), "judged-pairs")
+    links = tried.where("ok").select("a", "b")
+    if not tried.where("not ok").isEmpty():
+        links = links.union(written(crowds(tried, nodes, sets, least, crowd_limit), "crowd-links"))
     return marked.select("doc_id", "fp").join(smallest_reachable(links, nodes.select("fp", "lo")), "fp").select("doc_id", "fp", "component_id")
 
 
@@ -262,7 +350,8 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows without an id can't be named as copies and stay.
     """
-    marked = similar(docs, id_col, text_col, shingle, least)
     (gone_,) = unused(docs, "gone")
-    gone = marked.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(gone_)).distinct()
-    return docs.join(written(gone, "copies"), F.col(id_col).cast("long") == F.col(gone_), "left_anti")
+    with scope(docs.sparkSession):
+        marked = similar(docs, id_col, text_col, shingle, least)
+        gone = written(marked.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(gone_)).distinct(), "copies", keep=True)
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(gone_), "left_anti")

@@ -1,7 +1,7 @@
 """Substring dedup: repeated word windows are found by Rabin-Karp hashes and removed as maximal intervals.
 
-Every window of ``window`` words of every document gets a rolling Rabin-Karp hash. Windows are counted in
-three exact steps, each of which settles most of what it sees, so few window rows are shuffled:
+Hashes of word spans are Rabin-Karp hashes, rolled over the text. Windows of ``window`` words of every document are counted in
+three exact steps, each of which settles most of what it sees; only windows that reach the third are hashed one by one, so few window rows are shuffled:
 
 1. A window's *anchor* is the least hash of the shorter word runs inside it. Equal windows have equal anchors,
    so windows under an anchor that one document alone has can't repeat. Consecutive windows with one anchor
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canticle.plans.cut import written
+from canticle.plans.cut import scope, written
 from canticle.plans.names import restored, whole_row
 
 WINDOW = 50
@@ -193,7 +193,9 @@ def maximal(spans: np.ndarray, n: int) -> np.ndarray:
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): each row's words outside repeated windows, joined by one space."""
     slim = keyed(docs, id_col, text_col)
-    cut = slim.join(written(repeated_spans(slim, window, anchor), "spans"), KEYS, "left").select("_id", "_text", "spans")
+    with scope(docs.sparkSession):
+        spans = written(repeated_spans(slim, window, anchor), "spans", keep=True)
+    cut = slim.join(spans, KEYS, "left").select("_id", "_text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,7 +214,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def replaced_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``docs`` with repeated windows cut out of the texts; a text that loses nothing stays as it is."""
-    spans = written(repeated_spans(keyed(docs, id_col, text_col), window, anchor), "spans").withColumnRenamed("spans", "_spans")
+    with scope(docs.sparkSession):
+        spans = written(repeated_spans(keyed(docs, id_col, text_col), window, anchor), "spans", keep=True).withColumnRenamed("spans", "_spans")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:

@@ -1,15 +1,11 @@
 """Corpus preparation in stages; each stage works on all that its predecessor kept.
 
-Every stage but the last returns the columns of ``documents``. Stages write intermediate tables in the shared folder
-named by ``spark.checkpoint.dir``. The result of a stage is written before the next stage is called, so a stage's tables go
-when the next one begins.
+Every stage but the last returns the columns of ``documents``, as a plan that may be written, read again or handed on to the next stage as it is. Stages
+write intermediate tables in the shared folder named by ``spark.checkpoint.dir`` and delete those that their result doesn't read before they return.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,53 +14,29 @@ from canticle.llm.packing import packed_documents
 from canticle.llm.quality import keep_good
 from canticle.llm.similar import keep_one_similar
 from canticle.llm.substring import replaced_text
-from canticle.plans.cut import made, release, written
-
-#: By application, which of its tables the last stage made.
-_last: dict[str, tuple[int, int]] = {}
-
-
-def stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """``function`` that first deletes the tables of the stage before it. Tables of the last stage stay for its result's reader."""
-
-    @wraps(function)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        application = spark.sparkContext.applicationId
-        release(spark, *_last.pop(application, (0, 0)))
-        first = len(made(spark))
-        out = function(spark, docs, sf_dir)
-        if run_stage is not STAGES[-1][1]:
-            _last[application] = first, len(made(spark))
-        return out
-
-    return run_stage
+from canticle.plans.cut import scope, written
 
 
-@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule, or whose host is rejected, go."""
     return keep_good(docs)
 
 
-@stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many sites carry stay in their first place only."""
     return sized(without_boilerplate(docs).select(*docs.columns))
 
 
-@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (0.8 of their five-word shingles or more) stays: the one with the smallest id."""
     return keep_one_similar(docs)
 
 
-@stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words that start in a document with a smaller id go; texts that lose nothing stay as they are."""
     return sized(replaced_text(docs))
 
 
-@stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every token piece in the training sequences."""
     return packed_documents(docs)
@@ -88,10 +60,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``; the result of each is written and read again, and then its other tables go."""
+    """The stages over ``documents``; the result of each but the last is written and read again, and then its other tables go."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    first = len(made(spark))
     for name, function in STAGES[:-1]:
-        docs = written(function(spark, docs, sf_dir), name.replace(" ", "-"))
-        release(spark, first, len(made(spark)) - 1)
+        with scope(spark):
+            docs = written(function(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

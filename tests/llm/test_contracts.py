@@ -13,7 +13,7 @@ from canticle.llm import bytebpe, lines, packing, quality, registry, sharding, s
 from tests.llm.test_dedup import brute_components, brute_fingerprint, brute_substring
 from tests.llm.test_judging import brute_counts
 
-CLASHING = ("_id", "_row", "_host", "_w", "_m", "_h", "_g", "_doc", "_site", "_text", "_gone", "_spans", "_arc", "_cell", "_place", "_key", "_rank", "_at", "_bucket", "_to", "_len", "_part", "_fold", "_toxic", "row", "host", "m", "fp", "key", "shard", "slot", "_n_lines_removed")
+CLASHING = ("id", "a", "b", "crowd", "class", "_id", "_row", "_host", "_w", "_m", "_h", "_g", "_doc", "_site", "_text", "_gone", "_spans", "_arc", "_cell", "_place", "_key", "_rank", "_at", "_bucket", "_to", "_len", "_part", "_fold", "_toxic", "row", "host", "m", "fp", "key", "shard", "slot", "_n_lines_removed")
 
 
 def sha(text):
@@ -136,6 +136,7 @@ def test_odd_and_empty_tables(spark, clashing, tmp_path, name):
         path = f"file://{tmp_path}/{kind}"
         docs.write.parquet(f"{path}/documents.parquet")
         docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"), "_id", "_toxic").write.parquet(f"{path}/labels.parquet")
+        docs.select(F.col("doc_id").alias("item_id"), "text", "_id").write.parquet(f"{path}/benchmark.parquet")
         docs.select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), "text", "_id").write.parquet(f"{path}/conversations.parquet")
         found = query(spark, path).count()
         if kind == "empty":

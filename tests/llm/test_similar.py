@@ -57,3 +57,41 @@ def test_near_dedup_stage_on_the_fixture_and_odd_rows(spark, documents, odd):
     kept = similar.keep_one_similar(odd)
     assert kept.columns == odd.columns and len(kept.collect()) == 6
     assert similar.keep_one_similar(odd.limit(0)).collect() == []
+
+
+def crowd(rng, versions, changed, size=240):
+    """Versions of one text, each with words of its own in ``changed`` places: most pairs lie about 0.8."""
+    base = [f"w{rng.randrange(3000)}" for _ in range(size)]
+    texts = []
+    for _ in range(versions):
+        words = list(base)
+        for at in rng.sample(range(size), rng.choice(changed)):
+            words[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_crowds_about_the_threshold_equal_brute_force(spark):
+    rng = random.Random(11)
+    texts = crowd(rng, 80, (2, 3, 4)) + crowd(rng, 40, (2, 5)) + crowd(rng, 3, (3,)) + crowd(rng, 50, (3, 4))
+    rng.shuffle(texts)
+    docs = list(enumerate(texts))
+    sets = [grams(t) for t in texts]
+    near = [jaccard(a, b) for i, a in enumerate(sets) for b in sets[:i]]
+    assert sum(0.7 < j < 0.8 for j in near) > 500 and sum(0.8 <= j < 0.86 for j in near) > 100
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute_kept(docs)
+    assert {r.doc_id for r in similar.keep_one_similar(df).collect()} == want
+    for limits in ({"crowd_limit": 24}, {"bucket_limit": 16, "crowd_limit": 50}):
+        found = similar.similar(df, **limits).collect()
+        assert {r.component_id for r in found} == want == {r.doc_id for r in found if r.doc_id == r.component_id}
+
+
+def test_stages_may_be_chained_without_writing(spark, documents, tmp_path):
+    path = f"file://{tmp_path}"
+    documents.write.parquet(f"{path}/documents.parquet")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, path)
+    key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
+    assert sorted(map(key, docs.collect())) == sorted(map(key, corpus_pipeline.run(spark, path).collect()))
