@@ -306,7 +306,7 @@ def crowds(tried: DataFrame, nodes: DataFrame, sets: DataFrame, least: float, cr
         fps, classes, block, n, bits = (np.array([r[c] for r in rows], np.int64) for c in ("fp", "class", "block", "n", "bits"))
         low = np.frombuffer(b"".join(r["low"] for r in rows), np.uint8).reshape(-1, BANDS * ROWS)
         _, first, of = np.unique(classes, return_index=True, return_inverse=True)
-        a, b = crowd_links(first[of], block, n, bits, low, [np.asarray(r["s"], np.int64) for r in rows], least)
+        a, b = crowd_links(first[of], block, n, bits, low, [r["s"].view(np.uint64) for r in rows], least)
         return pa.RecordBatch.from_arrays([pa.array(fps[a], pa.int64()), pa.array(fps[b], pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
