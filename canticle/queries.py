@@ -13,7 +13,7 @@ from canticle.functions import text as T
 from canticle.operators import catalog, failures, merge, ranking, reports, resolve, search, signals, timeline
 from canticle.plans.cut import written
 from canticle.sources.readers import table
-from canticle.streaming import detectors
+from canticle.streaming import detectors, gate
 
 NOW = "2024-01-25 00:00:00"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1037,9 +1037,10 @@ def chord_and_number_names(spark, sf_dir):
 
 @query()
 def gate_replay(spark, sf_dir):
-    """Model starts that energy confirms, over users' events; held against a plain loop in the tests."""
-    e = user_events(spark, sf_dir).withColumn("p", F.least(F.lit(1.0), F.col("value") / 60)).withColumn("energy", (F.col("event_type") == "view").cast("int"))
-    return detectors.replayed(e, detectors.Gate, "user_id", "at", "p", "energy", wait=86_400_000.0).select("key", "at_ms", "fired")
+    """Starts, stops and dropped starts of a gate over users' events; the rules are written a second time in the tests."""
+    kind = F.element_at(F.create_map(*map(F.lit, ("view", "frame", "signup", "frame", "click", "energy", "purchase", "start", "error", "end"))), F.col("event_type"))
+    e = user_events(spark, sf_dir).select("user_id", "at", kind.alias("kind"), F.least(F.lit(1.0), F.col("value") / 60).alias("level"))
+    return gate.gate_replayed(e, "user_id", "at", "kind", "level", wait=86_400_000)
 
 
 # Pages, memberships and strict lines.

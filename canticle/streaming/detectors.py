@@ -87,41 +87,6 @@ class Noise:
         return fire
 
 
-@dataclass
-class Gate:
-    """Starts of a model (its probability rises to a threshold) that energy must confirm: at once if the smoothed probability is over the
-    threshold too, else within ``wait`` ms, after ``frames`` counted frames in a row over it. Frames are counted every ``every`` ms.
-
-    A sample's level is the model's probability, its speech the energy gate (over 0: open).
-    """
-
-    smooth: float = 0.0
-    above: bool = False
-    pending: float = -1.0
-    counted_at: float = -1e300
-    run: float = 0.0
-
-    def step(self, at: float, level: float, energy: float = 0.0, *, threshold=0.5, alpha=0.5, wait=1000.0, frames=2, every=50.0) -> bool:
-        fired, rises = False, level >= threshold and not self.above
-        self.above = level >= threshold
-        if rises and self.smooth >= threshold and energy > 0:
-            fired = True
-        elif rises and self.pending < 0:
-            self.pending = at
-        self.smooth += alpha * (level - self.smooth)
-        if at - self.counted_at < every:
-            return fired
-        self.counted_at = at
-        self.run = self.run + 1 if self.smooth >= threshold else 0.0
-        if self.pending >= 0:
-            late = at - self.pending > wait
-            if not late and energy > 0 and self.smooth >= threshold and self.run >= frames:
-                fired = True
-            if fired or late:
-                self.pending, self.run = -1.0, 0.0
-        return fired
-
-
 @dataclass
 class Throttle:
     """Lets a sample through if none was let through in the last ``every`` ms."""
@@ -205,7 +170,8 @@ def streamed(rows: DataFrame, machine: type, key: str = "key", at: str = "at_ms"
 
 def gated(model: DataFrame, energy: DataFrame, wait_ms: int = 1000) -> DataFrame:
     """Model starts (key, at_ms) that an energy start of their key confirms within ``wait_ms`` before or after, and the time when both have
-    come. Rows meet in cells of time, not by key alone. Sample by sample, with smoothing and frame counts, :class:`Gate` decides."""
+    come. Rows meet in cells of time, not by key alone. Event by event, with smoothing and frame counts,
+    :mod:`canticle.streaming.gate` decides."""
     cell = lambda x: F.floor(x / (2 * wait_ms))
     e = energy.select(F.col("key").alias("_k"), F.col("at_ms").alias("_at"), cell(F.col("at_ms")).alias("_of"))
     dealt = model.select("key", "at_ms").distinct().withColumn("_cell", F.explode(F.array_distinct(F.array(cell(F.col("at_ms") - wait_ms), cell(F.col("at_ms") + wait_ms)))))

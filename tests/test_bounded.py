@@ -62,20 +62,6 @@ def test_greedy_fold_holds_only_what_it_took(spark, small_batches):
     assert "collect_list" not in plan_of(found)
 
 
-def test_the_gate_confirms_by_energy():
-    def run(samples, **config):
-        gate = D.Gate()
-        return [at for at, level, energy in samples if gate.step(float(at), level, energy, **config)]
-
-    speak = [(t, 0.9, 0) for t in range(0, 500, 50)]
-    assert run(speak) == []  # energy never opens
-    assert run([*speak, *((t, 0.9, 1) for t in range(500, 900, 50))]) == [500]  # released once
-    assert run([*speak, *((t, 0.9, 0) for t in range(500, 1100, 50)), (1100, 0.9, 1), (1150, 0.9, 1)]) == []  # too late
-    dip = [(0, 0.9, 1), (10, 0.9, 1), (20, 0.4, 1), (30, 0.9, 1)]
-    assert run(dip) == [30]  # a new start while the smoothed level is over the threshold
-    assert run([(0, 0.9, 1), (20, 0.9, 1), (40, 0.9, 1), (60, 0.9, 1), (110, 0.9, 1)]) == [110]  # frames are counted every 50 ms
-
-
 def test_the_throttle():
     t = D.Throttle()
     assert [x for x in range(0, 2000, 200) if t.step(float(x), 1.0)] == [0, 600, 1200, 1800]
