@@ -209,3 +209,11 @@ CLASS_LIMITS = {"music": 0.3, "voice_with_music": 0.15, "priority": 0.25, "voice
 
 # Weights of chord templates: notes outside, the root or another note of the chord as bass, a seventh.
 CHORD_WEIGHTS = {"outside": 0.4, "root_bass": 0.8, "other_bass": 0.4, "seventh": 0.5}
+
+# Intervals of the chord kinds, in the order in which equals are decided.
+CHORD_STEPS = {"major": (0, 4, 7), "minor": (0, 3, 7), "dim": (0, 3, 6), "dom7": (0, 4, 7, 10), "min7": (0, 3, 7, 10)}
+CHORD_SEVENTHS = ("dom7", "min7")
+
+# What is taken off a score's token before it is tested for being a word. The bracket closes the class early, so few tokens have any of it.
+SCORE_TOKEN_LEAD = r"""^["'“”‘’\\()\[]\{\}<>\]+"""
+SCORE_TOKEN_TRAIL = r"""["'“”‘’\\()\[]\{\}<>:;,\\.\\?!\]+$"""

@@ -94,24 +94,6 @@ def recovered(words: DataFrame, sung: DataFrame, found: DataFrame) -> DataFrame:
     return left.cogroup(right).applyInPandas(one, MATCHED)
 
 
-def built_words(syllables: DataFrame) -> DataFrame:
-    """(song_id, start_ms, piece): syllables joined to words; a hyphen at a syllable's end goes on with the next one."""
-
-    def one(s: pd.DataFrame) -> pd.DataFrame:
-        rows, text, start = [], "", None
-        for at, piece in s.sort_values(["start_ms", "piece"])[["start_ms", "piece"]].itertuples(index=False):
-            start = at if start is None else start
-            text += piece.strip().removesuffix("-")
-            if not piece.strip().endswith("-"):
-                rows.append((s["song_id"].iloc[0], start, text))
-                text, start = "", None
-        if text:
-            rows.append((s["song_id"].iloc[0], start, text))
-        return pd.DataFrame(rows, columns=["song_id", "start_ms", "piece"])
-
-    return syllables.groupBy("song_id").applyInPandas(one, "song_id long, start_ms long, piece string")
-
-
 def smoothed_chords(candidates: DataFrame, ratio: float = 1.15, least: float = 2.0) -> DataFrame:
     """Chords (song_id, tick, name, score) that take over: changed, at least ``least``, and better than the last accepted one
     by ``ratio``."""

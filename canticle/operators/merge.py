@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,12 +56,27 @@ def _set(value: Column, kind: str) -> Column:
     return F.coalesce(value != ("" if kind == "string" else 0), F.lit(False)) if kind in ("string", "tinyint", "smallint", "int", "bigint", "float", "double") else value.isNotNull()
 
 
+def _settings(text: Column) -> Column:
+    """A JSON object as a map of variants: numbers, booleans and nested values keep their kind. What isn't an object is an empty map."""
+    kind = "map<string,variant>"
+    return F.coalesce(F.from_json(F.when(F.try_parse_json(text).isNotNull() & F.ltrim(text).startswith("{"), text), kind), F.create_map().cast(kind))
+
+
+def _told(settings: Column, keep: Callable[[Column], Column]) -> Column:
+    """The kept entries as JSON, in order of their keys."""
+    names = F.array_sort(F.filter(F.map_keys(settings), keep))
+    return F.to_json(F.map_from_arrays(names, F.transform(names, lambda k: F.element_at(settings, k))))
+
+
 def merged_settings(old: Column, new: Column) -> Column:
     """A JSON object of settings with those of another one written over it; what isn't an object counts as empty."""
-    kind = "map<string,string>"
-    a, b = (F.coalesce(F.from_json(x, kind), F.create_map().cast(kind)) for x in (old, new))
-    kept = F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k))
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(kept, b)))))
+    a, b = _settings(old), _settings(new)
+    return _told(F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b), lambda k: F.lit(True))
+
+
+def without_settings(old: Column, *names: str) -> Column:
+    """A JSON object of settings without the named ones."""
+    return _told(_settings(old), lambda k: ~k.isin(*names))
 
 
 def _all(tests: list[Column]) -> Column:

@@ -16,11 +16,11 @@ STAMP = r"\[\d+:\d+(?:\.\d+)?\]"
 
 
 def parsed_lines(songs: DataFrame, id_col: str = "song_id", text_col: str = "lrc") -> DataFrame:
-    """(song_id, line_idx, text, start_s, end_s): a line a time stamp, by time; blank repeats go; a line ends at the
-    next one, the last after five seconds."""
+    """(song_id, line_idx, text, start_s, end_s): a line a time stamp, by time; its text is what follows the last stamp. Blank repeats
+    go; a line ends at the next one, the last after five seconds."""
     raw = songs.select(F.col(id_col).alias("song_id"), F.posexplode(F.split(F.regexp_replace(text_col, "\r\n", "\n"), "\n")).alias("raw_idx", "raw"))
     stamps = F.posexplode(F.regexp_extract_all("raw", F.lit(f"({STAMP})"), F.lit(1))).alias("stamp_idx", "stamp")
-    text = F.btrim(F.regexp_replace("raw", STAMP, ""))
+    text = F.regexp_replace(F.regexp_replace("raw", f"(?s)^.*{STAMP}", ""), r"(?U)^[\s\uFEFF]+|[\s\uFEFF]+$", "")
     lines = raw.select("song_id", "raw_idx", text.alias("text"), stamps).withColumn("start_s", T.stamp_seconds(F.col("stamp")))
     order = Window.partitionBy("song_id").orderBy("start_s", "raw_idx", "stamp_idx")
     blank = F.col("text") == ""
@@ -39,11 +39,17 @@ def strict_lines(songs: DataFrame, id_col: str = "song_id", text_col: str = "lrc
 
 
 def song_durations(songs: DataFrame, id_col: str = "song_id", text_col: str = "lrc") -> DataFrame:
-    """(song_id, seconds) of songs with lines or a ``length`` tag: the tag's minutes and seconds, else the end of the last line."""
-    tag = lambda k: F.regexp_extract("value", r"^(\d+):(\d+(?:\.\d+)?)$", k).try_cast("double")
-    told = lrc_tags(songs, id_col, text_col).where("tag = 'length'").groupBy("song_id").agg(F.first(tag(1) * 60 + tag(2), ignorenulls=True).alias("_told"))
-    last = parsed_lines(songs, id_col, text_col).groupBy("song_id").agg(F.max("end_s").alias("_last"))
-    return last.join(told, "song_id", "full_outer").select("song_id", F.coalesce("_told", "_last").alias("seconds"))
+    """(song_id, seconds) of every song: whole minutes and seconds of its last ``length`` tag; where that is none or 0, the end of the last
+    line, else 0. A tag of two parts that begin with no number gives NaN."""
+    whole = lambda k: F.regexp_extract(F.split(F.col("tag"), ":")[k], r"(?U)^\s*([+-]?[0-9]+)", 1).try_cast("double")
+    raw = songs.select(F.col(id_col).alias("song_id"), F.posexplode(F.split(text_col, "\n")).alias("raw_idx", "raw"))
+    part = lambda k: F.regexp_extract("raw", r"\[(\w+):(.+)\]", k)
+    tagged = raw.where((F.lower(part(1)) == "length") & ~F.col("raw").rlike(r"\[\d+:\d+")).groupBy("song_id").agg(F.max_by(part(2), "raw_idx").alias("tag"))
+    told = F.when(F.size(F.split(F.col("tag"), ":")) == 2, F.coalesce(whole(0) * 60 + whole(1), F.lit(float("nan"))))
+    lengths = tagged.select("song_id", told.alias("_told"))
+    last = parsed_lines(songs, id_col, text_col).groupBy("song_id").agg(F.max_by("end_s", "line_idx").alias("_last"))
+    rows = songs.select(F.col(id_col).alias("song_id")).join(lengths, "song_id", "left").join(last, "song_id", "left")
+    return rows.select("song_id", F.coalesce(F.when(F.col("_told") != 0, F.col("_told")), F.col("_last"), F.lit(0.0)).alias("seconds"))
 
 
 def lrc_tags(songs: DataFrame, id_col: str = "song_id", text_col: str = "lrc") -> DataFrame:
@@ -102,14 +108,14 @@ def _struct(df: DataFrame):
 
 def in_intervals(points: DataFrame, lines: DataFrame, key: str, at: str, start: str, before: int = 300, last_for: int = 10_000) -> DataFrame:
     """Points with every line whose interval holds them: from ``before`` ms ahead of its start to as much ahead of the
-    next one's start; a last line goes on for ``last_for`` ms.
+    next one's start; a last line counts as if one came ``last_for`` ms after it.
 
     No pairs of a key are tried: the lines of a point are the last one that starts ``before`` ms ahead of it or earlier (an as-of
     lookup), and those that start within ``before`` ms of it, which share one of its two cells of time.
     """
     order = Window.partitionBy(key).orderBy(start, "line_idx")
     values = [c for c in lines.columns if c != key]
-    ends = lines.withColumns({"_end": F.coalesce(F.lead(start).over(order) + before, F.col(start) + last_for), "_tie": F.lpad(F.col("line_idx").cast("string"), 20, "0")})
+    ends = lines.withColumns({"_end": F.coalesce(F.lead(start).over(order), F.col(start) + last_for) + before, "_tie": F.lpad(F.col("line_idx").cast("string"), 20, "0")})
     earlier = asof(points, ends.withColumn(at, F.col(start) + before), key, at, [*values, "_end"], "_tie").where(F.col(at) < F.col("_end"))
     cell = lambda x: F.floor(x / (2 * before))
     dealt = points.withColumn("_cell", F.explode(F.array_distinct(F.array(cell(F.col(at) - before), cell(F.col(at) + before)))))
@@ -274,9 +280,9 @@ def pitch_histogram(notes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def chord_templates() -> list[tuple[str, int, list[int], bool]]:
-    """(name, root, pitch classes, seventh) of five chord kinds on twelve roots, in order of roots."""
-    kinds = (("", (0, 4, 7), False), ("m", (0, 3, 7), False), ("7", (0, 4, 7, 10), True), ("maj7", (0, 4, 7, 11), True), ("m7", (0, 3, 7, 10), True))
-    return [(f"{fixed.SHARPS[r]}{k}", r, [(r + i) % 12 for i in steps], seventh) for r in range(12) for k, steps, seventh in kinds]
+    """(name, root, pitch classes, seventh) of the five chord kinds on twelve roots, in order of roots."""
+    kinds = fixed.CHORD_STEPS.items()
+    return [(fixed.SHARPS[r] + fixed.CHORD_QUALITIES[k], r, [(r + i) % 12 for i in steps], k in fixed.CHORD_SEVENTHS) for r in range(12) for k, steps in kinds]
 
 
 def best_chord(bins: Column, bass: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from canticle.functions import fixed
 from canticle.functions import scoring as S
 from canticle.functions import text as T
-from canticle.operators import catalog, failures, merge, ranking, reports, resolve, search, signals, timeline
+from canticle.operators import catalog, failures, merge, ranking, reports, resolve, search, signals, timeline, words
 from canticle.plans.cut import written
 from canticle.sources.readers import table
 from canticle.streaming import detectors, gate
@@ -687,9 +687,8 @@ def asof_event(spark, sf_dir):
     return timeline.asof(e.where("event_type = 'error'").select("user_id", "event_id", "at"), clicks, "user_id", "at", ["click_id"], "tie").select("event_id", "click_id")
 
 
-@query(f"""WITH {E_SQL}, l AS (SELECT user_id, event_id AS line_idx, ms_at - 300 AS s, coalesce(lead(ms_at) OVER (PARTITION BY user_id ORDER BY ms_at, event_id) - 300, ms_at + 10000) AS x FROM e WHERE event_type = 'view'),
-p AS (SELECT * FROM e WHERE event_type = 'purchase')
-SELECT p.event_id, l.line_idx FROM p JOIN (SELECT user_id, line_idx, s, CASE WHEN x = s + 10300 THEN x ELSE x + 600 END AS x FROM l) l ON l.user_id = p.user_id AND p.ms_at >= l.s AND p.ms_at < l.x""")
+@query(f"""WITH {E_SQL}, l AS (SELECT user_id, event_id AS line_idx, ms_at AS s, coalesce(lead(ms_at) OVER (PARTITION BY user_id ORDER BY ms_at, event_id), ms_at + 10000) AS n FROM e WHERE event_type = 'view')
+SELECT p.event_id, l.line_idx FROM e p JOIN l ON p.event_type = 'purchase' AND l.user_id = p.user_id AND p.ms_at >= l.s - 300 AND p.ms_at < l.n + 300""")
 def interval_assign(spark, sf_dir):
     e = user_events(spark, sf_dir)
     lines = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("line_idx"), F.col("at").alias("start_ms"))
@@ -1043,6 +1042,76 @@ def gate_replay(spark, sf_dir):
     return gate.gate_replayed(e, "user_id", "at", "kind", "level", wait=86_400_000)
 
 
+# Words of scores.
+
+SYLLABLES = ("la-", "lo", "-", "-ta-", "-na", "", "Be", "be", "X-", "ing", "da")
+SYLLABLE_SQL = "y AS (SELECT l_orderkey AS song_id, l_linenumber AS idx, l_linenumber * 480 AS tick, trim([" + ", ".join(f"'{x}'" for x in SYLLABLES) + "][CAST(l_quantity AS BIGINT) % 11 + 1]) AS t FROM li)"
+
+
+def sung_syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.get(F.array(*map(F.lit, SYLLABLES)), (F.col("l_quantity").cast("long") % 11).cast("int"))
+    return line_words(spark, sf_dir).select(F.col("l_orderkey").alias("song_id"), F.col("l_linenumber").alias("idx"), (F.col("l_linenumber") * 480).cast("long").alias("tick"), text.alias("text"))
+
+
+@query(f"""WITH RECURSIVE {WORDS_SQL}, {SYLLABLE_SQL},
+n AS (SELECT *, row_number() OVER w AS n, coalesce(lead(t) OVER w = '-', false) AS bare FROM y WINDOW w AS (PARTITION BY song_id ORDER BY idx)),
+r AS (SELECT song_id, CAST(0 AS BIGINT) AS n, '' AS word, CAST(NULL AS BIGINT) AS tick, false AS hyphen, CAST([] AS STRUCT(tick BIGINT, word VARCHAR)[]) AS done FROM n WHERE n.n = 1
+  UNION ALL SELECT song_id, n, CASE WHEN blank THEN word WHEN ends THEN '' ELSE said END, CASE WHEN blank THEN tick WHEN ends THEN NULL ELSE since END,
+    CASE WHEN t = '' THEN hyphen ELSE t = '-' OR ends_with(t, '-') END,
+    done || CASE WHEN NOT blank AND fresh THEN [struct_pack(tick := tick, word := word)] ELSE [] END || CASE WHEN NOT blank AND ends THEN [struct_pack(tick := since, word := said)] ELSE [] END
+  FROM (SELECT *, CASE WHEN fresh THEN '' ELSE word END || regexp_replace(regexp_replace(t, '^-', ''), '-$', '') AS said, CASE WHEN fresh OR tick IS NULL THEN own ELSE tick END AS since, NOT ends_with(t, '-') AND NOT bare AS ends
+    FROM (SELECT n.song_id, n.n, r.word, r.tick, r.hyphen, r.done, n.t, n.bare, CAST(n.tick AS BIGINT) AS own, n.t IN ('', '-') AS blank,
+      NOT (starts_with(n.t, '-') OR (r.hyphen AND (ends_with(n.t, '-') OR regexp_matches(n.t, '^[a-z]')))) AND r.word <> '' AND r.tick IS NOT NULL AS fresh
+      FROM r JOIN n ON n.song_id = r.song_id AND n.n = r.n + 1))),
+z AS (SELECT song_id, done || CASE WHEN word <> '' THEN [struct_pack(tick := tick, word := word)] ELSE [] END AS done FROM r QUALIFY row_number() OVER (PARTITION BY song_id ORDER BY n DESC) = 1)
+SELECT song_id, CAST(k - 1 AS BIGINT) AS word_idx, done[k].tick AS tick, done[k].word AS word FROM (SELECT song_id, done, unnest(range(1, len(done) + 1)) AS k FROM z)""")
+def sung_words(spark, sf_dir):
+    """Syllables to words; the SQL goes through them one by one."""
+    return words.built_words(sung_syllables(spark, sf_dir)).select("song_id", F.col("word_idx").cast("long").alias("word_idx"), "tick", "word")
+
+
+SCORE_SQL = r"""w AS (SELECT song_id, row_number() OVER (PARTITION BY song_id ORDER BY i, k) - 1 AS word_idx, (i * 3 + k) * 960 AS tick FROM (SELECT song_id, i, unnest(range(CASE WHEN song_id % 3 = 0 THEN 2 ELSE 4 END)) AS k FROM s)),
+b AS (SELECT song_id, (i + song_id % 2) * 1920 AS tick, [60, 75, 100, 120, 150][(i + song_id) % 5 + 1] AS bpm FROM s WHERE i % 3 = 0 AND song_id % 7 <> 0),
+b0 AS (SELECT * FROM b UNION ALL SELECT song_id, 0, coalesce(min_by(bpm, b.tick), 120) FROM (SELECT DISTINCT song_id FROM s) LEFT JOIN b USING (song_id) GROUP BY 1 HAVING coalesce(min(b.tick), 1) > 0),
+g AS (SELECT song_id, tick, bpm, coalesce(lead(tick) OVER (PARTITION BY song_id ORDER BY tick), 1000000000) AS stop FROM b0),
+c AS (SELECT w.song_id, word_idx, CAST(round_even(sum((least(stop, w.tick) - g.tick) * 60.0 / (bpm * 960)) * 100, 0) AS BIGINT) AS cs FROM w JOIN g ON g.song_id = w.song_id AND (g.tick < w.tick OR g.tick = 0) GROUP BY 1, 2)"""
+
+
+@query(rf"""WITH {LRC_SQL}, {SCORE_SQL},
+t AS (SELECT song_id, i, p, row_number() OVER (PARTITION BY song_id ORDER BY i, p) - 1 AS word_idx, string_split(text, ' ')[p] AS token FROM (SELECT *, unnest(range(1, len(string_split(text, ' ')) + 1)) AS p FROM s WHERE text <> '')),
+q AS (SELECT t.song_id, t.i, string_agg(CASE WHEN cs IS NULL THEN token ELSE '<' || lpad(CAST(cs // 6000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(cs // 100 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(cs % 100 AS VARCHAR), 2, '0') || '>' || token END, ' ' ORDER BY p) AS said FROM t LEFT JOIN c ON c.song_id = t.song_id AND c.word_idx = t.word_idx GROUP BY 1, 2),
+f AS (SELECT s.song_id, string_agg(CASE WHEN text = '' THEN stamp ELSE stamp || ' ' || said END, chr(10) ORDER BY s.i) AS lrc, max(at_s) AS ends FROM s LEFT JOIN q ON q.song_id = s.song_id AND q.i = s.i GROUP BY 1),
+e AS (SELECT song_id, max_by(cs, word_idx) / 100.0 AS last FROM c GROUP BY 1)
+SELECT f.song_id, coalesce(last < 6000 AND last - ends > 5, false) AS too_long, CASE WHEN NOT coalesce(last < 6000 AND last - ends > 5, false) THEN lrc END AS lrc FROM f LEFT JOIN e ON e.song_id = f.song_id""")
+def scored_lyrics(spark, sf_dir):
+    """Lyric texts with the times of a score's words: too few words, too many, blank lines, tempo changes, scores that go on too long."""
+    songs = turn_lyrics(spark, sf_dir)
+    lines = songs.select("song_id", F.posexplode(F.split("lrc", "\n")).alias("i", "line"))
+    many = F.when(F.col("song_id") % 3 == 0, 2).otherwise(4)
+    each = lines.select("song_id", "i", F.explode(F.sequence(F.lit(0), many - 1)).alias("k"))
+    place = F.row_number().over(Window.partitionBy("song_id").orderBy("i", "k")) - 1
+    sung = each.select("song_id", place.alias("word_idx"), ((F.col("i") * 3 + F.col("k")) * 960).alias("tick"), F.lit("la").alias("word"))
+    bpm = F.get(F.array(*map(F.lit, (60, 75, 100, 120, 150))), ((F.col("i") + F.col("song_id")) % 5).cast("int"))
+    tempos = lines.where("i % 3 = 0 and song_id % 7 <> 0").select("song_id", F.col("i").alias("idx"), ((F.col("i") + F.col("song_id") % 2) * 1920).alias("tick"), bpm.alias("bpm"))
+    return words.merged_score(songs, sung, tempos, tolerance=5.0)
+
+
+@query("""WITH n AS (SELECT l_orderkey AS song_id, CAST(l_quantity AS BIGINT) AS pitch, 1 + l_linenumber % 3 AS w FROM lineitem),
+h AS (SELECT song_id, pitch % 12 AS pc, sum(w) AS w FROM n GROUP BY 1, 2), b AS (SELECT song_id, min(pitch) % 12 AS bass, sum(w) AS total FROM n GROUP BY 1),
+t(k, suffix, steps, less) AS (VALUES (0, '', [0, 4, 7], 0.0), (1, 'm', [0, 3, 7], 0.0), (2, 'dim', [0, 3, 6], 0.0), (3, '7', [0, 4, 7, 10], 0.5), (4, 'm7', [0, 3, 7, 10], 0.5)),
+c AS (SELECT song_id, bass, total, r, k, less, ['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'][r + 1] || suffix AS name, list_transform(steps, lambda x: (x + r) % 12) AS pcs FROM b, (SELECT unnest(range(12)) AS r), t),
+i AS (SELECT c.song_id, c.r, c.k, sum(h.w) AS inside FROM c JOIN h ON h.song_id = c.song_id AND list_contains(c.pcs, h.pc) GROUP BY 1, 2, 3),
+s AS (SELECT c.song_id, c.r * 5 + c.k AS place, name, CAST(coalesce(inside, 0) AS DOUBLE) - 0.4::DOUBLE * CAST(total - coalesce(inside, 0) AS DOUBLE) + CASE WHEN bass = c.r THEN 0.8::DOUBLE WHEN list_contains(pcs, bass) THEN 0.4::DOUBLE ELSE 0 END - less::DOUBLE AS score
+  FROM c LEFT JOIN i ON i.song_id = c.song_id AND i.r = c.r AND i.k = c.k)
+SELECT song_id, name, round(score, 4) AS score FROM s QUALIFY row_number() OVER (PARTITION BY song_id ORDER BY score DESC, place) = 1""")
+def inferred_chords(spark, sf_dir):
+    """The best of sixty chord templates for the notes of each order."""
+    weight = F.col("l_linenumber") % 3 + 1
+    notes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("song_id"), F.col("l_quantity").cast("long").alias("pitch"), (weight * weight * 960).alias("ticks"))
+    best = timeline.best_chord(F.col("bins"), F.col("bass"))
+    return timeline.pitch_histogram(notes, ["song_id"]).select("song_id", best.alias("b")).select("song_id", "b.name", F.round("b.score", 4).alias("score"))
+
+
 # Pages, memberships and strict lines.
 
 

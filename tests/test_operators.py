@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from canticle.operators import align, merge, ranking, reports, resolve, search, signals, timeline
+from canticle.operators import align, merge, ranking, reports, resolve, search, signals, timeline, words as words_
 
 
 def rows_of(df, *cols):
@@ -157,6 +157,24 @@ def test_lines(spark):
     got = [(r.text, r.start_s, r.end_s) for r in timeline.parsed_lines(songs).orderBy("line_idx").collect()]
     assert got == [("one", 1.0, 2.0), ("two", 2.0, 3.0), ("one", 3.0, 4.0), ("", 4.0, 6.0), ("end", 6.0, 11.0)]
     assert rows_of(timeline.lrc_tags(songs), "tag", "value") == [("ar", "Ann")]
+    odd = spark.createDataFrame([(1, "[00:01.00]foo[00:02.00]\t bar \r\nx [00:03.00] y")], "song_id long, lrc string")
+    assert rows_of(timeline.parsed_lines(odd), "start_s", "text") == [(1.0, "bar"), (2.0, "bar"), (3.0, "y")]
+
+
+def test_song_durations(spark):
+    line = "\n[00:10.00]a"
+    cases = [("[length: 3:05.7]" + line, 185.0), ("[length:0:00]" + line, 15.0), ("[length:1:00]\n[LENGTH:02:30]" + line, 150.0), ("[length:1:02:03]" + line, 15.0), (line, 15.0), ("no lines", 0.0), ("[00:01.00][length:9:00]", 6.0), ("[ti:x][length:9:00]" + line, 15.0)]
+    songs = spark.createDataFrame([(k, lrc) for k, (lrc, _) in enumerate(cases)], "song_id long, lrc string")
+    assert rows_of(timeline.song_durations(songs), "song_id", "seconds") == [(k, s) for k, (_, s) in enumerate(cases)]
+
+
+def test_chords_of_all_kinds_and_ties(spark):
+    steps = {"": (0, 4, 7), "m": (0, 3, 7), "dim": (0, 3, 6), "7": (0, 4, 7, 10), "m7": (0, 3, 7, 10)}
+    rows = [(f"{r}{q}", 48 + (r + i) % 12 + (0 if i == 0 else 12), 960) for r in range(12) for q, own in steps.items() for i in own]
+    rows += [("tie", p, 960) for p in range(60, 72)]  # every class alike: triads score alike, but for the bass
+    names = ["C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B"]
+    found = timeline.pitch_histogram(spark.createDataFrame(rows, "bar string, pitch int, ticks int"), ["bar"]).select("bar", timeline.best_chord(F.col("bins"), F.col("bass"))["name"].alias("name")).collect()
+    assert {r.bar: r.name for r in found} == {f"{r}{q}": names[r] + q for r in range(12) for q in steps} | {"tie": "C7"}
 
 
 def test_asof_against_a_loop(spark):
@@ -182,9 +200,9 @@ def test_tempo_and_anchors(spark):
 
 def test_chords(spark):
     lines = spark.createDataFrame([(1, 0, 1000), (1, 1, 2000)], "song_id long, line_idx int, start_ms int")
-    chords = spark.createDataFrame([(1, 600, "X"), (1, 750, "C"), (1, 1200, "C"), (1, 1800, "G"), (1, 11_999, "D"), (1, 12_001, "E")], "song_id long, at_ms int, chord string")
+    chords = spark.createDataFrame([(1, 600, "X"), (1, 750, "C"), (1, 1200, "C"), (1, 1800, "G"), (1, 12_299, "D"), (1, 12_300, "E")], "song_id long, at_ms int, chord string")
     got = rows_of(timeline.chords_on_lines(chords, lines, "song_id"), "line_idx", "at_ms", "chord")
-    assert got == [(0, 750, "C"), (0, 1800, "G"), (1, 1800, "G"), (1, 11_999, "D")]
+    assert got == [(0, 750, "C"), (0, 1800, "G"), (1, 1800, "G"), (1, 12_299, "D")]
     notes = spark.createDataFrame([(1, p, 960) for p in (60, 64, 67)], "bar int, pitch int, ticks int")
     best = timeline.pitch_histogram(notes, ["bar"]).select(timeline.best_chord(F.col("bins"), F.col("bass")).alias("c")).first().c
     assert best["name"] == "C"
@@ -195,7 +213,8 @@ def test_chords(spark):
 def test_alignment(spark):
     words = spark.createDataFrame([(1, 0, k, w) for k, w in enumerate("Hello darkness my old friend self-made".split())], "song_id long, line_idx int, word_idx int, word string")
     parts = [("hel-", 10), ("lo", 20), ("dark-", 30), ("ness", 40), ("noise", 45), ("myold", 50), ("friend", 60), ("self", 70), ("made", 80)]
-    sung = align.built_words(spark.createDataFrame([(1, t, p) for p, t in parts], "song_id long, start_ms long, piece string"))
+    built = words_.built_words(spark.createDataFrame([(1, t, t, p) for p, t in parts], "song_id long, idx int, tick long, text string"))
+    sung = built.select("song_id", F.col("tick").alias("start_ms"), F.col("word").alias("piece"))
     assert rows_of(align.aligned(words, sung), "word_idx", "start_ms") == [(0, 10), (1, 30), (2, 50), (3, 50), (4, 60), (5, 70)]
 
 
@@ -290,8 +309,9 @@ def test_musicxml_cursor(spark, tmp_path):
 
 
 def test_settings_and_first_inserts(spark):
-    both = spark.createDataFrame([('{"a": "1", "b": "x"}', '{"b": "y", "c": "2"}'), (None, '{"k": "v"}'), ('{"a": "1"}', "not json")], "old string, new string")
-    assert [r[0] for r in both.select(merge.merged_settings(F.col("old"), F.col("new"))).collect()] == ['{"a":"1","b":"y","c":"2"}', '{"k":"v"}', '{"a":"1"}']
+    both = spark.createDataFrame([('{"size":12,"on":true,"nested":{"a":[1,null]}}', '{"nested":{"b":1.5},"c":"2","on":null}'), (None, '{"k": "v"}'), ('{"a": "1"}', "not json"), ("[1]", "3")], "old string, new string")
+    assert [r[0] for r in both.select(merge.merged_settings(F.col("old"), F.col("new"))).collect()] == ['{"c":"2","nested":{"b":1.5},"on":null,"size":12}', '{"k":"v"}', '{"a":"1"}', "{}"]
+    assert [r[0] for r in both.select(merge.without_settings(F.col("old"), "on")).collect()] == ['{"nested":{"a":[1,null]},"size":12}', "{}", '{"a":"1"}', "{}"]
     old = spark.createDataFrame([(1, "p", None)], "k int, payload string, by string")
     new = spark.createDataFrame([(1, None, "me"), (2, "q", "me")], "k int, payload string, by string")
     assert rows_of(merge.upserted(old, new, ["k"], {"payload": "new", "by": "first"}), "k", "payload", "by") == [(1, None, None), (2, "q", "me")]
@@ -321,7 +341,7 @@ def test_intervals_are_all_pairs_of_a_loop(spark):
     for key in range(3):
         own = sorted((s, k) for g, k, s in lines if g == key)
         for n, (s, k) in enumerate(own):
-            end = own[n + 1][0] + 300 if n + 1 < len(own) else s + 10_000
+            end = (own[n + 1][0] if n + 1 < len(own) else s + 10_000) + 300
             want += [(p, k) for g, p, t in points if g == key and s - 300 <= t < end]
     got = timeline.in_intervals(spark.createDataFrame(points, "song int, p int, t int"), spark.createDataFrame(lines, "song int, line_idx int, start_ms int"), "song", "t", "start_ms")
     assert rows_of(got, "p", "line_idx") == sorted(want)
