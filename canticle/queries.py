@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from canticle.functions import fixed
 from canticle.functions import scoring as S
 from canticle.functions import text as T
-from canticle.operators import catalog, failures, merge, ranking, reports, resolve, search, signals, timeline, words
+from canticle.operators import align, catalog, failures, merge, ranking, reports, resolve, search, signals, timeline, words
 from canticle.plans.cut import written
 from canticle.sources.readers import table
 from canticle.streaming import detectors, gate
@@ -1096,6 +1096,28 @@ def scored_lyrics(spark, sf_dir):
     return words.merged_score(songs, sung, tempos, tolerance=5.0)
 
 
+def turn_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as lines, ten seconds apart, and their words."""
+    line = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role")) - 1
+    lines = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("song_id"), line.alias("line_idx"), (line * 10_000).alias("line_ms"), "text")
+    return lines.select("song_id", "line_idx", "line_ms", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("word_idx", "word"))
+
+
+@query()
+def aligned_lyrics(spark, sf_dir):
+    """The words of turns against pieces made of them: some cut in two, some run together, some left out, some moved. Held against a loop in the tests."""
+    told = turn_words(spark, sf_dir)
+    order = Window.partitionBy("song_id").orderBy("line_idx", "word_idx")
+    kind = F.pmod(F.xxhash64("song_id", "line_idx", "word_idx"), F.lit(10))
+    row = told.withColumn("kind", kind).withColumn("next", F.lead("word").over(order)).withColumn("start_ms", F.col("line_ms") + F.col("word_idx") * 10).where("kind > 0")
+    half = F.floor(F.char_length("word") / 2).cast("int")
+    cut = F.array(F.substring("word", F.lit(1), half), F.substring(F.col("word"), half + 1, F.char_length("word")))
+    pieces = F.when((F.col("kind") == 1) & (half > 0), cut).when((F.col("kind") == 2) & F.col("next").isNotNull(), F.array(F.concat("word", "next"))).otherwise(F.array("word"))
+    sung = row.select("song_id", "start_ms", F.posexplode(pieces).alias("idx", "piece"))
+    first = align.aligned(told, sung)
+    return first.withColumn("recovered", F.lit(False)).unionByName(align.recovered(told, sung, first).withColumn("recovered", F.lit(True)))
+
+
 @query("""WITH n AS (SELECT l_orderkey AS song_id, CAST(l_quantity AS BIGINT) AS pitch, 1 + l_linenumber % 3 AS w FROM lineitem),
 h AS (SELECT song_id, pitch % 12 AS pc, sum(w) AS w FROM n GROUP BY 1, 2), b AS (SELECT song_id, min(pitch) % 12 AS bass, sum(w) AS total FROM n GROUP BY 1),
 t(k, suffix, steps, less) AS (VALUES (0, '', [0, 4, 7], 0.0), (1, 'm', [0, 3, 7], 0.0), (2, 'dim', [0, 3, 6], 0.0), (3, '7', [0, 4, 7, 10], 0.5), (4, 'm7', [0, 3, 7, 10], 0.5)),

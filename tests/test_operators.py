@@ -210,14 +210,6 @@ def test_chords(spark):
     assert rows_of(align.smoothed_chords(cands), "tick", "name") == [(0, "C"), (3, "F")]
 
 
-def test_alignment(spark):
-    words = spark.createDataFrame([(1, 0, k, w) for k, w in enumerate("Hello darkness my old friend self-made".split())], "song_id long, line_idx int, word_idx int, word string")
-    parts = [("hel-", 10), ("lo", 20), ("dark-", 30), ("ness", 40), ("noise", 45), ("myold", 50), ("friend", 60), ("self", 70), ("made", 80)]
-    built = words_.built_words(spark.createDataFrame([(1, t, t, p) for p, t in parts], "song_id long, idx int, tick long, text string"))
-    sung = built.select("song_id", F.col("tick").alias("start_ms"), F.col("word").alias("piece"))
-    assert rows_of(align.aligned(words, sung), "word_idx", "start_ms") == [(0, 10), (1, 30), (2, 50), (3, 50), (4, 60), (5, 70)]
-
-
 def test_edits(spark):
     lines = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 2, "c")], "song_id long, line_idx int, text string")
     edits = spark.createDataFrame([(1, 0, True, None), (1, 2, False, "C")], "song_id long, line_idx int, skip boolean, text string")
