@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from canticle.functions import fixed
 from canticle.functions import text as T
+from canticle.operators import near
 
 KEY = ["title_norm", "artist_norm"]
 
@@ -15,7 +16,8 @@ def recovery(failures: DataFrame, catalog: DataFrame) -> DataFrame:
     """``failures`` (title_norm, artist_norm) with the first ``strategy`` that finds them in the catalog, or ``not_found``.
 
     Each strategy is a key to look up; keys of all strategies are looked up in one join. What is left is compared with its artist's
-    titles by edit distance over the longer length in bytes.
+    titles by edit distance over the longer length in bytes: ASCII titles that share a segment (:mod:`canticle.operators.near`), and, where a
+    title has other letters, those of like length.
     """
     title, artist = F.col("title_norm"), F.col("artist_norm")
     stripped = F.regexp_replace(F.regexp_replace(title, fixed.VERSION_SUFFIX, ""), fixed.VERSION_DASH, "")
@@ -34,7 +36,9 @@ def recovery(failures: DataFrame, catalog: DataFrame) -> DataFrame:
     hits = asked.join(keys, (F.col("o.t") == F.col("_t")) & (F.col("o.a") == F.col("_a"))).groupBy(*KEY).agg(F.min_by("o.name", "o.rank").alias("strategy"))
     open_ = rows.join(hits, KEY, "left_anti")
     longer, shorter = F.greatest(F.octet_length("title_norm"), F.octet_length("_t")), F.least(F.octet_length("title_norm"), F.octet_length("_t"))
-    close = open_.join(keys, (artist == F.col("_a")) & (shorter * 100 >= longer * 85))
+    plain = lambda t: F.octet_length(t) == F.char_length(t)
+    close = near.candidates(open_.where(plain("title_norm")), keys.where(plain("_t")), [("artist_norm", "_a")], "title_norm", "_t", 15)
+    close = close.union(open_.join(keys, (artist == F.col("_a")) & (shorter * 100 >= longer * 85) & ~(plain("title_norm") & plain("_t"))))
     best = close.groupBy(*KEY).agg(F.max(T.byte_similarity(title, F.col("_t"))).alias("s"))
     step = F.when(F.col("s") >= 0.95, "fuzzy_95").when(F.col("s") >= 0.90, "fuzzy_90").when(F.col("s") >= 0.85, "fuzzy_85")
     found = hits.unionByName(best.select(*KEY, step.alias("strategy")).where("strategy is not null"))

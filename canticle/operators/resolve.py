@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from canticle.functions import scoring as S
 from canticle.functions import text as T
+from canticle.operators import near
 from canticle.plans.cut import written
 from canticle.plans.names import unused
 
@@ -113,12 +114,12 @@ def rescue_pairs(rows: DataFrame, catalog: DataFrame, least: float = 0.70, most:
 
 def fuzzy_pairs(rows: DataFrame, catalog: DataFrame, least: float = 0.90, most: int = 20) -> DataFrame:
     """Same artist, most similar title of at least ``least``, then the first of its candidates by popularity that is near enough.
-    Lengths are compared before texts."""
+    Titles of an artist meet on equal segments (:mod:`canticle.operators.near`), not all with all."""
     groups = canonical(rows).select(*GROUP, F.col("duration_sec").alias("_seconds")).where(~T.is_common_title(F.col("title_norm")))
     titles = catalog.select(*GROUP).distinct().select(F.col("title_norm").alias("_catalog_title"), F.col("artist_norm").alias("_artist"))
     a, b = F.char_length("title_norm"), F.char_length("_catalog_title")
     longer = F.greatest(a, b)
-    close = groups.join(titles, (F.col("artist_norm") == F.col("_artist")) & (F.abs(a - b) * 10 <= longer))
+    close = near.candidates(groups, titles, [("artist_norm", "_artist")], "title_norm", "_catalog_title", round(100 * (1 - least)))
     distance = F.levenshtein(F.col("title_norm"), F.col("_catalog_title"))
     measured = close.withColumn("_sim", F.when(longer == 0, 1.0).otherwise(1 - distance / longer)).where(F.col("_sim") >= least)
     best = measured.groupBy(*GROUP, "_seconds").agg(F.min_by(F.struct("_catalog_title", "_sim"), F.struct(-F.col("_sim"), "_catalog_title")).alias("b")).select(*GROUP, "_seconds", "b.*")
