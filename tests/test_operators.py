@@ -219,11 +219,11 @@ def test_edits(spark):
 
 
 def test_recovered_lines(spark):
-    words = spark.createDataFrame([(1, line, k, w) for line, text in enumerate(["first line here", "lost words again now", "last one"]) for k, w in enumerate(text.split())], "song_id long, line_idx int, word_idx int, word string")
+    words = spark.createDataFrame([(1, line, k, w, line * 10_000) for line, text in enumerate(["first line here", "lost words again now", "last one"]) for k, w in enumerate(text.split())], "song_id long, line_idx int, word_idx int, word string, line_ms long")
     sung = spark.createDataFrame([(1, 100 * k, w) for k, w in enumerate("lost words noise again now first line here last one".split())], "song_id long, start_ms long, piece string")
     found = align.aligned(words, sung)
     assert {r.line_idx for r in found.collect()} == {0, 2}
-    assert rows_of(align.recovered(words, sung, found), "line_idx", "word_idx", "start_ms") == [(1, 0, 0), (1, 1, 100), (1, 2, 300), (1, 3, 400)]
+    assert rows_of(align.recovered(words, sung, found), "line_idx", "word_idx", "start_ms") == [(1, 0, 10_000), (1, 1, 10_100), (1, 2, 10_300), (1, 3, 10_400)]
 
 
 def test_greedy_distinct_is_a_loop(spark):
