@@ -1,12 +1,14 @@
-"""Sinks: guarded overwrite, key-sorted tables, nested JSON export and run statistics."""
+"""Sinks: guarded overwrite, key-sorted and bucketed tables, batches of a stream written once, nested JSON export and run statistics."""
 
 from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def guard(path: str, must_contain: str, sources: list[str]) -> None:
@@ -29,6 +31,49 @@ def by_key(rows: DataFrame, path: str, key: list[str]) -> None:
     rows.dropDuplicates(key).repartition(*key).sortWithinPartitions(*key).write.mode("overwrite").parquet(path)
 
 
+def indexed(rows: DataFrame, table: str, key: list[str], identity: list[str], buckets: int, path: str | None = None) -> DataFrame:
+    """``rows`` as a catalog table in ``buckets`` by ``key``, sorted by it, one row for each ``key`` and ``identity``; a file a bucket.
+
+    Joins and windows on the whole key read the buckets as they lie: only the other side is exchanged. A lookup of a key
+    skips row groups by their least and greatest keys (and buckets, where the key is one column). ``path`` makes it an external table.
+    """
+    once = rows.dropDuplicates([*key, *identity]).repartition(buckets, *key)
+    writer = once.write.mode("overwrite").format("parquet").bucketBy(buckets, *key).sortBy(*key)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return rows.sparkSession.table(table)
+
+
+def written_once(path: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that writes each batch as the partition ``batch_id`` of ``path``. A batch that is run again after a failure
+    overwrites what its first run left, so no row is written twice."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return run
+
+
+def told_once(path: str, key: list[str], send: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that sends alerts whose ``key`` no earlier batch has sent. ``path`` is the ledger of keys, a partition for each batch.
+
+    A batch's keys are in the ledger before they are sent, so a batch run again takes them from there: it sends the same alerts as its first run,
+    which may have stopped halfway, and none of other batches. A receiver that knows ``batch_id`` can tell a repeat.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        names = batch.select(*key).distinct()
+        files = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
+            told = spark.read.option("basePath", path).schema(StructType([*names.schema.fields, StructField("batch_id", IntegerType())])).parquet(path).where(F.col("batch_id") != batch_id)
+            names = names.join(told, key, "left_anti")
+        names.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        fresh = spark.read.schema(names.schema).parquet(f"{path}/batch_id={batch_id}")
+        send(batch.join(fresh, key, "left_semi").withColumn("batch_id", F.lit(batch_id)))
+
+    return run
+
+
 def appended(rows: DataFrame, path: str, detail: str = "detail", most: int = 500) -> None:
     """Append log rows; the detail text is cut to its column's width."""
     rows.withColumn(detail, F.substring(detail, 1, most)).write.mode("append").parquet(path)
