@@ -387,6 +387,17 @@ def part_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.col("p_partkey").alias("id"), F.expr(TITLE_SQL).alias("title"), F.expr(ARTIST_SQL).alias("artist"), F.expr(ALBUM_SQL).alias("album"), (F.col("p_size") + 100).cast("long").alias("duration_sec"))
 
 
+@query(rf"""WITH t AS (SELECT p_partkey AS id, {TITLE_SQL} || CASE WHEN p_partkey % 13 = 0 THEN ' (PAUSED)' ELSE '' END AS title, {ALBUM_SQL} AS album, CAST(p_size * 12.5 AS DOUBLE) AS duration FROM part)
+SELECT id, title, CAST(round(duration) AS BIGINT) AS duration_sec FROM t
+WHERE id % 5 <> 0 AND duration > 45 AND duration < 600 AND NOT coalesce({sql_any("album", fixed.LOW_QUALITY_ALBUM_PARTS)}, false) AND NOT regexp_matches(title, '(?i)\(paused\)')""")
+def readable_tracks(spark, sf_dir):
+    """The source as the resolution reads it: tracks of synced lyrics, of usable length, album and title."""
+    paused = F.when(F.col("id") % 13 == 0, F.concat("title", F.lit(" (PAUSED)"))).otherwise(F.col("title"))
+    songs = part_songs(spark, sf_dir).withColumns({"duration": (F.col("duration_sec") - 100) * 12.5, "last_lyrics_id": F.col("id") * 2, "title": paused}).drop("duration_sec")
+    lyrics = songs.select(F.col("last_lyrics_id").alias("id"), (F.col("id") % 5 != 0).cast("int").alias("has_synced_lyrics"))
+    return resolve.read_tracks(songs, lyrics).select("id", "title", "duration_sec")
+
+
 def plain_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Songs keyed without artist context, as the SQL has them."""
     songs = T.with_norms(part_songs(spark, sf_dir), artist_context=False)
