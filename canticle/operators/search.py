@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canticle.functions import stem
@@ -75,14 +75,23 @@ def bm25(index: DataFrame, text: str, k1: float = 1.2, b: float = 0.75, weights:
     tokens = query_tokens(text)
     lengths = index.groupBy("id").agg(F.count("*").alias("len"))
     n, mean = lengths.agg(F.count("*"), F.avg("len")).first()
+    tf = index.where(F.col("token").isin(tokens)).groupBy("id", "token").agg(F.sum(field_times(weights)).alias("tf"))
+    df = tf.groupBy("token").agg(F.count("*").alias("df"))  # one row a query token
+    return tf.join(F.broadcast(df), "token").join(lengths, "id").groupBy("id").agg(F.sum(bm25_points(n or 0, mean or 1.0, k1, b)).alias("score"))
+
+
+def field_times(weights: dict[str, float] | None) -> Column:
+    """How often a token counts, by its ``field``."""
     times = F.lit(1.0)
     for field, weight in (weights or {}).items():
         times = F.when(F.col("field") == field, weight).otherwise(times)
-    tf = index.where(F.col("token").isin(tokens)).groupBy("id", "token").agg(F.sum(times).alias("tf"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))  # one row a query token
-    idf = F.log(1 + (F.lit(n or 0) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean or 1.0)))
-    return tf.join(F.broadcast(df), "token").join(lengths, "id").groupBy("id").agg(F.sum(part).alias("score"))
+    return times
+
+
+def bm25_points(n: int, mean: float, k1: float, b: float) -> Column:
+    """A token's part of a document's score, from ``tf``, ``df`` and ``len``, in ``n`` documents of ``mean`` length."""
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean)))
 
 
 def fuzzy_songs(songs: DataFrame, query: str, least: float = 0.3) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,8 +12,8 @@ from pyspark.sql import functions as F
 from canticle.functions import fixed
 from canticle.functions import scoring as S
 from canticle.functions import text as T
-from canticle.operators import align, catalog, failures, merge, ranking, reports, resolve, search, signals, timeline, words
-from canticle.plans.cut import written
+from canticle.operators import align, catalog, failures, kept, merge, ranking, reports, resolve, search, signals, timeline, words
+from canticle.plans.cut import shared_dir, written
 from canticle.sources.readers import table
 from canticle.streaming import detectors, gate
 
@@ -632,6 +634,45 @@ def ranked_search(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+_KEPT = Lock()
+
+
+def kept_index(spark: SparkSession, sf_dir: str) -> str:
+    """The path of an index over documents (one segment) and benchmark texts (another), written once for an application and table folder."""
+    path = f"{shared_dir(spark)}/search-{spark.sparkContext.applicationId}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    with _KEPT:
+        if kept.segments(spark, path) != [0, 1]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+            kept.add(table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text"), "id", ["text"], path, 0)
+            kept.add(table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("id"), "text"), "id", ["text"], path, 1)
+    return path
+
+
+KEPT_SQL = """texts AS (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'b' || item_id, text FROM benchmark),
+tok AS (SELECT id, unnest([x FOR x IN string_split_regex(lower(text), '[^\\p{L}\\p{N}]+') IF x <> '']) AS token,
+unnest(range(len([x FOR x IN string_split_regex(lower(text), '[^\\p{L}\\p{N}]+') IF x <> '']))) AS pos FROM texts)"""
+
+
+@query(f"""WITH {KEPT_SQL} SELECT id FROM tok GROUP BY 1 HAVING bool_or(token = 'the') AND bool_or(token = 'with') AND bool_or(starts_with(token, 'ther'))""")
+def kept_token_search(spark, sf_dir):
+    return kept.holding(spark, kept_index(spark, sf_dir), "The with ther")
+
+
+@query(f"""WITH {KEPT_SQL} SELECT DISTINCT a.id FROM tok a JOIN tok b ON a.id = b.id AND b.pos = a.pos + 1 WHERE a.token = 'of' AND b.token = 'the'""")
+def kept_phrase_search(spark, sf_dir):
+    return kept.phrase(spark, kept_index(spark, sf_dir), {"text": "of the"})
+
+
+@query(f"""WITH {KEPT_SQL}, l AS (SELECT id, count(*) AS len FROM tok GROUP BY 1), f AS (SELECT id, token, count(*) AS tf FROM tok WHERE token IN ('idiot', 'trash', 'und') GROUP BY 1, 2),
+d AS (SELECT token, count(*) AS df FROM f GROUP BY 1), n AS (SELECT count(*) AS n, avg(len) AS mean FROM l)
+SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
+FROM f JOIN d USING (token) JOIN l USING (id), n GROUP BY 1""")
+def kept_ranked_search(spark, sf_dir):
+    found = kept.ranked(spark, kept_index(spark, sf_dir), "idiot trash und")
+    return found.select("id", F.round("score", 6).alias("score"))
+
+
 @query("""WITH s AS (SELECT p_partkey, p_name, CASE WHEN contains(p_name, 'ot ri') THEN 0.7 + 0.3 * 5 / length(p_name) ELSE 0 END AS inside,
 CASE WHEN len([x FOR x IN string_split(p_name, ' ') IF starts_with(x, 'ri')]) > 0 THEN CASE WHEN ([x FOR x IN string_split(p_name, ' ') IF starts_with(x, 'ri')])[1] = 'ri' THEN 0.5 ELSE 0.35 END ELSE 0 END AS words FROM part)
 SELECT p_partkey, round(greatest(inside, words), 6) AS contained FROM s WHERE greatest(inside, words) > 0""")
