@@ -15,7 +15,7 @@ from canticle.functions import text as T
 from canticle.operators import align, catalog, failures, kept, merge, ranking, reports, resolve, search, signals, timeline, words
 from canticle.plans.cut import shared_dir, written
 from canticle.sources.readers import table
-from canticle.streaming import detectors, gate
+from canticle.streaming import cache, detectors, gate
 
 NOW = "2024-01-25 00:00:00"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1094,6 +1094,23 @@ def gate_replay(spark, sf_dir):
     return gate.gate_replayed(e, "user_id", "at", "kind", "level", wait=86_400_000)
 
 
+@query(f"""WITH {E_SQL}, c AS (SELECT CAST(user_id AS VARCHAR) AS key, ms_at, CASE event_type WHEN 'signup' THEN 0 WHEN 'purchase' THEN 0 WHEN 'error' THEN 1 ELSE 2 END AS rank,
+CASE WHEN event_id % 5 > 0 THEN event_type || event_id ELSE '' END AS value, CASE WHEN event_id % 7 = 0 THEN 0 ELSE 1 END AS version FROM e),
+n AS (SELECT *, count(*) FILTER (rank < 2) OVER (PARTITION BY key ORDER BY ms_at, rank, value, version ROWS UNBOUNDED PRECEDING) AS n FROM c),
+s AS (SELECT key, n, ms_at AS saved, rank, value, version, lead(ms_at) OVER (PARTITION BY key ORDER BY n) AS next FROM n WHERE rank < 2),
+l AS (SELECT n.key, n.ms_at, saved, s.rank, s.value, s.version, row_number() OVER (PARTITION BY n.key, n.n ORDER BY n.ms_at) AS nth FROM n LEFT JOIN s ON s.key = n.key AND s.n = n.n WHERE n.rank = 2),
+o AS (SELECT key, ms_at AS at_ms, value, CASE WHEN saved IS NULL OR rank = 1 OR ms_at - saved > 86400000 THEN 'miss' WHEN version = 1 AND value <> '' THEN 'hit' WHEN nth = 1 THEN 'stale' ELSE 'miss' END AS outcome FROM l)
+SELECT key, at_ms, outcome, CASE WHEN outcome = 'hit' THEN value END AS value FROM o
+UNION ALL SELECT key, saved + 86400000, 'expired', NULL FROM s WHERE rank = 0 AND (next IS NULL OR next > saved + 86400000)
+AND NOT ((version <> 1 OR value = '') AND EXISTS (SELECT 1 FROM n WHERE n.key = s.key AND n.n = s.n AND n.rank = 2 AND n.ms_at <= saved + 86400000))""")
+def cache_replay(spark, sf_dir):
+    """Hits, misses, stale and expired entries of a cache that users' events save to, load from and clear; an entry lives for a day."""
+    kind = F.when(F.col("event_type").isin("signup", "purchase"), "save").when(F.col("event_type") == "error", "remove").otherwise("load")
+    value = F.when(F.col("event_id") % 5 > 0, F.concat("event_type", "event_id")).otherwise("")
+    e = user_events(spark, sf_dir).withColumns({"kind": kind, "text": value, "version": F.when(F.col("event_id") % 7 == 0, 0).otherwise(1)})
+    return cache.cache_replayed(e, "user_id", "at", "kind", "text", "version", ttl=86_400_000)
+
+
 # Words of scores.
 
 SYLLABLES = ("la-", "lo", "-", "-ta-", "-na", "", "Be", "be", "X-", "ing", "da")
