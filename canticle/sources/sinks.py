@@ -1,4 +1,4 @@
-"""Sinks: guarded overwrite, key-sorted and bucketed tables, batches of a stream written once, nested JSON export and run statistics."""
+"""Sinks: guarded overwrite, key-sorted and bucketed tables, upserts and retention by partition, batches of a stream written once, nested JSON export and run statistics."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ import json
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from canticle.operators.merge import upserted
+
 
 def guard(path: str, must_contain: str, sources: list[str]) -> None:
     """Raise unless a path may be overwritten: its name holds a pattern and it is none of the sources."""
@@ -43,6 +45,63 @@ def indexed(rows: DataFrame, table: str, key: list[str], identity: list[str], bu
     return rows.sparkSession.table(table)
 
 
+def upserted_in_place(new: DataFrame, path: str, key: list[str], rules: dict[str, str], partition: str) -> list:
+    """Merges ``new`` into the Parquet table at ``path`` (a folder for each value of ``partition``) by the rules of :func:`canticle.operators.merge.upserted`;
+    returns the partitions that were written.
+
+    Only the partitions of new rows are read and written; files of all others stay as they are. A key's partition must not change (it is part of the identity:
+    a function of the key, or a day that never moves), and ``new`` has a row for each key, once. The merged rows are staged and take the place of the old ones after
+    all tasks have succeeded, so a lost executor costs a retry. A run that died is repeated safely with rules that give the same again, all but ``add``.
+    """
+    spark = new.sparkSession
+    values = sorted((r[0] for r in new.select(partition).distinct().collect()), key=lambda v: (v is not None, v))  # no more than the table has folders
+    if not values:
+        return []
+    columns = [*rules, *key, partition]
+    if not _exists(spark, path):
+        new.select(columns).write.partitionBy(partition).parquet(path)
+        return values
+    old = _typed(spark, path, new.select(columns)).where(_among(partition, values))
+    merged = upserted(old, new.select(columns), [*key, partition], rules)
+    merged.select(columns).repartition(partition, *key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    return values
+
+
+def kept_since(spark: SparkSession, path: str, at: str, day: str, cutoff: str) -> tuple[int, int]:
+    """Retention on a Parquet table with a folder for each ``day`` (a date): rows with ``at`` before ``cutoff`` go, rows without a time stay.
+
+    Folders of days before the cutoff's are dropped as they are, unless they hold rows without a time; its own day is written again, if it loses rows; later ones aren't
+    touched. Returns the rows deleted and the folders dropped. A run that died is repeated.
+    """
+    rows = spark.read.parquet(path).where(F.col(day) <= F.to_date(F.lit(cutoff)))
+    gone = F.coalesce(F.col(at) < F.lit(cutoff).cast("timestamp"), F.lit(False))
+    counts = rows.groupBy(day).agg(F.count_if(gone).alias("gone"), F.count_if(~gone).alias("left")).where("gone > 0").collect()  # a row a day
+    part = [r[day] for r in counts if r.left]
+    if part:
+        left = rows.where(_among(day, part) & ~gone)
+        left.repartition(day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+    whole = [r[day] for r in counts if not r.left]
+    for value in whole:
+        at_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{day}={value}")
+        at_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at_path, True)
+    return sum(r.gone for r in counts), len(whole)
+
+
+def _among(column: str, values: list):
+    """Membership that prunes partitions; null is a value."""
+    some = F.col(column).isin([v for v in values if v is not None])
+    return some | F.col(column).isNull() if None in values else some
+
+
+def _typed(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    return spark.read.schema(like.schema).parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def written_once(path: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that writes each batch as the partition ``batch_id`` of ``path``. A batch that is run again after a failure
     overwrites what its first run left, so no row is written twice."""
@@ -63,8 +122,7 @@ def told_once(path: str, key: list[str], send: Callable[[DataFrame], None]) -> C
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         names = batch.select(*key).distinct()
-        files = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
+        if _exists(spark, path):
             told = spark.read.option("basePath", path).schema(StructType([*names.schema.fields, StructField("batch_id", IntegerType())])).parquet(path).where(F.col("batch_id") != batch_id)
             names = names.join(told, key, "left_anti")
         names.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")

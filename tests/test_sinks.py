@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from canticle.operators import resolve
+from canticle.operators import merge, reports, resolve
 from canticle.sources import sinks
 
 
@@ -70,3 +70,50 @@ def test_alerts_are_told_once(spark, tmp_path):
         if n == 1:
             each(df, n)  # run again
     assert sent == [[(0, "a")], [(1, "b")], [(1, "b")], [], [(3, "c")]]
+
+
+def files_of(path):
+    return {(d.removeprefix(str(path)), f) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+
+
+def test_an_upsert_writes_only_its_partitions(spark, tmp_path):
+    schema = "id int, album string, plays int, part int"
+    rules = {"album": "keep_text", "plays": "greatest"}
+    make = lambda rows: spark.createDataFrame([(i, a, n, i % 4) for i, a, n in rows], schema)
+    first = make([(i, "" if i % 3 else f"a{i}", i) for i in range(40)])
+    path = f"{tmp_path}/songs"
+    assert sinks.upserted_in_place(first, path, ["id"], rules, "part") == [0, 1, 2, 3]
+    before = files_of(path)
+    new = make([(i, "new", 20) for i in (1, 5, 41, 6)])
+    assert sinks.upserted_in_place(new, path, ["id"], rules, "part") == [1, 2]
+    after = files_of(path)
+    untouched = {x for x in before if x[0] in ("/part=0", "/part=3")}
+    assert untouched and {x for x in after if x[0] in ("/part=0", "/part=3")} == untouched
+    assert not {x for x in before & after if x[0] in ("/part=1", "/part=2")}
+    want = sorted(map(tuple, merge.upserted(first, new, ["id", "part"], rules).select("id", "album", "plays", "part").collect()))
+    rows = lambda: sorted(map(tuple, spark.read.parquet(path).select("id", "album", "plays", "part").collect()))
+    assert rows() == want and (41, "new", 20, 1) in want
+    assert sinks.upserted_in_place(make([]), path, ["id"], rules, "part") == [] and files_of(path) == after
+    sinks.upserted_in_place(new, path, ["id"], rules, "part")  # run again
+    assert rows() == want
+    nowhere = spark.createDataFrame([(90, "x", 1, None)], schema)
+    assert sinks.upserted_in_place(nowhere, path, ["id"], rules, "part") == [None]
+    assert sinks.upserted_in_place(spark.createDataFrame([(90, "y", 7, None)], schema), path, ["id"], rules, "part") == [None]
+    assert [r for r in map(tuple, spark.read.parquet(path).select("id", "album", "plays", "part").collect()) if r[0] == 90] == [(90, "x", 7, None)]
+
+
+def test_retention_drops_folders_and_writes_one(spark, tmp_path):
+    path = f"{tmp_path}/log"
+    at = F.timestamp_seconds(F.col("id") * 3600 * 6)
+    log = spark.range(40).select("id", at.alias("created_at"), F.to_date(at).alias("day"))
+    unknown = spark.createDataFrame([(99,)], "id long").select("id", F.lit(None).cast("timestamp").alias("created_at"), F.lit("1970-01-02").cast("date").alias("day"))
+    log.union(unknown).write.partitionBy("day").parquet(path)
+    before = files_of(path)
+    cutoff = "1970-01-05 12:00:00"
+    want = sorted(r.id for r in reports.retained(log.union(unknown), cutoff, 0).collect())
+    assert sinks.kept_since(spark, path, "created_at", "day", cutoff) == (18, 3)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == want
+    days = {d for d, _ in files_of(path)}
+    assert "/day=1970-01-01" not in days and "/day=1970-01-02" in days
+    assert {x for x in before if x[0] > "/day=1970-01-05"} == {x for x in files_of(path) if x[0] > "/day=1970-01-05"}
+    assert sinks.kept_since(spark, path, "created_at", "day", cutoff) == (0, 0)
