@@ -184,6 +184,17 @@ def edit_stats(edits: DataFrame, key: str) -> DataFrame:
     return edits.groupBy(key).agg(F.count_if("skip").alias("skipped"), F.count_if(F.col("text").isNotNull()).alias("modified"), F.bool_or(F.coalesce(F.col("skip"), F.lit(False))).alias("any_skip"))
 
 
+def edit_flags(patches: DataFrame, key: str) -> DataFrame:
+    """Whether any patch of a song skips a line, changes its text, or marks a section. ``patches`` has (key, action, skipped, custom_text); a skip counts
+    where ``skipped`` is set, a change where there is a text, even an empty one."""
+    of = lambda action, more: F.coalesce(F.bool_or(F.coalesce((F.col("action") == action) & more, F.lit(False))), F.lit(False))
+    return patches.groupBy(key).agg(
+        of("skip", F.col("skipped")).alias("has_skipped_lines"),
+        of("modify", F.col("custom_text").isNotNull()).alias("has_modified_text"),
+        of("section", F.lit(True)).alias("has_section_markers"),
+    )
+
+
 def word_timings(words: DataFrame) -> DataFrame:
     """Words with their duration to the next one of their line, null at its end."""
     order = Window.partitionBy("song_id", "line_idx").orderBy("start_ms", "word_idx")

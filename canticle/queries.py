@@ -15,7 +15,7 @@ from canticle.functions import text as T
 from canticle.operators import align, catalog, failures, kept, merge, ranking, reports, resolve, search, signals, timeline, words
 from canticle.plans.cut import shared_dir, written
 from canticle.sources.readers import table
-from canticle.streaming import cache, detectors, gate
+from canticle.streaming import cache, detectors, gate, player
 
 NOW = "2024-01-25 00:00:00"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1111,6 +1111,33 @@ def cache_replay(spark, sf_dir):
     return cache.cache_replayed(e, "user_id", "at", "kind", "text", "version", ttl=86_400_000)
 
 
+@query()
+def line_changes(spark, sf_dir):
+    """Lines that players tell of, from users' events; the rules are written a second time in the tests."""
+    kind = F.when(F.col("event_id") % 11 == 0, "reset").when(F.col("event_type") == "signup", "play").when(F.col("event_type") == "purchase", "seek").when(F.col("event_type") == "error", "pause").otherwise("tick")
+    value = F.when(F.col("event_type") == "purchase", F.col("value") % 40).when(F.col("event_type") == "click", 2.0)
+    e = user_events(spark, sf_dir).select("user_id", (F.col("user_id") % 50 + 1).alias("song_id"), F.floor(F.col("at") / 200_000).alias("at_ms"), kind.alias("kind"), value.alias("value"))
+    part = table(spark, sf_dir, "part")
+    lines = part.select(F.col("p_size").alias("song_id"), (F.col("p_retailprice") % 400 / 10).alias("start_s"))
+    return player.line_changes(e, lines, part.groupBy(F.col("p_size").alias("song_id")).agg((F.max(F.col("p_retailprice") % 400) / 10 + 5).alias("duration_s")), "user_id")
+
+
+@query("""WITH p AS (SELECT l_orderkey, CASE CAST(l_quantity AS BIGINT) % 5 WHEN 0 THEN 'skip' WHEN 1 THEN 'modify' WHEN 2 THEN 'section' ELSE 'none' END AS action, CASE WHEN l_linenumber <> 2 THEN l_tax > 0.03 END AS skipped, CASE WHEN l_suppkey % 3 > 0 THEN l_returnflag END AS custom_text FROM lineitem)
+SELECT l_orderkey, count(*) FILTER (action = 'skip' AND skipped) > 0 AS has_skipped_lines, count(*) FILTER (action = 'modify' AND custom_text IS NOT NULL) > 0 AS has_modified_text, count(*) FILTER (action = 'section') > 0 AS has_section_markers FROM p GROUP BY 1""")
+def edit_flags(spark, sf_dir):
+    action = F.element_at(F.array(*map(F.lit, ("skip", "modify", "section", "none", "none"))), (F.col("l_quantity").cast("long") % 5 + 1).cast("int"))
+    items = table(spark, sf_dir, "lineitem")
+    patches = items.select("l_orderkey", action.alias("action"), F.when(F.col("l_linenumber") != 2, F.col("l_tax") > 0.03).alias("skipped"), F.when(F.col("l_suppkey") % 3 > 0, F.col("l_returnflag")).alias("custom_text"))
+    return timeline.edit_flags(patches, "l_orderkey")
+
+
+@query("SELECT o_orderkey, seen FROM (SELECT o_orderkey, CASE WHEN o_custkey % 9 > 0 THEN o_orderdate END AS seen FROM orders) ORDER BY seen DESC NULLS FIRST, o_orderkey LIMIT 50 OFFSET 5")
+def recent_first(spark, sf_dir):
+    """The latest first, and rows without a time before them."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 9 > 0, F.col("o_orderdate")).alias("seen"))
+    return search.page(rows, [F.desc_nulls_first("seen"), "o_orderkey"], 50, 5)
+
+
 # Words of scores.
 
 SYLLABLES = ("la-", "lo", "-", "-ta-", "-na", "", "Be", "be", "X-", "ing", "da")
