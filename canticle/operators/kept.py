@@ -34,12 +34,8 @@ def add(docs: DataFrame, id_col: str, fields: list[str], path: str, segment: int
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), size.alias("len"), F.array(*[F.struct(F.lit(f).alias("field"), w.alias("words")) for f, w in words.items()]).alias("texts"))
 
     _documents(rows.groupBy("id").agg(F.sum("len").alias("len"), F.count("*").alias("rows")), path, segment)
-    each = rows.select("id", "len", F.explode("texts").alias("x")).select("id", "len", "x.field", F.posexplode("x.words").alias("pos", "token"))
-    parts = [ranges] if ranges else []
-    at = F.array_sort(F.collect_list("pos"))
-    grouped = each.repartitionByRange(*parts, "token", "id").groupBy("token", "id", "field").agg(F.first("len").alias("len"), at.alias("at"))
-    gaps = F.transform("at", lambda x, k: x - F.when(k > 0, F.get("at", k - 1)).otherwise(0))
-    _postings(grouped.select("token", "field", "id", F.size("at").alias("tf"), "len", gaps.alias("gaps")), path, segment)
+    each = rows.select("id", "len", F.explode("texts").alias("x")).select("id", "len", "x.field", F.array_sort(F.transform("x.words", lambda w, k: F.struct(w.alias("token"), k.alias("pos")))).alias("p"))
+    _postings(_grouped(each).repartitionByRange(*([ranges] if ranges else []), "token", "id").withColumn("tf", F.size("gaps")), path, segment)
     _totals(spark, path, segment)
 
 
@@ -104,6 +100,17 @@ def ranked(spark: SparkSession, path: str, text: str, k1: float = 1.2, b: float
     return tf.join(F.broadcast(df), "token").groupBy("id").agg(F.sum(search.bm25_points(n, size / n if n else 1.0, k1, b)).alias("score"))
 
 
+def _grouped(texts: DataFrame) -> DataFrame:
+    """(token, field, id, len, gaps) from the sorted (token, pos) ``p`` of each text, before anything is shuffled: where runs of a token start, then their slices."""
+    token = lambda k: F.get("p", k - 1)["token"]
+    firsts = F.filter(F.sequence(F.lit(1), F.size("p")), lambda k: (k == 1) | (token(k) != token(k - 1)))
+    begun = texts.where(F.size("p") > 0).withColumn("firsts", firsts)
+    run = lambda s, k: F.slice("p", s, F.coalesce(F.get("firsts", k + 1), F.size("p") + 1) - s)
+    runs = F.transform("firsts", lambda s, k: F.struct(token(s).alias("token"), F.transform(run(s, k), lambda x: x["pos"]).alias("at")))
+    gaps = F.transform("at", lambda x, k: x - F.when(k > 0, F.get("at", k - 1)).otherwise(0))
+    return begun.select("id", "len", "field", F.inline(runs)).select("token", "field", "id", "len", gaps.alias("gaps"))
+
+
 def _documents(rows: DataFrame, path: str, segment: int) -> None:
     spark = rows.sparkSession
     rows.write.mode("overwrite").parquet(f"{path}/documents/segment={segment}")
