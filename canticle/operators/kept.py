@@ -2,20 +2,29 @@
 
 Four tables lie under a path, each with a partition ``segment``:
 
-* ``postings``: a row for each token, field and document (lead, token, field, id, tf, len, gaps). ``gaps`` are the token's positions, each less the one
-  before. Rows are range-partitioned and sorted by token, so a query lists the folders of its tokens' first letters (``lead``) alone and reads there the
-  row groups and pages of the tokens. A token in very many documents spans several ranges. ``len`` is the document's length: ranking joins no table of all documents.
+* ``postings``: blocks of at most ``BLOCK`` documents for a token and field (lead, token, field, ids, lens, ends, gaps). ``gaps`` are the token's positions in
+  the block's documents one after another, each less the one before in its document; ``ends`` is where each document's end. Blocks are partitioned by
+  ranges of tokens and sorted by token, so a query lists the folders of its tokens' first letters (``lead``) alone and reads there the row groups and pages of
+  the tokens. A token that fills several ranges is spread over them by document. ``lens`` are the documents' lengths: ranking joins no table of all documents.
 * ``documents``: (id, len).
 * ``replaced``: ids that an earlier segment holds too. The latest segment's text counts.
 * ``totals``: documents and tokens that the segment adds, the type of ids. It is written last, and a segment without it doesn't count.
 
+Tasks group the words of about ``WORDS`` words of text into blocks before anything is shuffled, so a word that many texts share costs a few bytes a text. Where ranges
+begin is read off at most ``SAMPLE`` words; that decides how even the ranges are, never what they hold. Whole numbers as ids take the least room.
+
 A segment written again overwrites itself, so a failed run may be repeated. Rows without an id are left out; a null text has no tokens; an id that
 occurs twice in one segment is an error.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from canticle.operators import search
@@ -23,41 +32,132 @@ from canticle.operators import search
 TOTALS = "documents long, tokens long, replaced long, id_type string, segment int"
 #: Bytes of a row group of postings: small ones, so that a token's rows are few of a file.
 ROW_GROUP = 16 << 20
+#: Documents of a block at most.
+BLOCK = 4096
+#: Words that a task groups at once: more only where one text has more.
+WORDS = 1 << 21
+#: Words of a range of tokens, and ranges at most; beyond that ranges grow.
+RANGE, RANGES = 2_000_000, 20_000
+#: Documents (about) and words (at most) that the beginnings of ranges are read off.
+SAMPLED_DOCUMENTS, SAMPLE = 2048, 1 << 16
 
 
 def add(docs: DataFrame, id_col: str, fields: list[str], path: str, segment: int, ranges: int | None = None) -> None:
-    """Writes ``docs`` as a segment; segments are numbered in the order of their age. ``ranges``: parts of the postings (by default as many as shuffles have)."""
+    """Writes ``docs`` as a segment; segments are numbered in the order of their age. ``ranges``: parts of the postings (by default by the number of words)."""
     spark = docs.sparkSession
     _path(spark, f"{path}/totals/segment={segment}", lambda files, at: files.delete(at, True))  # until it is whole again
     words = {f: F.filter(F.split(F.lower(F.coalesce(F.col(f), F.lit(""))), search.TOKEN), lambda x: x != "") for f in fields}
-    size = sum((F.size(w) for w in words.values()), F.lit(0)).cast("long")
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), size.alias("len"), F.array(*[F.struct(F.lit(f).alias("field"), w.alias("words")) for f, w in words.items()]).alias("texts"))
+    size = sum((F.size(w) for w in words.values()), F.lit(0)).cast("int")
+    texts = F.array(*[F.struct(F.lit(f).alias("field"), w.alias("words")) for f, w in words.items()])
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), size.alias("len"), texts.alias("texts"))
 
     _documents(rows.groupBy("id").agg(F.sum("len").alias("len"), F.count("*").alias("rows")), path, segment)
-    each = rows.select("id", "len", F.explode("texts").alias("x")).select("id", "len", "x.field", F.posexplode("x.words").alias("pos", "token"))
-    parts = [ranges] if ranges else []
-    at = F.array_sort(F.collect_list("pos"))
-    grouped = each.repartitionByRange(*parts, "token", "id").groupBy("token", "id", "field").agg(F.first("len").alias("len"), at.alias("at"))
-    gaps = F.transform("at", lambda x, k: x - F.when(k > 0, F.get("at", k - 1)).otherwise(0))
-    _postings(grouped.select("token", "field", "id", F.size("at").alias("tf"), "len", gaps.alias("gaps")), path, segment)
+    each = rows.select("id", "len", F.explode("texts").alias("x")).select("id", F.xxhash64("id").alias("h"), "len", "x.field", "x.words")
+    starts = _range_starts(each, *_sizes(spark, path, segment), ranges)
+    blocks = each.mapInArrow(_grouped(starts), f"range int, {_blocks_of(rows)}")
+    _postings(blocks.repartitionById(len(starts) + 1, "range").drop("range"), path, segment)
     _totals(spark, path, segment)
 
 
+def _blocks_of(rows: DataFrame) -> str:
+    return f"token string, field string, ids array<{dict(rows.dtypes)['id']}>, lens array<int>, ends array<int>, gaps array<int>"
+
+
+def _sizes(spark: SparkSession, path: str, segment: int) -> tuple[int, int]:
+    """Documents and words of a segment's ``documents``."""
+    r = spark.read.parquet(f"{path}/documents/segment={segment}").agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("words")).first()
+    return r["n"], r["words"]
+
+
+def _range_starts(each: DataFrame, n: int, words: int, ranges: int | None) -> list[str]:
+    """The first tokens of all ranges but the first, in order; a token that fills several ranges comes several times."""
+    ranges = ranges or min(RANGES, -(-words // RANGE))
+    if ranges <= 1:
+        return []
+    some = each.where(F.pmod("h", F.lit(max(1, n // SAMPLED_DOCUMENTS))) == 0).select("h", "field", F.posexplode("words").alias("pos", "token"))
+    found = sorted(r.token for r in some.orderBy(F.xxhash64("h", "field", "pos")).limit(SAMPLE).select("token").collect())
+    return [found[k * len(found) // ranges] for k in range(1, ranges)] if found else []
+
+
+def _grouped(starts: list[str]):
+    """Batches of (id, h, len, field, words) to blocks (range, token, field, ids, lens, ends, gaps). The range follows from a posting's token and document alone,
+    whatever batches they come in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            upto = np.cumsum(whole.column(4).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < whole.num_rows:
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + WORDS, "right")))
+                yield grouped(whole.slice(at, end - at))
+                at = end
+
+    def grouped(batch: pa.RecordBatch) -> pa.RecordBatch:
+        known = batch.column(4).flatten().dictionary_encode()
+        tokens, fields = known.dictionary.to_pylist(), batch.column(3).dictionary_encode()
+        code, length = known.indices.to_numpy().astype(np.int64), batch.column(4).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(batch.num_rows), length)
+        pos = np.arange(len(code)) - np.repeat(np.cumsum(length) - length, length)
+        first = np.array([bisect_left(starts, t) for t in tokens], np.int64)
+        over = np.array([bisect_right(starts, t) for t in tokens], np.int64) - first + 1  # ranges that may hold the token
+        part = first[code] + batch.column(1).to_numpy()[row] % over[code]
+        key = (code * len(fields.dictionary) + fields.indices.to_numpy()[row]) * (len(starts) + 1) + part
+        order = np.argsort(key, kind="stable")  # a token's texts and places stay in their order
+        key, row, pos = key[order], row[order], pos[order]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+        gap = pos.copy()
+        gap[1:] -= np.where(fresh[1:], 0, pos[:-1])
+        posting = np.flatnonzero(fresh)
+        of = row[posting]
+        new_key = np.ones(len(posting), bool)
+        new_key[1:] = key[posting][1:] != key[posting][:-1]
+        heads, columns = _packed(new_key, batch.column(0).take(pa.array(of)), batch.column(2).take(pa.array(of)), posting, gap)
+        lead = posting[heads]
+        token = known.dictionary.take(pa.array(code[order][lead]))
+        field = fields.dictionary.take(pa.array(fields.indices.to_numpy()[row[lead]]))
+        return pa.RecordBatch.from_arrays([pa.array(part[order][lead], pa.int32()), token, field, *columns], names=["range", "token", "field", "ids", "lens", "ends", "gaps"])
+
+    return run
+
+
+def _packed(new_key: np.ndarray, ids: pa.Array, lens: pa.Array, at: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """Postings (whose gaps begin ``at``) as blocks that begin at a new key and after ``BLOCK`` postings: the first posting of each, and its columns."""
+    n = np.arange(len(new_key))
+    since = n - np.maximum.accumulate(np.where(new_key, n, 0)) if len(n) else n
+    heads = np.flatnonzero(since % BLOCK == 0)
+    offsets = np.append(heads, len(n))
+    stop = np.append(at[1:], len(gaps)) if len(n) else at
+    base = np.repeat(at[heads], np.diff(offsets))
+    lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+    columns = [lists(offsets, ids), lists(offsets, lens.cast(pa.int32())), lists(offsets, pa.array(stop - base, pa.int32()))]
+    return heads, [*columns, lists(np.append(at[heads], len(gaps)), pa.array(gaps, pa.int32()))]
+
+
 def segments(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the finished segments."""
     return [r.segment for r in _done(spark, path)]
 
 
-def opened(spark: SparkSession, path: str, tokens: list[str] | None = None) -> DataFrame:
-    """(lead, token, field, id, tf, len, gaps, segment): the postings that count; with ``tokens`` those of tokens that begin with the same letters."""
+def opened(spark: SparkSession, path: str, tokens: list[str] | None = None, parts: tuple[str, ...] = ("tf", "len", "gaps")) -> DataFrame:
+    """(token, field, id, and of tf, len, gaps those in ``parts``, segment): the postings that count; with ``tokens`` those of tokens that begin with the same letters."""
     done = _done(spark, path)
-    schema = f"token string, field string, id {_id_type(done)}, tf int, len long, gaps array<int>, segment int, lead string"
+    schema = f"token string, field string, ids array<{_id_type(done)}>, lens array<int>, ends array<int>, gaps array<int>, segment int, lead string"
     at = [f"{path}/postings/segment={r.segment}" for r in done]
     if tokens is not None:
         at = [f"{x}/lead={lead}" for x in at for lead in sorted({t[0] for t in tokens})]
     there = [x for x in at if _path(spark, x, lambda files, found: files.exists(found))]
-    rows = spark.read.schema(schema).option("basePath", f"{path}/postings").parquet(*there) if there else spark.createDataFrame([], schema)
-    return _live(rows, path, done)
+    blocks = spark.read.schema(schema).option("basePath", f"{path}/postings").parquet(*there) if there else spark.createDataFrame([], schema)
+    each = F.explode(F.transform("ids", lambda x, k: F.struct(x.alias("id"), *_parts(k, parts)))).alias("x")
+    return _live(blocks.select("token", "field", "segment", each).select("token", "field", "x.*", "segment"), path, done)
+
+
+def _parts(k: Column, parts: tuple[str, ...]) -> list[Column]:
+    """Of a block's document ``k``: how often it has the token, its length, the token's gaps."""
+    begin = F.coalesce(F.get("ends", k - 1), F.lit(0))
+    tf = F.get("ends", k) - begin
+    known = {"tf": tf, "len": F.get("lens", k).cast("long"), "gaps": F.slice("gaps", begin + 1, tf)}
+    return [known[x].alias(x) for x in parts]
 
 
 def indexed_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -71,13 +171,26 @@ def compacted(spark: SparkSession, path: str, into: str, ranges: int | None = No
     """All segments as the one segment of another index, without what was replaced."""
     _documents(indexed_documents(spark, path).select("id", "len", F.lit(1).alias("rows")), into, 0)
     parts = [ranges] if ranges else []
-    _postings(opened(spark, path).drop("segment", "lead").repartitionByRange(*parts, "token", "id"), into, 0)
+    rows = opened(spark, path)
+    ranged = rows.select("token", "field", "id", "len", "gaps").repartitionByRange(*parts, "token", "id").sortWithinPartitions("token", "field", "id")
+    _postings(ranged.mapInArrow(_blocks, _blocks_of(rows)), into, 0)
     _totals(spark, into, 0)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (token, field, id, len, gaps), sorted, to blocks."""
+    for batch in batches:
+        code = [batch.column(k).dictionary_encode().indices.to_numpy() for k in (0, 1)]
+        new_key = np.ones(batch.num_rows, bool)
+        new_key[1:] = (code[0][1:] != code[0][:-1]) | (code[1][1:] != code[1][:-1])
+        length = batch.column(4).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        heads, columns = _packed(new_key, batch.column(2), batch.column(3), np.cumsum(length) - length, batch.column(4).flatten().to_numpy())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(heads)), batch.column(1).take(pa.array(heads)), *columns], names=["token", "field", "ids", "lens", "ends", "gaps"])
+
+
 def holding(spark: SparkSession, path: str, text: str) -> DataFrame:
     """Ids of documents that hold every token of ``text``, the last one also as a prefix."""
-    return search.prefix_search(opened(spark, path, search.query_tokens(text)), text)
+    return search.prefix_search(opened(spark, path, search.query_tokens(text), ()), text)
 
 
 def placed(rows: DataFrame) -> DataFrame:
@@ -90,7 +203,7 @@ def placed(rows: DataFrame) -> DataFrame:
 def phrase(spark: SparkSession, path: str, phrases: dict[str, str]) -> DataFrame:
     """Ids of documents that hold, for every field, its phrase as adjacent tokens in order."""
     tokens = [t for text in phrases.values() for t in search.query_tokens(text)]
-    return search.phrase_search(placed(opened(spark, path, tokens).where(F.col("token").isin(tokens))), phrases)
+    return search.phrase_search(placed(opened(spark, path, tokens, ("gaps",)).where(F.col("token").isin(tokens))), phrases)
 
 
 def ranked(spark: SparkSession, path: str, text: str, k1: float = 1.2, b: float = 0.75, weights: dict[str, float] | None = None) -> DataFrame:
@@ -98,7 +211,7 @@ def ranked(spark: SparkSession, path: str, text: str, k1: float = 1.2, b: float
     tokens = search.query_tokens(text)
     done = _done(spark, path)
     n, size = sum(r.documents for r in done), sum(r.tokens for r in done)
-    rows = opened(spark, path, tokens).where(F.col("token").isin(tokens))
+    rows = opened(spark, path, tokens, ("tf", "len")).where(F.col("token").isin(tokens))
     tf = rows.groupBy("id", "token").agg(F.sum(search.field_times(weights) * F.col("tf")).alias("tf"), F.first("len").alias("len"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))  # one row a query token
     return tf.join(F.broadcast(df), "token").groupBy("id").agg(F.sum(search.bm25_points(n, size / n if n else 1.0, k1, b)).alias("score"))
@@ -121,7 +234,7 @@ def _older(fresh: DataFrame, path: str, segment: int) -> DataFrame:
 
 
 def _postings(rows: DataFrame, path: str, segment: int) -> None:
-    rows = rows.withColumn("lead", F.substring("token", 1, 1)).sortWithinPartitions("lead", "token", "field", "id")
+    rows = rows.withColumn("lead", F.substring("token", 1, 1)).sortWithinPartitions("lead", "token", "field")
     rows.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).partitionBy("lead").parquet(f"{path}/postings/segment={segment}")
 
 

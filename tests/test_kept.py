@@ -85,3 +85,35 @@ def test_reads_only_its_tokens(spark, index):
     files = spark.read.parquet(f"{path}/postings/segment=0").where("lead = 't'").select("token", F.input_file_name().alias("file"))
     spans = sorted((r.low, r.high) for r in files.groupBy("file").agg(F.min("token").alias("low"), F.max("token").alias("high")).collect())
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_blocks_of_a_batch(monkeypatch):
+    """Slices, short blocks, a token over several ranges: every posting once, in its range, in order."""
+    import random
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(kept, "BLOCK", 3)
+    monkeypatch.setattr(kept, "WORDS", 40)
+    rng = random.Random(4)
+    rows = [(n, rng.getrandbits(63) - 2**62, rng.choice("tb"), [rng.choice("aabbbbbbccdé") for _ in range(rng.choice([0, 1, 5, 30, 90]))]) for n in range(80)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([len(r[3]) for r in rows], pa.int32()), pa.array([r[2] for r in rows]), pa.array([r[3] for r in rows], pa.list_(pa.string()))],
+        names=["id", "h", "len", "field", "words"],
+    )
+    starts = ["b", "b", "c"]
+    found, ranges = {}, {}
+    for block in (x for out in kept._grouped(starts)([batch, batch.slice(0, 0)]) for x in out.to_pylist()):
+        assert 1 <= len(block["ids"]) <= 3 and len(block["ids"]) == len(block["ends"]) == len(block["lens"])
+        begin = 0
+        for id_, size, end in zip(block["ids"], block["lens"], block["ends"], strict=True):
+            key = (block["token"], block["field"], id_)
+            assert key not in found and size == len(rows[id_][3])
+            at, places = 0, []
+            for gap in block["gaps"][begin:end]:
+                at += gap
+                places.append(at)
+            found[key], ranges[key], begin = places, block["range"], end
+        assert begin == len(block["gaps"])
+    assert found == {(t, f, n): [k for k, w in enumerate(words) if w == t] for n, _, f, words in rows for t in set(words)}
+    assert {t: {r for key, r in ranges.items() if key[0] == t} for t in "abcdé"} == {"a": {0}, "b": {0, 1, 2}, "c": {2, 3}, "d": {3}, "é": {3}}
