@@ -55,12 +55,20 @@ def add(docs: DataFrame, id_col: str, fields: list[str], path: str, segment: int
     each = rows.select("id", "len", F.explode("texts").alias("x")).select("id", F.xxhash64("id").alias("h"), "len", "x.field", "x.words")
     starts = _range_starts(each, *_sizes(spark, path, segment), ranges)
     blocks = each.mapInArrow(_grouped(starts), f"range int, {_blocks_of(rows)}")
-    _postings(blocks.repartitionById(len(starts) + 1, "range").drop("range"), path, segment)
+    _postings(_unmarked(blocks.repartitionById(len(starts) + 1, "range").drop("range")), path, segment)
     _totals(spark, path, segment)
 
 
 def _blocks_of(rows: DataFrame) -> str:
-    return f"token string, field string, ids array<{dict(rows.dtypes)['id']}>, lens array<int>, ends array<int>, gaps array<int>"
+    return f"token string, field string, ids array<{dict(rows.dtypes)['id']}>, lens array<int>, gaps array<int>"
+
+
+def _unmarked(blocks: DataFrame) -> DataFrame:
+    """Blocks as they are stored. On the way a document's first gap is marked by its complement, which is less than 0, so that ``ends`` needn't be moved."""
+    first = F.filter(F.transform("gaps", lambda x, k: F.when(x < 0, k)), lambda k: k.isNotNull())
+    ends = F.concat(F.slice(first, 2, F.size("ids")), F.array(F.size("gaps")))
+    gaps = F.transform("gaps", lambda x: F.when(x < 0, F.bitwise_not(x)).otherwise(x))
+    return blocks.select("token", "field", "ids", "lens", ends.alias("ends"), gaps.alias("gaps"))
 
 
 def _sizes(spark: SparkSession, path: str, segment: int) -> tuple[int, int]:
@@ -74,13 +82,15 @@ def _range_starts(each: DataFrame, n: int, words: int, ranges: int | None) -> li
     ranges = ranges or min(RANGES, -(-words // RANGE))
     if ranges <= 1:
         return []
-    some = each.where(F.pmod("h", F.lit(max(1, n // SAMPLED_DOCUMENTS))) == 0).select("h", "field", F.posexplode("words").alias("pos", "token"))
-    found = sorted(r.token for r in some.orderBy(F.xxhash64("h", "field", "pos")).limit(SAMPLE).select("token").collect())
+    one_in = max(1, n // SAMPLED_DOCUMENTS)
+    some = each.where(F.pmod("h", F.lit(one_in)) == 0).select("h", "field", F.posexplode("words").alias("pos", "token"))
+    thin = some.withColumn("by", F.xxhash64("h", "field", "pos")).where(F.pmod("by", F.lit(max(1, words // one_in // SAMPLE))) == 0)
+    found = sorted(r.token for r in thin.orderBy("by").limit(SAMPLE).select("token").collect())
     return [found[k * len(found) // ranges] for k in range(1, ranges)] if found else []
 
 
 def _grouped(starts: list[str]):
-    """Batches of (id, h, len, field, words) to blocks (range, token, field, ids, lens, ends, gaps). The range follows from a posting's token and document alone,
+    """Batches of (id, h, len, field, words) to blocks (range, token, field, ids, lens, gaps), marked. The range follows from a posting's token and document alone,
     whatever batches they come in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,13 +105,13 @@ def _grouped(starts: list[str]):
     def grouped(batch: pa.RecordBatch) -> pa.RecordBatch:
         known = batch.column(4).flatten().dictionary_encode()
         tokens, fields = known.dictionary.to_pylist(), batch.column(3).dictionary_encode()
-        code, length = known.indices.to_numpy().astype(np.int64), batch.column(4).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        row = np.repeat(np.arange(batch.num_rows), length)
-        pos = np.arange(len(code)) - np.repeat(np.cumsum(length) - length, length)
+        code, length = known.indices.to_numpy(), batch.column(4).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(batch.num_rows, dtype=np.int32), length)
+        pos = np.arange(len(code), dtype=np.int32) - np.repeat((np.cumsum(length) - length).astype(np.int32), length)
         first = np.array([bisect_left(starts, t) for t in tokens], np.int64)
         over = np.array([bisect_right(starts, t) for t in tokens], np.int64) - first + 1  # ranges that may hold the token
-        part = first[code] + batch.column(1).to_numpy()[row] % over[code]
-        key = (code * len(fields.dictionary) + fields.indices.to_numpy()[row]) * (len(starts) + 1) + part
+        part = (first[code] + batch.column(1).to_numpy()[row] % over[code]).astype(np.int32)
+        key = (code.astype(np.int64) * len(fields.dictionary) + fields.indices.to_numpy()[row]) * (len(starts) + 1) + part
         order = np.argsort(key, kind="stable")  # a token's texts and places stay in their order
         key, row, pos = key[order], row[order], pos[order]
         fresh = np.ones(len(key), bool)
@@ -114,24 +124,23 @@ def _grouped(starts: list[str]):
         new_key[1:] = key[posting][1:] != key[posting][:-1]
         heads, columns = _packed(new_key, batch.column(0).take(pa.array(of)), batch.column(2).take(pa.array(of)), posting, gap)
         lead = posting[heads]
-        token = known.dictionary.take(pa.array(code[order][lead]))
+        token = known.dictionary.take(pa.array(code[order[lead]]))
         field = fields.dictionary.take(pa.array(fields.indices.to_numpy()[row[lead]]))
-        return pa.RecordBatch.from_arrays([pa.array(part[order][lead], pa.int32()), token, field, *columns], names=["range", "token", "field", "ids", "lens", "ends", "gaps"])
+        return pa.RecordBatch.from_arrays([pa.array(part[order[lead]], pa.int32()), token, field, *columns], names=["range", "token", "field", "ids", "lens", "gaps"])
 
     return run
 
 
 def _packed(new_key: np.ndarray, ids: pa.Array, lens: pa.Array, at: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
-    """Postings (whose gaps begin ``at``) as blocks that begin at a new key and after ``BLOCK`` postings: the first posting of each, and its columns."""
+    """Postings (whose gaps begin ``at``) as marked blocks that begin at a new key and after ``BLOCK`` postings: the first posting of each, and its columns."""
     n = np.arange(len(new_key))
     since = n - np.maximum.accumulate(np.where(new_key, n, 0)) if len(n) else n
     heads = np.flatnonzero(since % BLOCK == 0)
     offsets = np.append(heads, len(n))
-    stop = np.append(at[1:], len(gaps)) if len(n) else at
-    base = np.repeat(at[heads], np.diff(offsets))
+    marked = gaps.astype(np.int32)
+    marked[at] = ~marked[at]
     lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-    columns = [lists(offsets, ids), lists(offsets, lens.cast(pa.int32())), lists(offsets, pa.array(stop - base, pa.int32()))]
-    return heads, [*columns, lists(np.append(at[heads], len(gaps)), pa.array(gaps, pa.int32()))]
+    return heads, [lists(offsets, ids), lists(offsets, lens.cast(pa.int32())), lists(np.append(at[heads], len(gaps)), pa.array(marked))]
 
 
 def segments(spark: SparkSession, path: str) -> list[int]:
@@ -173,19 +182,19 @@ def compacted(spark: SparkSession, path: str, into: str, ranges: int | None = No
     parts = [ranges] if ranges else []
     rows = opened(spark, path)
     ranged = rows.select("token", "field", "id", "len", "gaps").repartitionByRange(*parts, "token", "id").sortWithinPartitions("token", "field", "id")
-    _postings(ranged.mapInArrow(_blocks, _blocks_of(rows)), into, 0)
+    _postings(_unmarked(ranged.mapInArrow(_blocks, _blocks_of(rows))), into, 0)
     _totals(spark, into, 0)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (token, field, id, len, gaps), sorted, to blocks."""
+    """Batches of (token, field, id, len, gaps), sorted, to marked blocks."""
     for batch in batches:
         code = [batch.column(k).dictionary_encode().indices.to_numpy() for k in (0, 1)]
         new_key = np.ones(batch.num_rows, bool)
         new_key[1:] = (code[0][1:] != code[0][:-1]) | (code[1][1:] != code[1][:-1])
         length = batch.column(4).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         heads, columns = _packed(new_key, batch.column(2), batch.column(3), np.cumsum(length) - length, batch.column(4).flatten().to_numpy())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(heads)), batch.column(1).take(pa.array(heads)), *columns], names=["token", "field", "ids", "lens", "ends", "gaps"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(heads)), batch.column(1).take(pa.array(heads)), *columns], names=["token", "field", "ids", "lens", "gaps"])
 
 
 def holding(spark: SparkSession, path: str, text: str) -> DataFrame:
@@ -235,7 +244,7 @@ def _older(fresh: DataFrame, path: str, segment: int) -> DataFrame:
 
 def _postings(rows: DataFrame, path: str, segment: int) -> None:
     rows = rows.withColumn("lead", F.substring("token", 1, 1)).sortWithinPartitions("lead", "token", "field")
-    rows.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).partitionBy("lead").parquet(f"{path}/postings/segment={segment}")
+    rows.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).option("compression", "zstd").partitionBy("lead").parquet(f"{path}/postings/segment={segment}")
 
 
 def _totals(spark: SparkSession, path: str, segment: int) -> None:

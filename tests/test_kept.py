@@ -104,14 +104,15 @@ def test_blocks_of_a_batch(monkeypatch):
     starts = ["b", "b", "c"]
     found, ranges = {}, {}
     for block in (x for out in kept._grouped(starts)([batch, batch.slice(0, 0)]) for x in out.to_pylist()):
-        assert 1 <= len(block["ids"]) <= 3 and len(block["ids"]) == len(block["ends"]) == len(block["lens"])
+        assert 1 <= len(block["ids"]) <= 3 and len(block["ids"]) == len(block["lens"]) == sum(x < 0 for x in block["gaps"])
         begin = 0
-        for id_, size, end in zip(block["ids"], block["lens"], block["ends"], strict=True):
+        ends = [k for k, x in enumerate(block["gaps"]) if x < 0][1:] + [len(block["gaps"])]
+        for id_, size, end in zip(block["ids"], block["lens"], ends, strict=True):
             key = (block["token"], block["field"], id_)
             assert key not in found and size == len(rows[id_][3])
             at, places = 0, []
             for gap in block["gaps"][begin:end]:
-                at += gap
+                at += ~gap if gap < 0 else gap
                 places.append(at)
             found[key], ranges[key], begin = places, block["range"], end
         assert begin == len(block["gaps"])
