@@ -208,6 +208,17 @@ def phase_statistics(rows: DataFrame, matches: DataFrame) -> DataFrame:
     return counted.withColumn("percent", F.col("groups") * 100 / F.sum("groups").over(Window.partitionBy(F.lit(1))))  # a row a phase
 
 
+def last_phase_eligibility(rows: DataFrame, catalog: DataFrame, matches: DataFrame) -> DataFrame:
+    """(eligible, no_candidates, rejected): groups that the last phase could still match, as no phase before it did; how many of them had no
+    candidate among whole keys and primary artists, and how many had some that were all rejected. One row, of zeros without groups."""
+    popular = catalog.where("popularity >= 1")
+    exact = exact_pairs(rows, popular).select(*GROUP).distinct()
+    seen = exact.union(primary_artist_pairs(rows, popular, exact).select(*GROUP)).distinct().withColumn("_seen", F.lit(True))
+    earlier = matches.where("phase <> 'unpopular'")
+    left = rows.select(*GROUP).distinct().join(earlier, GROUP, "left_anti").join(seen, GROUP, "left")
+    return left.agg(F.count("*").alias("eligible"), F.count_if(F.col("_seen").isNull()).alias("no_candidates"), F.count_if("_seen").alias("rejected"))
+
+
 def enriched(rows: DataFrame, matches: DataFrame, catalog: DataFrame) -> DataFrame:
     """The canonical variant of each group with what the catalog knows; popularity is null where nothing matched."""
     best = canonical(rows)

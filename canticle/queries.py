@@ -575,6 +575,14 @@ def phase_statistics(spark, sf_dir):
     return resolve.phase_statistics(songs, matches).withColumn("percent", F.round("percent", 6))
 
 
+@query(f"""WITH {MORNING_SQL}, g AS (SELECT title_norm, artist_norm FROM canon ANTI JOIN kept USING (title_norm, artist_norm)),
+s AS (SELECT DISTINCT title_norm, artist_norm, 1 AS known FROM seen)
+SELECT count(*) AS eligible, count(*) FILTER (WHERE known IS NULL) AS no_candidates, count(*) FILTER (WHERE known = 1) AS rejected FROM g LEFT JOIN s USING (title_norm, artist_norm)""")
+def last_phase_eligibility(spark, sf_dir):
+    songs, catalog_ = written(resolve.variants(made_of_parts(spark, sf_dir, SONG, SONG_COPIES)), "songs"), written(morning_catalog(spark, sf_dir), "catalog")
+    return resolve.last_phase_eligibility(songs, catalog_, resolve.resolve(songs, catalog_))
+
+
 NAMES_SQL = "names AS (SELECT DISTINCT p_name AS n FROM part)"
 
 

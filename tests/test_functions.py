@@ -149,6 +149,13 @@ def test_places_in_proportion(spark):
     assert all(r.got == r.want for r in got.collect()), got.collect()
 
 
+def test_times_in_proportion(spark):
+    """A character's time into its line: by its share of the text, an empty text counts as one character, an empty interval as 3000."""
+    rows = [(5, "ten letter", 1000, 3000), (0, "ab", 5, 9), (2, "abcd", 700, 700), (1, "", 0, 500), (None, "ab", 0, 500)]
+    df = spark.createDataFrame(rows, "at int, text string, start int, end int")
+    assert [r[0] for r in df.select(T.proportional_time(*map(F.col, df.columns))).collect()] == [1000.0, 0.0, 1500.0, 500.0, None]
+
+
 def test_dedup_keys(spark):
     rows = [("Song - 2011 Remaster", "Ann feat. Bob", "ann:song"), ("It's  Here!", "The Fox Band", "the fox:its here"), ("A", "X & Y", "x:a"), ("A", "Simon, Paul", "simon paul:a")]
     got = spark.createDataFrame(rows, "t string, a string, want string").select("want", T.dedup_key(F.col("t"), F.col("a")).alias("got"))
