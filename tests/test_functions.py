@@ -170,3 +170,11 @@ def test_numbers_round_as_doubles(spark):
     rows += [told(n, 10**9, "B") for n in (1_005_000_000, 2_675_000_000)] + [(999, "999"), (0, "0")]
     got = spark.createDataFrame(rows, "n long, want string").select("n", "want", T.format_number(F.col("n")).alias("got"))
     assert [tuple(r) for r in got.where("got <> want").collect()] == []
+
+
+def test_halves_round_as_doubles_of_many_digits(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    rows = [(n, f"{Decimal(n / 1000).quantize(Decimal('0.01'), ROUND_HALF_UP)}K") for n in (*range(64_005, 200_000, 10), *range(7_000_005, 7_100_000, 10))]
+    got = spark.createDataFrame(rows, "n long, want string").select("n", "want", T.format_number(F.col("n"), "K").alias("got"))
+    assert [tuple(r) for r in got.where("got <> want").collect()] == []
