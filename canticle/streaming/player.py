@@ -18,9 +18,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from canticle.plans.cut import written
+
 KINDS = ("reset", "seek", "play", "tick", "pause")
 FOLDED = "key string, song_id string, n long, at_ms long, state string, time_s double, told string"
 
@@ -84,13 +86,40 @@ def positions(events: DataFrame, songs: DataFrame, key: str = "key", longest: in
     return rows.repartition("key", "song_id").sortWithinPartitions("key", "song_id", "at_ms", "rank", "value").mapInArrow(run, FOLDED)
 
 
+def _bucket(at: Column) -> Column:
+    """The bucket of a time in a song with columns first_s, last_s, scale and n: null before the first line, ``n`` from the last one on. A later time has no smaller one."""
+    inside = F.least(F.col("n") - 1, F.floor((at - F.col("first_s")) * F.col("scale")))
+    return F.when(at >= F.col("last_s"), F.col("n")).when(at >= F.col("first_s"), inside)
+
+
+def line_places(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where to look for a line: songs (song_id, first_s, last_s, n, scale), cut into as many buckets of time as they have different starts, and
+    (song_id, bucket, before, inside) of all buckets: the lines before it, and its starts, each with the lines up to it."""
+    each = lines.where("start_s is not null").groupBy(F.col("song_id").cast("string").alias("song_id"), F.col("start_s").cast("double").alias("start_s")).agg(F.count("*").alias("lines"))
+    spans = each.groupBy("song_id").agg(F.min("start_s").alias("first_s"), F.max("start_s").alias("last_s"), F.count("*").alias("n"))
+    spans = spans.withColumn("scale", F.when(F.col("n") > 1, F.try_divide(F.col("n").cast("double"), F.col("last_s") - F.col("first_s"))))
+    upto = F.sum("lines").over(Window.partitionBy("song_id").orderBy("start_s").rowsBetween(Window.unboundedPreceding, 0))
+    placed = each.withColumn("upto", upto).join(spans, "song_id").withColumn("bucket", _bucket(F.col("start_s")))
+    full = placed.groupBy("song_id", "bucket").agg(F.collect_list(F.struct("start_s", "upto")).alias("inside"), F.max("upto").alias("upto"))
+    order = Window.partitionBy("song_id").orderBy("bucket")
+    until = F.coalesce(F.lead("bucket").over(order) - 1, F.col("bucket"))
+    full = full.withColumns({"before": F.coalesce(F.lag("upto").over(order), F.lit(0)), "until": until})
+    all_ = full.select("song_id", F.col("bucket").alias("from"), F.explode(F.sequence("bucket", "until")).alias("bucket"), "before", "upto", "inside")
+    own = F.col("bucket") == F.col("from")
+    return spans, all_.select("song_id", "bucket", F.when(own, F.col("before")).otherwise(F.col("upto")).alias("before"), F.when(own, F.col("inside")).alias("inside"))
+
+
 def line_changes(events: DataFrame, lines: DataFrame, durations: DataFrame, key: str = "key", longest: int = 500) -> DataFrame:
-    """(key, song_id, at_ms, line_idx, time_s) of the lines told. ``lines`` has (song_id, start_s) of every line, ``durations`` (song_id, duration_s)."""
-    starts = lines.where("start_s is not null").groupBy(F.col("song_id").cast("string").alias("song_id")).agg(F.array_sort(F.collect_list(F.col("start_s").cast("double"))).alias("starts"))
-    songs = starts.join(durations.select(F.col("song_id").cast("string").alias("song_id"), "duration_s"), "song_id").select("song_id", F.get("starts", F.lit(0)).alias("first_s"), "duration_s")
-    at = positions(events, songs, key, longest).where("told is not null").join(starts, "song_id")
-    here = F.greatest(F.lit(0), F.size(F.filter("starts", lambda s: s <= F.col("time_s"))) - 1)
-    lined = at.select("key", "song_id", "n", "at_ms", "time_s", "told", F.when(F.col("told") == "first", 0).otherwise(here).alias("line_idx"))
-    before = F.lag("line_idx").over(Window.partitionBy("key", "song_id").orderBy("n"))
+    """(key, song_id, at_ms, line_idx, time_s) of the lines told. ``lines`` has (song_id, start_s) of every line, ``durations`` (song_id, duration_s).
+    An event meets the starts of its bucket of its song (:func:`line_places`), not all of the song's."""
+    spans, places = line_places(lines)
+    spans, places = written(spans, "spans"), written(places, "places")
+    songs = spans.join(durations.select(F.col("song_id").cast("string").alias("song_id"), "duration_s"), "song_id").select("song_id", "first_s", "duration_s")
+    at = positions(events, songs, key, longest).where("told is not null").withColumnRenamed("n", "nth").join(spans, "song_id").withColumn("bucket", _bucket(F.col("time_s")))
+    at = at.join(places, ["song_id", "bucket"], "left")
+    started = F.array_max(F.transform(F.filter("inside", lambda s: s["start_s"] <= F.col("time_s")), lambda s: s["upto"]))
+    here = F.greatest(F.lit(0), F.coalesce(started, F.col("before"), F.lit(0)) - 1).cast("int")
+    lined = at.select("key", "song_id", "nth", "at_ms", "time_s", "told", F.when(F.col("told") == "first", 0).otherwise(here).alias("line_idx"))
+    before = F.lag("line_idx").over(Window.partitionBy("key", "song_id").orderBy("nth"))
     changed = lined.withColumn("before", before).where("told = 'tick' and line_idx <> before")
     return changed.select("key", "song_id", "at_ms", "line_idx", F.round("time_s", 6).alias("time_s"))

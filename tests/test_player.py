@@ -78,3 +78,20 @@ def test_positions_hold_no_lines(spark):
     rows = spark.createDataFrame([("a", "1", 0, "play", None), ("a", "1", 400, "tick", None)], "key string, song_id string, at_ms long, kind string, value double")
     assert [(r.n, r.state, round(r.time_s, 6), r.told) for r in P.positions(rows, songs).orderBy("n").collect()] == [(0, "playing", 1.0, "first"), (1, "playing", 1.4, "tick")]
     assert P.positions(rows.where(F.lit(False)), songs).count() == 0
+
+
+def test_events_meet_few_of_many_lines(spark):
+    starts = [0.5 * k for k in range(2000)] + [7.25, 7.25, 7.25, 5000.0]
+    lines = spark.createDataFrame([("1", x) for x in starts], "song_id string, start_s double")
+    spans, places = P.line_places(lines)
+    assert [(r.n, r.first_s, r.last_s) for r in spans.collect()] == [(2002, 0.0, 5000.0)]
+    found = places.select("bucket", "before", F.coalesce(F.size("inside"), F.lit(0)).alias("size")).orderBy("bucket").collect()
+    assert [r.bucket for r in found] == list(range(2003)) and found[-1].before == 2003 and max(r["size"] for r in found) < 10
+    rows = spark.createDataFrame([("a", "1", at, kind, value) for at, kind, value in ((0, "seek", 7.0), (1, "play", None), (300, "tick", 1.0), (700, "tick", 9000.0), (800, "pause", None), (801, "seek", 1200.0), (802, "play", None), (900, "tick", 50000.0))], "key string, song_id string, at_ms long, kind string, value double")
+    lengths = spark.createDataFrame([("1", 9000.0)], "song_id string, duration_s double")
+    got = [(r.at_ms, r.line_idx) for r in P.line_changes(rows, lines, lengths).orderBy("at_ms").collect()]
+    time, want = 7.0, []
+    for at, gap, speed in ((300, 299, 1.0), (700, 400, 9000.0)):
+        time += gap / 1000 * speed
+        want.append((at, sum(s <= time for s in starts) - 1))
+    assert got == [*want, (900, sum(s <= 1200.0 + 0.098 * 50000 for s in starts) - 1)]
