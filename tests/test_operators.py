@@ -345,3 +345,15 @@ def test_gate_of_two_tables(spark):
     model = spark.createDataFrame([("a", 1000), ("a", 5000), ("b", 1000), ("a", 9000)], "key string, at_ms long")
     energy = spark.createDataFrame([("a", 1900), ("a", 2001), ("a", 4100), ("a", 5500), ("b", 2001), ("a", 8000)], "key string, at_ms long")
     assert rows_of(detectors.gated(model, energy), "key", "at_ms", "released_ms") == [("a", 1000, 1900), ("a", 5000, 5000), ("a", 9000, 9000)]
+
+
+def test_copies_of_a_variant_add_no_pairs(spark):
+    titles = ["Song", "Song - Live", "03 - Song"]
+    songs = spark.range(600).selectExpr("id", f"array({', '.join(map(repr, titles))})[CAST(id % 3 AS INT)] AS title", "'Ann' AS artist", "'Disc' AS album", "200 + id % 2 AS duration_sec")
+    rows = resolve.variants(songs)
+    cat = [(n, "song", "ann", "Song", ["ann"], 200_000 + n * 6000, n, "Album") for n in range(3)]
+    catalog = spark.createDataFrame(cat, "track_id long, title_norm string, artist_norm string, title string, artists array<string>, duration_ms long, popularity int, album_type string")
+    few = resolve.distinct_variants(rows)
+    assert few.count() <= 6
+    best = [[tuple(r) for r in resolve.best_match(resolve.scored_pairs(resolve.exact_pairs(x, catalog), "exact")).collect()] for x in (few, rows)]
+    assert best[0] == best[1] and len(best[0]) == 1
