@@ -47,3 +47,10 @@ def test_an_artist_of_many_titles_costs_no_product(spark):
     met = near.candidates(a, b, [("k", "rk")], "t", "rt", 10)
     assert met.where("t <> rt").count() < 20 * len(titles)
     assert met.where(F.levenshtein("t", "rt") <= 2).select("t").distinct().count() == a.select("t").distinct().count()
+
+
+def test_a_key_of_few_texts_meets_them_once(spark):
+    a = spark.createDataFrame([("one", "a title of some thirty letters")], "k string, t string")
+    b = spark.createDataFrame([("one", "a title of some thirty letters"), ("one", "a title of some thirty lettres"), ("two", "x")], "rk string, rt string")
+    met = near.candidates(a, b, [("k", "rk")], "t", "rt", 10)
+    assert sorted(r.rt for r in met.collect()) == ["a title of some thirty letters", "a title of some thirty lettres"]
