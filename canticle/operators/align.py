@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canticle.functions import text as T
+from canticle.plans.cut import written
 
 LOOK_AHEAD, JOINED = 20, 5
 #: Milliseconds: a word's length at least and at most, that of a song's last piece, and of a piece that two words share.
@@ -213,14 +214,16 @@ def coverage(words: DataFrame, found: DataFrame) -> DataFrame:
 
 def recovered(words: DataFrame, sung: DataFrame, found: DataFrame) -> DataFrame:
     """Matches for runs of lines without any in ``found``: each run is sought in all sung pieces of its song, in order, with ten pieces to spare; two
-    words at least and 70 percent must be there. Times are shifted so that a line's first word found stands at the line's start."""
+    words at least and 70 percent must be there. ``found`` is read once; pass a written table if it is used elsewhere. Times are shifted so that a line's first word found stands at the line's start."""
     lines = words.select("song_id", "line_idx").distinct()
     rank = F.dense_rank().over(Window.partitionBy("song_id").orderBy("line_idx"))
     matched = found.select("song_id", "line_idx").distinct().withColumn("hit", F.lit(True))
     numbered = lines.withColumn("nth", rank).join(matched, ["song_id", "line_idx"], "left").where("hit is null")
     run = F.col("nth") - F.row_number().over(Window.partitionBy("song_id").orderBy("line_idx"))
     blocks = numbered.withColumn("run", run).select("song_id", "line_idx", F.min("line_idx").over(Window.partitionBy("song_id", "run")).alias("block"))
-    return F.udtf(Recoverer, returnType=MATCHED)(_merged(words.join(blocks, ["song_id", "line_idx"]), sung, "block"))
+    blocks = written(blocks, "blocks")
+    sought = sung.join(blocks.select("song_id").distinct(), "song_id", "left_semi")  # other songs have nothing to seek
+    return F.udtf(Recoverer, returnType=MATCHED)(_merged(words.join(blocks, ["song_id", "line_idx"]), sought, "block"))
 
 
 def smoothed_chords(candidates: DataFrame, ratio: float = 1.15, least: float = 2.0) -> DataFrame:

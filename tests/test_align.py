@@ -137,3 +137,12 @@ def test_the_query(spark):
     got = queries.QUERIES["aligned_lyrics"](spark, "/root/testdata/sf0.001").where("not recovered")
     n = queries.turn_words(spark, "/root/testdata/sf0.001").count()
     assert n * 0.4 < got.count() <= n and got.select("song_id", "line_idx", "word_idx").distinct().count() == got.count()
+
+
+def test_recovery_reads_pieces_of_songs_with_unmatched_lines_alone(spark):
+    words = spark.createDataFrame([(s, line, k, w, line * 1000) for s in (1, 2) for line in (0, 1) for k, w in enumerate(("some", "words"))], "song_id long, line_idx int, word_idx int, word string, line_ms long")
+    sung = spark.createDataFrame([(s, 10 * k, w) for s in (1, 2) for k, w in enumerate(("some", "words"))], "song_id long, start_ms long, piece string")
+    found = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "song_id long, line_idx int")
+    got = align.recovered(words, sung, found)
+    assert [(r.song_id, r.line_idx, r.word_idx, r.start_ms, r.piece) for r in got.orderBy("word_idx").collect()] == [(2, 1, 0, 1000, "some"), (2, 1, 1, 1010, "words")]
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
