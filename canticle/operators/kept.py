@@ -19,11 +19,12 @@ occurs twice in one segment is an error.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ from canticle.operators import search
 TOTALS = "documents long, tokens long, replaced long, id_type string, segment int"
 #: Bytes of a row group of postings: small ones, so that a token's rows are few of a file.
 ROW_GROUP = 16 << 20
+#: How postings are packed: lists of numbers as differences, without a try at a dictionary, which takes most of the time of writing and saves little room.
+PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.writer.version": "PARQUET_2_0"} | {f"parquet.enable.dictionary#{c}.list.element": "false" for c in ("ids", "lens", "ends", "gaps")}
 #: Documents of a block at most.
 BLOCK = 4096
 #: Words that a task groups at once: more only where one text has more.
@@ -46,8 +49,8 @@ def add(docs: DataFrame, id_col: str, fields: list[str], path: str, segment: int
     """Writes ``docs`` as a segment; segments are numbered in the order of their age. ``ranges``: parts of the postings (by default by the number of words)."""
     spark = docs.sparkSession
     _path(spark, f"{path}/totals/segment={segment}", lambda files, at: files.delete(at, True))  # until it is whole again
-    words = {f: F.filter(F.split(F.lower(F.coalesce(F.col(f), F.lit(""))), search.TOKEN), lambda x: x != "") for f in fields}
-    size = sum((F.size(w) for w in words.values()), F.lit(0)).cast("int")
+    words = {f: _words(F.col(f)) for f in fields}
+    size = sum((F.octet_length(w) - F.octet_length(F.replace(w, F.lit(" "), F.lit(""))) for w in words.values()), F.lit(0)).cast("int")
     texts = F.array(*[F.struct(F.lit(f).alias("field"), w.alias("words")) for f, w in words.items()])
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), size.alias("len"), texts.alias("texts"))
 
@@ -59,6 +62,11 @@ def add(docs: DataFrame, id_col: str, fields: list[str], path: str, segment: int
     _totals(spark, path, segment)
 
 
+def _words(text: Column) -> Column:
+    """The words of a text in one string, a space behind each: far less to make and to move to Python than an array."""
+    return F.ltrim(F.regexp_replace(F.concat(F.lower(F.coalesce(text, F.lit(""))), F.lit(" ")), search.TOKEN, " "))
+
+
 def _blocks_of(rows: DataFrame) -> str:
     return f"token string, field string, ids array<{dict(rows.dtypes)['id']}>, lens array<int>, gaps array<int>"
 
@@ -83,7 +91,7 @@ def _range_starts(each: DataFrame, n: int, words: int, ranges: int | None) -> li
     if ranges <= 1:
         return []
     one_in = max(1, n // SAMPLED_DOCUMENTS)
-    some = each.where(F.pmod("h", F.lit(one_in)) == 0).select("h", "field", F.posexplode("words").alias("pos", "token"))
+    some = each.where(F.pmod("h", F.lit(one_in)) == 0).select("h", "field", F.posexplode(F.split("words", " ")).alias("pos", "token")).where("token <> ''")
     thin = some.withColumn("by", F.xxhash64("h", "field", "pos")).where(F.pmod("by", F.lit(max(1, words // one_in // SAMPLE))) == 0)
     found = sorted(r.token for r in thin.orderBy("by").limit(SAMPLE).select("token").collect())
     return [found[k * len(found) // ranges] for k in range(1, ranges)] if found else []
@@ -91,46 +99,86 @@ def _range_starts(each: DataFrame, n: int, words: int, ranges: int | None) -> li
 
 def _grouped(starts: list[str]):
     """Batches of (id, h, len, field, words) to blocks (range, token, field, ids, lens, gaps), marked. The range follows from a posting's token and document alone,
-    whatever batches they come in."""
+    whatever batches they come in. ``words`` are lists or, as :func:`_words` has them, strings. Blocks leave in the order of their tokens, which makes sorting them later cheap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            upto = np.cumsum(whole.column(4).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            length = _lengths(whole.column(4))
+            upto = np.cumsum(length)
             at = 0
             while at < whole.num_rows:
                 end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + WORDS, "right")))
-                yield grouped(whole.slice(at, end - at))
+                yield grouped(whole.slice(at, end - at), length[at:end])
                 at = end
 
-    def grouped(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known = batch.column(4).flatten().dictionary_encode()
-        tokens, fields = known.dictionary.to_pylist(), batch.column(3).dictionary_encode()
-        code, length = known.indices.to_numpy(), batch.column(4).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    def grouped(batch: pa.RecordBatch, length: np.ndarray) -> pa.RecordBatch:
+        known = _flat(batch.column(4)).dictionary_encode()
+        by = pc.array_sort_indices(known.dictionary)
+        token = known.dictionary.take(by)
+        first, over = _ranges_of(token, starts)
+        rank = np.empty(len(by), np.int32)
+        rank[by.to_numpy()] = np.arange(len(by), dtype=np.int32)
+        code = rank[known.indices.to_numpy()]
+        del known
+        fields = batch.column(3).dictionary_encode()
+        of_field = fields.indices.to_numpy()
         row = np.repeat(np.arange(batch.num_rows, dtype=np.int32), length)
-        pos = np.arange(len(code), dtype=np.int32) - np.repeat((np.cumsum(length) - length).astype(np.int32), length)
-        first = np.array([bisect_left(starts, t) for t in tokens], np.int64)
-        over = np.array([bisect_right(starts, t) for t in tokens], np.int64) - first + 1  # ranges that may hold the token
-        part = (first[code] + batch.column(1).to_numpy()[row] % over[code]).astype(np.int32)
-        key = (code.astype(np.int64) * len(fields.dictionary) + fields.indices.to_numpy()[row]) * (len(starts) + 1) + part
-        order = np.argsort(key, kind="stable")  # a token's texts and places stay in their order
-        key, row, pos = key[order], row[order], pos[order]
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+        slot = np.cumsum(over) - over  # a token's ranges, counted over all tokens
+        key = slot[code]
+        wide = np.flatnonzero((over > 1)[code])
+        key[wide] += batch.column(1).to_numpy()[row[wide]] % over[code[wide]]
+        key = key * len(fields.dictionary) + of_field[row]
+        bits = len(key).bit_length()
+        key = np.sort(key << bits | np.arange(len(key)))  # a token's texts and places stay in their order
+        order = (key & ((1 << bits) - 1)).astype(np.int32)
+        key >>= bits
+        row = row[order]
+        pos = order - (np.cumsum(length) - length).astype(np.int32)[row]
+        new_key = np.ones(len(key), bool)
+        new_key[1:] = key[1:] != key[:-1]
+        fresh = new_key.copy()
+        fresh[1:] |= row[1:] != row[:-1]
         gap = pos.copy()
         gap[1:] -= np.where(fresh[1:], 0, pos[:-1])
         posting = np.flatnonzero(fresh)
-        of = row[posting]
-        new_key = np.ones(len(posting), bool)
-        new_key[1:] = key[posting][1:] != key[posting][:-1]
-        heads, columns = _packed(new_key, batch.column(0).take(pa.array(of)), batch.column(2).take(pa.array(of)), posting, gap)
+        of = pa.array(row[posting])
+        heads, columns = _packed(new_key[posting], batch.column(0).take(of), batch.column(2).take(of), posting, gap)
         lead = posting[heads]
-        token = known.dictionary.take(pa.array(code[order[lead]]))
-        field = fields.dictionary.take(pa.array(fields.indices.to_numpy()[row[lead]]))
-        return pa.RecordBatch.from_arrays([pa.array(part[order[lead]], pa.int32()), token, field, *columns], names=["range", "token", "field", "ids", "lens", "gaps"])
+        head, place = code[order[lead]], key[lead] // max(1, len(fields.dictionary))
+        part = first[head] + place - slot[head]
+        field = fields.dictionary.take(pa.array(of_field[row[lead]]))
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), token.take(pa.array(head)), field, *columns], names=["range", "token", "field", "ids", "lens", "gaps"])
 
     return run
 
 
+def _lengths(words: pa.Array) -> np.ndarray:
+    """Words of each row."""
+    n = pc.count_substring(words, " ") if pa.types.is_string(words.type) else words.value_lengths()
+    return n.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _flat(words: pa.Array) -> pa.Array:
+    """The words of all rows, one after another."""
+    if not pa.types.is_string(words.type):
+        return words.flatten()
+    _, offsets, content = words.buffers()
+    begin, end = np.frombuffer(offsets, np.int32)[[words.offset, words.offset + len(words)]] if len(words) else (0, 0)
+    text = np.frombuffer(content, np.uint8)[begin:end] if end > begin else np.empty(0, np.uint8)
+    space = text == ord(" ")
+    ends = np.flatnonzero(space)
+    ends = np.append(0, ends - np.arange(len(ends))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(text[~space]))
+
+
+def _ranges_of(tokens: pa.Array, starts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of distinct ``tokens`` in order, the first range of each and the number of ranges that may hold it."""
+    behind = [bisect_right(tokens, s, key=str) for s in starts]  # tokens from there on come after the start
+    over = np.ones(len(tokens), np.int64)
+    np.add.at(over, np.array([k - 1 for k, s in zip(behind, starts, strict=True) if k and str(tokens[k - 1]) == s], np.int64), 1)
+    return np.searchsorted(np.array(behind, np.int64), np.arange(len(tokens)), "right"), over
+
+
 def _packed(new_key: np.ndarray, ids: pa.Array, lens: pa.Array, at: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
     """Postings (whose gaps begin ``at``) as marked blocks that begin at a new key and after ``BLOCK`` postings: the first posting of each, and its columns."""
     n = np.arange(len(new_key))
@@ -244,7 +292,7 @@ def _older(fresh: DataFrame, path: str, segment: int) -> DataFrame:
 
 def _postings(rows: DataFrame, path: str, segment: int) -> None:
     rows = rows.withColumn("lead", F.substring("token", 1, 1)).sortWithinPartitions("lead", "token", "field")
-    rows.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).option("compression", "zstd").partitionBy("lead").parquet(f"{path}/postings/segment={segment}")
+    rows.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).options(**PACKED).partitionBy("lead").parquet(f"{path}/postings/segment={segment}")
 
 
 def _totals(spark: SparkSession, path: str, segment: int) -> None:

@@ -118,3 +118,28 @@ def test_blocks_of_a_batch(monkeypatch):
         assert begin == len(block["gaps"])
     assert found == {(t, f, n): [k for k, w in enumerate(words) if w == t] for n, _, f, words in rows for t in set(words)}
     assert {t: {r for key, r in ranges.items() if key[0] == t} for t in "abcdé"} == {"a": {0}, "b": {0, 1, 2}, "c": {2, 3}, "d": {3}, "é": {3}}
+
+
+def strung(words):
+    return "".join(f"{w} " for w in words)
+
+
+def test_words_as_one_string(spark):
+    """Words come as strings as well as lists, with the same blocks, which leave in the order of their tokens."""
+    import pyarrow as pa
+
+    odd = ["", None, "  -- ", "A b", "--A  b--", "İx 7½ǅ́y\U0001d54f \U0001f600z", "the\nThe\tTHE", "ß ẞ œ٣"]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(odd)], "id int, t string")
+    split = {r.id: r.w for r in df.select("id", F.filter(F.split(F.lower(F.coalesce("t", F.lit(""))), search.TOKEN), lambda x: x != "").alias("w")).collect()}
+    assert {r.id: r.w for r in df.select("id", kept._words(F.col("t")).alias("w")).collect()} == {n: strung(w) for n, w in split.items()}
+
+    rng = random.Random(8)
+    texts = [[rng.choice(WORDS) for _ in range(rng.choice([0, 0, 1, 7, 40]))] for _ in range(90)]
+    heads = [pa.array(range(90)), pa.array([rng.getrandbits(62) for _ in texts]), pa.array([len(w) for w in texts], pa.int32()), pa.array([rng.choice("tb") for _ in texts])]
+    names = ["id", "h", "len", "field", "words"]
+    starts = ["an", "one", "one", "öl"]
+    whole = [pa.RecordBatch.from_arrays([*heads, words], names=names).slice(3, 80) for words in (pa.array(texts, pa.list_(pa.string())), pa.array([strung(w) for w in texts]))]
+    listed, as_text = ([x for out in kept._grouped(starts)([batch, batch.slice(0, 0)]) for x in out.to_pylist()] for batch in whole)
+    assert listed == as_text and len(listed) > 20
+    tokens = [x["token"] for x in as_text]
+    assert tokens == sorted(tokens)
