@@ -127,24 +127,29 @@ def _grouped(starts: list[str]):
         key = slot[code]
         wide = np.flatnonzero((over > 1)[code])
         key[wide] += batch.column(1).to_numpy()[row[wide]] % over[code[wide]]
-        key = key * len(fields.dictionary) + of_field[row]
+        key *= len(fields.dictionary)
+        key += of_field[row]
         bits = len(key).bit_length()
-        key = np.sort(key << bits | np.arange(len(key)))  # a token's texts and places stay in their order
-        order = (key & ((1 << bits) - 1)).astype(np.int32)
+        key <<= bits
+        key |= np.arange(len(key), dtype=np.int32)
+        key.sort()  # a token's texts and places stay in their order
+        order = np.empty(len(key), np.int32)
+        np.bitwise_and(key, (1 << bits) - 1, out=order, casting="unsafe")
         key >>= bits
         row = row[order]
-        pos = order - (np.cumsum(length) - length).astype(np.int32)[row]
         new_key = np.ones(len(key), bool)
         new_key[1:] = key[1:] != key[:-1]
         fresh = new_key.copy()
         fresh[1:] |= row[1:] != row[:-1]
-        gap = pos.copy()
-        gap[1:] -= np.where(fresh[1:], 0, pos[:-1])
-        posting = np.flatnonzero(fresh)
-        of = pa.array(row[posting])
-        heads, columns = _packed(new_key[posting], batch.column(0).take(of), batch.column(2).take(of), posting, gap)
-        lead = posting[heads]
+        posting = np.flatnonzero(fresh).astype(np.int32)
+        lead = posting[_heads(new_key[posting])]
         head, place = code[order[lead]], key[lead] // max(1, len(fields.dictionary))
+        del code, key
+        gap = order - (np.cumsum(length) - length).astype(np.int32)[row]  # places, and then what is between them
+        del order
+        gap[1:] -= np.where(fresh[1:], 0, gap[:-1])
+        of = pa.array(row[posting])
+        _, columns = _packed(new_key[posting], batch.column(0).take(of), batch.column(2).take(of), posting, gap)
         part = first[head] + place - slot[head]
         field = fields.dictionary.take(pa.array(of_field[row[lead]]))
         return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), token.take(pa.array(head)), field, *columns], names=["range", "token", "field", "ids", "lens", "gaps"])
@@ -165,10 +170,10 @@ def _flat(words: pa.Array) -> pa.Array:
     _, offsets, content = words.buffers()
     begin, end = np.frombuffer(offsets, np.int32)[[words.offset, words.offset + len(words)]] if len(words) else (0, 0)
     text = np.frombuffer(content, np.uint8)[begin:end] if end > begin else np.empty(0, np.uint8)
-    space = text == ord(" ")
-    ends = np.flatnonzero(space)
-    ends = np.append(0, ends - np.arange(len(ends))).astype(np.int32)
-    return pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(text[~space]))
+    at = np.flatnonzero(text == ord(" "))
+    ends = np.zeros(len(at) + 1, np.int32)
+    np.subtract(at, np.arange(len(at), dtype=np.int32), out=ends[1:], casting="unsafe")
+    return pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(text[text != ord(" ")]))
 
 
 def _ranges_of(tokens: pa.Array, starts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -181,16 +186,21 @@ def _ranges_of(tokens: pa.Array, starts: list[str]) -> tuple[np.ndarray, np.ndar
 
 def _packed(new_key: np.ndarray, ids: pa.Array, lens: pa.Array, at: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
     """Postings (whose gaps begin ``at``) as marked blocks that begin at a new key and after ``BLOCK`` postings: the first posting of each, and its columns."""
-    n = np.arange(len(new_key))
-    since = n - np.maximum.accumulate(np.where(new_key, n, 0)) if len(n) else n
-    heads = np.flatnonzero(since % BLOCK == 0)
-    offsets = np.append(heads, len(n))
+    heads = _heads(new_key)
+    offsets = np.append(heads, len(new_key))
     marked = gaps.astype(np.int32)
     marked[at] = ~marked[at]
     lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
     return heads, [lists(offsets, ids), lists(offsets, lens.cast(pa.int32())), lists(np.append(at[heads], len(gaps)), pa.array(marked))]
 
 
+def _heads(new_key: np.ndarray) -> np.ndarray:
+    """Where blocks begin."""
+    n = np.arange(len(new_key), dtype=np.int32)
+    since = n - np.maximum.accumulate(np.where(new_key, n, 0)) if len(n) else n
+    return np.flatnonzero(since % BLOCK == 0)
+
+
 def segments(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the finished segments."""
     return [r.segment for r in _done(spark, path)]

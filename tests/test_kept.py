@@ -143,3 +143,26 @@ def test_words_as_one_string(spark):
     assert listed == as_text and len(listed) > 20
     tokens = [x["token"] for x in as_text]
     assert tokens == sorted(tokens)
+
+
+def test_memory_of_a_batch(monkeypatch):
+    """Python's memory follows the words that are grouped at once, not the batch: under 36 bytes a word."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(kept, "WORDS", 1 << 17)
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{n}" for n in range(5000)])
+    texts = [words[(rng.pareto(1.0, 500) * 3).astype(int) % 5000].tolist() for _ in range(1000)]
+    columns = [pa.array(range(1000)), pa.array(rng.integers(0, 2**62, 1000)), pa.array([500] * 1000, pa.int32()), pa.array(["t"] * 1000), pa.array(texts)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["id", "h", "len", "field", "words"])
+    grouped = kept._grouped(["w1", "w1", "w2", "w7"])
+    assert sum(sum(map(len, out.column("gaps").to_pylist())) for out in grouped([batch])) == 500_000
+    tracemalloc.start()
+    for _ in grouped([batch]):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 36 * kept.WORDS
