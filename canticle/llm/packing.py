@@ -26,15 +26,15 @@ give empty results. Of extra columns, :func:`packed` keeps all, whatever their n
 from __future__ import annotations
 
 import json
-import re
 from array import array
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,8 +47,8 @@ END_ID = 1
 PART_ROWS, PARTS_MOST = 1_000, 200_000
 #: The program: coverage in which weights settle, gap to the dual bound, steps of weights, and configurations drawn at a time.
 COVER, GAP, STEPS, DRAWN = 0.02, 0.005, 60, 20_000
-#: Rows whose ids are in memory at a time.
-BATCH = 1_000
+#: Bytes of text (one text at least) whose ids are in memory at a time; bytes of words, and of their parts, that a worker holds with their ids.
+SLICE, HELD = 4 << 20, 16 << 20
 
 #: What a vocabulary must say of itself for words to be tokenized one by one; by any other, texts are tokenized whole.
 BY_WORDS = {
@@ -62,8 +62,8 @@ BY_WORDS = {
     },
 }
 #: Characters that this normalizer only lowers, and its pre-tokenizer over them in lower case.
-PLAIN = re.compile("[!-~À-ÖØ-öø-įıĴ-ňŊ-ž]+")
-PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ž]+|[0-9]|[^a-z0-9À-ž]+")
+PLAIN = "[!-~À-ÖØ-öø-įıĴ-ňŊ-ž]+"
+PARTS = "'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ž]+|[0-9]|[^a-z0-9À-ž]+"
 
 
 def byte_letters() -> list[str]:
@@ -73,14 +73,47 @@ def byte_letters() -> list[str]:
     return [chr(b if b in own else next(free)) for b in range(256)]
 
 
-class WordIds(dict):
-    """White-space-separated word to the bytes of its ids (little-endian, 32 bits), by the tokenizers library.
+def joined(ids: pa.LargeBinaryArray, lists: pa.ListArray) -> pa.LargeBinaryArray:
+    """The ids of each list's members (``ids``, all in a row), one after the other."""
+    ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset :][lists.offsets.to_numpy()]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends), ids.buffers()[2]])
 
-    No token of a vocabulary that says ``BY_WORDS`` spans white space, so a text's ids are those of its words. A worker keeps
-    one for all its tasks, and starts it anew at ``most`` entries.
+
+class Known:
+    """Distinct strings to the bytes of their ids; only those not held are made.
+
+    Once ``HELD`` bytes are held, those of the last call alone stay: common strings are among them, however many rare ones passed.
+    """
+
+    def __init__(self, make: Callable[[pa.StringArray], pa.LargeBinaryArray]):
+        self.make, self.strings, self.ids = make, pa.array([], pa.string()), pa.array([], pa.large_binary())
+
+    def of(self, strings: pa.StringArray) -> pa.LargeBinaryArray:
+        at = pc.index_in(strings, self.strings)
+        new = strings.filter(at.is_null())
+        place = at.fill_null(-1).to_numpy().astype(np.int64)
+        place[place < 0] = len(self.ids) + np.arange(len(new))
+        ids = pa.concat_arrays([self.ids, self.make(new)])
+        found = ids.take(pa.array(place))
+        if self.strings.nbytes + new.nbytes + ids.nbytes <= HELD:
+            self.strings, self.ids = pa.concat_arrays([self.strings, new]), ids
+        else:
+            self.strings, self.ids = strings, found
+        return found
+
+    def of_lists(self, lists: pa.ListArray) -> pa.LargeBinaryArray:
+        """The ids of each list's strings, one after the other."""
+        coded = lists.flatten().dictionary_encode()
+        return joined(self.of(coded.dictionary).take(coded.indices), lists)
+
+
+class WordIds:
+    """Texts to the bytes of their ids (little-endian, 32 bits), by the tokenizers library.
+
+    No token of a vocabulary that says ``BY_WORDS`` spans white space, so a text's ids are those of its words, and those of plain
+    words are their parts'. Each distinct one of a slice of texts is looked up once. A worker keeps one for all its tasks.
     """
 
-    most = 150_000
     made: dict[str, WordIds] = {}
 
     @classmethod
@@ -97,36 +130,50 @@ class WordIds(dict):
         with open(path, encoding="utf-8") as file:
             told = json.load(file)
         self.by_words = all(told[k] == v for k, v in BY_WORDS.items())
-        self.letters, self.parts, self.tokenize = byte_letters(), {}, self.whole.model.tokenize
+        self.letters, self.tokenize = byte_letters(), self.whole.model.tokenize
+        self.words, self.parts = Known(self.of_words), Known(self.of_parts)
+
+    def __getitem__(self, word: bytes) -> bytes:
+        return self.of_text(word.decode())
 
     def of_text(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode().split())) if self.by_words else self.encoded(text)
+        return self.of_texts(pa.array([text], pa.string()))[0].as_py()
+
+    def of_texts(self, texts: pa.StringArray) -> pa.LargeBinaryArray:
+        """The ids of each text; null ones have none."""
+        texts = texts.fill_null("")
+        return self.words.of_lists(pc.ascii_split_whitespace(texts)) if self.by_words else self.encoded_each(texts)
 
     def encoded(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        if word.isalpha():  # ASCII letters alone: one part
-            found = self.part(word.lower().decode())
-        elif word[:-1].isalpha() and word[-1] in b".,;:!?":
-            found = self.part(word[:-1].lower().decode()) + self.part(chr(word[-1]))
-        elif PLAIN.fullmatch(text := word.decode()):
-            found = b"".join(map(self.part, PARTS.findall(text.lower())))
-        else:
-            found = self.encoded(text)
-        self[word] = found
-        return found
+    def encoded_each(self, texts: pa.StringArray) -> pa.LargeBinaryArray:
+        return pa.array([self.encoded(t.as_py()) for t in texts], pa.large_binary())
 
-    def part(self, piece: str) -> bytes:
-        found = self.parts.get(piece)
-        if found is None:
-            if len(self.parts) >= self.most:
-                self.parts.clear()
-            text = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
-            found = self.parts[piece] = array("I", [t.id for t in self.tokenize(text)]).tobytes()
-        return found
+    def of_words(self, words: pa.StringArray) -> pa.LargeBinaryArray:
+        plain = pc.match_substring_regex(words, f"^{PLAIN}$")
+        marked = pc.replace_substring_regex(pc.utf8_lower(words.filter(plain)), PARTS, r"\0 ")
+        by_parts = self.parts.of_lists(pc.ascii_split_whitespace(marked))
+        odd = pc.invert(plain)
+        ids = pa.concat_arrays([by_parts, self.encoded_each(words.filter(odd))])
+        return ids.take(pa.array(np.argsort(np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable"))))
+
+    def of_parts(self, parts: pa.StringArray) -> pa.LargeBinaryArray:
+        return pa.array([self.of_part(piece) for piece in parts.to_pylist()], pa.large_binary())
+
+    def of_part(self, piece: str) -> bytes:
+        text = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+        return array("I", [t.id for t in self.tokenize(text)]).tobytes()
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of (key, text) in slices of ``SLICE`` bytes of text, or of one row."""
+    upto = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE, "right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -137,10 +184,10 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = WordIds.of(path)
         end = array("I", [END_ID]).tobytes()
-        for batch in (whole.slice(at, BATCH) for whole in batches for at in range(0, whole.num_rows, BATCH)):
+        for batch in (part for whole in batches for part in slices(whole)):
             out: list[tuple] = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = ids_of.of_text(text.as_py() or "") + end
+            for key, of_text in zip(batch.column(0).to_pylist(), ids_of.of_texts(batch.column(1)), strict=True):
+                ids = of_text.as_py() + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((key, piece, at // 4, len(part) // 4, part))

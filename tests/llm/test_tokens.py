@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -78,6 +79,49 @@ def test_word_ids(text):
     assert got == whole.encode(text, add_special_tokens=False).ids
 
 
+def library_ids(texts):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    whole.encode_special_tokens = True
+    return [np.array(whole.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_each_character_alone_and_in_words():
+    texts = [f"a{c}b {c}{c} {c}'s x{c}'S 1{c}2 {c}" for c in map(chr, [*range(0x250), *range(0x2000, 0x2070), 0x3000, 0x65E5, 0xFEFF, 0xFB01, 0x1F600])]
+    assert packing.WordIds.of(public_tokenizers.path("word_bpe_49k.json")).of_texts(pa.array(texts)).to_pylist() == library_ids(texts)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.text(alphabet="abSTREvmD'19.,!éßİı日\u0301 \t\n\x0b\x1c\x85\xa0…", max_size=40), max_size=6), st.integers(0, 3))
+def test_ids_of_slices_of_texts(texts, begin):
+    ids = packing.WordIds.of(public_tokenizers.path("word_bpe_49k.json"))
+    assert ids.of_texts(pa.array(texts, pa.string()).slice(begin)).to_pylist() == library_ids(texts[begin:])
+
+
+def test_a_part_is_tokenized_once_and_common_ones_stay(monkeypatch):
+    monkeypatch.setattr(packing, "HELD", 3_000)  # about 60 words
+    ids, asked = packing.WordIds(public_tokenizers.path("word_bpe_49k.json")), Counter()
+    tokenize = ids.tokenize
+    monkeypatch.setattr(ids, "tokenize", lambda piece: (asked.update([piece]), tokenize(piece))[1])
+    for k in range(40):
+        rare = "".join(chr(97 + int(d)) for d in f"{k:03}")
+        texts = [f"The the, THE. q{rare}x{chr(97 + j)} Q{rare}x{chr(97 + j)}!" for j in range(20)]
+        assert ids.of_texts(pa.array(texts)).to_pylist() == library_ids(texts)
+        assert len(ids.parts.strings) <= 100 and len(ids.words.strings) <= 100
+    assert len(asked) > 800 and set(asked.values()) == {1}
+
+
+def test_slices_hold_every_row_once(monkeypatch):
+    monkeypatch.setattr(packing, "SLICE", 10)
+    texts = ["a" * n if n >= 0 else None for n in (3, 30, -1, 4, 6, 1, 0, 12, 2)]
+    batch = pa.record_batch([pa.array(range(9)), pa.array(texts)], ["doc_id", "text"])
+    parts = list(packing.slices(batch))
+    assert [r for p in parts for r in p.column(0).to_pylist()] == list(range(9)) and [t for p in parts for t in p.column(1).to_pylist()] == texts
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= 10 for p in parts)
+    assert list(packing.slices(batch.slice(0, 0))) == []
+
+
 def check_packing(rows, capacity):
     seqs = defaultdict(list)
     for r in rows:
