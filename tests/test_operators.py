@@ -80,6 +80,17 @@ def test_phases_that_reject(spark):
     assert statistics == {"fuzzy": 1, "upgrade": 1, "none": 3}
 
 
+def test_unpopular_rows_of_a_title_are_all_candidates(spark):
+    songs = spark.createDataFrame([(1, "Much Sung", "Alpha", "Album", 200), (2, "Much Sung", "Beta", "Album", 210), (3, "Much Sung", "Gamma", "Album", 200)], SONG)
+    others = [track(1000 + k, "much sung", f"other {k}", ms=100_000 + 500 * k, pop=0) for k in range(600)]
+    edges = [track(10, "much sung", "alpha", ms=203_000, pop=0), track(11, "much sung", "beta", ms=213_001, pop=0), track(12, "much sung", "gamma", ms=196_999, pop=0)]
+    catalog = spark.createDataFrame(others + edges, CATALOG)
+    assert [(r.title_norm, r["count"]) for r in resolve.common_title_counts(catalog).collect()] == [("much sung", 603)]
+    groups = resolve.variants(songs)
+    assert rows_of(resolve.resolve(groups, catalog), "id", "c_track_id", "phase") == [(1, 10, "unpopular")]
+    assert rows_of(resolve.unpopular_pairs(groups, catalog), "id", "c_track_id") == [(1, 10)]
+
+
 def test_streamed_pairs(spark):
     songs = spark.createDataFrame([(1, "First Song", "Alpha", "Album", 200), (2, "Second Song", "Beta Gamma", "Album", 200)], SONG)
     catalog = spark.createDataFrame([track(10, "first song", "alpha"), track(11, "first song", "alpha beta"), track(12, "second song", "beta gamma delta"), track(13, "second song", "delta")], CATALOG)
