@@ -91,6 +91,14 @@ def test_unpopular_rows_of_a_title_are_all_candidates(spark):
     assert rows_of(resolve.unpopular_pairs(groups, catalog), "id", "c_track_id") == [(1, 10)]
 
 
+def test_a_misspelt_title_meets_all_its_candidates(spark):
+    songs = spark.createDataFrame([(1, "Fourth Somg Of Mine", "Echo", "Album", 200), (2, "Fifth Somg Of Mine", "Echo", "Album", 200)], SONG)
+    far = [track(1000 + k, t, "echo", ms=231_000 + 1000 * k, pop=90) for t in ("fourth song of mine", "fifth song of mine") for k in range(25)]
+    near = [track(10, "fourth song of mine", "echo", ms=230_999, pop=5), track(11, "fourth song of mine", "echo", ms=170_000, pop=5), track(12, "fourth song of mine", "echo", pop=4), track(13, "fifth song of mine", "echo", ms=169_999)]
+    got = resolve.fuzzy_pairs(resolve.variants(songs), spark.createDataFrame(far + near, CATALOG))
+    assert rows_of(got, "id", "c_track_id") == [(1, 10)]  # the lowest id of the most popular within 30 seconds
+
+
 def test_streamed_pairs(spark):
     songs = spark.createDataFrame([(1, "First Song", "Alpha", "Album", 200), (2, "Second Song", "Beta Gamma", "Album", 200)], SONG)
     catalog = spark.createDataFrame([track(10, "first song", "alpha"), track(11, "first song", "alpha beta"), track(12, "second song", "beta gamma delta"), track(13, "second song", "delta")], CATALOG)
