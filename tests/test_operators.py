@@ -99,6 +99,35 @@ def test_a_misspelt_title_meets_all_its_candidates(spark):
     assert rows_of(got, "id", "c_track_id") == [(1, 10)]  # the lowest id of the most popular within 30 seconds
 
 
+def test_a_title_meets_all_its_candidates_of_like_artists(spark):
+    songs = spark.createDataFrame([(1, "Third Song", "Delta Blues Clubs", "Album", 200), (2, "Third Song", "Golf Hotel Inn", "Album", 200)], SONG)
+    others = [track(1000 + k, "third song", f"someone else {k}", pop=90) for k in range(150)]
+    like = [track(10, "third song", "delta blues club", ms=230_999, pop=1), track(11, "third song", "delta blues club", ms=170_000, pop=2), track(12, "third song", "delta blues club", ms=169_999), track(13, "third song", "delta blues club", ms=231_000), track(14, "third song", "delta", pop=1)]
+    got = resolve.rescue_pairs(resolve.variants(songs), spark.createDataFrame(others + like, CATALOG))
+    assert rows_of(got, "id", "c_track_id") == [(1, 10), (1, 11)]  # within 30 seconds of whole ones, each once
+
+
+def test_artists_of_like_spelling_are_all_found(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "TOGETHER", 4)
+    rng = random.Random(4)
+    name = lambda: "".join(rng.choice("ab c") for _ in range(rng.randint(3, 9))).strip() or "a"
+    songs = spark.createDataFrame([(k, "much sung", name(), 200, 5, "Much Sung", "Album") for k in range(60)], "id long, title_norm string, artist_norm string, duration_sec long, quality int, title string, album string")
+    rows = [track(k, "much sung", "x", artists=[name(), name()], ms=rng.choice([200_000, 240_000])) for k in range(150)]
+    got = {(r.artist_norm, r.c_track_id): r._near for r in resolve.rescue_pairs(songs, spark.createDataFrame(rows, CATALOG)).collect()}
+
+    def like(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, before = [i], last
+            for j, y in enumerate(b, 1):
+                last.append(min(before[j] + 1, last[-1] + 1, before[j - 1] + (x != y)))
+        return 1 - last[-1] / max(len(a), len(b))
+
+    artists = {r.artist_norm for r in songs.collect()}
+    best = {(a, r[0]): max(like(a, b) for b in r[4]) for a in artists for r in rows if r[5] == 200_000}
+    assert got == {k: v for k, v in best.items() if v >= 0.70} and got
+
+
 def test_streamed_pairs(spark):
     songs = spark.createDataFrame([(1, "First Song", "Alpha", "Album", 200), (2, "Second Song", "Beta Gamma", "Album", 200)], SONG)
     catalog = spark.createDataFrame([track(10, "first song", "alpha"), track(11, "first song", "alpha beta"), track(12, "second song", "beta gamma delta"), track(13, "second song", "delta")], CATALOG)
